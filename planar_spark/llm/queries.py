@@ -7,17 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, url_filter, warc
+from . import exact_dedup, mixing, toxicity, unigram, url_filter, warc
 from .common import scratch_path, table
 
 #: The rules of the url contract: (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
+#: The vocabulary of the tokenizer query; it stays where it is installed.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "lang", "text"), model)
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.3).cast("int").alias("predicted"), toxicity.decided(scored, model).alias("rejected")
+    )
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -37,11 +49,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.in_order(plan.select("doc_id", "size", "source_size", "target", "taken", "position"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = TOKENIZER) -> DataFrame:
+    return unigram.tokenize(table(spark, sf_dir, "documents"), unigram.load(model))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 SQL: dict[str, str] = {
