@@ -204,7 +204,8 @@ def merge_index(index: DataFrame, ranges: int | None = None) -> DataFrame:
 
 def resolved(index: DataFrame) -> DataFrame:
     """Give revisits the size and digest of the payload that they refer to, as read from its own record."""
-    new = index.where("record_type = 'response'").select(F.col("page_id").alias("of"), F.col("payload_bytes").alias("of_bytes"), F.col("payload_digest").alias("of_digest"))
-    new = new.dropDuplicates(["of"])
-    got = index.join(new, index["refers_to"] == new["of"], "left")
-    return got.withColumn("payload_bytes", F.coalesce("payload_bytes", "of_bytes")).withColumn("payload_digest", F.coalesce("payload_digest", "of_digest")).drop("of", "of_bytes", "of_digest")
+    bare = index.drop("payload_bytes", "payload_digest")
+    new = index.where("record_type = 'response'")
+    of = new.groupBy(F.col("page_id").alias("of")).agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("p"))
+    again = bare.where("record_type = 'revisit'").join(of, F.col("refers_to") == F.col("of"), "left").select(*bare.columns, "p.*")
+    return new.select(*again.columns).union(again)
