@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, toxicity, unigram, url_filter, warc
-from .common import scratch_path, table
+from . import exact_dedup, line_dedup, mixing, ngram_join, toxicity, unigram, url_filter, warc
+from .common import scratch_path, table, written
 
 #: The rules of the url contract: (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -21,6 +21,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -33,12 +38,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    merged = warc.merge_index(warc.read_index(spark, folder))
+    merged = written(warc.merge_index(written(warc.read_index(spark, folder), "index")), "captures")
     return warc.resolved(merged).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured"
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
@@ -55,8 +64,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = TOKENIZER)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
+    "op6_ngram_join": op6_ngram_join,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op10_sentencepiece": op10_sentencepiece,
