@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, toxicity, unigram, url_filter, warc
+from . import exact_dedup, image_copies, line_dedup, mixing, ngram_join, substring_dedup, toxicity, unigram, url_filter, warc
 from .common import scratch_path, table, written
 
 #: The rules of the url contract: (host, path, verdict).
@@ -17,6 +17,20 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: edited pictures of every row whose id is divisible by 20. Index: the pictures of all rows. One row per row:
+    its class on the index side and, for query rows, the classes that their picture copies."""
+    rows = table(spark, sf_dir, "embeddings")
+    queries = image_copies.rendered(rows.where("vec_id % 20 = 0"), edited=True)
+    pairs, members = image_copies.find_copies(queries, image_copies.rendered(rows))
+    found = pairs.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("image_id", "votes", "turn", "scale", "dx", "dy"))).alias("copies"))
+    asked = members.where("side = 'query'").join(found, F.col("class_id") == F.col("query_id"), "left").select(F.col("image_id").alias("asked_id"), "copies")
+    index = members.where("side = 'index'").select(F.col("image_id").alias("vec_id"), "class_id")
+    none = F.expr("cast(array() as array<struct<image_id: bigint, votes: bigint, turn: int, scale: double, dx: int, dy: int>>)")
+    out = index.join(asked, index["vec_id"] == asked["asked_id"], "left")
+    return out.select("vec_id", "class_id", F.col("asked_id").isNotNull().alias("is_query"), F.coalesce("copies", none).alias("copies"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,7 +76,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = TOKENIZER)
     return unigram.tokenize(table(spark, sf_dir, "documents"), unigram.load(model))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_image_copies": op1_image_copies,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
@@ -70,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_join": op6_ngram_join,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
