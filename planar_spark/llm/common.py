@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
+from ..store import scratch_path, shared_dir, written
+
+__all__ = ["components", "scratch_path", "shared_dir", "written"]
+
 # The white space and word patterns of the result contracts.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,27 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="planar_spark_")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Materialise ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop's file system, so that any store works."""
     jvm = spark._jvm
@@ -53,31 +35,21 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """Connected components of ``edges(a long, b long)``: one row per node, (node, component).
-
-    Alternates two contractions, each a single grouped pass: every node's
-    larger neighbours are hooked to its smallest neighbour, then every node's
-    smaller ones are. The edge set only ever shrinks towards stars, so the
-    number of passes is logarithmic. Each pass ends in a written table. Nothing is collected.
-    """
-    live = written(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label
-    )
-    while True:
-        both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        far = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        far = far.distinct()
-        near_low = far.groupBy("a").agg(F.min("b").alias("m"))
-        near = far.join(near_low, "a")
-        near = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(near_low.select("a", F.col("m").alias("b")))
-        nxt = written(near.where("a <> b").distinct(), label)
-        digest = F.struct(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h"))
-        if nxt.select(digest).first() == live.select(digest).first():
-            break
-        live = nxt
-    star = live.groupBy("a").agg(F.min("b").alias("component"))
-    return star.select(F.col("a").alias("node"), "component").union(
-        live.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+#: Bits of the bitmaps that spare rows a shuffle.
+BITMAP = 1 << 24
+
+
+def flags(rows: DataFrame, key: str) -> np.ndarray:
+    """A bitmap of ``BITMAP`` bits (2 MB, whatever the input) in which the bit of every ``key`` is set. It only spares rows a shuffle;
+    an exact join follows."""
+    bit = F.pmod(F.col(key), F.lit(BITMAP))
+    words = rows.select(F.floor(bit / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(`{key}`, {BITMAP}), 64) as int))").alias("v"))
+    got = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    out = np.zeros(BITMAP // 64, np.uint64)
+    out[got.column("w").to_numpy()] = got.column("v").to_numpy().view(np.uint64)
+    return out
+
+
+def flagged(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = np.mod(keys, BITMAP).astype(np.uint64)
+    return (bitmap[bit // np.uint64(64)] >> (bit % np.uint64(64))) & np.uint64(1) > 0

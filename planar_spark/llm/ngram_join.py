@@ -22,7 +22,6 @@ Defined cases: null and empty texts, and texts without words, have the empty set
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,27 +30,36 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, components, parts, written
+from .common import components, flagged, flags, parts, written
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BITS = 1024  # narrow fragments
 FRAGMENTS = 8  # wide fragments
 COMMON = 8  # times in a batch that make an n-gram common
 MOST_COMMON = 1 << 20  # common n-grams that are told apart; others count as rare
 BLOCK = 1024
-WORDS = re.compile(WORD)
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-class Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+LOW = np.arange(256, dtype=np.uint8)
+LOW[65:91] += 32
+GAP = np.zeros(256, bool)
+GAP[[9, 10, 11, 12, 13, 32]] = True
+FLAT = 1 << 20  # bytes of texts that are hashed at once
+BASE = np.uint64(0x9E3779B97F4A7C15)
+POWERS: dict[str, np.ndarray] = {}
 
 
-SEEN = Hashes()
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i for i < n, modulo 2**64."""
+    if len(POWERS.get("up", ())) < n:
+        for name, base in (("up", BASE), ("down", np.uint64(pow(int(BASE), -1, 1 << 64)))):
+            x = np.full(max(n, 2 * FLAT), base, np.uint64)
+            x[0] = 1
+            POWERS[name] = np.multiply.accumulate(x)
+    up, down = POWERS["up"][:n], POWERS["down"][:n]
+    if n > 8 * FLAT:
+        POWERS.clear()
+    return up, down
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -60,17 +68,49 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def ngrams(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's n-grams."""
-    words = WORDS.findall(text.translate(LOWER)) if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(SEEN.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(h))
-    total = np.zeros(len(h) - k + 1, np.uint64)
-    for i in range(k):
-        total = mixed(total * MIX[0] + h[i : len(h) - k + 1 + i])
-    return np.unique(mixed(total + np.uint64(k)))
+def sets_of(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's n-grams; the words of many texts are hashed in one go."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+
+    def flush() -> None:
+        lengths = np.array([len(x) + 1 for x in held])
+        data = LOW[np.frombuffer(b"\n".join([*held, b""]), np.uint8)]
+        up, down = powers(len(data) + 1)
+        gap = GAP[data]
+        before = np.empty(len(data), bool)
+        before[0], before[1:] = True, gap[:-1]
+        starts, ends = np.nonzero(~gap & before)[0], np.nonzero(gap & ~before)[0]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        words = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        total = np.zeros(max(0, len(words) - n + 1), np.uint64)
+        for i in range(n):
+            total = mixed(total * MIX[0] + words[i : i + len(total)])
+        total = mixed(total + np.uint64(n))
+        cut = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if b - a >= n:
+                out.append(np.unique(total[a : b - n + 1]))
+            elif b > a:
+                few = np.zeros(1, np.uint64)
+                for i in range(a, b):
+                    few = mixed(few * MIX[0] + words[i : i + 1])
+                out.append(mixed(few + np.uint64(b - a)))
+            else:
+                out.append(np.empty(0, np.uint64))
+        held.clear()
+
+    for t in texts:
+        held.append((t or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size > FLAT:
+            flush()
+            size = 0
+    if held:
+        flush()
+    return out
 
 
 def slices(b: pa.RecordBatch, column: int, size: int = 2048) -> Iterator[tuple[int, list]]:
@@ -86,9 +126,9 @@ def common_ngrams(docs: DataFrame, n: int) -> np.ndarray:
         for b in batches:
             held, size = [], 0
             for _, texts in slices(b, 0):
-                for t in texts:
-                    held.append(ngrams(t, n))
-                    size += len(held[-1])
+                for g in sets_of(texts, n):
+                    held.append(g)
+                    size += len(g)
                     if size > 4_000_000:
                         yield rows(held)
                         held, size = [], 0
@@ -113,14 +153,12 @@ def summaries(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> Data
         for b in batches:
             for k, texts in slices(b, 1):
                 sizes, digests, leads, parities = [], [], [], []
-                for t in texts:
-                    g = ngrams(t, n)
+                for g in sets_of(texts, n):
                     sizes.append(len(g))
                     d = xxhash.xxh3_128_intdigest(g.tobytes())
                     digests.append((d >> 64, d & (1 << 64) - 1))
-                    bits = np.zeros(BITS, np.uint8)
-                    np.bitwise_xor.at(bits, (g >> np.uint64(54)).astype(np.int64), 1)
-                    parities.append(np.packbits(bits).tobytes())
+                    bits = np.bincount((g >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
+                    parities.append(np.packbits(bits.astype(np.uint8)).tobytes())
                     # A partner shares at least percent% of this set: leaving out so many, one shared n-gram must lead.
                     need = len(g) - (percent * len(g) + 99) // 100 + 1 if len(g) else 0
                     if len(often):
@@ -165,15 +203,20 @@ def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link: the overlap of each wide fragment is counted apart and summed per pair."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+    shared = docs.sparkSession.sparkContext.broadcast(flags(needed, "doc_id"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(flagged(shared.value, b.column(0).to_numpy())))
+
+    texts = docs.select("doc_id", "text").mapInArrow(keep, "doc_id long, text string").join(needed, "doc_id", "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, some in slices(b, 1, 512):
                 ids, which, sets = [], [], []
-                for doc_id, t in zip(b.column(0).slice(k, len(some)).to_pylist(), some, strict=True):
-                    g = ngrams(t, n)
+                for doc_id, g in zip(b.column(0).slice(k, len(some)).to_pylist(), sets_of(some, n), strict=True):
                     ends = np.searchsorted(g >> np.uint64(61), np.arange(FRAGMENTS + 1))
                     for f in range(FRAGMENTS):
                         if ends[f] < ends[f + 1]:
@@ -185,15 +228,16 @@ def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
                     [pa.array(ids, pa.int64()), pa.array(which, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], names=["doc_id", "f", "g"]
                 )
 
-    pieces = texts.mapInArrow(cut, "doc_id long, f int, g array<long>")
+    pieces = written(texts.dropDuplicates(["doc_id"]).mapInArrow(cut, "doc_id long, f int, g array<long>"), "fragments", "lz4")
     x, y = pieces.select(F.col("doc_id").alias("a"), "f", F.col("g").alias("g_a")), pieces.select(F.col("doc_id").alias("b"), "f", F.col("g").alias("g_b"))
     partial = pairs.join(x, "a").join(y, ["b", "f"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("g_a", "g_b")).alias("shared"))
     total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
     return total.where(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("a", "b")
 
 
-def between(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a block of a group and whose sizes and parities allow a link."""
+def between(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of different components that share a block of a group and whose sizes and parities allow a link; if ``nearest``, for
+    every member only the pair of the least bound with each other component."""
     names = ["x", "y", "rep", "size", "component", "parity", "side"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +255,11 @@ def between(rows: DataFrame, percent: int) -> DataFrame:
                 keep &= (rep[right] > rep[i]) if now[1] == now[2] else True
                 j = right[keep]
                 apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                j = j[(s + size[j] - apart) >= 2 * least_overlap(s, size[j], percent)]
+                fits = (s + size[j] - apart) >= 2 * least_overlap(s, size[j], percent)
+                j = j[fits]
+                if nearest and len(j):
+                    j = j[np.argsort(apart[fits], kind="stable")]
+                    j = j[np.unique(comp[j], return_index=True)[1]]
                 if len(j):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
 
@@ -236,37 +284,40 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     every = written(summaries(texts, n, percent, common_ngrams(texts, n)), "sets")
     full = every.where("size > 0")
-    first = full.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("doc_id"))
-    reps = written(full.join(first, ["h1", "h2", "size", "doc_id"], "left_semi").dropDuplicates(["doc_id"]), "representatives")
+    first = written(full.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("doc_id")), "representatives")
+    chosen = full.join(first.select("doc_id"), "doc_id", "left_semi")
+    reps = written(chosen.select("doc_id", "size", "parity").dropDuplicates(["doc_id"]), "parities")
     group = Window.partitionBy("g")
-    posted = reps.select(F.explode("lead").alias("g"), F.col("doc_id").alias("rep"), "size")
+    posted = chosen.select(F.explode("lead").alias("g"), F.col("doc_id").alias("rep"), "size")
     posted = written(posted.withColumn("m", F.count("*").over(group)).where("m > 1"), "shared_leads")
     beside = group.orderBy("size", "rep")
     near = posted.select("rep", "size", F.lag("rep").over(beside).alias("p"), F.lag("size").over(beside).alias("ps"))
     near = near.where(F.col("p").isNotNull() & (100 * F.col("ps") >= percent * F.col("size")))
-    near = near.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-    first_pairs = written(possible(near, reps, percent), "near_pairs")
-    links = written(linked(first_pairs, texts, n, percent), "near_links")
+    near = near.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).where("a <> b").distinct()
+    tested = written(possible(near, reps, percent), "near_pairs")
+    links = written(linked(tested, texts, n, percent), "near_links")
     known = components(links)
-    held = reps.select("doc_id", "parity").join(known, reps["doc_id"] == known["node"], "left").select(
-        F.col("doc_id").alias("rep"), "parity", F.coalesce("component", "doc_id").alias("component")
-    )
-    labels = written(held, "first_components")
-    # Groups of two are done: their only pair was a neighbour pair. Larger ones are compared in blocks.
-    rows = posted.where("m > 2").join(labels, "rep")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select(
-        "g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "size", "component", "parity", (F.col("own") > F.col("other")).cast("int").alias("side")
-    )
-    rows = rows.repartition(parts(spark), "g", "x", "y").sortWithinPartitions("g", "x", "y")
-    rest = between(rows, percent).distinct().join(first_pairs.select("a", "b"), ["a", "b"], "left_anti")
     sizes = reps.select("doc_id", "size")
-    rest = rest.join(sizes.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b")), "b")
-    more = written(linked(written(rest.select("a", "b", "size_a", "size_b"), "rest_pairs"), texts, n, percent), "rest_links")
-    whole = components(links.union(more))
-    equal = every.where("size > 0").select("doc_id", "size", "h1", "h2").join(first.withColumnRenamed("doc_id", "rep"), ["h1", "h2", "size"])
+    # Groups of two are done: their only pair was a neighbour pair. Larger ones are compared in blocks: first each member with the nearest
+    # of every other component only, which joins most; then all that is left.
+    for nearest in (True, False):
+        labels = reps.select("doc_id", "parity").join(known, reps["doc_id"] == known["node"], "left")
+        labels = labels.select(F.col("doc_id").alias("rep"), "parity", F.coalesce("component", "doc_id").alias("component"))
+        rows = posted.where("m > 2").join(labels, "rep")
+        blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK).cast("int"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select(
+            "g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "size", "component", "parity", (F.col("own") > F.col("other")).cast("int").alias("side")
+        )
+        rows = rows.repartition(parts(spark), "g", "x", "y").sortWithinPartitions("g", "x", "y")
+        rest = between(rows, percent, nearest).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        rest = rest.join(sizes.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b")), "b")
+        rest = written(rest.select("a", "b", "size_a", "size_b"), "rest_pairs")
+        links = links.union(written(linked(rest, texts, n, percent), "rest_links"))
+        tested = tested.union(rest)
+        known = components(links)
+    whole = known
+    equal = every.where("size > 0").select("doc_id", "size", "h1", "h2").join(first.select("h1", "h2", "size", F.col("doc_id").alias("rep")), ["h1", "h2", "size"])
     equal = equal.join(whole, equal["rep"] == whole["node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     alone = every.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return equal.union(alone)

@@ -30,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, written
+from .common import flagged, flags, parts, written
 from .loser_tree import common, merge_prefixed
 
 R = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(R), -1, 1 << 64))
-BITMAP = 1 << 24
 PIECE = 1 << 20
 POWERS: dict[str, np.ndarray] = {}
 
@@ -123,21 +122,6 @@ def listed(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.where(F.octet_length("text") >= length).select("key", "text").mapInArrow(run, "key long, at int, h long, e long")
 
 
-def flags(keys: DataFrame) -> np.ndarray:
-    """A bitmap of ``BITMAP`` bits (2 MB, whatever the input) in which every key's bit is set. It only spares rows a shuffle."""
-    bit = F.pmod(F.col("key"), F.lit(BITMAP))
-    words = keys.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(pmod(key, 16777216), 64) as int))")).alias("v"))
-    got = words.toArrow()
-    out = np.zeros(BITMAP // 64, np.uint64)
-    out[got.column("w").to_numpy()] = got.column("v").to_numpy().view(np.uint64)
-    return out
-
-
-def flagged(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bit = np.mod(keys, BITMAP).astype(np.uint64)
-    return (bitmap[bit // np.uint64(64)] >> (bit % np.uint64(64))) & np.uint64(1) > 0
-
-
 def coded(rows: list[tuple[bytes, bytes]]) -> bytes:
     """A sorted run, front-coded: shared and own length of each string, its own bytes, and a payload."""
     out, before = [], b""
@@ -207,7 +191,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, most: in
     wanted = spot.groupBy("key").agg(F.collect_list(F.struct("h", "e", "times", "at", (F.col("m") > most).alias("wide"))).alias("spots"))
     wanted = written(wanted, "wanted")
     ranges = max(parts(spark), total // 20_000 + 1)
-    shared = spark.sparkContext.broadcast(flags(wanted.select("key")))
+    shared = spark.sparkContext.broadcast(flags(wanted, "key"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,7 +293,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, most: in
     spark = docs.sparkSession
     spans = written(repeated_spans(docs, length, gram, most).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     spans = spans.withColumnRenamed("key", "of")
-    shared = spark.sparkContext.broadcast(flags(spans.select(F.col("of").alias("key"))))
+    shared = spark.sparkContext.broadcast(flags(spans, "of"))
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts that lose nothing are finished here; only the others' bytes go on."""
