@@ -1,2 +1,541 @@
-QUERIES = {}
-SQL = {}
+"""Registered queries: one or more per operator, over lattice inputs, each with equivalent SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import colors, tiles
+from ..operators import dml, faces, graph, hierarchy, linework
+from ..store import written
+from . import inputs as I  # noqa: E741
+from .inputs import with_ctes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(ctes: str | None = None, sql: str | None = None):
+    """Register the function under its name, with SQL over the named input relations."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = with_ctes(ctes, sql) if ctes else sql
+        return f
+
+    return add
+
+
+# Lines.
+
+
+@query("layers lines", "SELECT count(*)::INT AS n FROM lines JOIN layers l ON l.id = map_layer WHERE topological AND geometry_hash IS NULL AND topology_error IS NULL")
+def count_contacts(spark, d):
+    return linework.pending(I.lines(spark, d), I.layers(spark)).agg(F.count("*").cast("int").alias("n"))
+
+
+@query("layers lines", "SELECT lines.id FROM lines JOIN layers l ON l.id = map_layer WHERE topological AND geometry_hash IS NULL AND topology_error IS NULL")
+def pending_contacts(spark, d):
+    return linework.pending(I.lines(spark, d), I.layers(spark)).select("id")
+
+
+@query("lines", "SELECT id, topology_error FROM lines WHERE topology_error IS NOT NULL")
+def contact_errors(spark, d):
+    return linework.with_errors(I.lines(spark, d)).select("id", "topology_error")
+
+
+@query("lines", "SELECT id, geometry_hash, NULL::VARCHAR AS topology_error FROM lines")
+def reset_errors(spark, d):
+    return linework.without_errors(I.lines(spark, d)).select("id", "geometry_hash", "topology_error")
+
+
+@query("layers lines", "SELECT lines.id, map_layer, CASE WHEN topological THEN map_layer END AS topology FROM lines LEFT JOIN layers l ON l.id = map_layer")
+def line_topology(spark, d):
+    return linework.line_topology(I.lines(spark, d), I.layers(spark)).select("id", "map_layer", "topology")
+
+
+@query("lines", "SELECT id, length FROM lines ORDER BY length, id LIMIT 10")
+def line_length_topk(spark, d):
+    """The shortest batch of lines."""
+    return I.lines(spark, d).select("id", "length").orderBy("length", "id").limit(10)
+
+
+@query("lines", "SELECT id, md5('LINESTRING(' || x1 || ' ' || y1 || ',' || (x1 + length) || ' ' || y1 || ')') AS geometry_hash FROM lines")
+def geometry_hash(spark, d):
+    text = F.concat(F.lit("LINESTRING("), "x1", F.lit(" "), "y1", F.lit(","), F.col("x1") + F.col("length"), F.lit(" "), "y1", F.lit(")"))
+    return I.lines(spark, d).select("id", F.md5(text).alias("geometry_hash"))
+
+
+@query("lines", "SELECT id, x1 AS xmin, y1 AS ymin, x1 + length AS xmax, y1 AS ymax FROM lines WHERE x1 <= 40 AND x1 + length >= 30 AND y1 BETWEEN 10 AND 25")
+def bbox_filter(spark, d):
+    rows = I.lines(spark, d).select("id", F.col("x1").alias("xmin"), F.col("y1").alias("ymin"), (F.col("x1") + F.col("length")).alias("xmax"), F.col("y1").alias("ymax"))
+    return rows.where("xmin <= 40 and xmax >= 30 and ymin <= 25 and ymax >= 10")
+
+
+# The planar graph.
+
+
+@query("cells edges", """SELECT node_id, string_agg(edge_id, ',' ORDER BY edge_id) AS edges, count(*) AS n_edges
+FROM (SELECT edge_id, start_node AS node_id FROM edges UNION ALL SELECT edge_id, end_node FROM edges) GROUP BY node_id""")
+def node_edge(spark, d):
+    rows = graph.node_edge(I.edges(spark, d))
+    return rows.withColumn("edges", F.array_join(F.transform("edges", lambda x: x.cast("string")), ","))
+
+
+@query("cells edges", "SELECT DISTINCT edge_id, face_id FROM (SELECT edge_id, left_face AS face_id FROM edges UNION ALL SELECT edge_id, right_face FROM edges)")
+def edge_face(spark, d):
+    return graph.edge_face(I.edges(spark, d))
+
+
+def _nodes(spark, d):
+    top = I.cells(spark, d).agg(F.max("cy").alias("top"))
+    return top.select(F.explode(F.sequence(F.lit(1).cast("long"), 2 * (21 * (F.col("top") + 2)))).alias("node_id"))
+
+
+NODES = ", nodes AS (SELECT unnest(range(1, 2 * (21 * ((SELECT max(cy) FROM cells) + 2)) + 1)) AS node_id), ne AS (SELECT node_id, count(*) AS n_edges FROM (SELECT start_node AS node_id FROM edges UNION ALL SELECT end_node FROM edges) GROUP BY ALL)\n"
+
+
+@query("cells edges", NODES + "SELECT node_id, n_edges FROM nodes JOIN ne USING (node_id)")
+def node_multiplicity(spark, d):
+    return graph.node_multiplicity(_nodes(spark, d), I.edges(spark, d))
+
+
+@query("cells edges", NODES + "SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT node_id FROM ne)")
+def isolated_nodes(spark, d):
+    return graph.isolated_nodes(_nodes(spark, d), I.edges(spark, d))
+
+
+@query("two cells edges walls", "SELECT edge_id, left_face, right_face FROM edges WHERE edge_id NOT IN (SELECT edge_id FROM walls WHERE map_layer = 1)")
+def edges_to_delete(spark, d):
+    return graph.unused_edges(I.edges(spark, d), I.walls(spark, d).where("map_layer = 1")).select("edge_id", "left_face", "right_face")
+
+
+@query("two cells edges walls", """, one AS (SELECT edge_id FROM walls WHERE map_layer = 1), near AS (SELECT left_face AS a, right_face AS b FROM edges ANTI JOIN one USING (edge_id) UNION SELECT right_face, left_face FROM edges ANTI JOIN one USING (edge_id)),
+reach(a, b) AS (SELECT face_id, face_id FROM cells UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
+name AS (SELECT a, min(b) AS m FROM reach GROUP BY a UNION ALL SELECT 0, 0)
+SELECT edge_id, l.m AS left_face, r.m AS right_face FROM edges JOIN name l ON l.a = left_face JOIN name r ON r.a = right_face WHERE edge_id IN (SELECT edge_id FROM one)""")
+def merged_faces(spark, d):
+    """Edges after those in no line are removed and the faces beside them joined."""
+    return graph.without_unused_edges(I.edges(spark, d), I.walls(spark, d).where("map_layer = 1")).select("edge_id", "left_face", "right_face")
+
+
+@query("two cells edges walls", "SELECT line_id, edge_id FROM walls WHERE line_id // 10 NOT IN (SELECT p FROM cells WHERE t < 25)")
+def orphan_relations(spark, d):
+    held = I.cells(spark, d).where("t < 25").crossJoin(F.broadcast(I.two_layers(spark))).select((F.col("p") * 10 + F.col("map_layer")).alias("id"))
+    return graph.orphan_relations(I.walls(spark, d).select("line_id", "edge_id"), held)
+
+
+HEAL = """, le AS (SELECT edge_id, list_sort(list_distinct(list(line_id))) AS lines FROM walls GROUP BY edge_id),
+star AS (SELECT node_id, min(edge_id) AS edge_1, max(edge_id) AS edge_2 FROM (SELECT edge_id, start_node AS node_id FROM used UNION ALL SELECT edge_id, end_node FROM used) GROUP BY node_id HAVING count(*) = 2)
+"""
+USED = ", used AS (SELECT * FROM edges WHERE edge_id IN (SELECT edge_id FROM walls WHERE map_layer = 1))"
+
+
+def _used(spark, d):
+    return I.edges(spark, d).join(I.walls(spark, d).where("map_layer = 1").select("edge_id").distinct(), "edge_id", "left_semi")
+
+
+@query("two cells edges walls", USED + HEAL + "SELECT node_id, edge_1, edge_2 FROM star JOIN le a ON a.edge_id = edge_1 JOIN le b ON b.edge_id = edge_2 WHERE edge_1 <> edge_2 AND a.lines = b.lines")
+def edges_to_heal(spark, d):
+    return graph.heal_candidates(_used(spark, d), I.walls(spark, d).select("line_id", "edge_id"))
+
+
+@query("two cells edges walls", USED + HEAL + "SELECT node_id, edge_1, edge_2 FROM star WHERE false")
+def edges_to_heal_literal(spark, d):
+    return graph.heal_candidates(_used(spark, d), I.walls(spark, d).select("line_id", "edge_id"), literal=True)
+
+
+@query("two cells edges walls", USED + HEAL + """, pairs AS (SELECT edge_1, edge_2 FROM star JOIN le a ON a.edge_id = edge_1 JOIN le b ON b.edge_id = edge_2 WHERE edge_1 <> edge_2 AND a.lines = b.lines),
+both_ways AS (SELECT edge_1 AS a, edge_2 AS b FROM pairs UNION SELECT edge_2, edge_1 FROM pairs),
+reach(a, b) AS (SELECT edge_id, edge_id FROM used UNION SELECT r.a, n.b FROM reach r JOIN both_ways n ON n.a = r.b)
+SELECT a AS edge_id, min(b) AS chain FROM reach GROUP BY a""")
+def healed_chains(spark, d):
+    return graph.heal_chains(_used(spark, d), I.walls(spark, d).select("line_id", "edge_id"))
+
+
+@query("cells edges", "SELECT edge_id, left_face AS face_id, CASE WHEN left_face = face THEN right_face WHEN right_face = face THEN left_face END AS other FROM (SELECT *, left_face + edge_id % 2 AS face FROM edges)")
+def other_face(spark, d):
+    e = I.edges(spark, d)
+    face = F.col("left_face") + F.col("edge_id") % 2
+    return e.select("edge_id", F.col("left_face").alias("face_id"), graph.other_face(face, F.col("left_face"), F.col("right_face")).alias("other"))
+
+
+# Dissolving.
+
+
+@query("two cells edges walls reach", "SELECT DISTINCT map_layer, a AS face_id, b AS adjacent FROM near")
+def adjacent_faces(spark, d):
+    return graph.adjacent(I.edges(spark, d), I.walls(spark, d), I.two_layers(spark))
+
+
+@query("two cells edges walls", """, pass AS (SELECT two.map_layer, left_face, right_face FROM edges CROSS JOIN two LEFT JOIN walls w USING (edge_id) WHERE w.map_layer IS DISTINCT FROM two.map_layer)
+SELECT DISTINCT map_layer, face_id, adjacent FROM (SELECT map_layer, left_face AS face_id, right_face AS adjacent FROM pass UNION ALL SELECT map_layer, right_face, left_face FROM pass) WHERE face_id <> adjacent""")
+def adjacent_faces_literal(spark, d):
+    return graph.adjacent(I.edges(spark, d), I.walls(spark, d), I.two_layers(spark), literal=True)
+
+
+def _dissolved(spark, d, closed=True):
+    return graph.dissolved(I.cells(spark, d), I.edges(spark, d), I.walls(spark, d, closed), I.two_layers(spark))
+
+
+@query("two cells edges walls reach", "SELECT map_layer, face_id, comp FROM comps")
+def dissolved_components(spark, d):
+    return _dissolved(spark, d).select("map_layer", "face_id", "comp")
+
+
+@query("two cells edges open_walls reach", "SELECT map_layer, face_id, comp, is_open FROM comps")
+def open_components(spark, d):
+    return _dissolved(spark, d, closed=False)
+
+
+@query("two cells edges open_walls reach", "SELECT map_layer, comp AS id, count(*)::DOUBLE AS area, count(*) AS n_faces FROM comps WHERE NOT is_open GROUP BY map_layer, comp")
+def map_face_area(spark, d):
+    """The flagship: bounded map faces of two layers and their area, every primitive face being a unit square."""
+    members = _dissolved(spark, d, closed=False).where("not is_open")
+    return members.groupBy("map_layer", F.col("comp").alias("id")).agg(F.sum(F.lit(1.0)).alias("area"), F.count("*").alias("n_faces"))
+
+
+BOX_CELLS = """, spots AS (SELECT b.id, type, map_layer, w * h AS n, x + i AS cx, y + j AS cy FROM boxes b, (SELECT unnest([0, 1, 2]) AS i), (SELECT unnest([0, 1]) AS j) WHERE i < w AND j < h AND x + i < 20),
+inside AS (SELECT s.id, s.type, s.map_layer, comp, cx, cy, count(*) OVER (PARTITION BY s.id, s.map_layer, comp) = n AS whole FROM spots s JOIN cells USING (cx, cy) JOIN comps c ON c.face_id = cells.face_id AND c.map_layer = s.map_layer),
+areas AS (SELECT map_layer, comp, type, count(DISTINCT cx * 1000000 + cy) AS area FROM inside WHERE whole GROUP BY ALL)
+"""
+
+
+def _box_areas(spark, d):
+    """(map_layer, comp, type, area): area of the union of the boxes of each type that lie wholly in a component."""
+    b = I.boxes(spark, d)
+    xs, ys = F.sequence(F.lit(0), F.col("w") - 1), F.sequence(F.lit(0), (F.col("h") - 1).cast("int"))
+    spot = b.withColumn("i", F.explode(xs)).withColumn("j", F.explode(ys)).select("id", "type", "map_layer", (F.col("w") * F.col("h")).alias("n"), (F.col("x") + F.col("i")).alias("cx"), (F.col("y") + F.col("j")).alias("cy"))
+    cell = I.cells(spark, d).select("cx", "cy", "face_id")
+    hit = spot.join(cell, ["cx", "cy"]).join(_dissolved(spark, d).select("face_id", "map_layer", "comp"), ["face_id", "map_layer"])
+    key = ["id", "type", "map_layer", "comp", "n"]
+    whole = hit.groupBy(*key).agg(F.collect_list(F.struct("cx", "cy")).alias("spots")).where(F.size("spots") == F.col("n"))
+    return whole.select("map_layer", "comp", "type", F.explode("spots").alias("s")).distinct().groupBy("map_layer", "comp", "type").agg(F.count("*").alias("area"))
+
+
+@query("two cells edges walls reach boxes", BOX_CELLS + "SELECT map_layer, comp, type, area FROM areas")
+def unit_union_area(spark, d):
+    return _box_areas(spark, d)
+
+
+@query("two cells edges walls reach boxes", BOX_CELLS + """SELECT DISTINCT c.map_layer, c.comp, u.unit_id FROM comps c
+LEFT JOIN (SELECT map_layer, comp, arg_min(type, (-area, type)) AS unit_id FROM areas GROUP BY ALL) u USING (map_layer, comp)""")
+def unit_for_area(spark, d):
+    best = faces.best_unit(_box_areas(spark, d), ["map_layer", "comp"], unit="type").withColumnRenamed("type", "unit_id")
+    return _dissolved(spark, d).select("map_layer", "comp").distinct().join(best, ["map_layer", "comp"], "left")
+
+
+# Relations, dirty sets, registration.
+
+
+def _named_lines(spark, d, column="type"):
+    rows = I.walls(spark, d).select(F.col("line_id").alias("id"), F.col("map_layer").alias("topology")).distinct()
+    return rows.withColumn("type", F.concat(F.lit("line-"), F.col("id") % 7))
+
+
+def _shared_line_edge(spark, d):
+    """Lines along edges, some edges twice: every line also runs along the edge four ids on."""
+    w = I.walls(spark, d).select("line_id", "edge_id")
+    return w.union(w.select("line_id", (F.col("edge_id") + 4).alias("edge_id"))).distinct()
+
+
+SHARED = ", ln AS (SELECT DISTINCT line_id AS id, map_layer AS topology, 'line-' || (line_id % 7) AS type FROM walls), le AS (SELECT line_id, edge_id FROM walls UNION SELECT line_id, edge_id + 4 FROM walls)"
+
+
+@query("two cells edges walls", SHARED + " SELECT edge_id, topology AS map_layer, max(line_id) AS line_id, arg_max(type, line_id) AS type FROM le JOIN ln ON ln.id = line_id GROUP BY edge_id, topology")
+def edge_relation_upsert(spark, d):
+    lines, along = _named_lines(spark, d), _shared_line_edge(spark, d)
+    old = faces.link_edges(along, lines.where("id % 3 = 0"))
+    return faces.link_edges(along, lines, old)
+
+
+@query("two cells edges walls", SHARED + " SELECT DISTINCT face AS id, topology AS map_layer FROM le JOIN ln ON ln.id = line_id JOIN (SELECT edge_id, left_face AS face FROM edges UNION ALL SELECT edge_id, right_face FROM edges) USING (edge_id)")
+def mark_surrounding_faces(spark, d):
+    return faces.surrounding(_shared_line_edge(spark, d), I.edges(spark, d), _named_lines(spark, d))
+
+
+def _members(spark, d):
+    """(map_face, map_layer, face_id): a face each, and a second cover of some."""
+    c = I.cells(spark, d).crossJoin(F.broadcast(I.two_layers(spark)))
+    one = c.select(F.col("face_id").alias("map_face"), "map_layer", "face_id")
+    return one.union(c.where("t % 10 = 0").select((F.col("face_id") + 1).alias("map_face"), "map_layer", "face_id"))
+
+
+MEMBERS = ", members AS (SELECT face_id AS map_face, map_layer, face_id FROM cells CROSS JOIN two UNION ALL SELECT face_id + 1, map_layer, face_id FROM cells CROSS JOIN two WHERE t % 10 = 0)"
+
+
+def _map_faces(spark, d):
+    return I.cells(spark, d).crossJoin(F.broadcast(I.two_layers(spark))).where("t % 7 <> 0").select(F.col("face_id").alias("id"), "map_layer", F.when(F.col("t") % 3 != 0, F.col("brand")).alias("unit_id"))
+
+
+MAP_FACES = ", map_faces AS (SELECT face_id AS id, map_layer, CASE WHEN t % 3 <> 0 THEN brand END AS unit_id FROM cells CROSS JOIN two WHERE t % 7 <> 0)"
+
+
+@query("two cells", MEMBERS + MAP_FACES + " SELECT face_id, map_layer, max(map_face) AS map_face, arg_max(coalesce(unit_id, '-'), map_face) AS unit_id FROM members JOIN map_faces f ON f.id = map_face AND f.map_layer = members.map_layer GROUP BY ALL".replace("members JOIN", "(SELECT map_face, map_layer, face_id FROM members) members JOIN").replace("SELECT face_id, map_layer", "SELECT face_id, members.map_layer").replace("GROUP BY ALL", "GROUP BY face_id, members.map_layer"))
+def face_type_upsert(spark, d):
+    old = faces.register(_map_faces(spark, d).where("id % 2 = 0"), _members(spark, d))
+    return faces.register(_map_faces(spark, d), _members(spark, d), old).withColumn("unit_id", F.coalesce("unit_id", F.lit("-")))
+
+
+@query("two cells", MEMBERS + " SELECT face_id, map_layer, string_agg(map_face, ',' ORDER BY map_face) AS covers, count(*) AS n FROM members GROUP BY face_id, map_layer HAVING count(*) > 1")
+def multi_cover_faces(spark, d):
+    return faces.covered_twice(_members(spark, d)).withColumn("covers", F.array_join(F.transform("covers", lambda x: x.cast("string")), ","))
+
+
+@query("two cells edges walls reach", """SELECT DISTINCT c.comp AS map_face, c.map_layer FROM comps c JOIN edges e ON c.face_id IN (e.left_face, e.right_face)
+JOIN comps o ON o.map_layer = c.map_layer AND o.face_id = CASE WHEN e.left_face = c.face_id THEN e.right_face ELSE e.left_face END
+WHERE o.comp <> c.comp AND (e.edge_id, c.map_layer) NOT IN (SELECT (edge_id, map_layer) FROM walls WHERE edge_id % 9 <> 0)
+UNION SELECT DISTINCT c.comp, c.map_layer FROM comps c JOIN edges e ON e.left_face = c.face_id AND e.right_face = 0
+WHERE (e.edge_id, c.map_layer) NOT IN (SELECT (edge_id, map_layer) FROM walls WHERE edge_id % 9 <> 0)""")
+def prune_unlinked_faces(spark, d):
+    """Map faces that lost the link of a boundary edge (every ninth is taken away)."""
+    members = written(_dissolved(spark, d).select(F.col("comp").alias("map_face"), "map_layer", "face_id"), "members")
+    return faces.unlinked(members, I.edges(spark, d), I.walls(spark, d).where("edge_id % 9 <> 0"))
+
+
+@query("two cells", MAP_FACES + " SELECT face_id AS id, map_layer FROM cells CROSS JOIN two WHERE (face_id, map_layer) NOT IN (SELECT (id, map_layer) FROM map_faces)")
+def holes_dirty(spark, d):
+    registered = _map_faces(spark, d).select(F.col("id").alias("face_id"), "map_layer")
+    return faces.holes(I.cells(spark, d), I.two_layers(spark), registered)
+
+
+@query("two cells", "SELECT face_id AS id, map_layer FROM cells CROSS JOIN two")
+def reset_dirty(spark, d):
+    return faces.all_dirty(I.cells(spark, d), I.two_layers(spark))
+
+
+@query("two cells types", MAP_FACES + " SELECT f.id, f.map_layer, f.unit_id, t.color, t.name FROM map_faces f JOIN (VALUES (1), (2)) l(id) ON l.id = f.map_layer LEFT JOIN types t ON t.id = f.unit_id")
+def face_display(spark, d):
+    return faces.face_display(_map_faces(spark, d), I.types(spark, d), I.layers(spark)).select("id", "map_layer", "unit_id", "color", "name")
+
+
+@query("two cells edges walls reach boxes", """SELECT DISTINCT c.map_layer, c.comp, b.id AS box FROM comps c JOIN cells USING (face_id) JOIN boxes b ON b.map_layer = c.map_layer AND b.id % 10 = 0
+AND cx BETWEEN b.x - 1 AND b.x + b.w AND cy BETWEEN b.y - 1 AND b.y + b.h""")
+def polygon_relabel(spark, d):
+    """Map faces that an edited box meets, borders included: they get a new label."""
+    b = I.boxes(spark, d).where("id % 10 = 0")  # the edit batch
+    reach = lambda at, size: F.sequence(F.col(at) - 1, F.col(at) + F.col(size))
+    spots = b.withColumn("cx", F.explode(reach("x", "w"))).withColumn("cy", F.explode(reach("y", "h"))).select(F.col("id").alias("box"), "map_layer", "cx", "cy")
+    hit = I.cells(spark, d).select("cx", "cy", "face_id").join(spots, ["cx", "cy"])
+    return hit.join(_dissolved(spark, d).select("face_id", "map_layer", "comp"), ["face_id", "map_layer"]).select("map_layer", "comp", "box").distinct()
+
+
+@query("two cells edges walls reach", "SELECT map_layer, comp, cx, cy FROM comps JOIN cells USING (face_id) WHERE cx BETWEEN 2 AND 3 AND cy BETWEEN 2 AND 3")
+def point_in_faces(spark, d):
+    """Map faces whose cells touch the point (3, 3)."""
+    at = I.cells(spark, d).where("cx between 2 and 3 and cy between 2 and 3").select("face_id", "cx", "cy")
+    return _dissolved(spark, d).join(F.broadcast(at), "face_id").select("map_layer", "comp", "cx", "cy")
+
+
+# Edits.
+
+CLASSES = """CASE WHEN op = 'DELETE' THEN 'mark_old' WHEN layer_after IS NULL AND layer_before IS NOT NULL THEN 'unlink_mark_old' WHEN layer_after IS NULL THEN 'unlink'
+WHEN op = 'INSERT' THEN 'mark_new' WHEN geometry_changed THEN 'rehash_mark_old' WHEN layer_before IS NOT DISTINCT FROM layer_after THEN 'ignore' ELSE 'relink_mark_both' END"""
+
+
+@query("edits", f"SELECT seq, id, {CLASSES} AS action FROM edits")
+def classify_edits(spark, d):
+    action = linework.classify(F.col("op"), F.lit(True), F.col("layer_before"), F.col("layer_after"), F.col("geometry_changed"))
+    return I.edits(spark, d).select("seq", "id", action.alias("action"))
+
+
+@query("edits", "SELECT id, max(seq) AS seq, arg_max(op, seq) AS op FROM edits GROUP BY id")
+def last_edit_wins(spark, d):
+    return dml.last_wins(I.edits(spark, d).select("seq", "id", "op"), ["id"], ["seq"])
+
+
+DIFF = """, old AS (SELECT face_id, cx AS xmin, cy AS ymin, cx + 1 AS xmax, cy + 1 AS ymax FROM cells WHERE t % 5 <> 0), new AS (SELECT face_id, cx AS xmin, cy AS ymin, cx + 1 AS xmax, cy + 1 AS ymax FROM cells WHERE t % 7 <> 0),
+d AS (SELECT *, 1 AS gone FROM old WHERE face_id NOT IN (SELECT face_id FROM new) UNION ALL SELECT *, 0 FROM new WHERE face_id NOT IN (SELECT face_id FROM old)),
+c AS (SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, sum(gone)::BIGINT AS n_deleted, sum(1 - gone)::BIGINT AS n_created, (SELECT count(*) FROM new) AS n_faces FROM d)
+"""
+
+
+def _difference(spark, d):
+    c = I.cells(spark, d).select("face_id", "t", F.col("cx").alias("xmin"), F.col("cy").alias("ymin"), (F.col("cx") + 1).alias("xmax"), (F.col("cy") + 1).alias("ymax"))
+    return faces.difference(c.where("t % 5 <> 0"), c.where("t % 7 <> 0"), ["face_id"])
+
+
+@query("cells", DIFF + "SELECT * FROM c")
+def face_diff(spark, d):
+    return _difference(spark, d)
+
+
+@query("cells", DIFF + """SELECT '{"table":"map_face","envelope":{"type":"Polygon","coordinates":[[' || concat_ws(',', '[' || xmin || ',' || ymin || ']', '[' || xmin || ',' || ymax || ']', '[' || xmax || ',' || ymax || ']', '[' || xmax || ',' || ymin || ']', '[' || xmin || ',' || ymin || ']')
+|| ']]},"n_deleted":' || n_deleted || ',"n_created":' || n_created || ',"n_faces":' || n_faces || '}' AS payload FROM c""")
+def face_diff_payload(spark, d):
+    return faces.payload(_difference(spark, d), "map_face")
+
+
+# Row-level changes.
+
+
+@query("types", """SELECT id, name, CASE WHEN id LIKE 'maker%' OR id = 'root' THEN color ELSE '#000000' END AS color FROM types WHERE id <> 'root'
+UNION ALL SELECT 'default', 'Default', '#888888'""")
+def type_upsert(spark, d):
+    """Load a type file over the known types: upsert, then delete what the file does not name."""
+    known = I.types(spark, d).select("id", "name", "color")
+    file = known.where("id <> 'root'").withColumn("color", F.when(F.col("id").like("maker%"), F.col("color")).otherwise("#000000"))
+    file = file.unionByName(spark.createDataFrame([("default", "Default", "#888888")], "id string, name string, color string"))
+    merged = dml.upsert(known, file, ["id"])
+    return merged.join(file.select("id"), "id", "left_semi").select("id", "name", "color")
+
+
+@query("two cells", "SELECT face_id AS id, map_layer, t AS seq FROM cells CROSS JOIN two WHERE map_layer = 1 OR t % 2 = 0")
+def insert_ignore(spark, d):
+    c = I.cells(spark, d).select(F.col("face_id").alias("id"), F.col("t").alias("seq"))
+    old = c.withColumn("map_layer", F.lit(1))
+    new = c.withColumn("map_layer", F.lit(1)).unionByName(c.where("seq % 2 = 0").withColumn("map_layer", F.lit(2))).withColumn("seq", F.col("seq") + F.when(F.col("map_layer") == 1, 100).otherwise(0))
+    return dml.insert_ignore(old, new, ["id", "map_layer"], ["seq"]).select("id", "map_layer", "seq")
+
+
+@query("lines", "SELECT id, map_layer, type FROM lines WHERE map_layer <> 3 AND type IS DISTINCT FROM '1-URGENT'")
+def cascade_delete(spark, d):
+    """A layer and a type go, and their lines with them."""
+    rows = I.lines(spark, d).select("id", "map_layer", "type")
+    kept = dml.cascade(rows, I.layers(spark).where("id <> 3"), "map_layer", "id")
+    types = rows.select(F.col("type").alias("name")).where("name <> '1-URGENT'").distinct()
+    return dml.cascade(kept, types, "type", "name")
+
+
+@query("lines", "SELECT id, map_layer, CASE WHEN type = '2-HIGH' THEN 'high' ELSE type END AS type FROM lines")
+def rename_type(spark, d):
+    rows = I.lines(spark, d).select("id", "map_layer", "type")
+    return dml.rename_key(rows, spark.createDataFrame([("2-HIGH", "high")], "old string, new string"), "type").select("id", "map_layer", "type")
+
+
+@query("types", "SELECT id, CASE WHEN id LIKE 'maker%' THEN '#111111' ELSE color END AS color FROM types")
+def keyed_update(spark, d):
+    known = I.types(spark, d).select("id", "color")
+    change = known.where("id like 'maker%'").withColumn("color", F.lit("#111111")).unionByName(known.limit(0))
+    return dml.update_by_key(known, change, "id", ["color"])
+
+
+@query("lines", "SELECT id, topology_error FROM lines WHERE NOT coalesce(topology_error = 'bad geometry', false)")
+def predicate_delete(spark, d):
+    return dml.delete_where(I.lines(spark, d).select("id", "topology_error"), F.col("topology_error") == "bad geometry")
+
+
+@query("lines", "SELECT id FROM lines WHERE geometry_hash NOT IN (SELECT geometry_hash FROM lines WHERE id % 3 = 0 AND geometry_hash IS NOT NULL)")
+def not_in_null_aware(spark, d):
+    rows = I.lines(spark, d)
+    held = rows.where("id % 3 = 0 and geometry_hash is not null").select("geometry_hash")
+    return dml.not_in(rows.select("id", "geometry_hash"), "geometry_hash", held, "geometry_hash").select("id")
+
+
+@query("lines", "SELECT coalesce(max(id), 0) + 1 AS next_id FROM lines")
+def next_id(spark, d):
+    return I.lines(spark, d).agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next_id"))
+
+
+# Hierarchy and display.
+
+TREE = """, tree(id, ancestors, up) AS (SELECT id, [id], member_of FROM types UNION ALL SELECT tree.id, list_append(ancestors, up), t.member_of FROM tree JOIN types t ON t.id = up),
+full_tree AS (SELECT id, ancestors, len(ancestors)::INT AS n_levels FROM tree WHERE up IS NULL)
+"""
+
+
+@query("types", TREE + "SELECT id, array_to_string(ancestors, '/') AS ancestors, n_levels FROM full_tree")
+def unit_tree(spark, d):
+    return hierarchy.unit_tree(I.types(spark, d)).select("id", F.array_join("ancestors", "/").alias("ancestors"), "n_levels")
+
+
+@query("types", TREE + "SELECT a.id AS unit_1, b.id AS unit_2, len(list_intersect(a.ancestors, b.ancestors))::INT AS commonality FROM full_tree a JOIN full_tree b ON a.id < b.id")
+def unit_commonality(spark, d):
+    tree = hierarchy.unit_tree(I.types(spark, d))  # a dimension: one row per unit
+    a, b = tree.select(F.col("id").alias("unit_1"), F.col("ancestors").alias("a1")), tree.select(F.col("id").alias("unit_2"), F.col("ancestors").alias("a2"))
+    return a.join(F.broadcast(b), F.col("unit_1") < F.col("unit_2")).select("unit_1", "unit_2", hierarchy.shared_levels(F.col("a1"), F.col("a2")).alias("commonality"))
+
+
+@query("types", TREE + "SELECT up AS id, string_agg(id, ',' ORDER BY id) AS subunits FROM (SELECT id, unnest(ancestors) AS up FROM full_tree) GROUP BY up")
+def subunits(spark, d):
+    return hierarchy.subunits(hierarchy.unit_tree(I.types(spark, d))).select("id", F.array_join("subunits", ",").alias("subunits"))
+
+
+@query("two cells edges walls types", MAP_FACES + TREE + """SELECT w.edge_id, w.map_layer, w.type, a.unit_id AS unit_1, b.unit_id AS unit_2,
+coalesce(len(list_intersect(x.ancestors, y.ancestors)), 0)::INT AS commonality, (2 - coalesce(len(list_intersect(x.ancestors, y.ancestors)), 0)) * 0.5::DOUBLE AS strength
+FROM walls w JOIN edges e USING (edge_id) JOIN map_faces a ON a.id = left_face AND a.map_layer = w.map_layer JOIN map_faces b ON b.id = right_face AND b.map_layer = w.map_layer
+LEFT JOIN full_tree x ON x.id = a.unit_id LEFT JOIN full_tree y ON y.id = b.unit_id""")
+def contact_display(spark, d):
+    tree = written(hierarchy.unit_tree(I.types(spark, d)), "unit_tree")
+    face_type = _map_faces(spark, d).withColumnRenamed("id", "face_id")
+    return hierarchy.contacts(I.walls(spark, d), I.edges(spark, d), face_type, tree).withColumn("strength", F.col("strength").cast("double"))
+
+
+# Tiles and colours.
+
+TILE_ROWS = ", q AS (SELECT id, (x1 - 48) * 400000.0::DOUBLE AS xmin, (y1 - 44) * 420000.0::DOUBLE AS ymin, (x1 - 48) * 400000.0::DOUBLE + length * 90000.0::DOUBLE AS xmax, (y1 - 44) * 420000.0::DOUBLE + 250000.0 AS ymax, (id % 5)::INT AS z FROM lines)\n"
+IX = "floor(({0} / 40075016.6855785::DOUBLE + 0.5) * pow(2.0, {1}))::INT"
+
+
+def _tile_rows(spark, d):
+    x, y = (F.col("x1") - 48) * 400000.0, (F.col("y1") - 44) * 420000.0
+    return I.lines(spark, d).select("id", x.alias("xmin"), y.alias("ymin"), (x + F.col("length") * 90000.0).alias("xmax"), (y + 250000.0).alias("ymax"), (F.col("id") % 5).cast("int").alias("z"))
+
+
+@query("lines", TILE_ROWS + f"SELECT id, {IX.format('xmin', 'z')} AS x, {IX.format('-ymax', 'z')} AS y FROM q")
+def tile_index(spark, d):
+    return _tile_rows(spark, d).select("id", tiles.tile_index(F.col("xmin"), F.col("z")).alias("x"), tiles.tile_row(F.col("ymax"), F.col("z")).alias("y"))
+
+
+@query("lines", TILE_ROWS + f"SELECT id, x, unnest(range({IX.format('-ymax', 'z')}, {IX.format('-ymin', 'z')} + 1))::INT AS y, z FROM (SELECT *, unnest(range({IX.format('xmin', 'z')}, {IX.format('xmax', 'z')} + 1))::INT AS x FROM q)")
+def covering_tiles(spark, d):
+    c = tiles.covering_tiles(*[F.col(k) for k in ("xmin", "ymin", "xmax", "ymax", "z")])
+    return _tile_rows(spark, d).select("id", F.explode(c).alias("t")).select("id", "t.x", "t.y", "t.z")
+
+
+@query("lines", TILE_ROWS + f", s AS (SELECT q.*, unnest(range(0, 25)) AS level FROM q) SELECT id, {IX.format('arg_max(xmin, level)', 'max(level)')} AS x, {IX.format('-arg_max(ymax, level)', 'max(level)')} AS y, max(level)::INT AS z FROM s WHERE {IX.format('xmin', 'level')} = {IX.format('xmax', 'level')} AND {IX.format('-ymin', 'level')} = {IX.format('-ymax', 'level')} GROUP BY id")
+def largest_tile(spark, d):
+    t = tiles.largest_tile(*[F.col(k) for k in ("xmin", "ymin", "xmax", "ymax")])
+    return _tile_rows(spark, d).select("id", t.alias("t")).select("id", "t.x", "t.y", "t.z").where("z is not null")
+
+
+@query("lines", """SELECT id, z2 >= z1 AND x2 >= x * 2 ** (z2 - z1) AND x2 < (x + 1) * 2 ** (z2 - z1) AND y2 >= y * 2 ** (z2 - z1) AND y2 < (y + 1) * 2 ** (z2 - z1) AS inside,
+z2 >= z1 AND x2 >= x * 2 ** (z2 - z1) AND x2 <= (x + 1) * 2 ** (z2 - z1) AND y2 >= y * 2 ** (z2 - z1) AND y2 <= (y + 1) * 2 ** (z2 - z1) AS inside_literal
+FROM (SELECT id, id % 2 AS x, id % 3 AS y, 2 AS z1, id % 7 AS x2, id % 8 AS y2, 1 + id % 4 AS z2 FROM lines)""")
+def tile_contains(spark, d):
+    k = F.col("id")
+    args = [k % 2, k % 3, F.lit(2), k % 7, k % 8, 1 + k % 4]
+    return I.lines(spark, d).select("id", tiles.tile_contains(*args).alias("inside"), tiles.tile_contains(*args, literal=True).alias("inside_literal"))
+
+
+@query("lines", """SELECT id, arg_max(stamp, seq) AS stamp FROM (SELECT id % 300 AS id, id AS seq, 'tile ' || id AS stamp FROM lines) GROUP BY id""")
+def tile_cache_upsert(spark, d):
+    """Tiles written to a cache in two batches; the later one replaces."""
+    rows = I.lines(spark, d).select((F.col("id") % 300).alias("id"), F.col("id").alias("seq"), F.concat(F.lit("tile "), "id").alias("stamp"))
+    batch = lambda rows: dml.last_wins(rows, ["id"], ["seq"])
+    half = rows.agg(F.max("seq") / 2).first()[0] or 0
+    return dml.upsert(batch(rows.where(F.col("seq") <= half)), batch(rows.where(F.col("seq") > half)), ["id"]).select("id", "stamp")
+
+
+HEX = "lpad(lower(to_hex((255 * (100 - {0}) * (100 - k) // 10000)::BIGINT)), 2, '0')"
+
+
+@query("lines", ", m(c, v) AS (VALUES ('0', 0), ('A', 8), ('1', 13), ('2', 20), ('3', 30), ('4', 40), ('5', 50), ('6', 60), ('7', 70), ('X', 100)), codes AS (SELECT id, substr('0A1234567X', (id % 10)::INT + 1, 1) || substr('0A1234567X', (id // 10 % 10)::INT + 1, 1) || substr('0A1234567X', (id // 100 % 10)::INT + 1, 1) || CASE WHEN id % 2 = 0 THEN 'A' ELSE '' END AS code FROM lines) "
+       f"SELECT id, code, '#' || {HEX.format('c')} || {HEX.format('m')} || {HEX.format('y')} AS color FROM (SELECT id, code, a.v AS c, b.v AS m, e.v AS y, coalesce(f.v, 0) AS k FROM codes JOIN m a ON a.c = code[1] JOIN m b ON b.c = code[2] JOIN m e ON e.c = code[3] LEFT JOIN m f ON f.c = code[4])")
+def colour_cmyk(spark, d):
+    k, marks = F.col("id"), F.lit("0A1234567X")
+    one = lambda n: F.substring(marks, n.cast("int") + 1, F.lit(1))
+    code = F.concat(one(k % 10), one(F.floor(k / 10) % 10), one(F.floor(k / 100) % 10), F.when(k % 2 == 0, "A").otherwise(""))
+    return I.lines(spark, d).select("id", code.alias("code"), colors.cmyk_hex(code).alias("color"))
+
+
+# Field data.
+
+
+@query(None, "SELECT event_id AS id, json_extract_string(props, '$.k') AS k, CASE WHEN json_extract_string(props, '$.k')::BIGINT > 50 THEN 'big ' || json_extract_string(props, '$.k') ELSE json_extract_string(props, '$.k') END AS label FROM events")
+def strabo_flatten(spark, d):
+    k = F.get_json_object("props", "$.k")
+    return I.read(spark, d, "events").select(F.col("event_id").alias("id"), k.alias("k"), F.when(k.cast("long") > 50, F.concat(F.lit("big "), k)).otherwise(k).alias("label"))
+
+
+@query(None, """WITH spots AS (SELECT event_id AS spot_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events), spot_tags AS (SELECT spot_id, unnest(CASE WHEN k % 3 = 0 THEN [k % 5, k % 7] ELSE [k % 5] END) AS tag_id FROM spots), st AS (SELECT DISTINCT * FROM spot_tags), tags AS (SELECT tag_id, 'tag ' || tag_id AS name FROM (SELECT unnest(range(0, 6)) AS tag_id))
+SELECT spot_id, st.tag_id, name FROM spots LEFT JOIN st USING (spot_id) LEFT JOIN tags ON tags.tag_id = st.tag_id""")
+def strabo_tags(spark, d):
+    """Spots with their tags: a row per tag."""
+    spots = I.read(spark, d, "events").select(F.col("event_id").alias("spot_id"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    tagged = spots.select("spot_id", F.explode(F.when(F.col("k") % 3 == 0, F.array(F.col("k") % 5, F.col("k") % 7)).otherwise(F.array(F.col("k") % 5))).alias("tag_id")).distinct()
+    tags = spark.range(6).select(F.col("id").alias("tag_id"), F.concat(F.lit("tag "), "id").alias("name"))
+    return spots.join(tagged, "spot_id", "left").join(F.broadcast(tags), "tag_id", "left").select("spot_id", "tag_id", "name")
