@@ -2,8 +2,8 @@
 
 The global order of n-grams (rare before common, then by hash) is cut into fragments.
 
-1. Every text's set is summarised once: size, 128-bit digest, the first n-grams of the global order (a set and any set it links
-   with must share one of them), and for each of ``BITS`` narrow fragments the parity of its number of n-grams in it. Fragments in which the
+1. Every text's set is summarised once: size, 128-bit digest, the first n-grams of the global order with their places (a set and any set it
+   links with must share one of them, early enough to leave room for the rest), and for each of ``BITS`` narrow fragments the parity of its number of n-grams in it. Fragments in which the
    parities of two sets differ count towards their symmetric difference: a lower bound that is summed per pair and never wrong.
 2. Equal sets become one representative. Representatives that share a leading n-gram are candidates; a pair whose bound
    or sizes exclude a link goes at once.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import components, flagged, flags, parts, written
 
-BITS = 1024  # narrow fragments
+BITS, COARSE = 1024, 256  # narrow fragments, and the fewer that they are folded into for a first look
 FRAGMENTS = 8  # wide fragments
 COMMON = 8  # times in a batch that make an n-gram common
 MOST_COMMON = 1 << 20  # common n-grams that are told apart; others count as rare
@@ -145,20 +145,21 @@ def common_ngrams(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def summaries(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(doc_id, size, h1, h2, lead, parity) of each document."""
+    """(doc_id, size, h1, h2, lead, parity, sketch) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for b in batches:
             for k, texts in slices(b, 1):
-                sizes, digests, leads, parities = [], [], [], []
+                sizes, digests, leads, parities, sketches = [], [], [], [], []
                 for g in sets_of(texts, n):
                     sizes.append(len(g))
                     d = xxhash.xxh3_128_intdigest(g.tobytes())
                     digests.append((d >> 64, d & (1 << 64) - 1))
                     bits = np.bincount((g >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
                     parities.append(np.packbits(bits.astype(np.uint8)).tobytes())
+                    sketches.append(np.packbits(np.bitwise_xor.reduce(bits.astype(np.uint8).reshape(-1, COARSE), axis=0)).tobytes())
                     # A partner shares at least percent% of this set: leaving out so many, one shared n-gram must lead.
                     need = len(g) - (percent * len(g) + 99) // 100 + 1 if len(g) else 0
                     if len(often):
@@ -171,12 +172,12 @@ def summaries(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(k, len(texts)), pa.array(np.array(sizes, np.int64)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(leads) if leads else np.empty(0, np.int64))), pa.array(parities, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(leads) if leads else np.empty(0, np.int64))), pa.array(parities, pa.binary()), pa.array(sketches, pa.binary()),
                     ],
-                    names=["doc_id", "size", "h1", "h2", "lead", "parity"],
+                    names=["doc_id", "size", "h1", "h2", "lead", "parity", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, h1 long, h2 long, lead array<long>, parity binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, h1 long, h2 long, lead array<long>, parity binary, sketch binary")
 
 
 def least_overlap(a, b, percent: int):
@@ -184,15 +185,17 @@ def least_overlap(a, b, percent: int):
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
-def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def possible(pairs: DataFrame, reps: DataFrame, percent: int, parity: str = "parity") -> DataFrame:
     """The pairs (a, b) that sizes and parities do not exclude, with their sizes."""
-    x = reps.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("parity").alias("parity_a"))
-    y = reps.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("parity").alias("parity_b"))
+    reps = reps.withColumnRenamed(parity, "_parity")
+    bits = BITS if parity == "parity" else COARSE
+    x = reps.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("_parity").alias("parity_a"))
+    y = reps.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("_parity").alias("parity_b"))
     both = pairs.join(x, "a").join(y, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p, q = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (4, 5))
+            p, q = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, bits // 64) for i in (4, 5))
             s, t = b.column(2).to_numpy(), b.column(3).to_numpy()
             apart = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
             keep = (s + t - apart) >= 2 * least_overlap(s, t, percent)
@@ -238,20 +241,21 @@ def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
 def between(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs of different components that share a block of a group and whose sizes and parities allow a link; if ``nearest``, for
     every member only the pair of the least bound with each other component."""
-    names = ["x", "y", "rep", "size", "component", "parity", "side"]
+    names = ["x", "y", "rep", "size", "place", "component", "sketch", "side"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {k: [] for k in names}
         now = None
 
         def solve() -> Iterator[pa.RecordBatch]:
-            rep, size, comp, side = (np.array(held[k], np.int64) for k in ("rep", "size", "component", "side"))
-            bits = np.frombuffer(b"".join(held["parity"]), np.uint64).reshape(-1, BITS // 64)
+            rep, size, place, comp, side = (np.array(held[k], np.int64) for k in ("rep", "size", "place", "component", "side"))
+            bits = np.frombuffer(b"".join(held["sketch"]), np.uint64).reshape(-1, COARSE // 64)
             left = np.nonzero(side == 0)[0]
             right = left if now[1] == now[2] else np.nonzero(side == 1)[0]
             for i in left:
                 s, t = size[i], size[right]
                 keep = (comp[right] != comp[i]) & (np.minimum(s, t) * 100 >= percent * np.maximum(s, t))
+                keep &= np.minimum(s - place[i], t - place[right]) >= least_overlap(s, t, percent)
                 keep &= (rep[right] > rep[i]) if now[1] == now[2] else True
                 j = right[keep]
                 apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
@@ -286,33 +290,35 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     full = every.where("size > 0")
     first = written(full.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("doc_id")), "representatives")
     chosen = full.join(first.select("doc_id"), "doc_id", "left_semi")
-    reps = written(chosen.select("doc_id", "size", "parity").dropDuplicates(["doc_id"]), "parities")
+    reps = written(chosen.select("doc_id", "size", "parity", "sketch").dropDuplicates(["doc_id"]), "parities")
     group = Window.partitionBy("g")
-    posted = chosen.select(F.explode("lead").alias("g"), F.col("doc_id").alias("rep"), "size")
+    posted = chosen.select(F.posexplode("lead").alias("place", "g"), F.col("doc_id").alias("rep"), F.col("size").cast("int").alias("size"))
     posted = written(posted.withColumn("m", F.count("*").over(group)).where("m > 1"), "shared_leads")
     beside = group.orderBy("size", "rep")
-    near = posted.select("rep", "size", F.lag("rep").over(beside).alias("p"), F.lag("size").over(beside).alias("ps"))
-    near = near.where(F.col("p").isNotNull() & (100 * F.col("ps") >= percent * F.col("size")))
+    before = F.lag(F.struct("rep", "size", "place")).over(beside)
+    near = posted.select("rep", "size", "place", before.alias("b")).select("rep", "size", "place", F.col("b.rep").alias("p"), F.col("b.size").alias("ps"), F.col("b.place").alias("pp"))
+    # If this is the first n-gram that both share, so many are left to be shared.
+    need = F.expr(f"({percent} * (size + ps) + 99 + {percent}) div (100 + {percent})")
+    near = near.where(F.col("p").isNotNull() & (100 * F.col("ps") >= percent * F.col("size")) & (F.least(F.col("size") - F.col("place"), F.col("ps") - F.col("pp")) >= need))
     near = near.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).where("a <> b").distinct()
-    tested = written(possible(near, reps, percent), "near_pairs")
+    look = lambda pairs: possible(possible(pairs, reps, percent, "sketch").select("a", "b"), reps, percent)
+    tested = written(look(near), "near_pairs")
     links = written(linked(tested, texts, n, percent), "near_links")
     known = components(links)
-    sizes = reps.select("doc_id", "size")
     # Groups of two are done: their only pair was a neighbour pair. Larger ones are compared in blocks: first each member with the nearest
     # of every other component only, which joins most; then all that is left.
     for nearest in (True, False):
-        labels = reps.select("doc_id", "parity").join(known, reps["doc_id"] == known["node"], "left")
-        labels = labels.select(F.col("doc_id").alias("rep"), "parity", F.coalesce("component", "doc_id").alias("component"))
+        labels = reps.select("doc_id", "sketch").join(known, reps["doc_id"] == known["node"], "left")
+        labels = labels.select(F.col("doc_id").alias("rep"), "sketch", F.coalesce("component", "doc_id").alias("component"))
         rows = posted.where("m > 2").join(labels, "rep")
         blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK).cast("int"))
         rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         rows = rows.select(
-            "g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "size", "component", "parity", (F.col("own") > F.col("other")).cast("int").alias("side")
+            "g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "size", "place", "component", "sketch", (F.col("own") > F.col("other")).cast("int").alias("side")
         )
         rows = rows.repartition(parts(spark), "g", "x", "y").sortWithinPartitions("g", "x", "y")
         rest = between(rows, percent, nearest).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        rest = rest.join(sizes.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b")), "b")
-        rest = written(rest.select("a", "b", "size_a", "size_b"), "rest_pairs")
+        rest = written(possible(rest, reps, percent), "rest_pairs")
         links = links.union(written(linked(rest, texts, n, percent), "rest_links"))
         tested = tested.union(rest)
         known = components(links)
