@@ -162,18 +162,25 @@ def offsets(contexts: list[tuple[bytes, bytes]], length: int, gram: int) -> tupl
 
 
 def solve(contexts: list[tuple[bytes, bytes]], groups: np.ndarray, times: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last repeated offset of each context; -1 where none is. ``groups`` numbers the grams."""
-    h, there = offsets(contexts, length, gram)
-    h = mixed(h + mixed(groups.astype(np.uint64) * R)[:, None] + mixed(np.arange(h.shape[1], dtype=np.uint64) + np.uint64(7))[None])
-    _, which = np.unique(h[there], return_inverse=True)
-    repeated = np.zeros(h.shape, bool)
-    repeated[there] = np.bincount(which, np.broadcast_to(times[:, None], h.shape)[there])[which] > 1
-    some = repeated.any(1)
-    low = np.where(some, repeated.argmax(1), -1)
-    return low, np.where(some, h.shape[1] - 1 - repeated[:, ::-1].argmax(1), -1)
-
-
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, most: int = 20_000) -> DataFrame:
+    """First and last repeated offset of each context; -1 where none is. ``groups`` numbers the grams. Works offset by offset."""
+    h = np.zeros((length - gram + 1, len(contexts)), np.uint64)
+    there = np.zeros(h.shape, bool)
+    for k in range(0, len(contexts), 2048):
+        some, exist = offsets(contexts[k : k + 2048], length, gram)
+        h[:, k : k + 2048], there[:, k : k + 2048] = some.T, exist.T
+    mark = mixed(groups.astype(np.uint64) * R)
+    low, high = (np.full(len(contexts), -1) for _ in range(2))
+    for shift in range(len(h)):
+        ok = np.nonzero(there[shift])[0]
+        if len(ok):
+            _, which = np.unique(mixed(h[shift, ok] + mark[ok]), return_inverse=True)
+            ok = ok[np.bincount(which, times[ok])[which] > 1]
+            high[ok] = shift
+            low[ok] = np.where(low[ok] < 0, shift, low[ok])
+    return low, high
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, most: int = 50_000) -> DataFrame:
     """(key, start, end): stretches of each document that repeat; they overlap, and their union is what repeats."""
     spark = docs.sparkSession
     before = length - gram
@@ -184,11 +191,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, most: in
     other = found.where("not same")
     kinds = other.groupBy("h", "e").agg(F.count("*").alias("times"), F.min("key").alias("key"))
     kinds = written(kinds, "contexts")
-    wide = kinds.groupBy("h").agg(F.count("*").alias("m"))
+    # Fewer than one gram in ``most`` contexts: small enough to send to everyone.
+    wide = kinds.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > most).select("h", F.lit(True).alias("wide"))
     total = kinds.count()
     # Where an anchor of the kind stands in the chosen document.
-    spot = other.join(kinds, ["h", "e", "key"]).groupBy("h", "e", "key", "times").agg(F.min("at").alias("at")).join(wide, "h")
-    wanted = spot.groupBy("key").agg(F.collect_list(F.struct("h", "e", "times", "at", (F.col("m") > most).alias("wide"))).alias("spots"))
+    spot = other.join(kinds, ["h", "e", "key"]).groupBy("h", "e", "key", "times").agg(F.min("at").alias("at")).join(F.broadcast(wide), "h", "left")
+    wanted = spot.groupBy("key").agg(F.collect_list(F.struct("h", "e", "times", "at", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("spots"))
     wanted = written(wanted, "wanted")
     ranges = max(parts(spark), total // 20_000 + 1)
     shared = spark.sparkContext.broadcast(flags(wanted, "key"))
@@ -288,7 +296,7 @@ def united(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, most: int = 20_000, with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, most: int = 50_000, with_kept: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row."""
     spark = docs.sparkSession
     spans = written(repeated_spans(docs, length, gram, most).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
