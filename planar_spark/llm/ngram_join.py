@@ -240,7 +240,7 @@ def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
 
 def between(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs of different components that share a block of a group and whose sizes and parities allow a link; if ``nearest``, for
-    every member only the pair of the least bound with each other component."""
+    every member only its pair of the least bound."""
     names = ["x", "y", "rep", "size", "place", "component", "sketch", "side"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +262,7 @@ def between(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 fits = (s + size[j] - apart) >= 2 * least_overlap(s, size[j], percent)
                 j = j[fits]
                 if nearest and len(j):
-                    j = j[np.argsort(apart[fits], kind="stable")]
-                    j = j[np.unique(comp[j], return_index=True)[1]]
+                    j = j[[np.argmin(apart[fits])]]
                 if len(j):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
 
@@ -305,9 +304,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     tested = written(look(near), "near_pairs")
     links = written(linked(tested, texts, n, percent), "near_links")
     known = components(links)
-    # Groups of two are done: their only pair was a neighbour pair. Larger ones are compared in blocks: first each member with the nearest
-    # of every other component only, which joins most; then all that is left.
-    for nearest in (True, False):
+    # Groups of two are done: their only pair was a neighbour pair. Larger ones are compared in blocks: in two rounds each member with its
+    # nearest in another component only, which joins most; then all that is left between components.
+    for nearest in (True, True, False):
         labels = reps.select("doc_id", "sketch").join(known, reps["doc_id"] == known["node"], "left")
         labels = labels.select(F.col("doc_id").alias("rep"), "sketch", F.coalesce("component", "doc_id").alias("component"))
         rows = posted.where("m > 2").join(labels, "rep")
