@@ -112,6 +112,11 @@ def noded(lines: DataFrame, cfg: TopoConfig) -> tuple[DataFrame, DataFrame, Data
     forward = F.struct("x1", "y1") <= F.struct("x2", "y2")
     flip = lambda a, b: F.when(forward, F.col(a)).otherwise(F.col(b))
     now = read.where("error is null").select("line_id", flip("x1", "x2").alias("x1"), flip("y1", "y2").alias("y1"), flip("x2", "x1").alias("x2"), flip("y2", "y1").alias("y2")).distinct()
+    return *cut_pieces(now), errors
+
+
+def cut_pieces(now: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, line_edge) of (line_id, x1, y1, x2, y2) in grid numbers, each with its lesser end first."""
     before = -1
     for _ in range(ROUNDS):
         distinct = now.select("x1", "y1", "x2", "y2").distinct()
@@ -124,7 +129,7 @@ def noded(lines: DataFrame, cfg: TopoConfig) -> tuple[DataFrame, DataFrame, Data
     nodes = numbered(edges.select(F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("n")).select("n.*").distinct(), ["x", "y"], "node_id")
     a, b = (nodes.select(F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"), F.col("node_id").alias(n)) for k, n in ((1, "start_node"), (2, "end_node")))
     edges = written(edges.join(a, ["x1", "y1"]).join(b, ["x2", "y2"]), "edges")
-    return edges, now.join(edges.select("edge_id", "x1", "y1", "x2", "y2"), ["x1", "y1", "x2", "y2"]).select("line_id", "edge_id"), errors
+    return edges, now.join(edges.select("edge_id", "x1", "y1", "x2", "y2"), ["x1", "y1", "x2", "y2"]).select("line_id", "edge_id")
 
 
 def half_edges(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colors, tiles
-from ..operators import dml, faces, graph, hierarchy, linework
+from ..operators import dml, faces, graph, hierarchy, linework, noding
+from ..operators.components import components
 from ..store import written
 from . import inputs as I  # noqa: E741
 from .inputs import with_ctes
@@ -522,6 +523,51 @@ def colour_cmyk(spark, d):
     return I.lines(spark, d).select("id", code.alias("code"), colors.cmyk_hex(code).alias("color"))
 
 
+# Noding axis-aligned lines.
+
+CUT = """WITH RECURSIVE g AS (SELECT o_orderkey AS id, (o_orderkey * 13) % 997 AS x, (o_orderkey * 7) % 983 AS y, 5 + o_orderkey % 41 AS n, o_orderkey % 2 AS up FROM orders),
+h AS (SELECT id, x AS a, x + n AS b, y AS c FROM g WHERE up = 0), v AS (SELECT id, y AS a, y + n AS b, x AS c FROM g WHERE up = 1),
+hs AS (SELECT id, c, a AS p FROM h UNION SELECT id, c, b FROM h UNION SELECT h.id, h.c, v.c FROM h JOIN v ON v.c BETWEEN h.a AND h.b AND h.c BETWEEN v.a AND v.b
+  UNION SELECT h.id, h.c, unnest([o.a, o.b]) FROM h JOIN h o ON o.c = h.c AND o.id <> h.id),
+vs AS (SELECT id, c, a AS p FROM v UNION SELECT id, c, b FROM v UNION SELECT v.id, v.c, h.c FROM v JOIN h ON h.c BETWEEN v.a AND v.b AND v.c BETWEEN h.a AND h.b
+  UNION SELECT v.id, v.c, unnest([o.a, o.b]) FROM v JOIN v o ON o.c = v.c AND o.id <> v.id),
+hp AS (SELECT id, s.c, p, lead(p) OVER (PARTITION BY id ORDER BY p) AS q FROM hs s JOIN h USING (id) WHERE p BETWEEN a AND b),
+vp AS (SELECT id, s.c, p, lead(p) OVER (PARTITION BY id ORDER BY p) AS q FROM vs s JOIN v USING (id) WHERE p BETWEEN a AND b),
+pieces AS (SELECT id AS line_id, p AS x1, c AS y1, q AS x2, c AS y2 FROM hp WHERE q IS NOT NULL UNION ALL SELECT id, c, p, c, q FROM vp WHERE q IS NOT NULL),
+edge AS (SELECT DISTINCT x1, y1, x2, y2 FROM pieces), node AS (SELECT x1 AS x, y1 AS y FROM edge UNION SELECT x2, y2 FROM edge)
+"""
+
+
+def _noded(spark, d):
+    k = F.col("o_orderkey")
+    x, y, n, up = (k * 13) % 997, (k * 7) % 983, 5 + k % 41, k % 2 == 1
+    rows = I.read(spark, d, "orders").select(k.alias("line_id"), x.alias("x1"), y.alias("y1"), F.when(up, x).otherwise(x + n).alias("x2"), F.when(up, y + n).otherwise(y).alias("y2"))
+    return noding.cut_pieces(rows)
+
+
+@query(None, CUT + "SELECT x1, y1, x2, y2, count(DISTINCT line_id) AS n_lines FROM pieces GROUP BY ALL")
+def edge_table(spark, d):
+    edges, along = _noded(spark, d)
+    return edges.join(along, "edge_id").groupBy("x1", "y1", "x2", "y2").agg(F.count("*").alias("n_lines"))
+
+
+@query(None, CUT + "SELECT x, y, count(*) AS n_edges FROM (SELECT x1 AS x, y1 AS y FROM edge UNION ALL SELECT x2, y2 FROM edge) GROUP BY ALL")
+def node_table(spark, d):
+    edges, _ = _noded(spark, d)
+    ends = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
+    return edges.select(F.explode(ends).alias("p")).select("p.*").groupBy("x", "y").agg(F.count("*").alias("n_edges"))
+
+
+@query(None, CUT + "SELECT (SELECT count(*) FROM node) AS n_nodes, (SELECT count(*) FROM edge) AS n_edges, 1 AS euler")
+def euler_check(spark, d):
+    """Nodes and edges of the graph, and nodes - edges + faces - parts, the outside counting as a face: by Euler's formula 1."""
+    edges, _ = _noded(spark, d)
+    _, found = noding.faced(edges)
+    parts = components(edges.select(F.col("start_node").alias("a"), F.col("end_node").alias("b")), "parts")
+    n = parts.agg(F.count("*").alias("n_nodes"), F.count_distinct("component").alias("n_parts"))
+    return n.crossJoin(edges.agg(F.count("*").alias("n_edges"))).crossJoin(found.agg(F.count("*").alias("n_faces"))).select("n_nodes", "n_edges", (F.col("n_nodes") - F.col("n_edges") + F.col("n_faces") - F.col("n_parts")).cast("int").alias("euler"))
+
+
 # Field data.
 
 
