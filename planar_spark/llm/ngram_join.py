@@ -241,7 +241,7 @@ def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
 def between(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs of different components that share a block of a group and whose sizes and parities allow a link; if ``nearest``, for
     every member only its pair of the least bound."""
-    names = ["x", "y", "rep", "size", "place", "component", "sketch", "side"]
+    names = ["x", "y", "rep", "size", "place", "component", "parity", "side"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {k: [] for k in names}
@@ -249,7 +249,7 @@ def between(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
 
         def solve() -> Iterator[pa.RecordBatch]:
             rep, size, place, comp, side = (np.array(held[k], np.int64) for k in ("rep", "size", "place", "component", "side"))
-            bits = np.frombuffer(b"".join(held["sketch"]), np.uint64).reshape(-1, COARSE // 64)
+            bits = np.frombuffer(b"".join(held["parity"]), np.uint64).reshape(-1, BITS // 64)
             left = np.nonzero(side == 0)[0]
             right = left if now[1] == now[2] else np.nonzero(side == 1)[0]
             for i in left:
@@ -304,16 +304,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     tested = written(look(near), "near_pairs")
     links = written(linked(tested, texts, n, percent), "near_links")
     known = components(links)
-    # Groups of two are done: their only pair was a neighbour pair. Larger ones are compared in blocks: in two rounds each member with its
+    # Groups of two are done: their only pair was a neighbour pair. Larger ones are compared in blocks: first each member with its
     # nearest in another component only, which joins most; then all that is left between components.
-    for nearest in (True, True, False):
-        labels = reps.select("doc_id", "sketch").join(known, reps["doc_id"] == known["node"], "left")
-        labels = labels.select(F.col("doc_id").alias("rep"), "sketch", F.coalesce("component", "doc_id").alias("component"))
+    for nearest in (True, False):
+        labels = reps.select("doc_id", "parity").join(known, reps["doc_id"] == known["node"], "left")
+        labels = labels.select(F.col("doc_id").alias("rep"), "parity", F.coalesce("component", "doc_id").alias("component"))
         rows = posted.where("m > 2").join(labels, "rep")
         blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK).cast("int"))
         rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         rows = rows.select(
-            "g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "size", "place", "component", "sketch", (F.col("own") > F.col("other")).cast("int").alias("side")
+            "g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "size", "place", "component", "parity", (F.col("own") > F.col("other")).cast("int").alias("side")
         )
         rows = rows.repartition(parts(spark), "g", "x", "y").sortWithinPartitions("g", "x", "y")
         rest = between(rows, percent, nearest).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
