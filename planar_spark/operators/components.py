@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..store import written
+from ..store import discard, written
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         far = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = far.groupBy("a").agg(F.min("b").alias("m"))
         near = far.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        live = written(near.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), label)
+        last, live = live, written(near.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), label)
+        discard(last)
         after = live.select(state).first()
         if after == before:
             break
