@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..store import scratch_path, shared_dir, written
+from ..store import discard, scratch_path, shared_dir, written
 
-__all__ = ["components", "scratch_path", "shared_dir", "written"]
+__all__ = ["components", "discard", "scratch_path", "shared_dir", "written"]
 
 # The white space and word patterns of the result contracts.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -35,6 +35,16 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+CACHES: list[dict] = []
+
+
+def claim(own: dict | None = None) -> None:
+    """At the start of a Python task: forget what other operators' tasks cached in this worker, so that one cache at most is held."""
+    for cache in CACHES:
+        if cache is not own:
+            cache.clear()
+
+
 #: Bits of the bitmaps that spare rows a shuffle.
 BITMAP = 1 << 24
 

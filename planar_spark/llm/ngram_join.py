@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, flagged, flags, parts, written
+from .common import claim, components, discard, flagged, flags, parts, written
 
 BITS, COARSE = 1024, 256  # narrow fragments, and the fewer that they are folded into for a first look
 FRAGMENTS = 8  # wide fragments
@@ -149,6 +149,7 @@ def summaries(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         often = shared.value
         for b in batches:
             for k, texts in slices(b, 1):
@@ -235,7 +236,9 @@ def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
     x, y = pieces.select(F.col("doc_id").alias("a"), "f", F.col("g").alias("g_a")), pieces.select(F.col("doc_id").alias("b"), "f", F.col("g").alias("g_b"))
     partial = pairs.join(x, "a").join(y, ["b", "f"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("g_a", "g_b")).alias("shared"))
     total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
-    return total.where(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("a", "b")
+    out = written(total.where(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("a", "b"), "links")
+    discard(needed, pieces)
+    return out
 
 
 def between(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
@@ -302,7 +305,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     near = near.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).where("a <> b").distinct()
     look = lambda pairs: possible(possible(pairs, reps, percent, "sketch").select("a", "b"), reps, percent)
     tested = written(look(near), "near_pairs")
-    links = written(linked(tested, texts, n, percent), "near_links")
+    links = linked(tested, texts, n, percent)
     known = components(links)
     # Groups of two are done: their only pair was a neighbour pair. Larger ones are compared in blocks: first each member with its
     # nearest in another component only, which joins most; then all that is left between components.
@@ -318,14 +321,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         rows = rows.repartition(parts(spark), "g", "x", "y").sortWithinPartitions("g", "x", "y")
         rest = between(rows, percent, nearest).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         rest = written(possible(rest, reps, percent), "rest_pairs")
-        links = links.union(written(linked(rest, texts, n, percent), "rest_links"))
+        links = links.union(linked(rest, texts, n, percent))
         tested = tested.union(rest)
         known = components(links)
     whole = known
     equal = every.where("size > 0").select("doc_id", "size", "h1", "h2").join(first.select("h1", "h2", "size", F.col("doc_id").alias("rep")), ["h1", "h2", "size"])
     equal = equal.join(whole, equal["rep"] == whole["node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     alone = every.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return equal.union(alone)
+    out = written(equal.union(alone), "ngram_components")
+    discard(every, first, reps, posted)
+    return out
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

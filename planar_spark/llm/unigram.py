@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import CACHES, claim
+
 MARK = "▁"
 PIECE = 1 << 20  # characters that are cut into words at once
 WIDE = 40  # bytes of the longest word that is solved side by side
@@ -234,6 +236,7 @@ def solve_many(m: Unigram, words: list[bytes]) -> list[bytes]:
 
 WORDS = re.compile(f"\n| +[^ \n{MARK}]*|[^ \n{MARK}]+|{MARK}")
 CACHE: dict[str, dict[str, bytes]] = {}
+CACHES.append(CACHE)
 MOST = 600_000  # words that a worker remembers
 
 
@@ -314,6 +317,7 @@ def tokenize(docs: DataFrame, model: Unigram, check: bool = True) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(CACHE)
         m = shared.value
         table = surface(m)
         for b in batches:
