@@ -19,8 +19,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines are cut from texts; no document goes. ``n_chars`` follows the text."""
-    cut = line_dedup.dedup_lines(docs)
+    """Repeated passages of lines are cut from texts; no document goes. ``n_chars`` follows the text."""
+    cut = line_dedup.dedup_lines(docs, whole=True)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)

@@ -4,7 +4,12 @@ A hash rolls over the hashes of neighbouring lines; where it meets a condition a
 only the boundaries beside it. Chunks of at least two lines that occur more than once in the corpus are found by grouping their bytes (not
 their hashes); all occurrences but the first (least doc_id, then place) are removed. Chunks of blank lines stay.
 
-Texts move twice, once as chunks and once to be cut; a common chunk is counted on the map side before it moves.
+A chunk's edge seldom falls on the edge of a repeated passage, so chunks alone miss most short ones. With ``whole``, every two neighbouring
+non-blank lines (with the blank ones between) are candidates too: a passage of at least two non-blank lines that stands earlier in the corpus
+consists of such pairs that all stand earlier, so all its lines go. Every line stays at its first place at least.
+
+Texts move twice, once as candidates and once to be cut; a common candidate is counted on the map side before it moves. With ``whole``,
+candidates are first counted by hash, and only texts whose hash may repeat move.
 
 Defined cases: a null text stays null and an empty one empty; a text of one line is never changed; rows that repeat a doc_id share its
 decisions; a null doc_id counts as the largest; two different chunks with one 128-bit hash are both left in place; an empty table gives an
@@ -15,11 +20,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import flagged, flags
+
 LEAST, MOST, ONE_IN = 2, 16, 2
 MASK = (1 << 64) - 1
 LAST_ID = (1 << 63) - 1
@@ -45,11 +53,18 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def candidates(text: str) -> list[tuple[int, int, int, int, str]]:
-    """(start, end, hash, hash, bytes) of the chunks that may be removed."""
+def pairs(lines: list[str]) -> list[tuple[int, int]]:
+    """(start, end) of each two neighbouring non-blank lines, with the blank ones between."""
+    solid = [i for i, line in enumerate(lines) if line and not line.isspace()]
+    return [(a, b + 1) for a, b in zip(solid, solid[1:], strict=False)]
+
+
+def candidates(text: str, whole: bool = False) -> list[tuple[int, int, int, int, str]]:
+    """(start, end, hash, hash, bytes) of the chunks, with ``whole`` the pairs too, that may be removed, by place."""
     lines = text.split("\n")
     out = []
-    for a, b in chunks(lines) if len(lines) > 1 else ():
+    spans = chunks(lines) if len(lines) > 1 else []
+    for a, b in sorted({*spans, *pairs(lines)}) if whole else spans:
         if b - a >= LEAST:
             body = "\n".join(lines[a:b])
             if not body.isspace() and body:
@@ -58,8 +73,9 @@ def candidates(text: str) -> list[tuple[int, int, int, int, str]]:
     return out
 
 
-def listed(docs: DataFrame, with_text: bool) -> DataFrame:
-    """(doc_id, h1, h2, times[, chunk]) of each document's distinct chunks."""
+def listed(docs: DataFrame, with_text: bool, whole: bool = False, wanted: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, h1, h2, times[, chunk]) of each document's distinct chunks. With a bitmap of ``wanted`` hashes, only those that may be among them."""
+    bitmap = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -67,9 +83,11 @@ def listed(docs: DataFrame, with_text: bool) -> DataFrame:
                 rows = []
                 for doc_id, text in zip(b.column(0).slice(k, 512).to_pylist(), b.column(1).slice(k, 512).to_pylist(), strict=True):
                     own: dict[tuple, list] = {}
-                    for _, _, h1, h2, body in candidates(text or ""):
+                    for _, _, h1, h2, body in candidates(text or "", whole):
                         own.setdefault((h1, h2, body), [doc_id, h1, h2, 0, body])[3] += 1
                     rows += own.values()
+                if bitmap is not None and rows:
+                    rows = [rows[i] for i in np.flatnonzero(flagged(bitmap.value, np.array([r[1] for r in rows], np.int64)))]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 got = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
@@ -80,16 +98,20 @@ def listed(docs: DataFrame, with_text: bool) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, times long" + ", chunk string" * with_text)
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, whole: bool = False, wanted: np.ndarray | None = None) -> DataFrame:
     """(h1, h2, first_doc) of the chunks that occur more than once, grouped by their bytes."""
-    groups = listed(docs, True).groupBy("h1", "h2", "chunk").agg(F.sum("times").alias("times"), F.min("doc_id").alias("first_doc"))
+    groups = listed(docs, True, whole, wanted).groupBy("h1", "h2", "chunk").agg(F.sum("times").alias("times"), F.min("doc_id").alias("first_doc"))
     groups = groups.drop("chunk").groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.sum("times").alias("times"), F.min("first_doc").alias("first_doc"))
     return groups.where("texts = 1 and times > 1").select("h1", "h2", "first_doc")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` cut, and three columns more: lines_total, lines_removed, chunks_removed."""
-    found = listed(docs, False).join(repeated(docs), ["h1", "h2"])
+def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """``docs`` with ``text`` cut, and three columns more: lines_total, lines_removed, chunks_removed. Without ``whole``, chunks alone are cut."""
+    wanted = None
+    if whole:
+        counts = listed(docs, False, True).groupBy("h1").agg(F.sum("times").alias("times"))
+        wanted = flags(counts.where("times > 1"), "h1")
+    found = listed(docs, False, whole, wanted).join(repeated(docs, whole, wanted), ["h1", "h2"])
     found = found.where("doc_id <> first_doc or times > 1").groupBy("doc_id").agg(
         F.collect_list(F.struct("h1", "h2", (F.col("doc_id") == F.col("first_doc")).alias("own"))).alias("cuts")
     )
@@ -109,14 +131,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 dropped = [0, 0]
                 if gone:
                     lines, kept, done = text.split("\n"), [], 0
-                    for a, e, h1, h2, _ in candidates(text):
+                    for a, e, h1, h2, _ in candidates(text, whole):
                         if (h1, h2) in gone:
                             if gone[h1, h2]:
                                 gone[h1, h2] = False  # its first place in the first document stays
                             else:
-                                kept += lines[done:a]
-                                done = e
-                                dropped = [dropped[0] + e - a, dropped[1] + 1]
+                                if e > done:  # pairs overlap one another and chunks
+                                    kept += lines[done:a]
+                                    dropped = [dropped[0] + e - max(a, done), dropped[1] + (a >= done)]
+                                    done = e
                     texts[i] = "\n".join(kept + lines[done:])
                 lost.append(dropped[0])
                 cut.append(dropped[1])

@@ -70,6 +70,40 @@ def test_line_dedup(spark, texts):
     assert line_dedup.dedup_lines(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_line_dedup_whole(spark):
+    """Every line of a passage of at least two non-blank lines that stands earlier goes: all passages of every length, by brute force."""
+    rng = random.Random(8)
+    prose = lambda: " ".join(rng.choice("abcdefgh") * 3 for _ in range(9))
+    passages, rows = [[prose() for _ in range(n)] for n in (2, 2, 3, 3, 4, 5, 20)], []
+    passages[4].insert(2, "")
+    for i in range(120):
+        lines = [prose() for _ in range(rng.randint(1, 6))]
+        for p in rng.sample(passages, rng.randint(0, 2)):
+            cut = rng.randint(0, max(0, len(p) - 2))
+            at = rng.randint(0, len(lines))
+            lines[at:at] = p[cut:] if i % 3 else p
+        rows.append((i, "\n".join(lines)))
+    rows += [(120, "\n".join(["same"] * 4)), *EMPTY]
+    seen, want, later = set(), {}, 0
+    for i, t in rows:
+        lines, gone = (t or "").split("\n"), set()
+        spans = sorted(((a, b) for a in range(len(lines)) for b in range(a + 2, len(lines) + 1)), key=lambda s: s)
+        for a, b in spans:
+            if lines[a].strip() and lines[b - 1].strip():
+                body = tuple(lines[a:b])
+                if body in seen:
+                    gone |= set(range(a, b))
+                seen.add(body)
+        later += len(gone)
+        want[i] = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
+    share = {}
+    for whole in (False, True):
+        got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in line_dedup.dedup_lines(frame(spark, rows), whole).collect()}
+        share[whole] = sum(n for _, n in got.values()) / later
+    assert got == want and share[True] == 1 and share[False] < 0.7
+    assert line_dedup.dedup_lines(frame(spark, rows).limit(0), True).count() == 0
+
+
 def test_line_chunks_resist_shifts():
     lines = [f"line {i}" for i in range(200)]
     ends = lambda c, by: {b + by for _, b in c}
