@@ -82,8 +82,10 @@ class Model:
 
 
 def pooled(ids: np.ndarray, starts: np.ndarray, terms: dict[int, list[np.ndarray]]) -> np.ndarray:
-    """Largest response of each filter between each two starts. ``ids`` has padding after every document."""
+    """Largest response of each filter between each two starts. ``ids`` has padding after every document; a window that would
+    run into the next one counts as padding alone, whose response is 0."""
     n, out = len(ids), []
+    ends = np.append(starts[1:], n)
     ids = np.stack([ids >> 16, ids & 0xFFFF])
     shown = [ids, np.concatenate([ids[:, 1:], [[PAD]] * 2], axis=1), np.concatenate([ids[:, 2:], [[PAD] * 2] * 2], axis=1)[:, :n]]
     for w, t in terms.items():
@@ -92,6 +94,8 @@ def pooled(ids: np.ndarray, starts: np.ndarray, terms: dict[int, list[np.ndarray
         for k in range(1, w):
             total += t[k][shown[k][0]]
             total += t[k][shown[k][1]]
+        for k in range(1, w):
+            total[np.maximum(ends - k, starts)] = 0
         out.append(np.maximum.reduceat(total, starts, axis=0))
     return np.concatenate(out, axis=1)
 
@@ -124,10 +128,15 @@ def features(texts: list[str], model: Model, terms: dict[int, list[np.ndarray]])
     return np.maximum(out + bias, 0)
 
 
+def response(rows: np.ndarray, model: Model) -> np.ndarray:
+    """Raw scores, each summed over its own row, so that other rows do not change its rounding."""
+    return (rows * model.out).sum(axis=1) + model.offset
+
+
 def scores(texts: list[str], model: Model, terms: dict[int, list[np.ndarray]]) -> np.ndarray:
     if model.share is not None:
         return np.full(len(texts), model.share)
-    raw = features(texts, model, terms) @ model.out + model.offset
+    raw = response(features(texts, model, terms), model)
     return 1 / (1 + np.exp(-np.clip(model.scale[0] * raw.astype(np.float64) + model.scale[1], -30, 30)))
 
 
@@ -147,9 +156,11 @@ def train(documents: list[np.ndarray], labels: np.ndarray, weights: np.ndarray,
         order = rng.permutation(len(documents))
         for a in range(0, len(order), batch):
             rows = order[a : a + batch]
-            ids = np.concatenate([np.append(documents[i], [PAD, PAD]) for i in rows]).astype(np.int32)
-            lengths = np.array([len(documents[i]) + 2 for i in rows])
+            # Padding as long as the widest filter: one window of padding alone, as in scoring, and none that reaches the next text.
+            ids = np.concatenate([np.append(documents[i], [PAD] * max(WIDTHS)) for i in rows]).astype(np.int32)
+            lengths = np.array([len(documents[i]) + max(WIDTHS) for i in rows])
             starts = np.cumsum(np.append(0, lengths[:-1]))
+            ends = starts + lengths
             ids = (ids >> 16, ids & 0xFFFF)
             x = p["e"][ids[0]] + p["e"][ids[1]]
             hidden, wins = [], []
@@ -158,6 +169,7 @@ def train(documents: list[np.ndarray], labels: np.ndarray, weights: np.ndarray,
                 total = x @ f[0]
                 for k in range(1, w):
                     total[:-k] += x[k:] @ f[k]
+                    total[ends - k] = -np.inf
                 top = np.maximum.reduceat(total, starts, axis=0)
                 owner = np.repeat(np.arange(len(rows)), lengths)
                 win = np.zeros((len(rows), FILTERS), np.int64)
@@ -179,7 +191,7 @@ def train(documents: list[np.ndarray], labels: np.ndarray, weights: np.ndarray,
                 part, win = dh[:, j * FILTERS : (j + 1) * FILTERS], wins[j]
                 g[f"b{w}"] = part.sum(0)
                 for k in range(w):
-                    at = np.minimum(win + k, len(x) - 1)
+                    at = win + k
                     e = x[at]  # rows, filters, dim
                     g[f"f{w}"][k] = np.einsum("rf,rfd->df", part, e)
                     for i in ids:
@@ -199,7 +211,7 @@ def calibrate(model: Model, texts_ids: list[np.ndarray], labels: np.ndarray, wei
     terms = model.terms()
     bias = np.concatenate([model.bias[w] for w in WIDTHS])
     rows = [np.append(x, [PAD, PAD]).astype(np.int32) for x in texts_ids]
-    raw = np.array([np.maximum(pooled(x, np.array([0]), terms)[0] + bias, 0) @ model.out + model.offset for x in rows], np.float64)
+    raw = response(np.array([np.maximum(pooled(x, np.array([0]), terms)[0] + bias, 0) for x in rows]), model).astype(np.float64)
     a, b = 1.0, 0.0
     for _ in range(200):
         y = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))

@@ -227,3 +227,34 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["tox_score"] <= 1 for r in scored) and len({r["tox_score"] for r in scored if r["doc_id"] in (900, 901, 902)}) == 1
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["tox_score"] for r in toxicity.score(docs, none).collect()} == {0.0}
+
+
+def test_toxicity_scores_depend_on_the_text_alone(monkeypatch):
+    monkeypatch.setattr(toxicity, "WORDS", 40)  # long texts in many pieces
+    np, rng = toxicity.np, random.Random(6)
+    draw = np.random.default_rng(6)
+    filters = {w: draw.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS}
+    embedding = draw.normal(size=(toxicity.BUCKETS, toxicity.DIM)).astype(np.float32)
+    embedding[toxicity.PAD] = 0
+    out = draw.normal(size=toxicity.FILTERS * len(filters)).astype(np.float32)
+    model = toxicity.Model(embedding, filters, {w: np.zeros(toxicity.FILTERS, np.float32) for w in filters}, out, 0.0, (0.05, 0.0))
+    terms = model.terms()
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for _ in range(3) for n in (0, 1, 2, 3, 5, 37, 38, 39, 40, 41, 42, 79, 80, 300)]
+    rng.shuffle(texts)
+    alone = [toxicity.scores([t], model, terms)[0] for t in texts]
+    assert toxicity.scores(texts, model, terms).tolist() == alone and len({*alone}) > 30
+    monkeypatch.setattr(toxicity, "WORDS", 1 << 16)
+    assert toxicity.scores(texts, model, terms).tolist() == [toxicity.scores([t], model, terms)[0] for t in texts] == alone
+
+
+def test_toxicity_training_does_not_mix_neighbours():
+    """Texts of weight 0 among others teach nothing: the embeddings of their words stay at their start."""
+    np = toxicity.np
+    ids = lambda *words: np.array([toxicity.SEEN[w] for w in words], np.int32)
+    weighed, idle = [ids("plain"), ids("dull")], ids("vileone", "viletwo")
+    labels, weights = np.array([0.0, 0.0, 1.0, 0.0] * 24), np.array([1.0, 0.0, 1.0, 0.0] * 24)
+    model = toxicity.train([weighed[0], idle, weighed[1], idle] * 24, labels, weights, epochs=2)
+    start = np.random.default_rng(7).normal(0, 0.1, (toxicity.BUCKETS, toxicity.DIM)).astype(np.float32)
+    rows = lambda x: np.concatenate([x >> 16, x & 0xFFFF])
+    assert (model.embedding[rows(idle)] == start[rows(idle)]).all()
+    assert (model.embedding[rows(weighed[0])] != start[rows(weighed[0])]).any()
