@@ -74,3 +74,39 @@ def test_image_copies(spark):
     assert got == {(0, 0), (20, 20), (40, 40)}
     of = {r["image_id"]: r["class_id"] for r in members.where("side = 'index'").collect()}
     assert of[70] == of[71] == 3 and of[61] == 61
+
+
+def test_image_matches_against_brute_force():
+    rng = np.random.default_rng(7)
+    q, k = (np.zeros(n, image_copies.KEYPOINT) for n in (70, 2100))
+    for n in "d0", "d1":
+        k[n] = rng.integers(0, 1 << 63, len(k), np.uint64)
+    for i in range(len(q)):  # i % 30 bits apart, spread over all words
+        bits = int(k["d0"][30 * i]) << 64 | int(k["d1"][30 * i])
+        for at in rng.choice(128, i % 30, replace=False):
+            bits ^= 1 << int(at)
+        q["d0"][i], q["d1"][i] = bits >> 64, bits & ((1 << 64) - 1)
+    want = {(i, j) for i in range(len(q)) for j in range(len(k)) if (int(q["d0"][i]) ^ int(k["d0"][j])).bit_count() + (int(q["d1"][i]) ^ int(k["d1"][j])).bit_count() <= 20}
+    a, b = image_copies.matches(q, k, 20)
+    assert set(zip(a.tolist(), b.tolist())) == want and len(want) == len(a) >= 49
+
+
+def turned(p, degrees, size):
+    """The middle of a picture, turned and scaled about its centre."""
+    h = int(p.shape[0] * 0.8)
+    r, c = np.mgrid[:h, :h] - (h - 1) / 2
+    t = np.radians(degrees)
+    y, x = ((np.cos(t) * r + np.sin(t) * c) / size + (p.shape[0] - 1) / 2, (np.cos(t) * c - np.sin(t) * r) / size + (p.shape[1] - 1) / 2)
+    y, x = np.clip(y, 0, p.shape[0] - 1.001), np.clip(x, 0, p.shape[1] - 1.001)
+    i, j = y.astype(int), x.astype(int)
+    f, g = y - i, x - j
+    return p[i, j] * (1 - f) * (1 - g) + p[i + 1, j] * f * (1 - g) + p[i, j + 1] * (1 - f) * g + p[i + 1, j + 1] * f * g
+
+
+def test_turned_and_rescaled_copies(spark):
+    rng = np.random.default_rng(9)
+    pictures = [image_copies.resized(rng.uniform(0, 255, (24, 24)), 160, 160) for _ in range(12)]
+    edits = [turned(p, d, z) + rng.normal(0, 3, (128, 128)) for p, (d, z) in zip(pictures, [(7, 1), (-8, 1), (22, 1), (0, 1.08), (5, 0.95), (37, 1)] * 2)]
+    frames = [spark.createDataFrame([(i, bytearray(image_copies.write_pgm(p))) for i, p in enumerate(x)], "image_id long, media binary") for x in (edits, pictures)]
+    got = {(r["query_id"], r["image_id"]) for r in image_copies.copies(*frames).collect()}
+    assert got == {(i, i) for i in range(12)}
