@@ -110,3 +110,13 @@ def test_turned_and_rescaled_copies(spark):
     frames = [spark.createDataFrame([(i, bytearray(image_copies.write_pgm(p))) for i, p in enumerate(x)], "image_id long, media binary") for x in (edits, pictures)]
     got = {(r["query_id"], r["image_id"]) for r in image_copies.copies(*frames).collect()}
     assert got == {(i, i) for i in range(12)}
+
+
+def test_crops_of_large_pictures(spark):
+    rng = np.random.default_rng(10)
+    pictures = [image_copies.resized(rng.uniform(0, 255, (80, 80)), 480, 480) for _ in range(6)]
+    places = [(0, 0), (352, 352), (100, 200), (300, 50), (17, 351), (200, 200)]
+    crops = [p[r : r + 128, c : c + 128] + rng.normal(0, 2, (128, 128)) for p, (r, c) in zip(pictures, places)] + [turned(pictures[0][:160, :160], 0, z) for z in (0.92, 0.85)]
+    frames = [spark.createDataFrame([(i, bytearray(image_copies.write_pgm(p))) for i, p in enumerate(x)], "image_id long, media binary") for x in (crops, pictures)]
+    got = {(r["query_id"], r["image_id"]) for r in image_copies.copies(*frames).collect()}
+    assert got == {*((i, i) for i in range(6)), (6, 0), (7, 0)}
