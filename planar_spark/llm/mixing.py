@@ -99,10 +99,13 @@ def in_order(df: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, in curriculum order, whole copies only: a document is repeated ``taken / size``
-    times, rounded. Documents without words have nothing to take and go."""
+    times, rounded, and every copy stands at its own due time. Documents without words have nothing to take and go."""
     plan = curriculum(docs, **options).where("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("mix_id"), F.col("position").alias("mix_position"), F.round(F.col("taken") / F.col("size")).cast("int").alias("mix_copies"))
-    plan = plan.groupBy("mix_id").agg(F.min("mix_position").alias("mix_position"), F.max("mix_copies").alias("mix_copies"))
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(plan["mix_id"])).where("mix_copies > 0")
-    out = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return out.orderBy("mix_copy", "mix_position", "mix_id").select(*[docs[c] for c in docs.columns])
+    plan = plan.withColumn("copy", F.explode(F.expr("sequence(1, greatest(1, cast(round(taken / size) as int)))"))).where(F.col("copy") <= F.round(F.col("taken") / F.col("size")))
+    earlier = F.col("copy") - 1
+    part = F.least(F.col("size"), F.col("taken") - earlier * F.col("size"))
+    share = F.least(F.lit(1.0), (earlier * F.col("source_size") + F.col("before") + part / 2) / F.col("target"))
+    plan = plan.select(F.col("doc_id").alias("mix_id"), F.col("copy").alias("mix_copy"), F.round(due(share, F.col("pieces")), 9).alias("mix_position"))
+    plan = plan.groupBy("mix_id", "mix_copy").agg(F.min("mix_position").alias("mix_position"))
+    out = docs.join(plan, docs["doc_id"].eqNullSafe(plan["mix_id"]))
+    return out.orderBy("mix_position", "mix_id", "mix_copy").select(*[docs[c] for c in docs.columns])

@@ -180,6 +180,25 @@ def test_mixing(spark, texts):
     assert mixing.mixed_documents(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixing_places_every_copy(spark, texts):
+    """With even schedules a copy is due at its share of the words of all passes, by brute force."""
+    docs, even = frame(spark, texts), (((0.0, 1.0), (1.0, 1.0)),)
+    source, by_source, due = {r["doc_id"]: r["source"] for r in docs.collect()}, defaultdict(list), []
+    for r in mixing.curriculum(docs, schedules=even).collect():
+        by_source[source[r["doc_id"]]].append(r)
+    for rows in by_source.values():
+        rows.sort(key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest()))
+        done = 0
+        for copy in range(2):
+            for r in rows:
+                part = min(r["size"], r["taken"] - copy * r["size"])
+                if r["size"] and int(r["taken"] / r["size"] + 0.5) > copy:
+                    due.append((round(min(1.0, (done + part / 2) / r["target"]), 9), r["doc_id"], copy))
+                done += r["size"]
+    got = [r["doc_id"] for r in mixing.mixed_documents(docs, schedules=even).collect()]
+    assert got == [i for _, i, _ in sorted(due)] and len(got) > len(set(got))
+
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
