@@ -18,7 +18,7 @@ from ..kernel import planar, wkb
 from ..store import written
 from .components import components
 
-ROUNDS = 6
+ROUNDS = 100  # more is an error
 SEGMENT = ["line_id", "x1", "y1", "x2", "y2"]
 
 
@@ -117,14 +117,15 @@ def noded(lines: DataFrame, cfg: TopoConfig) -> tuple[DataFrame, DataFrame, Data
 
 def cut_pieces(now: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, line_edge) of (line_id, x1, y1, x2, y2) in grid numbers, each with its lesser end first."""
-    before = -1
+    p = F.struct("px", "py")
     for _ in range(ROUNDS):
-        distinct = now.select("x1", "y1", "x2", "y2").distinct()
-        now = written(split(now, crossings(distinct)), "pieces")
-        count = now.count()
-        if count == before:
+        points = crossings(now.select("x1", "y1", "x2", "y2").distinct())
+        points = written(points.where((p != F.struct("x1", "y1")) & (p != F.struct("x2", "y2"))), "crossings")
+        now = written(split(now, points), "pieces")
+        if points.isEmpty():
             break
-        before = count
+    else:
+        raise RuntimeError(f"lines still cross inside pieces after {ROUNDS} rounds of cutting")
     edges = numbered(now.select("x1", "y1", "x2", "y2").distinct(), ["x1", "y1", "x2", "y2"], "edge_id")
     nodes = numbered(edges.select(F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("n")).select("n.*").distinct(), ["x", "y"], "node_id")
     a, b = (nodes.select(F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"), F.col("node_id").alias(n)) for k, n in ((1, "start_node"), (2, "end_node")))

@@ -87,3 +87,19 @@ def test_row_changes_with_nulls(spark):
     assert sorted(map(str, dml.upsert(old, new, ["id"]).collect())) == sorted(map(str, spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "n")], "id int, v string").collect()))
     assert dml.not_in(new, "id", old, "id").count() == 0
     assert dml.delete_where(old, old["v"] == "a").count() == 2
+
+
+def test_noding_ends_with_no_cut_left_or_raises(spark, monkeypatch):
+    import random
+
+    from planar_spark.operators import noding
+
+    rng = random.Random(3)
+    rows = [(i, *sum(sorted([(rng.randrange(25), rng.randrange(25)), (30 + rng.randrange(25), rng.randrange(25))]), ())) for i in range(12)]
+    lines = spark.createDataFrame(rows, "line_id long, x1 long, y1 long, x2 long, y2 long")
+    edges, _ = noding.cut_pieces(lines)
+    left = noding.crossings(edges.select("x1", "y1", "x2", "y2")).where("(px, py) <> (x1, y1) and (px, py) <> (x2, y2)")
+    assert edges.count() > 12 and left.count() == 0
+    monkeypatch.setattr(noding, "ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        noding.cut_pieces(lines)
