@@ -45,21 +45,24 @@ def claim(own: dict | None = None) -> None:
             cache.clear()
 
 
-#: Bits of the bitmaps that spare rows a shuffle.
-BITMAP = 1 << 24
+#: Bits of the largest bitmap that spares rows a shuffle (16 MB).
+BITMAP = 1 << 27
 
 
 def flags(rows: DataFrame, key: str) -> np.ndarray:
-    """A bitmap of ``BITMAP`` bits (2 MB, whatever the input) in which the bit of every ``key`` is set. It only spares rows a shuffle;
-    an exact join follows."""
+    """A bitmap in which the bit of every ``key`` is set, folded until one bit in 32 is, but of at most ``BITMAP`` bits whatever the
+    input. It only spares rows a shuffle; an exact join follows. Beyond some tens of millions of keys it spares little."""
     bit = F.pmod(F.col(key), F.lit(BITMAP))
     words = rows.select(F.floor(bit / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(`{key}`, {BITMAP}), 64) as int))").alias("v"))
     got = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     out = np.zeros(BITMAP // 64, np.uint64)
     out[got.column("w").to_numpy()] = got.column("v").to_numpy().view(np.uint64)
+    least = 32 * int(np.bitwise_count(out).sum())
+    while 32 * len(out) >= max(least, 1 << 16):
+        out = out[: len(out) // 2] | out[len(out) // 2 :]
     return out
 
 
 def flagged(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bit = np.mod(keys, BITMAP).astype(np.uint64)
+    bit = np.mod(keys, 64 * len(bitmap)).astype(np.uint64)
     return (bitmap[bit // np.uint64(64)] >> (bit % np.uint64(64))) & np.uint64(1) > 0

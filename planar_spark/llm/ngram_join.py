@@ -3,21 +3,23 @@
 The global order of n-grams (rare before common, then by hash) is cut into fragments.
 
 1. Every text's set is summarised once: size, 128-bit digest, the first n-grams of the global order with their places (a set and any set it
-   links with must share one of them, early enough to leave room for the rest), and for each of ``BITS`` narrow fragments the parity of its number of n-grams in it. Fragments in which the
-   parities of two sets differ count towards their symmetric difference: a lower bound that is summed per pair and never wrong.
+   links with must share one of them, early enough to leave room for the rest), and the parities of its number of n-grams in each of ``BITS`` hash cells. Cells in which the
+   parities of two sets differ count towards their symmetric difference: a lower bound that is never wrong.
 2. Equal sets become one representative. Representatives that share a leading n-gram are candidates; a pair whose bound
    or sizes exclude a link goes at once.
-3. The remaining pairs are counted exactly: each wide fragment's partial overlap separately, then summed per pair.
+3. The remaining pairs are counted exactly: each fragment is joined with itself for their partial overlaps, which are then summed per pair.
 
-Groups of near copies never become all pairs: first every member is paired with its neighbours in its groups only, counted and joined
-into components; after that, inside bounded blocks, only pairs between different components whose bound allows a link are left
-to be counted.
+Groups of near copies never become all pairs. First every member is paired with its neighbours in its groups only, counted and joined
+into components. After that a group whose members are all in one component is settled; of any other, only the members outside its largest component
+are compared with the rest, in bounded blocks, and only pairs between different components whose bound allows a link are left to be counted.
 
 N-grams are compared by 64-bit hashes. How common an n-gram is is counted over all texts, batch by batch; it steers the
 order, never the result.
 
 Defined cases: null and empty texts, and texts without words, have the empty set and link with nothing; a text with fewer words than
-``n`` is one n-gram; rows that repeat a doc_id are one document with the larger set's row; a null doc_id is left out; empty tables give empty results; further columns are ignored.
+``n`` is one n-gram; rows that repeat a doc_id are one document, which has the links of all of them and the size of the largest; a row
+without doc_id is a document of its own, whose component is named by the others' ids (null if none has one); empty tables give empty
+results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import claim, components, discard, flagged, flags, parts, written
 
-BITS, COARSE = 1024, 256  # narrow fragments, and the fewer that they are folded into for a first look
-FRAGMENTS = 8  # wide fragments
+BITS, COARSE = 1024, 256  # cells of the parities, and the fewer that they are folded into for a first look
+FRAGMENTS = 8  # of the global order: half of them for the rare n-grams, half for the common ones
 COMMON = 8  # times in a batch that make an n-gram common
 MOST_COMMON = 1 << 20  # common n-grams that are told apart; others count as rare
-BLOCK = 1024
+BLOCK, WIDE = 2048, 16384  # members outside a group's largest component, and members of all kinds, that meet in one block
+NO_ID = (1 << 63) - 1  # by which the texts of rows without doc_id are fetched
+CHUNK = 4096  # members of a group that are ordered together when neighbours are paired
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -113,6 +117,17 @@ def sets_of(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
+def digest(g: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(g.tobytes())
+    return d >> 64, d & (1 << 64) - 1
+
+
+def is_common(g: np.ndarray, often: np.ndarray) -> np.ndarray:
+    if not len(often):
+        return np.zeros(len(g), bool)
+    return often[np.minimum(np.searchsorted(often, g), len(often) - 1)] == g
+
+
 def slices(b: pa.RecordBatch, column: int, size: int = 2048) -> Iterator[tuple[int, list]]:
     for k in range(0, b.num_rows, size):
         yield k, b.column(column).slice(k, size).to_pylist()
@@ -144,9 +159,13 @@ def common_ngrams(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(got.view(np.uint64))
 
 
-def summaries(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(doc_id, size, h1, h2, lead, parity, sketch) of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def keyed(rows: DataFrame) -> DataFrame:
+    """A row's ``key``: its doc_id and its set. Rows that repeat a doc_id with another text have another key."""
+    return rows.withColumn("key", F.xxhash64("doc_id", "h1", "h2"))
+
+
+def summaries(docs: DataFrame, n: int, percent: int, shared) -> DataFrame:
+    """(doc_id, size, h1, h2, lead, parity, sketch) of each row; ``shared``: the common n-grams, broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
@@ -156,17 +175,14 @@ def summaries(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> Data
                 sizes, digests, leads, parities, sketches = [], [], [], [], []
                 for g in sets_of(texts, n):
                     sizes.append(len(g))
-                    d = xxhash.xxh3_128_intdigest(g.tobytes())
-                    digests.append((d >> 64, d & (1 << 64) - 1))
+                    digests.append(digest(g))
                     bits = np.bincount((g >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
                     parities.append(np.packbits(bits.astype(np.uint8)).tobytes())
                     sketches.append(np.packbits(np.bitwise_xor.reduce(bits.astype(np.uint8).reshape(-1, COARSE), axis=0)).tobytes())
                     # A partner shares at least percent% of this set: leaving out so many, one shared n-gram must lead.
                     need = len(g) - (percent * len(g) + 99) // 100 + 1 if len(g) else 0
-                    if len(often):
-                        at = np.minimum(np.searchsorted(often, g), len(often) - 1)
-                        is_common = often[at] == g
-                        g = np.concatenate([g[~is_common], g[is_common]])
+                    late = is_common(g, often)
+                    g = np.concatenate([g[~late], g[late]])
                     leads.append(g[:need].view(np.int64))
                 ends = np.cumsum([0, *map(len, leads)]).astype(np.int32)
                 h = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64)
@@ -187,11 +203,11 @@ def least_overlap(a, b, percent: int):
 
 
 def possible(pairs: DataFrame, reps: DataFrame, percent: int, parity: str = "parity") -> DataFrame:
-    """The pairs (a, b) that sizes and parities do not exclude, with their sizes."""
+    """The pairs (a, b) of keys that sizes and parities do not exclude, with their sizes."""
     reps = reps.withColumnRenamed(parity, "_parity")
     bits = BITS if parity == "parity" else COARSE
-    x = reps.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("_parity").alias("parity_a"))
-    y = reps.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("_parity").alias("parity_b"))
+    x = reps.select(F.col("key").alias("a"), F.col("size").alias("size_a"), F.col("_parity").alias("parity_a"))
+    y = reps.select(F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("_parity").alias("parity_b"))
     both = pairs.join(x, "a").join(y, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,35 +221,45 @@ def possible(pairs: DataFrame, reps: DataFrame, percent: int, parity: str = "par
     return both.select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long, size_a long, size_b long")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: the overlap of each wide fragment is counted apart and summed per pair."""
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
-    shared = docs.sparkSession.sparkContext.broadcast(flags(needed, "doc_id"))
+def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, shared) -> DataFrame:
+    """The pairs (a, b) that link: each fragment of the global order is joined with itself along the pairs, and the partial overlaps
+    are summed per pair."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    needed = written(keys.join(reps.select("key", "doc_id"), "key"), "needed")
+    fetch = F.coalesce("doc_id", F.lit(NO_ID)).alias("fetch")
+    bitmap = docs.sparkSession.sparkContext.broadcast(flags(needed.select(fetch), "fetch"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(flagged(shared.value, b.column(0).to_numpy())))
+            yield b.filter(pa.array(flagged(bitmap.value, b.column(0).to_numpy())))
 
-    texts = docs.select("doc_id", "text").mapInArrow(keep, "doc_id long, text string").join(needed, "doc_id", "left_semi")
+    texts = docs.select(fetch, "doc_id", "text").mapInArrow(keep, "fetch long, doc_id long, text string").join(needed.select(fetch).distinct(), "fetch", "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = FRAGMENTS // 2
         for b in batches:
             for k, some in slices(b, 1, 512):
-                ids, which, sets = [], [], []
+                ids, digests, which, sets = [], [], [], []
                 for doc_id, g in zip(b.column(0).slice(k, len(some)).to_pylist(), sets_of(some, n), strict=True):
-                    ends = np.searchsorted(g >> np.uint64(61), np.arange(FRAGMENTS + 1))
-                    for f in range(FRAGMENTS):
-                        if ends[f] < ends[f + 1]:
-                            ids.append(doc_id)
-                            which.append(f)
-                            sets.append(g[ends[f] : ends[f + 1]].view(np.int64))
+                    own, late = digest(g), is_common(g, shared.value)
+                    for part, of in ((g[~late], 0), (g[late], half)):
+                        ends = np.append(np.searchsorted(part, np.arange(half, dtype=np.uint64) * np.uint64((1 << 64) // half)), len(part))
+                        for f in range(half):
+                            if ends[f] < ends[f + 1]:
+                                ids.append(doc_id)
+                                digests.append(own)
+                                which.append(of + f)
+                                sets.append(part[ends[f] : ends[f + 1]].view(np.int64))
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                h = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(which, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], names=["doc_id", "f", "g"]
-                )
+                    [pa.array(ids, pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(which, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))],
+                    names=["doc_id", "h1", "h2", "f", "g"],
+                )
 
-    pieces = written(texts.dropDuplicates(["doc_id"]).mapInArrow(cut, "doc_id long, f int, g array<long>"), "fragments", "lz4")
-    x, y = pieces.select(F.col("doc_id").alias("a"), "f", F.col("g").alias("g_a")), pieces.select(F.col("doc_id").alias("b"), "f", F.col("g").alias("g_b"))
+    pieces = keyed(texts.select("doc_id", "text").mapInArrow(cut, "doc_id long, h1 long, h2 long, f int, g array<long>")).dropDuplicates(["key", "f"])
+    pieces = written(pieces.select("key", "f", "g"), "fragments", "lz4")
+    x, y = pieces.select(F.col("key").alias("a"), "f", F.col("g").alias("g_a")), pieces.select(F.col("key").alias("b"), "f", F.col("g").alias("g_b"))
     partial = pairs.join(x, "a").join(y, ["b", "f"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("g_a", "g_b")).alias("shared"))
     total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
     out = written(total.where(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("a", "b"), "links")
@@ -243,23 +269,24 @@ def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
 
 def between(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs of different components that share a block of a group and whose sizes and parities allow a link; if ``nearest``, for
-    every member only its pair of the least bound."""
-    names = ["x", "y", "rep", "size", "place", "component", "parity", "side"]
+    every member outside the largest component only its pair of the least bound. Rows stand block by block."""
+    names = ["rep", "size", "place", "component", "parity", "outside"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {k: [] for k in names}
+        held: list[pa.RecordBatch] = []
         now = None
 
         def solve() -> Iterator[pa.RecordBatch]:
-            rep, size, place, comp, side = (np.array(held[k], np.int64) for k in ("rep", "size", "place", "component", "side"))
-            bits = np.frombuffer(b"".join(held["parity"]), np.uint64).reshape(-1, BITS // 64)
-            left = np.nonzero(side == 0)[0]
-            right = left if now[1] == now[2] else np.nonzero(side == 1)[0]
+            block = pa.Table.from_batches(held)
+            rep, size, place, comp, side = (block.column(k).to_numpy() for k in ("rep", "size", "place", "component", "outside"))
+            bits = np.frombuffer(b"".join(block.column("parity").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            # side: 0 the block's members outside the largest component, as the left ones; 1 and 2 all members, 2 those outside it.
+            left, right = np.nonzero(side == 0)[0], np.nonzero(side > 0)[0]
             for i in left:
                 s, t = size[i], size[right]
                 keep = (comp[right] != comp[i]) & (np.minimum(s, t) * 100 >= percent * np.maximum(s, t))
                 keep &= np.minimum(s - place[i], t - place[right]) >= least_overlap(s, t, percent)
-                keep &= (rep[right] > rep[i]) if now[1] == now[2] else True
+                keep &= (side[right] == 1) | (rep[right] > rep[i])
                 j = right[keep]
                 apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
                 fits = (s + size[j] - apart) >= 2 * least_overlap(s, size[j], percent)
@@ -270,70 +297,96 @@ def between(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
 
         for b in batches:
-            columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
-            for g, x, y, *rest in zip(*columns, strict=True):
-                if (g, x, y) != now:
-                    if now:
+            g, x, y = (b.column(i).to_numpy() for i in range(3))
+            new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(g) else []
+            for a, e in zip(new, np.append(new[1:], len(g)), strict=True):
+                if (g[a], x[a], y[a]) != now:
+                    if held:
                         yield from solve()
-                    now, held = (g, x, y), {k: [] for k in names}
-                for k, v in zip(names[2:], rest, strict=True):
-                    held[k].append(v)
-        if now:
+                    now, held = (g[a], x[a], y[a]), []
+                held.append(b.slice(a, e - a).select(names))
+        if held:
             yield from solve()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.select("g", "x", "y", *names).mapInArrow(run, "a long, b long")
+
+
+def unsettled(posted: DataFrame, reps: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, x, y, rep, size, place, component, parity, outside): blocks of the groups whose members are in several components. Members outside
+    a group's largest component meet all its members; the largest component is never compared with itself. Also the written groups."""
+    spark = posted.sparkSession
+    labels = reps.select(F.col("key").alias("rep")).join(known, F.col("rep") == known["node"], "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    labelled = posted.select("g", "rep", "size", "place").join(labels, "rep")
+    counts = labelled.groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g")
+    groups = counts.agg(F.max_by("component", "c").alias("largest"), F.max("c").alias("c"), F.sum("c").alias("m")).where("m > c")
+    groups = written(groups, "open_groups")
+    rows = labelled.join(groups, "g").join(reps.select(F.col("key").alias("rep"), "parity"), "rep")
+    many = lambda n, size: F.ceil(n / size).cast("int")
+    spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    across, down = many(F.col("m") - F.col("c"), BLOCK), many(F.col("m"), WIDE)
+    out = F.col("component") != F.col("largest")
+    place = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), side.cast("int").alias("outside"))
+    as_left = F.when(out, F.transform(each(down), lambda y: place(spread(across), y, F.lit(0)))).otherwise(F.array().cast("array<struct<x:int,y:int,outside:int>>"))
+    as_right = F.transform(each(across), lambda x: place(x, spread(down), F.lit(1) + out.cast("int")))
+    rows = rows.select("g", "rep", "size", "place", "component", "parity", F.explode(F.concat(as_left, as_right)).alias("at"))
+    rows = rows.select("g", "at.x", "at.y", "rep", "size", "place", "component", "parity", "at.outside")
+    return rows.repartition(parts(spark), "g", "x", "y").sortWithinPartitions("g", "x", "y"), groups
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; links are Jaccard similarities of at least ``percent`` / 100."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    every = written(summaries(texts, n, percent, common_ngrams(texts, n)), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = spark.sparkContext.broadcast(common_ngrams(texts, n))
+    every = written(keyed(summaries(texts, n, percent, shared)), "sets")
     full = every.where("size > 0")
-    first = written(full.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("doc_id")), "representatives")
-    chosen = full.join(first.select("doc_id"), "doc_id", "left_semi")
-    reps = written(chosen.select("doc_id", "size", "parity", "sketch").dropDuplicates(["doc_id"]), "parities")
-    group = Window.partitionBy("g")
-    posted = chosen.select(F.posexplode("lead").alias("place", "g"), F.col("doc_id").alias("rep"), F.col("size").cast("int").alias("size"))
-    posted = written(posted.withColumn("m", F.count("*").over(group)).where("m > 1"), "shared_leads")
-    beside = group.orderBy("size", "rep")
+    first = written(full.groupBy("h1", "h2", "size").agg(F.min("key").alias("rep"), F.min("doc_id").alias("low")), "representatives")
+    chosen = full.join(first.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    reps = written(chosen.select("key", "doc_id", "size", "parity", "sketch"), "parities")
+    posted = chosen.select(F.posexplode("lead").alias("place", "g"), F.col("key").alias("rep"), F.col("size").cast("int").alias("size"))
+    groups = written(posted.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "groups")
+    posted = written(posted.join(groups, "g"), "shared_leads")
+    # Neighbours by size, in chunks of large groups; that they miss some pairs is made good below.
+    chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / CHUNK)).cast("int")
+    beside = Window.partitionBy("g", "chunk").orderBy("size", "rep")
     before = F.lag(F.struct("rep", "size", "place")).over(beside)
-    near = posted.select("rep", "size", "place", before.alias("b")).select("rep", "size", "place", F.col("b.rep").alias("p"), F.col("b.size").alias("ps"), F.col("b.place").alias("pp"))
+    near = posted.withColumn("chunk", chunk).select("rep", "size", "place", before.alias("b")).select("rep", "size", "place", F.col("b.rep").alias("p"), F.col("b.size").alias("ps"), F.col("b.place").alias("pp"))
     # If this is the first n-gram that both share, so many are left to be shared.
     need = F.expr(f"({percent} * (size + ps) + 99 + {percent}) div (100 + {percent})")
     near = near.where(F.col("p").isNotNull() & (100 * F.col("ps") >= percent * F.col("size")) & (F.least(F.col("size") - F.col("place"), F.col("ps") - F.col("pp")) >= need))
     near = near.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).where("a <> b").distinct()
     look = lambda pairs: possible(possible(pairs, reps, percent, "sketch").select("a", "b"), reps, percent)
     tested = written(look(near), "near_pairs")
-    links = linked(tested, texts, n, percent)
+    links = linked(tested, reps, texts, n, percent, shared)
     known = components(links)
-    # Groups of two are done: their only pair was a neighbour pair. Larger ones are compared in blocks: first each member with its
-    # nearest in another component only, which joins most; then all that is left between components.
+    # Between the components: first each member outside a group's largest one with its nearest only, which joins most; then all that is left.
     for nearest in (True, False):
-        labels = reps.select("doc_id", "parity").join(known, reps["doc_id"] == known["node"], "left")
-        labels = labels.select(F.col("doc_id").alias("rep"), "parity", F.coalesce("component", "doc_id").alias("component"))
-        rows = posted.where("m > 2").join(labels, "rep")
-        blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK).cast("int"))
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.select(
-            "g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "size", "place", "component", "parity", (F.col("own") > F.col("other")).cast("int").alias("side")
-        )
-        rows = rows.repartition(parts(spark), "g", "x", "y").sortWithinPartitions("g", "x", "y")
+        rows, open_groups = unsettled(posted, reps, known)
         rest = between(rows, percent, nearest).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         rest = written(possible(rest, reps, percent), "rest_pairs")
-        links = links.union(linked(rest, texts, n, percent))
+        discard(open_groups)
+        links = links.union(linked(rest, reps, texts, n, percent, shared))
         tested = tested.union(rest)
         known = components(links)
-    whole = known
-    equal = every.where("size > 0").select("doc_id", "size", "h1", "h2").join(first.select("h1", "h2", "size", F.col("doc_id").alias("rep")), ["h1", "h2", "size"])
-    equal = equal.join(whole, equal["rep"] == whole["node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    alone = every.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = written(equal.union(alone), "ngram_components")
-    discard(every, first, reps, posted)
+    # Rows that repeat a doc_id are one document.
+    of_row = full.select("doc_id", "h1", "h2", "size").join(first, ["h1", "h2", "size"])
+    again = of_row.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
+    again = written(again.select("doc_id", "a").join(of_row.select("doc_id", F.col("rep").alias("b")), "doc_id").where("a <> b").select("a", "b"), "same_document")
+    if not again.isEmpty():
+        known = components(links.union(again))
+    named = first.join(known, first["rep"] == known["node"], "left").select("h1", "h2", "size", "low", F.coalesce("component", "rep").alias("component"))
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = written(named.join(lows, "component").select("h1", "h2", "size", "component_id"), "named")
+    rows = full.select("doc_id", "h1", "h2", "size").join(named, ["h1", "h2", "size"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    rows = rows.union(every.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    one = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    out = written(one.union(rows.where("doc_id is null")), "ngram_components")
+    discard(every, first, reps, groups, posted, again, named)
     return out
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay: of each component that with the least doc_id. Columns unchanged."""
+    """The documents that stay: of each component that with the least doc_id; rows without doc_id stay. Columns unchanged."""
     found = jaccard_components(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("linked_id")).distinct()
     return docs.join(found, docs["doc_id"] == found["linked_id"], "left_anti")

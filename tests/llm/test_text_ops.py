@@ -139,12 +139,25 @@ def test_ngram_join(spark, texts, n, percent):
 
 
 def test_ngram_join_in_many_blocks(spark, texts, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    for name in "BLOCK", "WIDE", "CHUNK":
+        monkeypatch.setattr(ngram_join, name, 4)
     some = [r for r in texts if r[0] < 240]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(frame(spark, some), 4, 85).collect()}
     assert got == components_of(some, 4, 85)
 
 
+def test_ngram_join_of_repeated_and_missing_ids(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "p q r s t"), (1, long), (2, long + " more"), (3, "p q r s t"), (4, "alone"), (None, long), (None, "nobody else has this"), (None, None), (5, "alone"), (5, "alone"), (6, "")]
+    got = sorted(map(tuple, ngram_join.jaccard_components(frame(spark, rows), 4, 85).collect()), key=str)
+    want = [(1, 37, 1), (2, 38, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6), (None, 37, 1), (None, 1, None), (None, 0, None)]
+    assert got == sorted(want, key=str)
+    kept = ngram_join.one_of_each(frame(spark, rows), 4, 85)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.where("doc_id is not null").collect()) == [(1, "p q r s t"), (1, long), (4, "alone"), (6, "")]
+    assert kept.where("doc_id is null").count() == 2
+    assert ngram_join.jaccard_components(frame(spark, rows).limit(0), 4, 85).count() == 0
+
+
 @pytest.mark.parametrize("most", [50_000, 3])
 def test_suffix_dedup(spark, texts, most):
     length, some = 60, [r for r in texts if r[0] != 903] + [(950, "a" * 300), (951, "ab" * 90), (952, texts[4][1]), (952, texts[4][1])]
