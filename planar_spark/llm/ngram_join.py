@@ -9,7 +9,7 @@ The global order of n-grams (rare before common, then by hash) is cut into fragm
    or sizes exclude a link goes at once.
 3. The remaining pairs are counted exactly: each fragment is joined with itself for their partial overlaps, which are then summed per pair.
 
-Groups of near copies never become all pairs. First every member is paired with its neighbours in its groups only, counted and joined
+Groups of near copies never become all pairs. First every member's nearest partner in each of its groups is counted, and links are joined
 into components. After that a group whose members are all in one component is settled; of any other, only the members outside its largest component
 are compared with the rest, in bounded blocks, and only pairs between different components whose bound allows a link are left to be counted.
 
@@ -29,18 +29,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import claim, components, discard, flagged, flags, parts, written
 
-BITS, COARSE = 1024, 256  # cells of the parities, and the fewer that they are folded into for a first look
+BITS = 1024  # cells of the parities that meet in blocks
+WIDEST = 1 << 15  # most cells of those that meet pair by pair: four for each n-gram up to that
 FRAGMENTS = 8  # of the global order: half of them for the rare n-grams, half for the common ones
 COMMON = 8  # times in a batch that make an n-gram common
 MOST_COMMON = 1 << 20  # common n-grams that are told apart; others count as rare
 BLOCK, WIDE = 2048, 16384  # members outside a group's largest component, and members of all kinds, that meet in one block
 NO_ID = (1 << 63) - 1  # by which the texts of rows without doc_id are fetched
-CHUNK = 4096  # members of a group that are ordered together when neighbours are paired
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -122,6 +122,33 @@ def digest(g: np.ndarray) -> tuple[int, int]:
     return d >> 64, d & (1 << 64) - 1
 
 
+def cells(g: np.ndarray) -> np.ndarray:
+    """Parities of the number of n-grams in each cell, packed; at least ``BITS`` cells, a power of two."""
+    n = min(WIDEST, max(BITS, 1 << (4 * len(g) - 1).bit_length())) if len(g) else BITS
+    odd = np.bincount((g & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def folded(packed: np.ndarray, bits: int) -> np.ndarray:
+    """The parities over fewer cells, along the last axis."""
+    while packed.shape[-1] * 8 > bits:
+        half = packed.shape[-1] // 2
+        packed = packed[..., :half] ^ packed[..., half:]
+    return packed
+
+
+def apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Lower bounds of symmetric differences: cells of unlike parity, over the fewer cells of the two."""
+    out = np.zeros(len(left), np.int64)
+    m, n = np.array(list(map(len, left))), np.array(list(map(len, right)))
+    for a, b in {*zip(m.tolist(), n.tolist(), strict=True)}:
+        at = np.flatnonzero((m == a) & (n == b))
+        p, q = (np.frombuffer(b"".join(side[i] for i in at), np.uint8).reshape(len(at), -1) for side in (left, right))
+        least = 8 * min(a, b)
+        out[at] = np.bitwise_count((folded(p, least) ^ folded(q, least)).view(np.uint64)).sum(1, dtype=np.int64)
+    return out
+
+
 def is_common(g: np.ndarray, often: np.ndarray) -> np.ndarray:
     if not len(often):
         return np.zeros(len(g), bool)
@@ -165,20 +192,20 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 
 def summaries(docs: DataFrame, n: int, percent: int, shared) -> DataFrame:
-    """(doc_id, size, h1, h2, lead, parity, sketch) of each row; ``shared``: the common n-grams, broadcast."""
+    """(doc_id, size, h1, h2, lead, parity, wide) of each row; ``shared``: the common n-grams, broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
         often = shared.value
         for b in batches:
             for k, texts in slices(b, 1):
-                sizes, digests, leads, parities, sketches = [], [], [], [], []
+                sizes, digests, leads, parities, wides = [], [], [], [], []
                 for g in sets_of(texts, n):
                     sizes.append(len(g))
                     digests.append(digest(g))
-                    bits = np.bincount((g >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
-                    parities.append(np.packbits(bits.astype(np.uint8)).tobytes())
-                    sketches.append(np.packbits(np.bitwise_xor.reduce(bits.astype(np.uint8).reshape(-1, COARSE), axis=0)).tobytes())
+                    wide = cells(g)
+                    wides.append(wide.tobytes())
+                    parities.append(folded(wide, BITS).tobytes())
                     # A partner shares at least percent% of this set: leaving out so many, one shared n-gram must lead.
                     need = len(g) - (percent * len(g) + 99) // 100 + 1 if len(g) else 0
                     late = is_common(g, often)
@@ -189,12 +216,12 @@ def summaries(docs: DataFrame, n: int, percent: int, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(k, len(texts)), pa.array(np.array(sizes, np.int64)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(leads) if leads else np.empty(0, np.int64))), pa.array(parities, pa.binary()), pa.array(sketches, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(leads) if leads else np.empty(0, np.int64))), pa.array(parities, pa.binary()), pa.array(wides, pa.binary()),
                     ],
-                    names=["doc_id", "size", "h1", "h2", "lead", "parity", "sketch"],
+                    names=["doc_id", "size", "h1", "h2", "lead", "parity", "wide"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, h1 long, h2 long, lead array<long>, parity binary, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, h1 long, h2 long, lead array<long>, parity binary, wide binary")
 
 
 def least_overlap(a, b, percent: int):
@@ -202,23 +229,21 @@ def least_overlap(a, b, percent: int):
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
-def possible(pairs: DataFrame, reps: DataFrame, percent: int, parity: str = "parity") -> DataFrame:
+def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of keys that sizes and parities do not exclude, with their sizes."""
-    reps = reps.withColumnRenamed(parity, "_parity")
-    bits = BITS if parity == "parity" else COARSE
-    x = reps.select(F.col("key").alias("a"), F.col("size").alias("size_a"), F.col("_parity").alias("parity_a"))
-    y = reps.select(F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("_parity").alias("parity_b"))
+    x = reps.select(F.col("key").alias("a"), F.col("size").alias("size_a"), F.col("wide").alias("wide_a"))
+    y = reps.select(F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("wide").alias("wide_b"))
     both = pairs.join(x, "a").join(y, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p, q = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, bits // 64) for i in (4, 5))
-            s, t = b.column(2).to_numpy(), b.column(3).to_numpy()
-            apart = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
-            keep = (s + t - apart) >= 2 * least_overlap(s, t, percent)
-            yield b.select(["a", "b", "size_a", "size_b"]).filter(pa.array(keep))
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2048):
+                b = whole.slice(k, 2048)
+                s, t = b.column(2).to_numpy(), b.column(3).to_numpy()
+                keep = (s + t - apart(b.column(4).to_pylist(), b.column(5).to_pylist())) >= 2 * least_overlap(s, t, percent)
+                yield b.select(["a", "b", "size_a", "size_b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long, size_a long, size_b long")
+    return both.select("a", "b", "size_a", "size_b", "wide_a", "wide_b").mapInArrow(run, "a long, b long, size_a long, size_b long")
 
 
 def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, shared) -> DataFrame:
@@ -288,11 +313,11 @@ def between(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 keep &= np.minimum(s - place[i], t - place[right]) >= least_overlap(s, t, percent)
                 keep &= (side[right] == 1) | (rep[right] > rep[i])
                 j = right[keep]
-                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                fits = (s + size[j] - apart) >= 2 * least_overlap(s, size[j], percent)
+                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+                fits = (s + size[j] - differ) >= 2 * least_overlap(s, size[j], percent)
                 j = j[fits]
                 if nearest and len(j):
-                    j = j[[np.argmin(apart[fits])]]
+                    j = j[[np.argmin(differ[fits])]]
                 if len(j):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
 
@@ -311,12 +336,14 @@ def between(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     return rows.select("g", "x", "y", *names).mapInArrow(run, "a long, b long")
 
 
-def unsettled(posted: DataFrame, reps: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+def unsettled(posted: DataFrame, reps: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(g, x, y, rep, size, place, component, parity, outside): blocks of the groups whose members are in several components. Members outside
     a group's largest component meet all its members; the largest component is never compared with itself. Also the written groups."""
     spark = posted.sparkSession
-    labels = reps.select(F.col("key").alias("rep")).join(known, F.col("rep") == known["node"], "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    labelled = posted.select("g", "rep", "size", "place").join(labels, "rep")
+    labelled = posted.select("g", "rep", "size", "place", F.col("rep").alias("component"))
+    if known is not None:
+        labels = known.select(F.col("node").alias("rep"), F.col("component").alias("label"))
+        labelled = labelled.drop("component").join(labels, "rep", "left").select("g", "rep", "size", "place", F.coalesce("label", "rep").alias("component"))
     counts = labelled.groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g")
     groups = counts.agg(F.max_by("component", "c").alias("largest"), F.max("c").alias("c"), F.sum("c").alias("m")).where("m > c")
     groups = written(groups, "open_groups")
@@ -334,6 +361,39 @@ def unsettled(posted: DataFrame, reps: DataFrame, known: DataFrame) -> tuple[Dat
     return rows.repartition(parts(spark), "g", "x", "y").sortWithinPartitions("g", "x", "y"), groups
 
 
+def representatives(full: DataFrame, first: DataFrame) -> DataFrame:
+    """Of rows with equal sets that with the least key. Most sets occur once: their rows, with all their leading n-grams, need not move."""
+    others = written(full.select("key", "h1", "h2", "size").join(first, ["h1", "h2", "size"]).where("key <> rep").select("key"), "copies")
+    bitmap = full.sparkSession.sparkContext.broadcast(flags(others.union(first.where("copies > 1").select("rep")), "key"))
+
+    def part(loud: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(flagged(bitmap.value, b.column(0).to_numpy()) == loud))
+
+        rows = full.select("key", *[c for c in full.columns if c != "key"])
+        return rows.mapInArrow(run, rows.schema)
+
+    chosen = part(True).join(first.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    return part(False).union(chosen)
+
+
+def first_groups(posted: DataFrame) -> DataFrame:
+    """Of groups with the same members that of the first n-gram in the global order, which has the same members' least places."""
+    sums = [F.bit_xor(F.xxhash64("rep")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("t")]
+    of = posted.groupBy("g").agg(F.count("*").alias("m"), *sums, F.min(F.struct("rep", "place")).alias("least"))
+    return of.groupBy("m", "s", "t", "least.rep").agg(F.min_by("g", "least.place").alias("g")).select("g")
+
+
+def of_two(posted: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) from groups of two whose sizes and places allow a link."""
+    member = F.struct("rep", "size", "place")
+    both = posted.where("m = 2").groupBy("g").agg(F.min(member).alias("x"), F.max(member).alias("z"))
+    need = F.expr(f"({percent} * (x.size + z.size) + 99 + {percent}) div (100 + {percent})")
+    fits = F.least(F.col("x.size") - F.col("x.place"), F.col("z.size") - F.col("z.place")) >= need
+    return both.where(fits).select(F.col("x.rep").alias("a"), F.col("z.rep").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; links are Jaccard similarities of at least ``percent`` / 100."""
     spark = docs.sparkSession
@@ -341,33 +401,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     shared = spark.sparkContext.broadcast(common_ngrams(texts, n))
     every = written(keyed(summaries(texts, n, percent, shared)), "sets")
     full = every.where("size > 0")
-    first = written(full.groupBy("h1", "h2", "size").agg(F.min("key").alias("rep"), F.min("doc_id").alias("low")), "representatives")
-    chosen = full.join(first.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
-    reps = written(chosen.select("key", "doc_id", "size", "parity", "sketch"), "parities")
-    posted = chosen.select(F.posexplode("lead").alias("place", "g"), F.col("key").alias("rep"), F.col("size").cast("int").alias("size"))
-    groups = written(posted.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "groups")
-    posted = written(posted.join(groups, "g"), "shared_leads")
-    # Neighbours by size, in chunks of large groups; that they miss some pairs is made good below.
-    chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / CHUNK)).cast("int")
-    beside = Window.partitionBy("g", "chunk").orderBy("size", "rep")
-    before = F.lag(F.struct("rep", "size", "place")).over(beside)
-    near = posted.withColumn("chunk", chunk).select("rep", "size", "place", before.alias("b")).select("rep", "size", "place", F.col("b.rep").alias("p"), F.col("b.size").alias("ps"), F.col("b.place").alias("pp"))
-    # If this is the first n-gram that both share, so many are left to be shared.
-    need = F.expr(f"({percent} * (size + ps) + 99 + {percent}) div (100 + {percent})")
-    near = near.where(F.col("p").isNotNull() & (100 * F.col("ps") >= percent * F.col("size")) & (F.least(F.col("size") - F.col("place"), F.col("ps") - F.col("pp")) >= need))
-    near = near.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).where("a <> b").distinct()
-    look = lambda pairs: possible(possible(pairs, reps, percent, "sketch").select("a", "b"), reps, percent)
-    tested = written(look(near), "near_pairs")
-    links = linked(tested, reps, texts, n, percent, shared)
-    known = components(links)
-    # Between the components: first each member outside a group's largest one with its nearest only, which joins most; then all that is left.
+    first = written(full.groupBy("h1", "h2", "size").agg(F.min("key").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("copies")), "representatives")
+    chosen = representatives(full, first)
+    reps = written(chosen.select("key", "doc_id", "size", "parity", "wide"), "parities")
+    leads = chosen.select(F.posexplode("lead").alias("place", "g"), F.col("key").alias("rep"), F.col("size").cast("int").alias("size"))
+    groups = written(leads.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "groups")
+    meeting = written(leads.join(groups, "g"), "meeting")
+    posted = written(meeting.join(written(first_groups(meeting), "first_groups"), "g"), "shared_leads")
+    discard(groups, meeting)
+    # First each member of a group with its nearest only, which joins most; then, between the components, all that is left.
+    links = tested = known = None
     for nearest in (True, False):
-        rows, open_groups = unsettled(posted, reps, known)
-        rest = between(rows, percent, nearest).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        rest = written(possible(rest, reps, percent), "rest_pairs")
+        rows, open_groups = unsettled(posted.where("m > 2"), reps, known)
+        rest = between(rows, percent, nearest)
+        rest = rest.union(of_two(posted, percent)).distinct() if nearest else rest.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        tested = written(possible(rest, reps, percent), "pairs")
         discard(open_groups)
-        links = links.union(linked(rest, reps, texts, n, percent, shared))
-        tested = tested.union(rest)
+        found = linked(tested, reps, texts, n, percent, shared)
+        links = found if links is None else links.union(found)
         known = components(links)
     # Rows that repeat a doc_id are one document.
     of_row = full.select("doc_id", "h1", "h2", "size").join(first, ["h1", "h2", "size"])
@@ -382,7 +433,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     rows = rows.union(every.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     one = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
     out = written(one.union(rows.where("doc_id is null")), "ngram_components")
-    discard(every, first, reps, groups, posted, again, named)
+    discard(every, first, reps, posted, again, named)
     return out
 
 
