@@ -5,16 +5,17 @@ suffixes that are sorted are those at anchors: of any ``length - gram + 1`` neig
 anchor. Two equal strings of ``length`` bytes have an anchor at the same place, so their suffixes from there stand side by side in the order.
 
 1. Anchors are listed with the hash of their gram and of their whole context (``length - gram`` bytes before, ``length`` from it on). Grams that occur
-   once are done, and so are grams with one context: all of it repeats.
-2. For the rest, one context of each kind is fetched. Each task sorts its suffixes into runs and front-codes them: only what differs
+   once are done. Of anchors with equal contexts one is sorted, with their number.
+2. Each task sorts its suffixes (gram hash, then bytes) into runs and front-codes them: only what differs
    from the suffix before is sent. A range of the order merges its runs with a loser tree that knows the prefixes that its
-   candidates share and never compares them again.
-3. In the merged order the suffixes of a gram are neighbours. The strings of ``length`` bytes that contain the anchor are compared at every offset; their first
-   and last repeated offsets bound what the anchor covers, since all of them contain it.
+   candidates share and never compares them again. Ranges are cut at gram hashes and, inside a gram that would fill more than two of them, at suffixes of a
+   sample, so that no gram fills a task.
+3. The merged order decides what repeats: ``shift`` bytes before an anchor a string of ``length`` bytes starts that stands elsewhere too, if a neighbourhood of
+   the order shares ``length - shift`` bytes from the anchor on (its common prefixes say so) and another member of it has the same ``shift`` bytes before.
+   The first and last repeated shift bound what the anchor covers, since all of these strings contain it.
+4. A neighbourhood that reaches over a cut is settled by counting: its members send the hashes of these strings as rows, with partial sums before they move.
 
-A gram with more than ``most`` contexts is never gathered: its strings' hashes are counted as rows, with partial sums before they move.
-
-Contexts and strings are compared by 64-bit hashes over their bytes.
+Contexts, bytes before an anchor, and strings over a cut are compared by 64-bit hashes.
 
 Defined cases: null counts as empty; texts under ``length`` bytes lose nothing; rows that repeat id and text count as occurrences of each other; very
 long texts are processed whole; an empty table gives an empty one; further columns are ignored.
@@ -23,6 +24,7 @@ long texts are processed whole; an empty table gives an empty one; further colum
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flagged, flags, parts, written
+from .common import discard, flagged, flags, parts, written
 from .loser_tree import common, merge_prefixed
 
 R = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -82,22 +84,27 @@ def least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, gram hash, context hash) of each anchor of one text."""
-    none = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    n = len(data)
-    if n < length:
-        return none
-    text = Text(data)
-    at = np.arange(n - gram + 1)
-    h = text.hashes(at, at + gram)
-    bits = max(1, int(n).bit_length())
-    # The leftmost of equal hashes wins: the place is the tie-break, relative to the text.
-    order = (h >> np.uint64(bits) << np.uint64(bits)) | at.astype(np.uint64)
-    chosen = np.unique(least(order, length - gram + 1) & np.uint64((1 << bits) - 1)).astype(np.int64)
-    a, b = np.maximum(chosen - (length - gram), 0), np.minimum(chosen + length, n)
-    context = mixed(text.hashes(a, chosen) * np.uint64(3) + text.hashes(chosen, b))
-    return chosen, h[chosen], context
+def anchors(data: np.ndarray, length: int, gram: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, gram hash, context hash) of each anchor of one text, which is looked at in pieces."""
+    n, before, found = len(data), length - gram, []
+    bits = np.uint64(piece + 4 * length).item().bit_length()
+    for k in range(0, n - length + 1, piece):
+        # The windows that start in this piece, with all that the contexts of their anchors hold.
+        start, last = max(0, k - before), min(n - length + 1, k + piece)
+        text = Text(data[start : min(n, last + before + length)])
+        at = np.arange(k - start, last - start + before)
+        h = text.hashes(at, at + gram)
+        # The leftmost of equal hashes wins: the place is the tie-break.
+        order = (h >> np.uint64(bits) << np.uint64(bits)) | at.astype(np.uint64)
+        chosen = np.unique(least(order, before + 1) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        a, b = np.maximum(chosen - before, 0), np.minimum(chosen + length, text.n)
+        context = mixed(text.hashes(a, chosen) * np.uint64(3) + text.hashes(chosen, b))
+        found.append((chosen + start, h[chosen - at[0]], context))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    place, h, context = (np.concatenate(x) for x in zip(*found, strict=True))
+    place, first = np.unique(place, return_index=True)
+    return place, h[first], context[first]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -143,92 +150,144 @@ def decoded(run: bytes) -> list[tuple[int, bytes, bytes]]:
     return out
 
 
-def offsets(contexts: list[tuple[bytes, bytes]], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the strings of ``length`` bytes around the anchor, by context and by bytes before the anchor; and which exist."""
-    before = length - gram
-    grid = np.zeros((len(contexts), before + length), np.uint8)
-    left, right = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
-    for i, (a, b) in enumerate(contexts):
-        grid[i, before - len(a) : before] = np.frombuffer(a, np.uint8)
-        grid[i, before : before + len(b)] = np.frombuffer(b, np.uint8)
-        left[i], right[i] = len(a), len(b)
-    up, down = powers(before + length + 1)
-    sums = np.zeros((len(contexts), before + length + 1), np.uint64)
-    np.cumsum((grid.astype(np.uint64) + np.uint64(1)) * up[: before + length], axis=1, out=sums[:, 1:])
-    start = before - np.arange(before + 1)
-    h = mixed((sums[:, start + length] - sums[:, start]) * down[start])
-    shift = np.arange(before + 1)
-    return h, (shift <= left[:, None]) & (length - shift <= right[:, None])
-
-
-def solve(contexts: list[tuple[bytes, bytes]], groups: np.ndarray, times: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last repeated offset of each context; -1 where none is. ``groups`` numbers the grams. Works offset by offset."""
-    h = np.zeros((length - gram + 1, len(contexts)), np.uint64)
-    there = np.zeros(h.shape, bool)
-    for k in range(0, len(contexts), 2048):
-        some, exist = offsets(contexts[k : k + 2048], length, gram)
-        h[:, k : k + 2048], there[:, k : k + 2048] = some.T, exist.T
-    mark = mixed(groups.astype(np.uint64) * R)
-    low, high = (np.full(len(contexts), -1) for _ in range(2))
-    for shift in range(len(h)):
-        ok = np.nonzero(there[shift])[0]
-        if len(ok):
-            _, which = np.unique(mixed(h[shift, ok] + mark[ok]), return_inverse=True)
-            ok = ok[np.bincount(which, times[ok])[which] > 1]
-            high[ok] = shift
-            low[ok] = np.where(low[ok] < 0, shift, low[ok])
-    return low, high
-
-
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, most: int = 50_000) -> DataFrame:
-    """(key, start, end): stretches of each document that repeat; they overlap, and their union is what repeats."""
+def neighbourhoods(shared: np.ndarray, least_shared: int) -> np.ndarray:
+    """Numbers of the stretches of the order whose neighbours share so many bytes."""
+    return np.cumsum(shared < least_shared)
+
+
+def decide(order: list[tuple[int, bytes, bytes]], length: int, gram: int, below: bytes | None, above: bytes | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """From a stretch of the merged order, whole grams or all that lies between two cuts: (h, e, low, high), first and last repeated shift; and
+    (h, e, times, shift, string) of the neighbourhoods that reach over a cut. An entry: (prefix shared with the one before, gram hash and
+    suffix, context hash and times and bytes before the anchor)."""
+    n, before = len(order), length - gram
+    shared = np.array([x[0] for x in order], np.int64)
+    shared[0] = 0
+    right = np.array([len(x[1]) - 8 for x in order])
+    left = np.array([len(x[2]) - 16 for x in order])
+    times = np.array([int.from_bytes(x[2][8:16]) for x in order])
+    h = np.frombuffer(b"".join(x[1][:8] for x in order), ">u8").astype(np.uint64)
+    e = np.frombuffer(b"".join(x[2][:8] for x in order), ">u8").astype(np.uint64)
+    grid = np.zeros((n, before), np.uint64)
+    for i, x in enumerate(order):
+        if left[i]:
+            grid[i, before - left[i] :] = np.frombuffer(x[2][16:], np.uint8)
+    # Hashes of the bytes before the anchor, by their number.
+    hashes = np.zeros((before + 1, n), np.uint64)
+    for k in range(before):
+        hashes[k + 1] = mixed(hashes[k] * R + grid[:, before - 1 - k] + np.uint64(1))
+    over = 0 if below is None else common(below, order[0][1]), 0 if above is None else common(above, order[-1][1])
+    low, high, rows = np.full(n, -1), np.full(n, -1), []
+    for shift in range(before + 1):
+        ok = (left >= shift) & (right >= length - shift)
+        if not ok.any():
+            continue
+        where = neighbourhoods(shared, 8 + length - shift)
+        cut = np.zeros(n, bool)
+        if over[0] >= 8 + length - shift:
+            cut |= where == where[0]
+        if over[1] >= 8 + length - shift:
+            cut |= where == where[-1]
+        at = np.flatnonzero(ok & ~cut)
+        if len(at):
+            _, which = np.unique(mixed(where[at].astype(np.uint64) * R) ^ hashes[shift, at], return_inverse=True)
+            at = at[np.bincount(which, times[at])[which] > 1]
+            high[at] = shift
+            low[at] = np.where(low[at] < 0, shift, low[at])
+        at = np.flatnonzero(ok & cut)
+        if len(at):
+            string = [hash_of(order[i][1][8 : 8 + length - shift]) for i in at]
+            rows.append((h[at], e[at], times[at], np.full(len(at), shift), mixed(np.array(string, np.uint64) * R) ^ hashes[shift, at]))
+    ok = low >= 0
+    more = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else []
+    return [h[ok], e[ok], low[ok], high[ok]], more
+
+
+def hash_of(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest())
+
+
+DECIDED = "h long, e long, low int, high int, times long, shift int, string long"
+
+
+def decided_rows(local: list[np.ndarray], over: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in DECIDED.split(", ")]
+    signed = lambda x: pa.array(x.astype(np.uint64).view(np.int64))
+    if len(local[0]):
+        n = len(local[0])
+        yield pa.RecordBatch.from_arrays([*map(signed, local[:2]), *[pa.array(x.astype(np.int32)) for x in local[2:]], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=names)
+    if over:
+        n = len(over[0])
+        yield pa.RecordBatch.from_arrays([signed(over[0]), signed(over[1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(over[2].astype(np.int64)), pa.array(over[3].astype(np.int32)), signed(over[4])], names=names)
+
+
+def wide_cuts(texts: DataFrame, kinds: DataFrame, ranges: int, length: int, per_range: int = 4) -> dict[int, list[bytes]]:
+    """Cut points (gram hash and suffix) inside the grams that would fill more than two ranges, from ``ranges * per_range`` contexts: those of
+    least hash. They steer balance, never results."""
+    sample = written(kinds.orderBy(F.xxhash64("h", "e")).limit(ranges * per_range), "sample")
+    wide = sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * per_range).select("h")
+    spots = sample.join(wide, "h", "left_semi").select("key", "h", "at")
+    bitmap = texts.sparkSession.sparkContext.broadcast(flags(spots, "key"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(flagged(bitmap.value, b.column(0).to_numpy())))
+
+    some = texts.mapInArrow(keep, "key long, text binary").join(spots, "key")
+    strings: dict[int, set[bytes]] = {}
+    for h, suffix in some.select("h", F.expr(f"substring(text, at + 1, {length})").alias("s")).collect():
+        h &= (1 << 64) - 1
+        strings.setdefault(h, set()).add(h.to_bytes(8) + bytes(suffix))
+    discard(sample)
+    return {h: sorted(found)[per_range - 1 :: per_range] for h, found in strings.items()}
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, per_range: int = 20_000) -> DataFrame:
+    """(key, spans): stretches (start, end) of each document that repeat; they overlap, and their union is what repeats. A written table."""
     spark = docs.sparkSession
     before = length - gram
     rows = keyed(docs)
-    all_anchors = written(listed(rows, length, gram), "anchors")
-    grams = all_anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("e").alias("e0"), F.max("e").alias("e1")).where("n > 1")
-    found = written(all_anchors.join(grams.select("h", (F.col("e0") == F.col("e1")).alias("same")), "h"), "repeated_anchors")
-    other = found.where("not same")
-    kinds = other.groupBy("h", "e").agg(F.count("*").alias("times"), F.min("key").alias("key"))
-    kinds = written(kinds, "contexts")
-    # Fewer than one gram in ``most`` contexts: small enough to send to everyone.
-    wide = kinds.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > most).select("h", F.lit(True).alias("wide"))
-    total = kinds.count()
-    # Where an anchor of the kind stands in the chosen document.
-    spot = other.join(kinds, ["h", "e", "key"]).groupBy("h", "e", "key", "times").agg(F.min("at").alias("at")).join(F.broadcast(wide), "h", "left")
-    wanted = spot.groupBy("key").agg(F.collect_list(F.struct("h", "e", "times", "at", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("spots"))
-    wanted = written(wanted, "wanted")
-    ranges = max(parts(spark), total // 20_000 + 1)
-    shared = spark.sparkContext.broadcast(flags(wanted, "key"))
+    listing = written(listed(rows, length, gram), "anchors")
+    grams = written(listing.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "grams")
+    found = written(listing.join(grams, "h"), "repeated_anchors")
+    discard(listing, grams)
+    kinds = found.groupBy("h", "e").agg(F.count("*").alias("times"), F.min(F.struct("key", "at")).alias("spot"))
+    kinds = written(kinds.select("h", "e", "times", "spot.key", "spot.at"), "contexts")
+    wanted = written(kinds.groupBy("key").agg(F.collect_list(F.struct("h", "e", "times", "at")).alias("spots")), "wanted")
+    ranges = max(parts(spark), kinds.count() // per_range + 1)
+    bitmap = spark.sparkContext.broadcast(flags(wanted, "key"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(flagged(shared.value, b.column(0).to_numpy())))
+            yield b.filter(pa.array(flagged(bitmap.value, b.column(0).to_numpy())))
+
+    cuts = wide_cuts(rows.select("key", "text"), kinds, ranges, length)
+    first, bounds = {}, {}  # of a wide gram its first range; of such a range its cuts
+    last = ranges
+    for h, points in sorted(cuts.items()):
+        first[h] = last
+        for i in range(len(points) + 1):
+            bounds[last + i] = points[i - 1] if i else None, points[i] if i < len(points) else None
+        last += len(points) + 1
+    dealt = spark.sparkContext.broadcast((first, cuts, bounds))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, bytes]]] = {}
         size = 0
+        first, cuts, _ = dealt.value
 
         def flush() -> pa.RecordBatch:
             r = list(held)
-            return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array([coded(sorted(held[k])) for k in r], pa.binary()), *[pa.nulls(len(r), pa.int64())] * 5], names=["range", "run", "h", "e", "times", "shift", "string"])
+            return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array([coded(sorted(held[k])) for k in r], pa.binary())], names=["range", "run"])
 
         for b in batches:
             for i in range(b.num_rows):
                 text = b.column(1)[i].as_py()
                 for s in b.column(2)[i].as_py():
-                    at, h, e = s["at"], s["h"] & (1 << 64) - 1, s["e"]
-                    a, c = text[max(0, at - before) : at], text[at : at + length]
-                    if s["wide"]:
-                        strings, there = offsets([(a, c)], length, gram)
-                        shift = np.nonzero(there[0])[0]
-                        n = len(shift)
-                        same = lambda v: pa.array(np.full(n, v, np.int64))  # noqa: B023, E731
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.binary()), same(s["h"]), same(e), same(s["times"]), pa.array(shift), pa.array(strings[0, shift].view(np.int64))], names=["range", "run", "h", "e", "times", "shift", "string"])
-                        continue
-                    payload = e.to_bytes(8, signed=True) + s["times"].to_bytes(8) + a
-                    held.setdefault(h * ranges >> 64, []).append((h.to_bytes(8) + c, payload))
-                    size += len(payload) + len(c) + 8
+                    at, h = s["at"], s["h"] & (1 << 64) - 1
+                    string = h.to_bytes(8) + text[at : at + length]
+                    payload = (s["e"] & (1 << 64) - 1).to_bytes(8) + s["times"].to_bytes(8) + text[max(0, at - before) : at]
+                    held.setdefault(first[h] + bisect_right(cuts[h], string) if h in first else h * ranges >> 64, []).append((string, payload))
+                    size += len(payload) + len(string)
                 if size > 24_000_000:
                     yield flush()
                     held, size = {}, 0
@@ -236,53 +295,42 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, most: in
             yield flush()
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
+        runs: list[bytes] = []
         now = None
         for b in batches:
             for which, run in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if which != now and held:
-                    yield from solved(held)
-                    held = []
+                if which != now and runs:
+                    yield from merged(now, runs)
+                    runs = []
                 now = which
-                held.append(run)
-        if held:
-            yield from solved(held)
-
-    def solved(runs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[int, bytes, bytes]] = []
-        number = 0
-
-        def close() -> pa.RecordBatch:
-            times = np.array([int.from_bytes(p[8:16]) for _, _, p in group])
-            low, high = solve([(p[16:], s[8:]) for _, s, p in group], np.array([g for g, _, _ in group]), times, length, gram)
-            h = np.frombuffer(b"".join(s[:8] for _, s, _ in group), ">u8").astype(np.uint64).view(np.int64)
-            e = np.array([int.from_bytes(p[:8], signed=True) for _, _, p in group], np.int64)
-            ok = low >= 0
-            return pa.RecordBatch.from_arrays([pa.array(h[ok]), pa.array(e[ok]), pa.array(low[ok].astype(np.int32)), pa.array(high[ok].astype(np.int32))], names=["h", "e", "low", "high"])
+                runs.append(run)
+        if runs:
+            yield from merged(now, runs)
 
+    def merged(which: int, runs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        cut = dealt.value[2].get(which, (None, None))
+        order: list[tuple[int, bytes, bytes]] = []
         # Whole grams are gathered until there are enough contexts for one step.
-        for n, string, payload in merge_prefixed([decoded(r) for r in runs]):
-            if n < 8:
-                number += 1
-                if len(group) >= 4096:
-                    yield close()
-                    group = []
-            group.append((number, string, payload))
-        if group:
-            yield close()
+        for entry in merge_prefixed([decoded(r) for r in runs]):
+            if entry[0] < 8 and len(order) >= 4096:
+                yield from decided_rows(*decide(order, length, gram, *cut))
+                order = []
+            order.append(entry)
+        if order:
+            yield from decided_rows(*decide(order, length, gram, *cut))
 
     texts = rows.select("key", "text").mapInArrow(keep, "key long, text binary").dropDuplicates(["key"])
-    fetched = texts.join(wanted, "key").select("key", "text", "spots").mapInArrow(fetch, "range int, run binary, h long, e long, times long, shift long, string long")
-    fetched = written(fetched, "runs", "zstd")
-    narrow = fetched.where("range >= 0").select("range", "run").repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(combine, "h long, e long, low int, high int")
-    strings = fetched.where("range < 0").select("h", "e", "times", "shift", "string")
-    again = strings.groupBy("h", "shift", "string").agg(F.sum("times").alias("times")).where("times > 1").drop("times")
-    broad = strings.join(again, ["h", "shift", "string"]).groupBy("h", "e").agg(F.min("shift").cast("int").alias("low"), F.max("shift").cast("int").alias("high"))
-    bounds = narrow.union(broad)
-    part = other.join(bounds, ["h", "e"]).select("key", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end"))
-    # A repeated gram with one context: every string around it repeats, as far as the text goes.
-    full = found.where("same").select("key", F.greatest(F.lit(0), F.col("at") - before).alias("start"), (F.col("at") + length).alias("end"))
-    return part.union(full)
+    runs = written(texts.join(wanted, "key").select("key", "text", "spots").mapInArrow(fetch, "range int, run binary"), "runs", "zstd")
+    decided = written(runs.repartition(max(parts(spark), last // 4), "range").sortWithinPartitions("range").mapInArrow(combine, DECIDED), "decided")
+    over = decided.where("shift is not null").select("h", "e", "times", "shift", "string")
+    again = written(over.groupBy("h", "shift", "string").agg(F.sum("times").alias("n")).where("n > 1").drop("n"), "over_cuts")
+    broad = over.join(again, ["h", "shift", "string"]).select("h", "e", F.col("shift").alias("low"), F.col("shift").alias("high"))
+    both = decided.where("shift is null").select("h", "e", "low", "high").union(broad).groupBy("h", "e").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    both = written(both, "bounds")
+    spans = found.join(both, ["h", "e"]).select("key", F.struct((F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end")).alias("span"))
+    out = written(spans.groupBy("key").agg(F.collect_set("span").alias("spans")), "spans")
+    discard(found, kinds, wanted, runs, decided, again, both)
+    return out
 
 
 def united(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -296,11 +344,10 @@ def united(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, most: int = 50_000, with_kept: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row."""
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, per_range: int = 20_000, with_kept: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats[, kept]) of every row; ``repeats``: whether anything goes."""
     spark = docs.sparkSession
-    spans = written(repeated_spans(docs, length, gram, most).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    spans = spans.withColumnRenamed("key", "of")
+    spans = repeated_spans(docs, length, gram, per_range).withColumnRenamed("key", "of")
     shared = spark.sparkContext.broadcast(flags(spans, "of"))
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,13 +366,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, most: in
                 runs = united([(s["start"], s["end"]) for s in found or ()], n)
                 edges = [0, *(x for r in runs for x in r), n]
                 kept = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if text is not None else None
-                out.append((doc_id, n, sum(e - a for a, e in runs), len(runs), hashlib.sha256(kept).hexdigest() if sha is None else sha, kept))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            m = 6 if with_kept else 5
+                out.append((doc_id, n, sum(e - a for a, e in runs), len(runs), hashlib.sha256(kept).hexdigest() if sha is None else sha, bool(runs), kept))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.binary()]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats", "kept"]
+            m = 7 if with_kept else 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:m], kinds[:m], strict=True)], names=names[:m])
 
     prepared = keyed(docs).mapInArrow(light, "key long, doc_id long, n_bytes long, sha string, text binary")
     both = prepared.join(spans, prepared["key"] == spans["of"], "left").select("doc_id", "n_bytes", "sha", "text", "spans")
-    return both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    return both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean" + ", kept binary" * with_kept)

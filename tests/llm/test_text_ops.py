@@ -158,14 +158,25 @@ def test_ngram_join_of_repeated_and_missing_ids(spark):
     assert ngram_join.jaccard_components(frame(spark, rows).limit(0), 4, 85).count() == 0
 
 
-@pytest.mark.parametrize("most", [50_000, 3])
-def test_suffix_dedup(spark, texts, most):
+def test_anchors_in_pieces():
+    data = substring_dedup.np.random.default_rng(3).integers(97, 99, 5000).astype(substring_dedup.np.uint8)
+    whole = substring_dedup.anchors(data, 60, 30)
+    for piece in (1, 7, 100, 4999):
+        assert [x.tolist() for x in substring_dedup.anchors(data, 60, 30, piece)] == [x.tolist() for x in whole]
+
+
+@pytest.mark.parametrize("per_range", [20_000, 20])
+def test_suffix_dedup(spark, texts, per_range, monkeypatch):
     length, some = 60, [r for r in texts if r[0] != 903] + [(950, "a" * 300), (951, "ab" * 90), (952, texts[4][1]), (952, texts[4][1])]
+    # One gram in many contexts, which is cut into several ranges if they are small.
+    some += [(960 + i, f"{i * 7919} boilerplate that everyone has, over and over, in many a place {i % 9} {'and on' * 3} {i % 4}") for i in range(300)]
+    cuts, real = [], substring_dedup.wide_cuts
+    monkeypatch.setattr(substring_dedup, "wide_cuts", lambda *a: cuts.append(real(*a)) or cuts[-1])
     seen = Counter()
     for _, t in some:
         b = (t or "").encode()
         seen.update(b[k : k + length] for k in range(len(b) - length + 1))
-    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(frame(spark, some), length, 30, most).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(frame(spark, some), length, 30, per_range).collect()}
     for i, t in some:
         b = (t or "").encode()
         gone = bytearray(len(b))
@@ -173,7 +184,9 @@ def test_suffix_dedup(spark, texts, most):
             if seen[b[k : k + length]] > 1:
                 gone[k : k + length] = b"\x01" * length
         spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
-        assert got[i] == (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+        assert got[i] == (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest(), spans > 0)
+    assert per_range > 20 or sum(map(len, cuts[0].values())) > 2
+    assert substring_dedup.remove_repeats(frame(spark, some).limit(0), length, 30).count() == 0
 
 
 def test_mixing(spark, texts):
