@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, image_copies, line_dedup, mixing, ngram_join, substring_dedup, toxicity, unigram, url_filter, warc
-from .common import scratch_path, table, written
+from .common import discard, remove, scratch_path, table, written
 
 #: The rules of the url contract: (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -52,7 +52,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    merged = written(warc.merge_index(written(warc.read_index(spark, folder), "index")), "captures")
+    index = written(warc.read_index(spark, folder), "index")
+    remove(spark, folder)
+    merged = written(warc.merge_index(index), "captures")
+    discard(index)
     return warc.resolved(merged).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured"
     )

@@ -8,7 +8,7 @@ locally sorted run of captures. Runs are cut at common key ranges, and each rang
 a loser tree: ranges in order, and rows in order within, are the global capture history (range_no, place).
 
 Defined cases: null html is an empty payload; a null url has an empty key and no WARC-Target-URI; control characters in a
-url are percent-encoded in its header; repeated page_ids are separate records; empty tables
+url are percent-encoded in its header; repeated page_ids are separate records, each with its own payload; empty tables
 give an empty index; further columns are ignored.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,14 +38,14 @@ def records(pages: DataFrame, least: int = 100) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     sums = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size")).where(F.col("size") >= least)
     first = sums.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = sums.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    again = sums.join(first, "digest").where("page_id <> refers_to").select("page_id", F.col("digest").alias("of"), "refers_to").distinct()
     safe = F.col("url")
     for c in range(32):
         safe = safe if c not in (0, 9, 10, 13) else F.replace(safe, F.lit(chr(c)), F.lit(f"%{c:02X}"))
     host = F.translate(F.regexp_extract(safe, r"://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rest = F.regexp_extract(safe, r"://[^/?#]*([^#]*)", 1)
     key = F.when(safe.contains("://"), F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), ","), F.lit(")"), rest)).otherwise("")
-    one = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload")).join(again, "page_id", "left")
+    one = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("of")).join(again, ["page_id", "of"], "left")
     size = F.octet_length("payload")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit(END))
     is_new = F.col("refers_to").isNull()
@@ -57,7 +58,7 @@ def records(pages: DataFrame, least: int = 100) -> DataFrame:
         F.coalesce(line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id"), F.lit(">"))), F.lit("")),
         line("WARC-Date", when),
         F.coalesce(line("WARC-Target-URI", safe), F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.sha2("payload", 256))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("of"))),
         F.coalesce(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to"), F.lit(">"))), F.lit("")),
         F.when(is_new, "").otherwise("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
@@ -146,7 +147,7 @@ def number(urn: str | None) -> int | None:
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """An index row per record, with size and digest of the payload that stands in the archive."""
+    """An index row per record, with size and digest of the payload that stands in the archive; a revisit has the digest of its header only."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +155,7 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
                 name, rows = batch.column(0)[i].as_py().rpartition("/")[2], []
                 for seq, (at, h, _, payload) in enumerate(parse(batch.column(1)[i].as_py())):
                     new = h["WARC-Type"] == "response"
-                    rows.append((name, seq, surt(h.get("WARC-Target-URI")), h["WARC-Date"], number(h.get("WARC-Record-ID")), h["WARC-Type"], number(h.get("WARC-Refers-To")), len(payload) if new else None, hashlib.sha256(payload).hexdigest() if new else None, at))
+                    rows.append((name, seq, surt(h.get("WARC-Target-URI")), h["WARC-Date"], number(h.get("WARC-Record-ID")), h["WARC-Type"], number(h.get("WARC-Refers-To")), len(payload) if new else None, hashlib.sha256(payload).hexdigest() if new else h["WARC-Payload-Digest"].partition(":")[2], at))
                 columns = list(zip(*rows, strict=True)) or [()] * len(KINDS)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS, strict=True)], names=NAMES)
 
@@ -162,9 +163,10 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(scan, INDEX)
 
 
-def merge_index(index: DataFrame, ranges: int | None = None) -> DataFrame:
-    """External merge: the index in global order of (url_key, captured, page_id), as (range_no, place)."""
-    ranges = ranges or parts(index.sparkSession)
+def merge_index(index: DataFrame, ranges: int | None = None, per_range: int = 100_000) -> DataFrame:
+    """External merge: the index in global order of (url_key, captured, page_id), as (range_no, place). Ranges hold about ``per_range`` rows at most,
+    so a task's memory does not grow with the index."""
+    ranges = ranges or max(parts(index.sparkSession), index.count() // per_range + 1)
     lowest = -(1 << 63)
     cuts = [(a, b, lowest if c is None else c) for a, b, c in cut_points(index.where("page_id is not null"), ["url_key", "captured", "page_id"], ranges)]
     whole = lambda r: (r[2], r[3], lowest if r[4] is None else r[4])
@@ -184,28 +186,27 @@ def merge_index(index: DataFrame, ranges: int | None = None) -> DataFrame:
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
 
-        def flush() -> pa.RecordBatch:
-            rows = [(now, i, *r) for i, r in enumerate(merged(held))]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), *KINDS], strict=True)], names=["range_no", "place", *NAMES])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for rows in batched(((now, i, *r) for i, r in enumerate(merged(held))), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), *KINDS], strict=True)], names=["range_no", "place", *NAMES])
 
         for b in batches:
             for r in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
                 if r[0] != now and held:
-                    yield flush()
+                    yield from flush()
                     held = []
                 now = r[0]
                 held.append(r[1:])
         if held:
-            yield flush()
+            yield from flush()
 
     dealt = index.mapInArrow(deal, "range_no int, " + INDEX).repartition(len(cuts) + 1, "range_no")
     return dealt.sortWithinPartitions("range_no", "run", "seq").mapInArrow(combine, "range_no int, place long, " + INDEX)
 
 
 def resolved(index: DataFrame) -> DataFrame:
-    """Give revisits the size and digest of the payload that they refer to, as read from its own record."""
-    bare = index.drop("payload_bytes", "payload_digest")
+    """Give revisits the size of the payload that they refer to, as read from its own record: that of the page with the same digest."""
     new = index.where("record_type = 'response'")
-    of = new.groupBy(F.col("page_id").alias("of")).agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("p"))
-    again = bare.where("record_type = 'revisit'").join(of, F.col("refers_to") == F.col("of"), "left").select(*bare.columns, "p.*")
-    return new.select(*again.columns).union(again)
+    of = new.groupBy(F.col("page_id").alias("of"), F.col("payload_digest").alias("of_digest")).agg(F.max("payload_bytes").alias("of_bytes"))
+    again = index.where("record_type = 'revisit'").join(of, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("of_digest")), "left")
+    return new.union(again.select(*[F.col("of_bytes").alias(c) if c == "payload_bytes" else F.col(c) for c in new.columns]))

@@ -51,6 +51,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert order == sorted(order) and len(order) == pages(spark).count()
 
 
+def test_warc_repeated_page_ids(spark, tmp_path):
+    a, b = "A" * 200, "B" * 200
+    rows = spark.createDataFrame([(1, "http://x/", a), (2, "http://x/", a), (2, "http://y/", b), (3, "http://x/", a), (4, None, b)], "page_id long, url string, html string")
+    warc.write_archives(rows, f"file://{tmp_path}/w")
+    got = warc.resolved(warc.merge_index(warc.read_index(spark, f"file://{tmp_path}/w"))).select("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest")
+    of = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(1, "response", None, 200, of(a)), (2, "revisit", 1, 200, of(a)), (2, "response", None, 200, of(b)), (3, "revisit", 1, 200, of(a)), (4, "revisit", 2, 200, of(b))]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    warc.write_archives(rows.limit(0), f"file://{tmp_path}/none")
+    assert warc.merge_index(warc.read_index(spark, f"file://{tmp_path}/none")).count() == 0
+
+
 def test_loser_trees():
     rng = random.Random(4)
     for k in range(9):
