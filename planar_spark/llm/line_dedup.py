@@ -11,9 +11,10 @@ consists of such pairs that all stand earlier, so all its lines go. Every line s
 Texts move twice, once as candidates and once to be cut; a common candidate is counted on the map side before it moves. With ``whole``,
 candidates are first counted by hash, and only texts whose hash may repeat move.
 
-Defined cases: a null text stays null and an empty one empty; a text of one line is never changed; rows that repeat a doc_id share its
-decisions; a null doc_id counts as the largest; two different chunks with one 128-bit hash are both left in place; an empty table gives an
-empty one; further columns pass through, whatever their names.
+Defined cases: a null text stays null and an empty one empty; a text of one line is never changed; rows that repeat a doc_id with other texts are
+documents of their own, in the order of their texts' hashes, and rows equal in id and text share one decision; a null doc_id counts as the largest;
+two different chunks with one 128-bit hash are both left in place; an empty table gives an empty one; further columns pass through, and where one has
+the name of a column of the result, the result's gets an underscore.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flagged, flags
+from .common import flagged, flags, written
 
 LEAST, MOST, ONE_IN = 2, 16, 2
 MASK = (1 << 64) - 1
@@ -74,35 +75,39 @@ def candidates(text: str, whole: bool = False) -> list[tuple[int, int, int, int,
 
 
 def listed(docs: DataFrame, with_text: bool, whole: bool = False, wanted: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, h1, h2, times[, chunk]) of each document's distinct chunks. With a bitmap of ``wanted`` hashes, only those that may be among them."""
+    """(doc_id, row, h1, h2, times[, chunk]) of each document's distinct chunks; ``row``: its text's hash. With a bitmap of ``wanted`` hashes, only those that may be among them."""
     bitmap = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 rows = []
-                for doc_id, text in zip(b.column(0).slice(k, 512).to_pylist(), b.column(1).slice(k, 512).to_pylist(), strict=True):
+                for doc_id, row, text in zip(*(b.column(i).slice(k, 512).to_pylist() for i in range(3)), strict=True):
                     own: dict[tuple, list] = {}
                     for _, _, h1, h2, body in candidates(text or "", whole):
-                        own.setdefault((h1, h2, body), [doc_id, h1, h2, 0, body])[3] += 1
+                        own.setdefault((h1, h2, body), [doc_id, row, h1, h2, 0, body])[4] += 1
                     rows += own.values()
                 if bitmap is not None and rows:
-                    rows = [rows[i] for i in np.flatnonzero(flagged(bitmap.value, np.array([r[1] for r in rows], np.int64)))]
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                got = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-                names = ["doc_id", "h1", "h2", "times", "chunk"]
-                yield pa.RecordBatch.from_arrays(got if with_text else got[:4], names=names if with_text else names[:4])
+                    rows = [rows[i] for i in np.flatnonzero(flagged(bitmap.value, np.array([r[2] for r in rows], np.int64)))]
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                got = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.string()], strict=True)]
+                names = ["doc_id", "row", "h1", "h2", "times", "chunk"]
+                yield pa.RecordBatch.from_arrays(got if with_text else got[:5], names=names if with_text else names[:5])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, times long" + ", chunk string" * with_text)
+    return keyed(docs).mapInArrow(run, "doc_id long, row long, h1 long, h2 long, times long" + ", chunk string" * with_text)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def repeated(docs: DataFrame, whole: bool = False, wanted: np.ndarray | None = None) -> DataFrame:
-    """(h1, h2, first_doc) of the chunks that occur more than once, grouped by their bytes."""
-    groups = listed(docs, True, whole, wanted).groupBy("h1", "h2", "chunk").agg(F.sum("times").alias("times"), F.min("doc_id").alias("first_doc"))
-    groups = groups.drop("chunk").groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.sum("times").alias("times"), F.min("first_doc").alias("first_doc"))
-    return groups.where("texts = 1 and times > 1").select("h1", "h2", "first_doc")
+    """(h1, h2, first) of the chunks that occur more than once, grouped by their bytes; ``first``: (doc_id, row) of the first document."""
+    first = F.min(F.struct("doc_id", "row")).alias("first")
+    groups = listed(docs, True, whole, wanted).groupBy("h1", "h2", "chunk").agg(F.sum("times").alias("times"), first)
+    groups = groups.drop("chunk").groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.sum("times").alias("times"), F.min("first").alias("first"))
+    return groups.where("texts = 1 and times > 1").select("h1", "h2", "first")
 
 
 def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
@@ -111,14 +116,16 @@ def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
     if whole:
         counts = listed(docs, False, True).groupBy("h1").agg(F.sum("times").alias("times"))
         wanted = flags(counts.where("times > 1"), "h1")
-    found = listed(docs, False, whole, wanted).join(repeated(docs, whole, wanted), ["h1", "h2"])
-    found = found.where("doc_id <> first_doc or times > 1").groupBy("doc_id").agg(
-        F.collect_list(F.struct("h1", "h2", (F.col("doc_id") == F.col("first_doc")).alias("own"))).alias("cuts")
-    )
-    found = found.select(F.col("doc_id").alias("cut_id"), "cuts")
+    # Written, so that the rows of a chunk that many documents hold can be dealt to several tasks.
+    again = written(repeated(docs, whole, wanted), "repeated_chunks")
+    found = listed(docs, False, whole, wanted).join(again, ["h1", "h2"])
+    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
+    found = found.where(~own | (F.col("times") > 1)).groupBy("doc_id", "row").agg(F.collect_list(F.struct("h1", "h2", own.alias("own"))).alias("cuts"))
+    found = found.select(F.col("doc_id").alias("cut_id"), F.col("row").alias("cut_row"), "cuts")
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("doc"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("key"))
-    rows = rows.join(found, rows["key"] == found["cut_id"], "left").select("doc", "text", "cuts")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*names).alias("doc"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("key"), F.xxhash64(text).alias("row"))
+    rows = rows.join(found, (rows["key"] == found["cut_id"]) & (rows["row"] == found["cut_row"]), "left").select("doc", "text", "cuts")
     doc = rows.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,4 +156,4 @@ def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
             )
 
     out = rows.mapInArrow(run, f"doc {doc}, text string, lines_total long, lines_removed long, chunks_removed long")
-    return out.select(*[F.col("text") if n == "text" else F.col("doc")[n].alias(n) for n in names], "lines_total", "lines_removed", "chunks_removed")
+    return out.select(*[F.col("text") if n == "text" else F.col("doc")[n].alias(n) for n in names], *[F.col(n).alias(n + "_" * (n in names)) for n in ("lines_total", "lines_removed", "chunks_removed")])
