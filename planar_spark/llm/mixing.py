@@ -97,9 +97,10 @@ def in_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, with_position: bool = False, **options) -> DataFrame:
     """The documents of the mix, in curriculum order, whole copies only: a document is repeated ``taken / size``
-    times, rounded, and every copy stands at its own due time. Documents without words have nothing to take and go."""
+    times, rounded, and every copy stands at its own due time. Documents without words have nothing to take and go. The columns are those of ``docs``,
+    whatever their names, and ``with_position`` the due time, as ``mix_position`` (with an underscore if ``docs`` has that name)."""
     plan = curriculum(docs, **options).where("taken > 0")
     plan = plan.withColumn("copy", F.explode(F.expr("sequence(1, greatest(1, cast(round(taken / size) as int)))"))).where(F.col("copy") <= F.round(F.col("taken") / F.col("size")))
     earlier = F.col("copy") - 1
@@ -107,5 +108,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     share = F.least(F.lit(1.0), (earlier * F.col("source_size") + F.col("before") + part / 2) / F.col("target"))
     plan = plan.select(F.col("doc_id").alias("mix_id"), F.col("copy").alias("mix_copy"), F.round(due(share, F.col("pieces")), 9).alias("mix_position"))
     plan = plan.groupBy("mix_id", "mix_copy").agg(F.min("mix_position").alias("mix_position"))
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(plan["mix_id"]))
-    return out.orderBy("mix_position", "mix_id", "mix_copy").select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("of"))
+    out = rows.join(plan, rows["of"].eqNullSafe(plan["mix_id"])).orderBy("mix_position", "mix_id", "mix_copy")
+    position = [F.col("mix_position").alias("mix_position" + "_" * ("mix_position" in docs.columns))] * with_position
+    return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns], *position)

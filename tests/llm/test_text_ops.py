@@ -104,6 +104,17 @@ def test_line_dedup_whole(spark):
     assert line_dedup.dedup_lines(frame(spark, rows).limit(0), True).count() == 0
 
 
+def test_line_dedup_of_repeated_and_missing_ids(spark):
+    """Rows are documents of their own whatever their ids; a column that clashes stays."""
+    passage = "\n".join(f"line {i} of a passage" for i in range(30))
+    rows = [(1, "a\n" + passage), (1, "b\n" + passage), (None, "c\n" + passage), (None, "d\n" + passage), (2, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, lines_total string")
+    out = line_dedup.dedup_lines(docs, True)
+    got = out.collect()
+    assert sum(passage in (r["text"] or "") for r in got) == 1 and sum(r["lines_removed"] for r in got) == 90 and len(got) == 6
+    assert out.columns == ["doc_id", "text", "lines_total", "lines_total_", "lines_removed", "chunks_removed"] and {r["lines_total"] for r in got} == {"mine"}
+
+
 def test_line_chunks_resist_shifts():
     lines = [f"line {i}" for i in range(200)]
     ends = lambda c, by: {b + by for _, b in c}
@@ -206,6 +217,13 @@ def test_mixing(spark, texts):
     assert mixing.mixed_documents(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixing_keeps_clashing_columns(spark, texts):
+    docs = frame(spark, texts).withColumnsRenamed({"h1": "mix_copy", "key": "mix_position"})
+    out = mixing.mixed_documents(docs, with_position=True)
+    at = [r["mix_position_"] for r in out.collect()]
+    assert out.columns == [*docs.columns, "mix_position_"] and at == sorted(at) and len(at) > 200
+
+
 def test_mixing_places_every_copy(spark, texts):
     """With even schedules a copy is due at its share of the words of all passes, by brute force."""
     docs, even = frame(spark, texts), (((0.0, 1.0), (1.0, 1.0)),)
