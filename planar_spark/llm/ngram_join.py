@@ -9,7 +9,7 @@ The global order of n-grams (rare before common, then by hash) is cut into fragm
    or sizes exclude a link goes at once.
 3. The remaining pairs are counted exactly: each fragment is joined with itself for their partial overlaps, which are then summed per pair.
 
-Groups of near copies never become all pairs. First every member's nearest partner in each of its groups is counted, and links are joined
+Groups of near copies never become all pairs. First every member's nearest and least partner in each of its first groups are counted, and links are joined
 into components. After that a group whose members are all in one component is settled; of any other, only the members outside its largest component
 are compared with the rest, in bounded blocks, and only pairs between different components whose bound allows a link are left to be counted.
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import claim, components, discard, flagged, flags, parts, written
@@ -40,6 +40,7 @@ FRAGMENTS = 8  # of the global order: half of them for the rare n-grams, half fo
 COMMON = 8  # times in a batch that make an n-gram common
 MOST_COMMON = 1 << 20  # common n-grams that are told apart; others count as rare
 BLOCK, WIDE = 2048, 16384  # members outside a group's largest component, and members of all kinds, that meet in one block
+EARLY = 8  # groups of each set in which the nearest partners are sought
 NO_ID = (1 << 63) - 1  # by which the texts of rows without doc_id are fetched
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -292,54 +293,85 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
     return out
 
 
-def between(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs of different components that share a block of a group and whose sizes and parities allow a link; if ``nearest``, for
-    every member outside the largest component only its pair of the least bound. Rows stand block by block."""
-    names = ["rep", "size", "place", "component", "parity", "outside"]
+MEMBER = ["rep", "size", "place", "component", "outside"]
+ROWS = "g long, x int, y int, rep long, size int, place int, component long, outside int"
+
+
+def by_block(rows: DataFrame, columns: list[str], schema, solve) -> DataFrame:
+    """``solve(table)`` for each block of ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None
-
-        def solve() -> Iterator[pa.RecordBatch]:
-            block = pa.Table.from_batches(held)
-            rep, size, place, comp, side = (block.column(k).to_numpy() for k in ("rep", "size", "place", "component", "outside"))
-            bits = np.frombuffer(b"".join(block.column("parity").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            # side: 0 the block's members outside the largest component, as the left ones; 1 and 2 all members, 2 those outside it.
-            left, right = np.nonzero(side == 0)[0], np.nonzero(side > 0)[0]
-            for i in left:
-                s, t = size[i], size[right]
-                keep = (comp[right] != comp[i]) & (np.minimum(s, t) * 100 >= percent * np.maximum(s, t))
-                keep &= np.minimum(s - place[i], t - place[right]) >= least_overlap(s, t, percent)
-                keep &= (side[right] == 1) | (rep[right] > rep[i])
-                j = right[keep]
-                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                fits = (s + size[j] - differ) >= 2 * least_overlap(s, size[j], percent)
-                j = j[fits]
-                if nearest and len(j):
-                    j = j[[np.argmin(differ[fits])]]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
-
         for b in batches:
             g, x, y = (b.column(i).to_numpy() for i in range(3))
             new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(g) else []
             for a, e in zip(new, np.append(new[1:], len(g)), strict=True):
                 if (g[a], x[a], y[a]) != now:
                     if held:
-                        yield from solve()
+                        yield from solve(pa.Table.from_batches(held))
                     now, held = (g[a], x[a], y[a]), []
-                held.append(b.slice(a, e - a).select(names))
+                held.append(b.slice(a, e - a))
         if held:
-            yield from solve()
+            yield from solve(pa.Table.from_batches(held))
+
+    dealt = rows.select("g", "x", "y", *columns).repartition(parts(rows.sparkSession), "g", "x", "y")
+    return dealt.sortWithinPartitions("g", "x", "y").mapInArrow(run, schema)
+
+
+def meetings(block: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in a block of pairs of different components whose sizes and places allow a link, tile by tile."""
+    rep, size, place, comp, side = (block.column(k).to_numpy() for k in MEMBER)
+    # side: 0 the block's members outside the largest component, as the left ones; 1 and 2 all members, 2 those outside it.
+    left, right = np.nonzero(side == 0)[0], np.nonzero(side > 0)[0]
+    tile = max(1, (1 << 15) // max(1, len(right)))
+    for k in range(0, len(left), tile):
+        i = left[k : k + tile]
+        s, t = size[i, None], size[None, right]
+        keep = (comp[right] != comp[i, None]) & (np.minimum(s, t) * 100 >= percent * np.maximum(s, t))
+        keep &= np.minimum(s - place[i, None], t - place[right]) >= least_overlap(s, t, percent)
+        keep &= (side[right] == 1) | (rep[right] > rep[i, None])
+        at, j = np.nonzero(keep)
+        yield i[at], right[j]
+
+
+def meeting_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows that have such a partner in their block; only they need their parities."""
+
+    def solve(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        meets = np.zeros(block.num_rows, bool)
+        for i, j in meetings(block, percent):
+            meets[i] = meets[j] = True
+        if meets.any():
+            yield from block.filter(pa.array(meets)).to_batches()
 
-    return rows.select("g", "x", "y", *names).mapInArrow(run, "a long, b long")
+    return by_block(rows, MEMBER, ROWS, solve)
+
+
+def between(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of different components that share a block of a group and whose sizes and parities allow a link; if ``nearest``, for
+    every member outside the largest component only its pair of the least bound and that with the least partner."""
+
+    def solve(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        rep, size = (block.column(k).to_numpy() for k in ("rep", "size"))
+        bits = np.frombuffer(b"".join(block.column("parity").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        for i, j in meetings(block, percent):
+            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+            fits = (size[i] + size[j] - differ) >= 2 * least_overlap(size[i], size[j], percent)
+            i, j = i[fits], j[fits]
+            if nearest and len(i):
+                picked = [np.lexsort((by, i)) for by in (differ[fits], rep[j])]
+                first = np.unique([o[np.append(True, i[o][1:] != i[o][:-1])] for o in picked])
+                i, j = i[first], j[first]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
+
+    return by_block(rows, [*MEMBER, "parity"], "a long, b long", solve)
 
 
 def unsettled(posted: DataFrame, reps: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(g, x, y, rep, size, place, component, parity, outside): blocks of the groups whose members are in several components. Members outside
-    a group's largest component meet all its members; the largest component is never compared with itself. Also the written groups."""
-    spark = posted.sparkSession
+    """(g, x, y, rep, size, place, component, outside): blocks of the groups whose members are in several components. Members outside
+    a group's largest component meet all its members; the largest component is never compared with itself. Also the groups, written."""
     labelled = posted.select("g", "rep", "size", "place", F.col("rep").alias("component"))
     if known is not None:
         labels = known.select(F.col("node").alias("rep"), F.col("component").alias("label"))
@@ -347,7 +379,7 @@ def unsettled(posted: DataFrame, reps: DataFrame, known: DataFrame | None) -> tu
     counts = labelled.groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g")
     groups = counts.agg(F.max_by("component", "c").alias("largest"), F.max("c").alias("c"), F.sum("c").alias("m")).where("m > c")
     groups = written(groups, "open_groups")
-    rows = labelled.join(groups, "g").join(reps.select(F.col("key").alias("rep"), "parity"), "rep")
+    rows = labelled.join(groups, "g")
     many = lambda n, size: F.ceil(n / size).cast("int")
     spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     each = lambda n: F.sequence(F.lit(0), n - 1)
@@ -356,9 +388,8 @@ def unsettled(posted: DataFrame, reps: DataFrame, known: DataFrame | None) -> tu
     place = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), side.cast("int").alias("outside"))
     as_left = F.when(out, F.transform(each(down), lambda y: place(spread(across), y, F.lit(0)))).otherwise(F.array().cast("array<struct<x:int,y:int,outside:int>>"))
     as_right = F.transform(each(across), lambda x: place(x, spread(down), F.lit(1) + out.cast("int")))
-    rows = rows.select("g", "rep", "size", "place", "component", "parity", F.explode(F.concat(as_left, as_right)).alias("at"))
-    rows = rows.select("g", "at.x", "at.y", "rep", "size", "place", "component", "parity", "at.outside")
-    return rows.repartition(parts(spark), "g", "x", "y").sortWithinPartitions("g", "x", "y"), groups
+    rows = rows.select("g", "rep", "size", "place", "component", F.explode(F.concat(as_left, as_right)).alias("at"))
+    return rows.select("g", "at.x", "at.y", "rep", "size", "place", "component", "at.outside"), groups
 
 
 def representatives(full: DataFrame, first: DataFrame) -> DataFrame:
@@ -378,11 +409,30 @@ def representatives(full: DataFrame, first: DataFrame) -> DataFrame:
     return part(False).union(chosen)
 
 
+def leading(chosen: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """(place, g, rep, size) of the leading n-grams; with a bitmap of ``wanted`` n-grams, only those that may be among them."""
+    bitmap = None if wanted is None else chosen.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                b = whole.slice(k, 1024)
+                lengths, g = b.column(2).value_lengths().to_numpy(), b.column(2).flatten().to_numpy()
+                keep = np.flatnonzero(flagged(bitmap.value, g))
+                of, starts = np.repeat(np.arange(len(lengths)), lengths)[keep], np.cumsum(lengths) - lengths
+                columns = [(keep - starts[of]).astype(np.int32), g[keep], b.column(0).to_numpy()[of], b.column(1).to_numpy()[of].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "g", "rep", "size"])
+
+    if wanted is None:
+        return chosen.select(F.posexplode("lead").alias("place", "g"), F.col("key").alias("rep"), F.col("size").cast("int").alias("size"))
+    return chosen.select("key", "size", "lead").mapInArrow(run, "place int, g long, rep long, size int")
+
+
 def first_groups(posted: DataFrame) -> DataFrame:
     """Of groups with the same members that of the first n-gram in the global order, which has the same members' least places."""
     sums = [F.bit_xor(F.xxhash64("rep")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("t")]
     of = posted.groupBy("g").agg(F.count("*").alias("m"), *sums, F.min(F.struct("rep", "place")).alias("least"))
-    return of.groupBy("m", "s", "t", "least.rep").agg(F.min_by("g", "least.place").alias("g")).select("g")
+    return of.groupBy("m", "s", "t", "least.rep").agg(F.min_by("g", "least.place").alias("g")).select("g", "m")
 
 
 def of_two(posted: DataFrame, percent: int) -> DataFrame:
@@ -404,15 +454,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     first = written(full.groupBy("h1", "h2", "size").agg(F.min("key").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("copies")), "representatives")
     chosen = representatives(full, first)
     reps = written(chosen.select("key", "doc_id", "size", "parity", "wide"), "parities")
-    leads = chosen.select(F.posexplode("lead").alias("place", "g"), F.col("key").alias("rep"), F.col("size").cast("int").alias("size"))
-    groups = written(leads.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "groups")
-    meeting = written(leads.join(groups, "g"), "meeting")
-    posted = written(meeting.join(written(first_groups(meeting), "first_groups"), "g"), "shared_leads")
-    discard(groups, meeting)
-    # First each member of a group with its nearest only, which joins most; then, between the components, all that is left.
+    groups = written(leading(chosen).groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "groups")
+    meeting = leading(chosen, flags(groups, "g")).join(groups, "g")
+    kept = written(first_groups(meeting), "first_groups")
+    posted = written(leading(chosen, flags(kept, "g")).join(kept, "g"), "shared_leads")
+    discard(groups, kept)
+    # First each member of an early group with its nearest only, which joins most; then, between the components, all that is left.
     links = tested = known = None
     for nearest in (True, False):
-        rows, open_groups = unsettled(posted.where("m > 2"), reps, known)
+        larger = posted.where("m > 2")
+        if nearest:
+            rank = F.row_number().over(Window.partitionBy("rep").orderBy("place"))
+            larger = larger.withColumn("rank", rank).where(F.col("rank") <= EARLY)
+        rows, open_groups = unsettled(larger, reps, known)
+        rows = meeting_rows(rows, percent).join(reps.select(F.col("key").alias("rep"), "parity"), "rep")
         rest = between(rows, percent, nearest)
         rest = rest.union(of_two(posted, percent)).distinct() if nearest else rest.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = written(possible(rest, reps, percent), "pairs")
