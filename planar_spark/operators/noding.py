@@ -22,6 +22,11 @@ ROUNDS = 100  # more is an error
 SEGMENT = ["line_id", "x1", "y1", "x2", "y2"]
 
 
+def big(c: Column) -> Column:
+    """For products of grid numbers, which can pass 64 bits: a metre is 100,000 of them at the default tolerance."""
+    return c.cast("decimal(19,0)")
+
+
 def segments(lines: DataFrame, cfg: TopoConfig) -> DataFrame:
     """(line_id, x1, y1, x2, y2, error) in grid numbers; an unreadable line is one row with an error."""
 
@@ -56,13 +61,17 @@ def _cells(rows: DataFrame, cell: int) -> DataFrame:
 
 def crossings(pieces: DataFrame) -> DataFrame:
     """(x1, y1, x2, y2, px, py): where other pieces meet each distinct piece, borders included, as grid points."""
-    size = pieces.agg(F.avg(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))))).first()[0]
+    extent = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    size, longest = pieces.agg(F.avg(extent), F.max(extent)).first()
     cell = max(1, int(2 * (size or 1)))
+    # Pieces that meet lie within twice the longest one: their products fit 64 bits up to this length.
+    exact = (lambda c: c.cast("decimal(19,0)")) if (longest or 0) > 1_000_000_000 else (lambda c: c)
     ends = ["x1", "y1", "x2", "y2"]
     one = _cells(pieces.select(*ends), cell)
     other = one.select("cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ends])
-    met = one.join(other, ["cx", "cy"]).where(F.struct(*ends) != F.struct(*[F.col(f"o_{c}") for c in ends])).drop("cx", "cy").distinct()
-    x1, y1, x2, y2, u1, v1, u2, v2 = (F.col(c) for c in [*ends, *[f"o_{c}" for c in ends]])
+    met = one.join(other, ["cx", "cy"]).where(F.struct(*ends) != F.struct(*[F.col(f"o_{c}") for c in ends])).drop("cx", "cy")
+    # Pairs that share several cells are tested in each: their points are made distinct below, which are far fewer than the pairs.
+    x1, y1, x2, y2, u1, v1, u2, v2 = (exact(F.col(c)) for c in [*ends, *[f"o_{c}" for c in ends]])
     dx, dy, ex, ey = x2 - x1, y2 - y1, u2 - u1, v2 - v1
     den = dx * ey - dy * ex
     t, s = (u1 - x1) * ey - (v1 - y1) * ex, (u1 - x1) * dy - (v1 - y1) * dx
@@ -71,7 +80,7 @@ def crossings(pieces: DataFrame) -> DataFrame:
     inside = lambda px, py: ((px - x1) * dy == (py - y1) * dx) & px.between(F.least(x1, x2), F.greatest(x1, x2)) & py.between(F.least(y1, y2), F.greatest(y1, y2))
     point = lambda a, b: F.struct(a.cast("long").alias("px"), b.cast("long").alias("py"))
     found = F.array(
-        F.when(crossed, point(F.round(x1 + dx * (t / den)), F.round(y1 + dy * (t / den)))),
+        F.when(crossed, point(F.round(x1 + dx * (t.cast("double") / den.cast("double"))), F.round(y1 + dy * (t.cast("double") / den.cast("double"))))),
         F.when(inside(u1, v1), point(u1, v1)), F.when(inside(u2, v2), point(u2, v2)),
     )
     return met.select(*ends, F.explode(F.array_compact(found)).alias("p")).select(*ends, "p.*").distinct()
@@ -81,7 +90,7 @@ def split(pieces: DataFrame, points: DataFrame) -> DataFrame:
     """Distinct (line_id, x1, y1, x2, y2) after cutting at the points."""
     ends = ["x1", "y1", "x2", "y2"]
     at = points.groupBy(*ends).agg(F.collect_set(F.struct("px", "py")).alias("points"))
-    along = lambda p: ((p["px"] - F.col("x1")) * (F.col("x2") - F.col("x1")) + (p["py"] - F.col("y1")) * (F.col("y2") - F.col("y1"))).alias("k")
+    along = lambda p: (big(p["px"] - F.col("x1")) * (F.col("x2") - F.col("x1")) + big(p["py"] - F.col("y1")) * (F.col("y2") - F.col("y1"))).alias("k")
     own = F.array(F.struct(F.col("x1").alias("px"), F.col("y1").alias("py")), F.struct(F.col("x2").alias("px"), F.col("y2").alias("py")))
     stops = F.array_sort(F.transform(F.array_distinct(F.concat(own, F.coalesce("points", F.array().cast("array<struct<px: bigint, py: bigint>>")))), lambda p: F.struct(along(p), p["px"].alias("px"), p["py"].alias("py"))))
     rows = pieces.join(at, ends, "left").select("line_id", stops.alias("s"))
@@ -153,7 +162,7 @@ def half_edges(edges: DataFrame) -> DataFrame:
 def faced(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges with left_face and right_face, faces (face_id, area in grid units)). Face 0 is the outside."""
     half = written(half_edges(edges), "ring_edges")
-    twice = F.sum((F.col("x") * F.col("ty") - F.col("tx") * F.col("y")).cast("decimal(38,0)"))
+    twice = F.sum((big(F.col("x")) * F.col("ty") - big(F.col("tx")) * F.col("y")).cast("decimal(38,0)"))
     rings = written(half.groupBy("ring").agg(twice.alias("twice"), F.min(F.struct("x", "y")).alias("at")), "ring_areas")
     # Where a ring bounds its part of the graph from outside, the nearest edge below its leftmost point tells what is around it.
     parts = components(edges.select(F.col("start_node").alias("a"), F.col("end_node").alias("b")), "graph_parts")
@@ -164,8 +173,8 @@ def faced(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = half.agg(F.avg(F.abs(F.col("tx") - F.col("x")))).first()[0]
     cell = max(1, int(2 * (size or 1)))
     below = half.where("tx > x").withColumn("c", F.explode(F.sequence(F.floor(F.col("x") / cell), F.floor(F.col("tx") / cell)))).select("c", "x", "y", "tx", "ty", "part", F.col("ring").alias("under"))
-    height = F.col("y") + (F.col("ty") - F.col("y")) * (F.col("px") - F.col("x")) / (F.col("tx") - F.col("x"))
-    lower = (F.col("px") - F.col("x")) * (F.col("ty") - F.col("y")) < (F.col("py") - F.col("y")) * (F.col("tx") - F.col("x"))
+    height = F.col("y") + (F.col("ty") - F.col("y")).cast("double") * (F.col("px") - F.col("x")) / (F.col("tx") - F.col("x"))
+    lower = big(F.col("px") - F.col("x")) * (F.col("ty") - F.col("y")) < big(F.col("py") - F.col("y")) * (F.col("tx") - F.col("x"))
     seen = outer.withColumn("c", F.floor(F.col("px") / cell)).join(below, "c").where((F.col("part") != F.col("own")) & (F.col("x") <= F.col("px")) & (F.col("px") < F.col("tx")) & lower)
     seen = seen.groupBy("ring").agg(F.max_by("under", F.struct(height.alias("h"), ((F.col("ty") - F.col("y")) / (F.col("tx") - F.col("x"))).alias("s"))).alias("under"))
     shells = numbered(rings.where("twice > 0").select("ring", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "twice"), ["x", "y", "twice", "ring"], "face_id")

@@ -30,8 +30,8 @@ def measurements(spots: DataFrame) -> DataFrame:
 
 
 def safe_number(value: Column) -> Column:
-    """Whole numbers over a million as text, so that no reader rounds them."""
-    return F.when(value > 1_000_000, value.cast("string"))
+    """Numbers as text, so that no reader rounds whole ones over a million."""
+    return value.cast("string")
 
 
 def color_of(unit: Column, tag: Column, fallback: str = "#888888") -> Column:

@@ -8,8 +8,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from planar_spark.config import TopoConfig
 from planar_spark.kernel import generalise, mvt, planar, wkb
-from planar_spark.operators import dml, vector_tiles
+from planar_spark.operators import dml, noding, vector_tiles
 from planar_spark.operators.components import components
 from planar_spark.sources import fielddata, files
 
@@ -103,3 +104,15 @@ def test_noding_ends_with_no_cut_left_or_raises(spark, monkeypatch):
     monkeypatch.setattr(noding, "ROUNDS", 1)
     with pytest.raises(RuntimeError):
         noding.cut_pieces(lines)
+
+
+@pytest.mark.parametrize("side", [600, 40_000])
+def test_noding_in_utm_at_the_default_tolerance(spark, side):
+    """Grid numbers of 4e11, whose products pass 64 bits; pieces over 10 km are tested in decimals."""
+    square = lambda x, y: wkb.encode(wkb.multi(wkb.parse(f"LINESTRING ({x} {y},{x + side} {y},{x + side} {y + side},{x} {y + side},{x} {y})")[0]))
+    rows = [(1, bytearray(square(500_000, 4_000_000))), (2, bytearray(square(500_000 + side // 2, 4_000_000 + side // 2)))]
+    edges, _, errors = noding.noded(spark.createDataFrame(rows, "id long, geometry binary"), TopoConfig(32612))
+    _, faces = noding.faced(edges)
+    quarter = side * side / 4
+    assert errors.count() == 0
+    assert sorted(round(r["area"] * 1e-10, 3) for r in faces.where("face_id <> 0").collect()) == [quarter, 3 * quarter, 3 * quarter]
