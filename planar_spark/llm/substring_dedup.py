@@ -37,7 +37,8 @@ from .loser_tree import common, merge_prefixed
 
 R = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(R), -1, 1 << 64))
-PIECE = 1 << 20
+PIECE = 1 << 18
+RUN = 6_000_000  # bytes of a task's suffixes that are sorted together
 POWERS: dict[str, np.ndarray] = {}
 
 
@@ -121,7 +122,7 @@ def listed(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 if len(got[0]):
                     held.append((np.full(len(got[0]), keys[i]), *got))
                     size += len(got[0])
-                if held and (size > 100_000 or i + 1 == b.num_rows):
+                if held and (size > 50_000 or i + 1 == b.num_rows):
                     key, at, h, e = (np.concatenate(x) for x in zip(*held, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(e.view(np.int64))], names=["key", "at", "h", "e"])
                     held, size = [], 0
@@ -167,14 +168,14 @@ def decide(order: list[tuple[int, bytes, bytes]], length: int, gram: int, below:
     times = np.array([int.from_bytes(x[2][8:16]) for x in order])
     h = np.frombuffer(b"".join(x[1][:8] for x in order), ">u8").astype(np.uint64)
     e = np.frombuffer(b"".join(x[2][:8] for x in order), ">u8").astype(np.uint64)
-    grid = np.zeros((n, before), np.uint64)
+    grid = np.zeros((n, before), np.uint8)
     for i, x in enumerate(order):
         if left[i]:
             grid[i, before - left[i] :] = np.frombuffer(x[2][16:], np.uint8)
     # Hashes of the bytes before the anchor, by their number.
     hashes = np.zeros((before + 1, n), np.uint64)
     for k in range(before):
-        hashes[k + 1] = mixed(hashes[k] * R + grid[:, before - 1 - k] + np.uint64(1))
+        hashes[k + 1] = mixed(hashes[k] * R + grid[:, before - 1 - k].astype(np.uint64) + np.uint64(1))
     over = 0 if below is None else common(below, order[0][1]), 0 if above is None else common(above, order[-1][1])
     low, high, rows = np.full(n, -1), np.full(n, -1), []
     for shift in range(before + 1):
@@ -288,7 +289,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, per_rang
                     payload = (s["e"] & (1 << 64) - 1).to_bytes(8) + s["times"].to_bytes(8) + text[max(0, at - before) : at]
                     held.setdefault(first[h] + bisect_right(cuts[h], string) if h in first else h * ranges >> 64, []).append((string, payload))
                     size += len(payload) + len(string)
-                if size > 24_000_000:
+                if size > RUN:
                     yield flush()
                     held, size = {}, 0
         if held:
@@ -312,7 +313,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, per_rang
         order: list[tuple[int, bytes, bytes]] = []
         # Whole grams are gathered until there are enough contexts for one step.
         for entry in merge_prefixed([decoded(r) for r in runs]):
-            if entry[0] < 8 and len(order) >= 4096:
+            if entry[0] < 8 and len(order) >= 1024:
                 yield from decided_rows(*decide(order, length, gram, *cut))
                 order = []
             order.append(entry)
@@ -352,7 +353,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, per_rang
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts that lose nothing are finished here; only the others' bytes go on."""
-        for b in batches:
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             texts = b.column(2).to_pylist()
             go = flagged(shared.value, b.column(0).to_numpy())
             done = [None if g else hashlib.sha256(t).hexdigest() for g, t in zip(go, texts, strict=True)]
@@ -360,7 +361,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, per_rang
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(done, pa.string()), pa.array(on, pa.binary())], names=["key", "doc_id", "n_bytes", "sha", "text"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             out = []
             for doc_id, n, sha, text, found in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 runs = united([(s["start"], s["end"]) for s in found or ()], n)
