@@ -105,7 +105,8 @@ def anchors(data: np.ndarray, length: int, gram: int, piece: int = PIECE) -> tup
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     place, h, context = (np.concatenate(x) for x in zip(*found, strict=True))
     place, first = np.unique(place, return_index=True)
-    return place, h[first], context[first]
+    # Anchors have small hashes: mixed once more they fill the ranges evenly.
+    return place, mixed(h[first] ^ R), context[first]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
