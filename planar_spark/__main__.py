@@ -1,4 +1,4 @@
-"""Command line: ``python -m planar_spark --store PATH create-tables | update | reset | delete | show-errors | clean-topology``."""
+"""Command line: ``python -m planar_spark --store PATH create-tables | update | update-contacts | update-faces | reset | delete | show-errors | clean-topology``."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .config import TopoConfig
-from .operators import graph
 from .plans.solve import TopoSession
 from .streaming.watch import watch
 
@@ -21,10 +20,12 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("create-tables")
     update = sub.add_parser("update")
     update.add_argument("--reset", action="store_true", help="forget derived tables first")
+    for flag in ("--fill-holes", "--fix-failed"):
+        update.add_argument(flag, action="store_true", help="accepted: every update solves all faces and tries all lines again")
     update.add_argument("--watch", metavar="FOLDER", help="then follow an edit log")
     reset = sub.add_parser("reset")
     reset.add_argument("--yes", action="store_true")
-    for name in ("delete", "show-errors", "clean-topology"):
+    for name in ("update-contacts", "update-faces", "delete", "show-errors", "clean-topology"):
         sub.add_parser(name)
     a = p.parse_args(argv)
     session = TopoSession(SparkSession.builder.getOrCreate(), a.store, TopoConfig(a.srid, a.tolerance))
@@ -34,21 +35,23 @@ def main(argv: list[str] | None = None) -> int:
         if a.reset:
             session.reset()
         session.update()
+        session.clean()
         if a.watch:
             watch(session, a.watch, f"{a.store}/watch").awaitTermination()
+    elif a.command == "update-contacts":
+        session.update_contacts()
+    elif a.command == "update-faces":
+        session.update_faces()
     elif a.command == "reset":
         if not a.yes and input("Forget the topology? [y/N] ").lower() != "y":
             return 1
         session.reset()
     elif a.command == "delete":
-        session.reset()
+        session.forget()
     elif a.command == "show-errors":
         session.store.read("linework_topo").where("topology_error is not null").show(truncate=False)
     else:
-        read = session.store.read
-        lines = read("linework").select("id")
-        line_edge = read("line_edge").join(lines.withColumnRenamed("id", "line_id"), "line_id", "left_semi")
-        session.store.commit({"line_edge": line_edge, "edge": graph.without_unused_edges(read("edge"), line_edge)})
+        session.clean()
     return 0
 
 

@@ -29,6 +29,31 @@ def register(map_faces: DataFrame, members: DataFrame, old: DataFrame | None = N
     return new if old is None else upsert(old, new, ["face_id", "map_layer"])
 
 
+def containing(map_faces: DataFrame, members: DataFrame, asked: DataFrame) -> DataFrame:
+    """The map faces, with their columns, over each of ``asked`` (face_id, map_layer); faces that none covers have no row."""
+    over = asked.select("face_id", "map_layer").join(members, ["face_id", "map_layer"])
+    return over.join(map_faces.withColumnRenamed("id", "map_face"), ["map_face", "map_layer"])
+
+
+def edge_units(edges: DataFrame, face_type: DataFrame) -> DataFrame:
+    """(edge_id, map_layer, units): the units on the sides of an edge, sorted; sides without one are left out."""
+    side = edges.select("edge_id", F.explode(F.array_distinct(F.array("left_face", "right_face"))).alias("face_id"))
+    named = side.join(face_type.where("unit_id is not null").select("face_id", "map_layer", "unit_id"), "face_id")
+    return named.groupBy("edge_id", "map_layer").agg(F.sort_array(F.collect_list("unit_id")).alias("units"))  # two at most for each layer's cover
+
+
+def contact_units(units_of: DataFrame, relation: DataFrame, kind: str) -> DataFrame:
+    """Lines of type ``kind`` along edges with a unit on both sides: (edge_id, map_layer, line_id, type, units)."""
+    lines = relation.where(F.col("type") == kind).select("edge_id", "map_layer", "line_id", "type")
+    return units_of.where(F.size("units") > 1).join(lines, ["edge_id", "map_layer"])
+
+
+def mapped_faces(map_faces: DataFrame, types: DataFrame, without: str = "surficial-none") -> DataFrame:
+    """Labelled map faces with their type's colour, those of the type ``without`` left out."""
+    t = types.select(F.col("id").alias("unit_id"), "color")
+    return map_faces.where(F.col("unit_id") != without).join(F.broadcast(t), "unit_id")  # a dimension: one row per type
+
+
 def covered_twice(members: DataFrame) -> DataFrame:
     """(face_id, map_layer, covers, n): faces that several map faces of one layer cover."""
     rows = members.groupBy("face_id", "map_layer").agg(F.sort_array(F.collect_list("map_face")).alias("covers"), F.count("*").alias("n"))

@@ -10,6 +10,12 @@ from .components import components
 SHIFT = 1 << 40  # separates layers in the ids of (layer, face) pairs
 
 
+def nodes(edges: DataFrame) -> DataFrame:
+    """(node_id, x, y) of the ends of edges."""
+    one = lambda n, x, y: F.struct(F.col(n).alias("node_id"), F.col(x).alias("x"), F.col(y).alias("y"))
+    return edges.select(F.explode(F.array(one("start_node", "x1", "y1"), one("end_node", "x2", "y2"))).alias("n")).select("n.*").distinct()
+
+
 def node_edge(edges: DataFrame) -> DataFrame:
     """(node_id, edges sorted, n_edges): an edge that begins and ends at a node counts twice."""
     ends = edges.select("edge_id", F.explode(F.array("start_node", "end_node")).alias("node_id"))
@@ -35,12 +41,43 @@ def unused_edges(edges: DataFrame, line_edge: DataFrame) -> DataFrame:
 
 def without_unused_edges(edges: DataFrame, line_edge: DataFrame) -> DataFrame:
     """Edges in no line go, and the faces on their sides become one: the least id of each joined set stays."""
-    gone = unused_edges(edges, line_edge).select(F.col("left_face").alias("a"), F.col("right_face").alias("b"))
-    names = components(gone, "merged_faces")
+    names = merged_names(edges, line_edge)
     out = edges.join(line_edge.select("edge_id").distinct(), "edge_id", "left_semi")
-    for side in ("left_face", "right_face"):
-        n = names.select(F.col("node").alias("_f"), F.col("component").alias("_c"))
-        out = out.join(n, out[side] == n["_f"], "left").withColumn(side, F.coalesce("_c", side)).drop("_f", "_c")
+    return renamed(renamed(out, names, "left_face"), names, "right_face")
+
+
+def merged_names(edges: DataFrame, line_edge: DataFrame) -> DataFrame:
+    """(node, component): the faces that become one when edges in no line go, and the least of them."""
+    return components(unused_edges(edges, line_edge).select(F.col("left_face").alias("a"), F.col("right_face").alias("b")), "merged_faces")
+
+
+def renamed(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """``column`` by the name of its component, where it has one."""
+    n = names.select(F.col("node").alias("_f"), F.col("component").alias("_c"))
+    return rows.join(n, rows[column] == n["_f"], "left").withColumn(column, F.coalesce("_c", column)).drop("_f", "_c")
+
+
+def cleaned(tables: dict[str, DataFrame], lines: DataFrame) -> dict[str, DataFrame]:
+    """The clean-up as one step over ``edge``, ``line_edge``, ``edge_relation``, ``face``, ``map_face_face`` and ``face_type``.
+
+    Relations of lines that are gone go first, then edges in no line, whose faces join in every table, then nodes at no edge. Edges are
+    straight pieces, so those that healing makes one keep their rows; ``edge_chain`` (edge_id, chain) names what each is part of.
+    """
+    held = lines.select(F.col("id").alias("line_id")).distinct()
+    line_edge = tables["line_edge"].join(held, "line_id", "left_semi")
+    names = merged_names(tables["edge"], line_edge)
+    edges = tables["edge"].join(line_edge.select("edge_id").distinct(), "edge_id", "left_semi")
+    edges = renamed(renamed(edges, names, "left_face"), names, "right_face")
+    out = {"edge": edges, "line_edge": line_edge, "edge_chain": heal_chains(edges, line_edge)}
+    if {"x1", "y1", "x2", "y2"} <= set(edges.columns):
+        out["node"] = nodes(edges)
+    if "edge_relation" in tables:
+        out["edge_relation"] = tables["edge_relation"].join(held, "line_id", "left_semi").join(edges.select("edge_id"), "edge_id", "left_semi")
+    if "face" in tables:
+        out["face"] = renamed(tables["face"], names, "face_id").groupBy("face_id").agg(F.sum("area").alias("area"))
+    for name in ("map_face_face", "face_type"):
+        if name in tables:
+            out[name] = renamed(tables[name], names, "face_id").where("face_id <> 0").select(*tables[name].columns).distinct()
     return out
 
 

@@ -196,6 +196,16 @@ def faced(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.join(left, "edge_id").join(right, "edge_id"), faces.where("face_id <> 0").select(F.col("face_id").cast("long").alias("face_id"), "area").union(outside)
 
 
+def face_data(edges: DataFrame, cfg: TopoConfig) -> DataFrame:
+    """(face_id, geometry, area): every primitive face as a polygon; ``edges`` in coordinates, with their faces."""
+    grid = edges
+    for c in ("x1", "y1", "x2", "y2"):
+        grid = grid.withColumn(c, F.round(F.col(c) / cfg.tolerance).cast("long"))
+    own = edges.select(F.explode(F.array("left_face", "right_face")).alias("face_id")).where("face_id <> 0").distinct()
+    own = own.select(F.lit(0).alias("map_layer"), "face_id", F.col("face_id").alias("comp"), F.lit(False).alias("is_open"))
+    return polygons(grid, own, cfg).select(F.col("comp").alias("face_id"), "geometry", "area")
+
+
 def polygons(edges: DataFrame, comps: DataFrame, cfg: TopoConfig) -> DataFrame:
     """(map_layer, comp, geometry, area): closed components as MultiPolygon WKB, traced along edges with another component on the other side."""
     closed = comps.where("not is_open").select("map_layer", "face_id", "comp")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,8 +62,34 @@ def spatial_join(a: DataFrame, b: DataFrame, on: list[str], how: str = "contains
     return pairs.mapInArrow(run, pairs.schema)
 
 
-def units(map_faces: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(map_layer, comp, unit_id): ``map_faces`` (map_layer, comp, geometry), ``polygons`` (map_layer, type, geometry)."""
+def on_surface(rows: DataFrame, keys: str) -> DataFrame:
+    """``keys`` and a point inside each ``geometry``, as WKB."""
+    names = [k.strip().split()[0] for k in keys.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = [planar.point_on_surface(wkb.decode(g)[0]) for g in b.column(len(names)).to_pylist()]
+            data = [None if p is None else wkb.encode(("POINT", [np.array([p])])) for p in points]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(data, pa.binary())], names=[*names, "geometry"])
+
+    return rows.select(*names, "geometry").mapInArrow(run, f"{keys}, geometry binary")
+
+
+def face_at(points: DataFrame, map_faces: DataFrame, layers: DataFrame) -> DataFrame:
+    """(id, map_layer, comp): for each point (id, geometry) and layer the map face (map_layer, comp, geometry) that it lies in, or null."""
+    every = points.select(F.col("id").cast("long").alias("id"), "geometry").crossJoin(F.broadcast(layers))  # a dimension of a few layers
+    hit = spatial_join(boxed(map_faces, "map_layer int, comp long"), boxed(every, "map_layer int, id long"), ["map_layer"], "intersects")
+    return every.select("id", "map_layer").join(hit.select(F.col("b_id").alias("id"), "map_layer", "comp"), ["id", "map_layer"], "left")
+
+
+def relabelled(map_faces: DataFrame, edited: DataFrame) -> DataFrame:
+    """(map_layer, comp, id): map faces that an edited polygon (id, map_layer, geometry) meets, borders included: their label is open again."""
+    hit = spatial_join(boxed(map_faces, "map_layer int, comp long"), boxed(edited, "map_layer int, id long"), ["map_layer"], "intersects")
+    return hit.select("map_layer", "comp", F.col("b_id").alias("id"))
+
+
+def covered_areas(map_faces: DataFrame, polygons: DataFrame) -> DataFrame:
+    """(map_layer, comp, unit_id, area): area of the union of each type's polygons that a map face contains."""
     inside = spatial_join(boxed(map_faces, "map_layer int, comp long"), boxed(polygons, "map_layer int, type string"), ["map_layer"])
     shapes = inside.groupBy("map_layer", "comp", F.col("b_type").alias("unit_id")).agg(F.collect_list("b_geometry").alias("shapes"))
 
@@ -71,4 +98,9 @@ def units(map_faces: DataFrame, polygons: DataFrame) -> DataFrame:
             areas = [planar.union_area([wkb.decode(g)[0] for g in s]) for s in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(areas, pa.float64())], names=["map_layer", "comp", "unit_id", "area"])
 
-    return best_unit(shapes.mapInArrow(run, "map_layer int, comp long, unit_id string, area double"), ["map_layer", "comp"])
+    return shapes.mapInArrow(run, "map_layer int, comp long, unit_id string, area double")
+
+
+def units(map_faces: DataFrame, polygons: DataFrame) -> DataFrame:
+    """(map_layer, comp, unit_id): ``map_faces`` (map_layer, comp, geometry), ``polygons`` (map_layer, type, geometry)."""
+    return best_unit(covered_areas(map_faces, polygons), ["map_layer", "comp"])

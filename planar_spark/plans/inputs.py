@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 WIDTH = 20
 
 
@@ -55,6 +57,21 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("edge_id", F.col("p") * 4 + F.col("dir"))
 
 
+def placed_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The lattice's edges with the coordinates of their ends."""
+    at = lambda node: ((F.col(node) - 1) % (WIDTH + 1), F.floor((F.col(node) - 1) / (WIDTH + 1)))
+    (x1, y1), (x2, y2) = at("start_node"), at("end_node")
+    return edges(spark, d).select("edge_id", "start_node", "end_node", "left_face", "right_face", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+
+
+def wall_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Walls as lines: (id, map_layer, type, geometry), read from their text."""
+    rows = walls(spark, d).join(placed_edges(spark, d), "edge_id")
+    text = F.format_string("LINESTRING(%d %d,%d %d)", "x1", "y1", "x2", "y2")
+    rows = rows.select((F.col("edge_id") * 4 + F.col("map_layer")).alias("id"), "map_layer", "type", text.alias("wkt"))
+    return files.parse_geometry(rows, "wkt").select("id", "map_layer", "type", "geometry")
+
+
 def walls(spark: SparkSession, d: str, closed: bool = True) -> DataFrame:
     """(edge_id, map_layer, line_id, type): which edges are boundaries in layers 1 and 2. ``closed``: all outer edges are."""
     e = edges(spark, d).crossJoin(F.broadcast(two_layers(spark)))
@@ -71,6 +88,14 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def box_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """The boxes as polygons: (id, map_layer, type, geometry), read from their text."""
+    x, y = F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    rows = boxes(spark, d).select("id", "map_layer", "type", "x", "y", x.alias("u"), y.alias("v"))
+    rows = rows.withColumn("wkt", F.format_string("POLYGON((%1$d %2$d,%3$d %2$d,%3$d %4$d,%1$d %4$d,%1$d %2$d))", "x", "y", "u", "v"))
+    return files.parse_geometry(rows.select("id", "map_layer", "type", "wkt"), "wkt").select("id", "map_layer", "type", "geometry")
+
+
 def types(spark: SparkSession, d: str) -> DataFrame:
     """Polygon types: brands, and the makers that they belong to."""
     brands = read(spark, d, "part").select(F.col("p_brand").alias("id")).distinct()

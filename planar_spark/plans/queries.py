@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import TopoConfig
 from ..functions import colors, tiles
-from ..operators import dml, faces, graph, hierarchy, linework, noding
+from ..kernel import wkb
+from ..operators import dml, faces, graph, hierarchy, linework, noding, units
 from ..operators.components import components
 from ..store import written
 from . import inputs as I  # noqa: E741
 from .inputs import with_ctes
+from .solve import solve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -157,6 +160,22 @@ def healed_chains(spark, d):
     return graph.heal_chains(_used(spark, d), I.walls(spark, d).select("line_id", "edge_id"))
 
 
+@query("two cells edges walls", """, held AS (SELECT edge_id, line_id FROM walls WHERE line_id // 10 IN (SELECT p FROM cells WHERE t < 45)), kept AS (SELECT * FROM edges SEMI JOIN held USING (edge_id)),
+near AS (SELECT left_face AS a, right_face AS b FROM edges ANTI JOIN held USING (edge_id) UNION SELECT right_face, left_face FROM edges ANTI JOIN held USING (edge_id)),
+reach(a, b) AS (SELECT face_id, face_id FROM cells UNION SELECT 0, 0 UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b), name AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+le AS (SELECT edge_id, list_sort(list_distinct(list(line_id))) AS lines FROM held GROUP BY edge_id),
+star AS (SELECT node_id, min(edge_id) AS edge_1, max(edge_id) AS edge_2 FROM (SELECT edge_id, start_node AS node_id FROM kept UNION ALL SELECT edge_id, end_node FROM kept) GROUP BY node_id HAVING count(*) = 2),
+pairs AS (SELECT edge_1, edge_2 FROM star JOIN le a ON a.edge_id = edge_1 JOIN le b ON b.edge_id = edge_2 WHERE edge_1 <> edge_2 AND a.lines = b.lines),
+both_ways AS (SELECT edge_1 AS a, edge_2 AS b FROM pairs UNION SELECT edge_2, edge_1 FROM pairs),
+healed(a, b) AS (SELECT edge_id, edge_id FROM kept UNION SELECT r.a, n.b FROM healed r JOIN both_ways n ON n.a = r.b)
+SELECT edge_id, l.m AS left_face, r.m AS right_face, (SELECT min(b) FROM healed WHERE a = edge_id) AS chain FROM kept JOIN name l ON l.a = left_face JOIN name r ON r.a = right_face""")
+def clean_topology(spark, d):
+    """The clean-up as one step, after some lines are gone."""
+    held = I.cells(spark, d).where("t < 45").crossJoin(F.broadcast(I.two_layers(spark))).select((F.col("p") * 10 + F.col("map_layer")).alias("id"))
+    out = graph.cleaned({"edge": I.edges(spark, d), "line_edge": I.walls(spark, d).select("line_id", "edge_id")}, held)
+    return out["edge"].join(out["edge_chain"], "edge_id").select("edge_id", "left_face", "right_face", "chain")
+
+
 @query("cells edges", "SELECT edge_id, left_face AS face_id, CASE WHEN left_face = face THEN right_face WHEN right_face = face THEN left_face END AS other FROM (SELECT *, left_face + edge_id % 2 AS face FROM edges)")
 def other_face(spark, d):
     e = I.edges(spark, d)
@@ -194,9 +213,20 @@ def open_components(spark, d):
 
 @query("two cells edges open_walls reach", "SELECT map_layer, comp AS id, count(*)::DOUBLE AS area, count(*) AS n_faces FROM comps WHERE NOT is_open GROUP BY map_layer, comp")
 def map_face_area(spark, d):
-    """The flagship: bounded map faces of two layers and their area, every primitive face being a unit square."""
-    members = _dissolved(spark, d, closed=False).where("not is_open")
-    return members.groupBy("map_layer", F.col("comp").alias("id")).agg(F.sum(F.lit(1.0)).alias("area"), F.count("*").alias("n_faces"))
+    """The flagship: bounded map faces of two layers, traced, with their polygon's area and the number of their primitive faces."""
+    comps = written(_dissolved(spark, d, closed=False), "map_face_members")
+    members = comps.where("not is_open").groupBy("map_layer", "comp").agg(F.count("*").alias("n_faces"))
+    shapes = noding.polygons(I.placed_edges(spark, d), comps, UNIT)
+    return members.join(shapes, ["map_layer", "comp"]).select("map_layer", F.col("comp").alias("id"), "area", "n_faces")
+
+
+UNIT = TopoConfig(tolerance=1.0)  # the lattice's own size
+
+
+def _shapes(spark, d):
+    """(map_layer, comp, geometry): the dissolved components of the lattice as polygons."""
+    comps = written(_dissolved(spark, d), "shape_members")
+    return written(noding.polygons(I.placed_edges(spark, d), comps, UNIT).drop("area"), "shapes")
 
 
 BOX_CELLS = """, spots AS (SELECT b.id, type, map_layer, w * h AS n, x + i AS cx, y + j AS cy FROM boxes b, (SELECT unnest([0, 1, 2]) AS i), (SELECT unnest([0, 1]) AS j) WHERE i < w AND j < h AND x + i < 20),
@@ -207,14 +237,8 @@ areas AS (SELECT map_layer, comp, type, count(DISTINCT cx * 1000000 + cy) AS are
 
 def _box_areas(spark, d):
     """(map_layer, comp, type, area): area of the union of the boxes of each type that lie wholly in a component."""
-    b = I.boxes(spark, d)
-    xs, ys = F.sequence(F.lit(0), F.col("w") - 1), F.sequence(F.lit(0), (F.col("h") - 1).cast("int"))
-    spot = b.withColumn("i", F.explode(xs)).withColumn("j", F.explode(ys)).select("id", "type", "map_layer", (F.col("w") * F.col("h")).alias("n"), (F.col("x") + F.col("i")).alias("cx"), (F.col("y") + F.col("j")).alias("cy"))
-    cell = I.cells(spark, d).select("cx", "cy", "face_id")
-    hit = spot.join(cell, ["cx", "cy"]).join(_dissolved(spark, d).select("face_id", "map_layer", "comp"), ["face_id", "map_layer"])
-    key = ["id", "type", "map_layer", "comp", "n"]
-    whole = hit.groupBy(*key).agg(F.collect_list(F.struct("cx", "cy")).alias("spots")).where(F.size("spots") == F.col("n"))
-    return whole.select("map_layer", "comp", "type", F.explode("spots").alias("s")).distinct().groupBy("map_layer", "comp", "type").agg(F.count("*").alias("area"))
+    areas = units.covered_areas(_shapes(spark, d), I.box_shapes(spark, d))
+    return areas.select("map_layer", "comp", F.col("unit_id").alias("type"), F.round("area").cast("long").alias("area"))
 
 
 @query("two cells edges walls reach boxes", BOX_CELLS + "SELECT map_layer, comp, type, area FROM areas")
@@ -225,8 +249,29 @@ def unit_union_area(spark, d):
 @query("two cells edges walls reach boxes", BOX_CELLS + """SELECT DISTINCT c.map_layer, c.comp, u.unit_id FROM comps c
 LEFT JOIN (SELECT map_layer, comp, arg_min(type, (-area, type)) AS unit_id FROM areas GROUP BY ALL) u USING (map_layer, comp)""")
 def unit_for_area(spark, d):
-    best = faces.best_unit(_box_areas(spark, d), ["map_layer", "comp"], unit="type").withColumnRenamed("type", "unit_id")
-    return _dissolved(spark, d).select("map_layer", "comp").distinct().join(best, ["map_layer", "comp"], "left")
+    shapes = _shapes(spark, d)
+    return shapes.select("map_layer", "comp").join(units.units(shapes, I.box_shapes(spark, d)), ["map_layer", "comp"], "left")
+
+
+@query("two cells edges walls reach boxes", BOX_CELLS + """, best AS (SELECT map_layer, comp, arg_min(type, (-area, type)) AS unit_id FROM areas GROUP BY ALL)
+SELECT map_layer, unit_id, area, count(*) AS n FROM (SELECT map_layer, comp, count(*)::DOUBLE AS area FROM comps GROUP BY ALL) LEFT JOIN best USING (map_layer, comp) GROUP BY ALL""")
+def solved_faces(spark, d):
+    """The whole solve, from lines and polygons to labelled map faces: how many there are of each layer, unit and area."""
+    found = solve(I.wall_lines(spark, d), I.box_shapes(spark, d), I.two_layers(spark).select(F.col("map_layer").alias("id"), F.lit(True).alias("topological")), UNIT)
+    return found["map_face"].groupBy("map_layer", "unit_id", "area").agg(F.count("*").alias("n"))
+
+
+@query("cells", "SELECT face_id, 1.0::DOUBLE AS area FROM cells")
+def face_data(spark, d):
+    """Primitive faces as polygons, and the area of each."""
+    return noding.face_data(I.placed_edges(spark, d), UNIT).select("face_id", "area")
+
+
+@query("two cells edges walls reach", "SELECT face_id AS id, map_layer, comp FROM comps")
+def face_at_point(spark, d):
+    """The map face of each layer that holds a point inside each primitive face."""
+    cell = noding.face_data(I.placed_edges(spark, d), UNIT).select(F.col("face_id").alias("id"), "geometry")
+    return units.face_at(units.on_surface(cell, "id long"), _shapes(spark, d), I.two_layers(spark))
 
 
 # Relations, dirty sets, registration.
@@ -275,12 +320,44 @@ def _map_faces(spark, d):
 MAP_FACES = ", map_faces AS (SELECT face_id AS id, map_layer, CASE WHEN t % 3 <> 0 THEN brand END AS unit_id FROM cells CROSS JOIN two WHERE t % 7 <> 0)"
 
 
-@query("two cells", MEMBERS + MAP_FACES + " SELECT face_id, map_layer, max(map_face) AS map_face, arg_max(coalesce(unit_id, '-'), map_face) AS unit_id FROM members JOIN map_faces f ON f.id = map_face AND f.map_layer = members.map_layer GROUP BY ALL".replace("members JOIN", "(SELECT map_face, map_layer, face_id FROM members) members JOIN").replace("SELECT face_id, map_layer", "SELECT face_id, members.map_layer").replace("GROUP BY ALL", "GROUP BY face_id, members.map_layer"))
+@query("two cells", MEMBERS + MAP_FACES + """ SELECT face_id, m.map_layer, max(map_face) AS map_face, arg_max(coalesce(unit_id, '-'), map_face) AS unit_id
+FROM members m JOIN map_faces f ON f.id = map_face AND f.map_layer = m.map_layer GROUP BY face_id, m.map_layer""")
 def face_type_upsert(spark, d):
     old = faces.register(_map_faces(spark, d).where("id % 2 = 0"), _members(spark, d))
     return faces.register(_map_faces(spark, d), _members(spark, d), old).withColumn("unit_id", F.coalesce("unit_id", F.lit("-")))
 
 
+@query("two cells", MEMBERS + MAP_FACES + " SELECT m.face_id, m.map_layer, m.map_face, unit_id FROM members m JOIN map_faces f ON f.id = map_face AND f.map_layer = m.map_layer WHERE face_id % 4 = 0")
+def containing_face(spark, d):
+    """The map faces, and their units, over every fourth face."""
+    asked = I.cells(spark, d).where("face_id % 4 = 0").select("face_id").crossJoin(F.broadcast(I.two_layers(spark)))
+    return faces.containing(_map_faces(spark, d), _members(spark, d), asked).select("face_id", "map_layer", "map_face", "unit_id")
+
+
+EDGE_UNITS = """, eu AS (SELECT edge_id, map_layer, list_sort(list(unit_id)) AS units FROM (SELECT edge_id, left_face AS face_id FROM edges UNION SELECT edge_id, right_face FROM edges) JOIN map_faces f ON f.id = face_id WHERE unit_id IS NOT NULL GROUP BY edge_id, map_layer)
+"""
+
+
+def _edge_units(spark, d):
+    return faces.edge_units(I.edges(spark, d), _map_faces(spark, d).withColumnRenamed("id", "face_id"))
+
+
+@query("two cells edges", MAP_FACES + EDGE_UNITS + "SELECT edge_id, map_layer, array_to_string(units, ',') AS units FROM eu")
+def edge_units(spark, d):
+    return _edge_units(spark, d).withColumn("units", F.array_join("units", ","))
+
+
+@query("two cells edges walls", MAP_FACES + EDGE_UNITS + "SELECT edge_id, eu.map_layer, line_id, type, array_to_string(units, ',') AS units FROM eu JOIN walls USING (edge_id, map_layer) WHERE len(units) > 1 AND type = 'type-1'")
+def contact_units(spark, d):
+    """Lines of one type between two labelled faces."""
+    return faces.contact_units(_edge_units(spark, d), I.walls(spark, d), "type-1").withColumn("units", F.array_join("units", ","))
+
+
+@query("two cells types", MAP_FACES + " SELECT f.id, map_layer, unit_id, color FROM map_faces f JOIN types t ON t.id = unit_id WHERE unit_id <> 'Brand#11'")
+def mapped_faces(spark, d):
+    return faces.mapped_faces(_map_faces(spark, d), I.types(spark, d), without="Brand#11").select("id", "map_layer", "unit_id", "color")
+
+
 @query("two cells", MEMBERS + " SELECT face_id, map_layer, string_agg(map_face, ',' ORDER BY map_face) AS covers, count(*) AS n FROM members GROUP BY face_id, map_layer HAVING count(*) > 1")
 def multi_cover_faces(spark, d):
     return faces.covered_twice(_members(spark, d)).withColumn("covers", F.array_join(F.transform("covers", lambda x: x.cast("string")), ","))
@@ -317,18 +394,15 @@ def face_display(spark, d):
 AND cx BETWEEN b.x - 1 AND b.x + b.w AND cy BETWEEN b.y - 1 AND b.y + b.h""")
 def polygon_relabel(spark, d):
     """Map faces that an edited box meets, borders included: they get a new label."""
-    b = I.boxes(spark, d).where("id % 10 = 0")  # the edit batch
-    reach = lambda at, size: F.sequence(F.col(at) - 1, F.col(at) + F.col(size))
-    spots = b.withColumn("cx", F.explode(reach("x", "w"))).withColumn("cy", F.explode(reach("y", "h"))).select(F.col("id").alias("box"), "map_layer", "cx", "cy")
-    hit = I.cells(spark, d).select("cx", "cy", "face_id").join(spots, ["cx", "cy"])
-    return hit.join(_dissolved(spark, d).select("face_id", "map_layer", "comp"), ["face_id", "map_layer"]).select("map_layer", "comp", "box").distinct()
+    edited = I.box_shapes(spark, d).where("id % 10 = 0")  # the edit batch
+    return units.relabelled(_shapes(spark, d), edited).withColumnRenamed("id", "box")
 
 
-@query("two cells edges walls reach", "SELECT map_layer, comp, cx, cy FROM comps JOIN cells USING (face_id) WHERE cx BETWEEN 2 AND 3 AND cy BETWEEN 2 AND 3")
+@query("two cells edges walls reach", "SELECT DISTINCT map_layer, comp FROM comps JOIN cells USING (face_id) WHERE cx BETWEEN 2 AND 3 AND cy BETWEEN 2 AND 3")
 def point_in_faces(spark, d):
-    """Map faces whose cells touch the point (3, 3)."""
-    at = I.cells(spark, d).where("cx between 2 and 3 and cy between 2 and 3").select("face_id", "cx", "cy")
-    return _dissolved(spark, d).join(F.broadcast(at), "face_id").select("map_layer", "comp", "cx", "cy")
+    """Map faces that the point (3, 3) lies in, borders included."""
+    point = I.two_layers(spark).select("map_layer", F.lit(0).cast("long").alias("id"), F.lit(bytearray(wkb.encode(wkb.parse("POINT(3 3)")[0]))).alias("geometry"))
+    return units.relabelled(_shapes(spark, d), point).select("map_layer", "comp")
 
 
 # Edits.

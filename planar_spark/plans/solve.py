@@ -5,31 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..config import TopoConfig
 from ..operators import dml, faces, graph, linework, noding, units
 from ..store import Store, written
 
 
-def solve(lines: DataFrame, polygons: DataFrame, layers: DataFrame, cfg: TopoConfig, literal: bool = False) -> dict[str, DataFrame]:
-    """All derived tables. ``lines`` (id, geometry, type, map_layer), ``polygons`` (id, geometry, type, map_layer), ``layers`` (id, topological)."""
-    top = layers.where("topological").select(F.col("id").alias("map_layer"))
+def _top(layers: DataFrame) -> DataFrame:
+    return layers.where("topological").select(F.col("id").alias("map_layer"))
+
+
+def contacts(lines: DataFrame, layers: DataFrame, cfg: TopoConfig) -> dict[str, DataFrame]:
+    """The graph of the lines, its primitive faces, and which lines are boundaries: written tables, in coordinates."""
+    top = _top(layers)
     mapped = lines.join(F.broadcast(top), "map_layer", "left_semi")
     edges, line_edge, errors = noding.noded(mapped, cfg)
     edges, primitive = noding.faced(edges)
-    edges, primitive, line_edge = written(edges, "edge"), written(primitive, "face"), written(line_edge, "line_edge")
+    at = {c: (F.col(c) * cfg.tolerance).alias(c) for c in ("x1", "y1", "x2", "y2")}
+    edges = written(edges.select("edge_id", "start_node", "end_node", "left_face", "right_face", *at.values()), "edge")
+    primitive, line_edge = written(primitive.withColumn("area", F.col("area") * cfg.tolerance**2), "face"), written(line_edge, "line_edge")
     relation = written(faces.link_edges(line_edge, mapped.withColumn("topology", F.col("map_layer"))), "edge_relation")
-    comps = written(graph.dissolved(primitive, edges, relation, top, literal), "components")
-    shapes = written(noding.polygons(edges, comps, cfg), "shapes")
-    named = shapes.join(units.units(shapes, polygons), ["map_layer", "comp"], "left")
-    map_faces = noding.numbered(named.select("unit_id", "map_layer", "geometry", "area", "comp"), ["map_layer", "comp"], "id")
-    members = comps.join(map_faces.select("map_layer", "comp", F.col("id").alias("map_face")), ["map_layer", "comp"]).select("map_face", "map_layer", "face_id")
     state = lines.join(errors.groupBy("line_id").agg(F.first("error").alias("topology_error")), lines["id"] == F.col("line_id"), "left")
     state = state.select(F.col("id").alias("line_id"), F.when(F.col("topology_error").isNull(), F.md5("geometry")).alias("geometry_hash"), "topology_error")
-    return {
-        "edge": edges, "line_edge": line_edge, "face": primitive.withColumn("area", F.col("area") * cfg.tolerance**2), "edge_relation": relation,
-        "map_face": map_faces.select("id", "unit_id", "map_layer", "geometry", "area"), "map_face_face": members,
-        "face_type": faces.register(map_faces, members), "linework_topo": state,
-    }
+    return {"node": graph.nodes(edges), "edge": edges, "line_edge": line_edge, "face": primitive, "edge_relation": relation, "linework_topo": state}
+
+
+def map_faces(graph_of: dict[str, DataFrame], polygons: DataFrame, layers: DataFrame, cfg: TopoConfig, literal: bool = False) -> dict[str, DataFrame]:
+    """Map faces of a graph (``edge``, ``face``, ``edge_relation`` of ``contacts``), labelled by ``polygons``."""
+    grid = graph_of["edge"]
+    for c in ("x1", "y1", "x2", "y2"):
+        grid = grid.withColumn(c, F.round(F.col(c) / cfg.tolerance).cast("long"))
+    comps = written(graph.dissolved(graph_of["face"], grid, graph_of["edge_relation"], _top(layers), literal), "components")
+    shapes = written(noding.polygons(grid, comps, cfg), "shapes")
+    named = shapes.join(units.units(shapes, polygons), ["map_layer", "comp"], "left")
+    found = noding.numbered(named.select("unit_id", "map_layer", "geometry", "area", "comp"), ["map_layer", "comp"], "id")
+    members = comps.join(found.select("map_layer", "comp", F.col("id").alias("map_face")), ["map_layer", "comp"]).select("map_face", "map_layer", "face_id")
+    return {"map_face": found.select("id", "unit_id", "map_layer", "geometry", "area"), "map_face_face": members, "face_type": faces.register(found, members)}
+
+
+def solve(lines: DataFrame, polygons: DataFrame, layers: DataFrame, cfg: TopoConfig, literal: bool = False) -> dict[str, DataFrame]:
+    """All derived tables. ``lines`` (id, geometry, type, map_layer), ``polygons`` (id, geometry, type, map_layer), ``layers`` (id, topological)."""
+    found = contacts(lines, layers, cfg)
+    return found | map_faces(found, polygons, layers, cfg, literal)
 
 
 class TopoSession:
@@ -54,26 +71,59 @@ class TopoSession:
         return self.store.commit({table: old.select(*[F.when(hit, F.lit(values[c])).otherwise(F.col(c)).cast(old.schema[c].dataType).alias(c) if c in values else F.col(c) for c in old.columns])})
 
     def pending(self) -> DataFrame:
+        """Lines that the topology does not hold yet, or holds with another geometry."""
         lines = self.store.read("linework").join(self.store.read("linework_topo").withColumnRenamed("line_id", "id"), "id", "left")
-        return linework.pending(lines, self.store.read("map_layer"))
+        same = F.col("geometry_hash") == F.md5("geometry")
+        return linework.pending(lines.withColumn("geometry_hash", F.when(same, F.col("geometry_hash"))), self.store.read("map_layer"))
+
+    def update_contacts(self) -> int:
+        """Only the graph: faces beside new and changed lines become dirty, and map faces wait for ``update_faces``."""
+        read = self.store.read
+        changed = written(self.pending().withColumn("topology", F.col("map_layer")), "pending")
+        tables = contacts(read("linework"), read("map_layer"), self.cfg)
+        dirty = faces.surrounding(tables["line_edge"], tables["edge"], changed).where("id <> 0")
+        return self.store.commit(tables | {"dirty_face": dirty.union(read("dirty_face")).distinct()})
+
+    def update_faces(self) -> int:
+        """Only the map faces of the graph as it stands."""
+        read = self.store.read
+        return self._commit(map_faces({t: read(t) for t in ("edge", "face", "edge_relation")}, read("polygon"), read("map_layer"), self.cfg))
 
     def update(self) -> int:
         """Solve, and commit the new tables with the notification of what changed, as one version."""
         read = self.store.read
-        tables = solve(read("linework"), read("polygon"), read("map_layer"), self.cfg)
+        return self._commit(solve(read("linework"), read("polygon"), read("map_layer"), self.cfg))
+
+    def clean(self) -> int:
+        """Relations of lines that are gone, edges in no line, and nodes at no edge go; one version."""
+        names = ("edge", "line_edge", "edge_relation", "face", "map_face_face", "face_type")
+        return self.store.commit(graph.cleaned({n: self.store.read(n) for n in names}, self.store.read("linework")))
+
+    def unit_for_face(self, asked: DataFrame) -> DataFrame:
+        """The map faces over ``asked`` (face_id, map_layer)."""
+        return faces.containing(self.store.read("map_face"), self.store.read("map_face_face"), asked)
+
+    def face_data(self) -> DataFrame:
+        """(face_id, geometry, area) of the primitive faces."""
+        return noding.face_data(self.store.read("edge"), self.cfg)
+
+    def _commit(self, tables: dict[str, DataFrame]) -> int:
+        read = self.store.read
         old = units.boxed(read("map_face").withColumn("unit_id", F.coalesce("unit_id", F.lit(""))), "id long, unit_id string, map_layer int")
         new = units.boxed(tables["map_face"].withColumn("unit_id", F.coalesce("unit_id", F.lit(""))), "id long, unit_id string, map_layer int")
         flat = lambda df: df.select(F.md5("geometry").alias("shape"), "map_layer", "unit_id", "box.*")
         said = faces.payload(faces.difference(flat(old), flat(new), ["shape", "map_layer", "unit_id"]), "map_face")
         seq = read("notification").agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
         said = read("notification").unionByName(said.select(F.lit(seq).cast("long").alias("seq"), F.lit("topology").alias("channel"), "payload"))
-        return self.store.commit(tables | {"notification": said})
+        return self.store.commit(tables | {"notification": said, "dirty_face": read("dirty_face").limit(0)})
 
     def map_faces(self) -> DataFrame:
         return self.store.read("map_face")
 
     def reset(self) -> int:
         """Forget everything derived."""
-        from .. import schema
-
         return self.store.commit({n: self.spark.createDataFrame([], schema.of(n)) for n in schema.DERIVED})
+
+    def forget(self) -> int:
+        """Drop the derived tables themselves, their notifications included."""
+        return self.store.drop(list(schema.DERIVED))

@@ -15,6 +15,7 @@ DERIVED = {
     "linework_topo": "line_id int, geometry_hash string, topology_error string",
     "node": "node_id bigint, x double, y double",
     "edge": "edge_id bigint, start_node bigint, end_node bigint, left_face bigint, right_face bigint, x1 double, y1 double, x2 double, y2 double",
+    "edge_chain": "edge_id bigint, chain bigint",
     "line_edge": "line_id int, edge_id bigint",
     "edge_relation": "edge_id bigint, map_layer int, line_id int, type string",
     "face": "face_id bigint, area double",

@@ -75,6 +75,14 @@ class Store:
         for name, df in tables.items():
             pointers[name] = f"{self.root}/tables/{name}/{version}"
             df.write.mode("overwrite").parquet(pointers[name])
+        return self._point(version, pointers)
+
+    def drop(self, names: list[str]) -> int:
+        """A version without these tables; older versions still hold them."""
+        kept = {n: p for n, p in self.manifest().items() if n not in names}
+        return self._point((self.versions() or [-1])[-1] + 1, kept)
+
+    def _point(self, version: int, pointers: dict[str, str]) -> int:
         fs, p = self._fs(f"{self.root}/manifests/{version}.json")
         stream = fs.create(p, True)
         stream.write(bytearray(json.dumps(pointers).encode()))
