@@ -74,7 +74,7 @@ def cleaned(tables: dict[str, DataFrame], lines: DataFrame) -> dict[str, DataFra
     if "edge_relation" in tables:
         out["edge_relation"] = tables["edge_relation"].join(held, "line_id", "left_semi").join(edges.select("edge_id"), "edge_id", "left_semi")
     if "face" in tables:
-        out["face"] = renamed(tables["face"], names, "face_id").groupBy("face_id").agg(F.sum("area").alias("area"))
+        out["face"] = renamed(tables["face"], names, "face_id").groupBy("face_id").agg(F.sum("area").alias("area")).withColumn("area", F.when(F.col("face_id") == 0, 0.0).otherwise(F.col("area")))
     for name in ("map_face_face", "face_type"):
         if name in tables:
             out[name] = renamed(tables[name], names, "face_id").where("face_id <> 0").select(*tables[name].columns).distinct()
