@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planar_spark.llm import line_dedup, mixing, ngram_join, toxicity, unigram
-from planar_spark.llm.common import table, written
+from planar_spark.llm.common import table
 from planar_spark.llm.queries import TOKENIZER
+from planar_spark.store import discard, scratch_tables, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; what a stage read or wrote on its way goes when its rows are written."""
     docs = table(spark, sf_dir, "documents")
+    read: list[DataFrame] = []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch_tables() as made:
+            docs = written(stage(spark, docs, sf_dir), name)
+        discard(*read, *[t for t in made if t is not docs])
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

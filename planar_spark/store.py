@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,9 +14,11 @@ from . import schema
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share; a temporary one only in local mode where none is configured (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="planar_spark_")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -24,6 +28,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: One list of written tables for each ``scratch_tables`` that is open.
+OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch_tables() -> Iterator[list[DataFrame]]:
+    """The tables written inside the block, so that they can be discarded when their readers are written."""
+    made: list[DataFrame] = []
+    OPEN.append(made)
+    try:
+        yield made
+    finally:
+        OPEN[:] = [m for m in OPEN if m is not made]
+
+
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Materialise ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
@@ -31,6 +50,8 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    for made in OPEN:
+        made.append(out)
     return out
 
 
