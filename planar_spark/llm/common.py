@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,20 @@ def claim(own: dict | None = None) -> None:
             cache.clear()
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def alone(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` as a Python task that starts without other operators' caches and gives unused memory back at its end."""
+
+    def task(batches: Batches) -> Batches:
+        claim()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return task
+
+
 #: Bits of the largest bitmap that spares rows a shuffle (16 MB).
 BITMAP = 1 << 27
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flagged, flags, written
+from .common import alone, flagged, flags, written
 
 LEAST, MOST, ONE_IN = 2, 16, 2
 MASK = (1 << 64) - 1
@@ -94,7 +94,7 @@ def listed(docs: DataFrame, with_text: bool, whole: bool = False, wanted: np.nda
                 names = ["doc_id", "row", "h1", "h2", "times", "chunk"]
                 yield pa.RecordBatch.from_arrays(got if with_text else got[:5], names=names if with_text else names[:5])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, row long, h1 long, h2 long, times long" + ", chunk string" * with_text)
+    return keyed(docs).mapInArrow(alone(run), "doc_id long, row long, h1 long, h2 long, times long" + ", chunk string" * with_text)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -155,5 +155,5 @@ def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
                 names=["doc", "text", "lines_total", "lines_removed", "chunks_removed"],
             )
 
-    out = rows.mapInArrow(run, f"doc {doc}, text string, lines_total long, lines_removed long, chunks_removed long")
+    out = rows.mapInArrow(alone(run), f"doc {doc}, text string, lines_total long, lines_removed long, chunks_removed long")
     return out.select(*[F.col("text") if n == "text" else F.col("doc")[n].alias(n) for n in names], *[F.col(n).alias(n + "_" * (n in names)) for n in ("lines_total", "lines_removed", "chunks_removed")])

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, components, discard, flagged, flags, parts, written
+from .common import alone, components, discard, flagged, flags, parts, written
 
 BITS = 1024  # cells of the parities that meet in blocks
 WIDEST = 1 << 15  # most cells of those that meet pair by pair: four for each n-gram up to that
@@ -182,7 +182,7 @@ def common_ngrams(docs: DataFrame, n: int) -> np.ndarray:
         keep = times >= COMMON
         return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], names=["g", "times"])
 
-    counted = docs.select("text").mapInArrow(count, "g long, times long").groupBy("g").agg(F.sum("times").alias("times"))
+    counted = docs.select("text").mapInArrow(alone(count), "g long, times long").groupBy("g").agg(F.sum("times").alias("times"))
     got = counted.orderBy(F.col("times").desc(), "g").limit(MOST_COMMON).select("g").toArrow().column("g").to_numpy()
     return np.sort(got.view(np.uint64))
 
@@ -196,7 +196,6 @@ def summaries(docs: DataFrame, n: int, percent: int, shared) -> DataFrame:
     """(doc_id, size, h1, h2, lead, parity, wide) of each row; ``shared``: the common n-grams, broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim()
         often = shared.value
         for b in batches:
             for k, texts in slices(b, 1):
@@ -222,7 +221,7 @@ def summaries(docs: DataFrame, n: int, percent: int, shared) -> DataFrame:
                     names=["doc_id", "size", "h1", "h2", "lead", "parity", "wide"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, h1 long, h2 long, lead array<long>, parity binary, wide binary")
+    return docs.select("doc_id", "text").mapInArrow(alone(run), "doc_id long, size long, h1 long, h2 long, lead array<long>, parity binary, wide binary")
 
 
 def least_overlap(a, b, percent: int):
@@ -244,7 +243,7 @@ def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 keep = (s + t - apart(b.column(4).to_pylist(), b.column(5).to_pylist())) >= 2 * least_overlap(s, t, percent)
                 yield b.select(["a", "b", "size_a", "size_b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "size_a", "size_b", "wide_a", "wide_b").mapInArrow(run, "a long, b long, size_a long, size_b long")
+    return both.select("a", "b", "size_a", "size_b", "wide_a", "wide_b").mapInArrow(alone(run), "a long, b long, size_a long, size_b long")
 
 
 def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, shared) -> DataFrame:
@@ -259,7 +258,7 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
         for b in batches:
             yield b.filter(pa.array(flagged(bitmap.value, b.column(0).to_numpy())))
 
-    texts = docs.select(fetch, "doc_id", "text").mapInArrow(keep, "fetch long, doc_id long, text string").join(needed.select(fetch).distinct(), "fetch", "left_semi")
+    texts = docs.select(fetch, "doc_id", "text").mapInArrow(alone(keep), "fetch long, doc_id long, text string").join(needed.select(fetch).distinct(), "fetch", "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = FRAGMENTS // 2
@@ -283,7 +282,7 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
                     names=["doc_id", "h1", "h2", "f", "g"],
                 )
 
-    pieces = keyed(texts.select("doc_id", "text").mapInArrow(cut, "doc_id long, h1 long, h2 long, f int, g array<long>")).dropDuplicates(["key", "f"])
+    pieces = keyed(texts.select("doc_id", "text").mapInArrow(alone(cut), "doc_id long, h1 long, h2 long, f int, g array<long>")).dropDuplicates(["key", "f"])
     pieces = written(pieces.select("key", "f", "g"), "fragments", "lz4")
     x, y = pieces.select(F.col("key").alias("a"), "f", F.col("g").alias("g_a")), pieces.select(F.col("key").alias("b"), "f", F.col("g").alias("g_b"))
     partial = pairs.join(x, "a").join(y, ["b", "f"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("g_a", "g_b")).alias("shared"))
@@ -316,7 +315,7 @@ def by_block(rows: DataFrame, columns: list[str], schema, solve) -> DataFrame:
             yield from solve(pa.Table.from_batches(held))
 
     dealt = rows.select("g", "x", "y", *columns).repartition(parts(rows.sparkSession), "g", "x", "y")
-    return dealt.sortWithinPartitions("g", "x", "y").mapInArrow(run, schema)
+    return dealt.sortWithinPartitions("g", "x", "y").mapInArrow(alone(run), schema)
 
 
 def meetings(block: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -403,7 +402,7 @@ def representatives(full: DataFrame, first: DataFrame) -> DataFrame:
                 yield b.filter(pa.array(flagged(bitmap.value, b.column(0).to_numpy()) == loud))
 
         rows = full.select("key", *[c for c in full.columns if c != "key"])
-        return rows.mapInArrow(run, rows.schema)
+        return rows.mapInArrow(alone(run), rows.schema)
 
     chosen = part(True).join(first.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
     return part(False).union(chosen)
@@ -425,7 +424,7 @@ def leading(chosen: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
 
     if wanted is None:
         return chosen.select(F.posexplode("lead").alias("place", "g"), F.col("key").alias("rep"), F.col("size").cast("int").alias("size"))
-    return chosen.select("key", "size", "lead").mapInArrow(run, "place int, g long, rep long, size int")
+    return chosen.select("key", "size", "lead").mapInArrow(alone(run), "place int, g long, rep long, size int")
 
 
 def first_groups(posted: DataFrame) -> DataFrame:
