@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, image_copies, line_dedup, mixing, ngram_join, substring_dedup, toxicity, unigram, url_filter, warc
+from . import byte_bpe, exact_dedup, image_copies, line_dedup, mixing, ngram_join, substring_dedup, toxicity, unigram, url_filter, warc
 from .common import discard, remove, scratch_path, table, written
 
 #: The rules of the url contract: (host, path, verdict).
@@ -79,6 +80,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = TOKENIZER)
     return unigram.tokenize(table(spark, sf_dir, "documents"), unigram.load(model))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.tokenize(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 SQL: dict[str, str] = {
