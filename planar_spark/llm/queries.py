@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, image_copies, line_dedup, mixing, ngram_join, substring_dedup, toxicity, unigram, url_filter, warc
+from . import byte_bpe, centroids, exact_dedup, image_copies, line_dedup, merkle, mixing, ngram_join, substring_dedup, toxicity, unigram, url_filter, warc
 from .common import discard, remove, scratch_path, table, written
 
 #: The rules of the url contract: (host, path, verdict).
@@ -80,6 +80,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = TOKENIZER)
     return unigram.tokenize(table(spark, sf_dir, "documents"), unigram.load(model))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = byte_bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return byte_bpe.tokenize(table(spark, sf_dir, "documents"), vocabulary)
@@ -100,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_merkle": op11_merkle,
+    "op12_centroids": op12_centroids,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -170,3 +180,73 @@ SELECT doc_id, size, source_size, target, taken,
 FROM u
 """,
 }
+
+
+def clustering_sql(rounds: int) -> str:
+    """The rounds of a clustering, one after the other."""
+    steps = [r"""e AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT v, sha256('3:' || vec_id::VARCHAR) AS h FROM e ORDER BY h NULLS LAST, v LIMIT 8),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS cluster, v AS c FROM s)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT rid, vec_id, v, b.d AS distance, b.k AS cluster FROM (
+    SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'k': cluster}}) AS b FROM (
+      SELECT rid, vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM e, c{i}) GROUP BY rid))""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT o.cluster, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS c FROM (
+      SELECT cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{i}, range(1, 65) r(i) GROUP BY cluster, i) GROUP BY cluster) n ON o.cluster = n.cluster)""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, a.cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.cluster"""
+
+
+SQL["op12_centroids"] = clustering_sql(centroids.ROUNDS)
+def merkle_sql() -> str:
+    """Levels, then each row's siblings level by level, folded from its leaf."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    head = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    crc = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    return rf"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, source, sha256({head} || {field("text")}) AS leaf,
+         sha256({head} || CASE WHEN {crc} % 2 = 0 THEN {field("replace(text, chr(10), '')")} ELSE {field("text")} END) AS tampered
+  FROM documents),
+d AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, tampered) - 1 AS idx,
+         count(*) OVER (PARTITION BY source) AS n FROM l),
+up AS (
+  SELECT source, 0 AS lvl, idx, leaf AS digest, n FROM d
+  UNION ALL
+  SELECT source, lvl + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY source, lvl, idx // 3, n),
+sub AS MATERIALIZED (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM up WHERE n = 1),
+over_ AS (
+  SELECT 0 AS lvl, idx, subroot AS digest, n FROM sub
+  UNION ALL
+  SELECT lvl + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM over_ WHERE n > 1 GROUP BY lvl, idx // 3, n),
+steps AS MATERIALIZED (
+  SELECT u.source, u.lvl, u.idx, coalesce(string_agg(v.digest, '' ORDER BY v.idx) FILTER (v.idx < u.idx), '') AS l,
+         coalesce(string_agg(v.digest, '' ORDER BY v.idx) FILTER (v.idx > u.idx), '') AS r
+  FROM up u LEFT JOIN up v ON u.source IS NOT DISTINCT FROM v.source AND u.lvl = v.lvl AND u.idx // 3 = v.idx // 3 AND u.idx <> v.idx
+  WHERE u.n > 1 GROUP BY ALL),
+steps_over AS MATERIALIZED (
+  SELECT u.lvl, u.idx, coalesce(string_agg(v.digest, '' ORDER BY v.idx) FILTER (v.idx < u.idx), '') AS l,
+         coalesce(string_agg(v.digest, '' ORDER BY v.idx) FILTER (v.idx > u.idx), '') AS r
+  FROM over_ u LEFT JOIN over_ v ON u.lvl = v.lvl AND u.idx // 3 = v.idx // 3 AND u.idx <> v.idx WHERE u.n > 1 GROUP BY ALL),
+way AS (
+  SELECT d.rid, s.lvl, s.l, s.r FROM d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.idx = d.idx // (3 ** s.lvl)::BIGINT
+  UNION ALL
+  SELECT d.rid, 1000 + s.lvl, s.l, s.r FROM d JOIN sub ON d.source IS NOT DISTINCT FROM sub.source JOIN steps_over s ON s.idx = sub.idx // (3 ** s.lvl)::BIGINT),
+ways AS (SELECT rid, list({{'l': l, 'r': r}} ORDER BY lvl) AS path, string_agg(l || r, '' ORDER BY lvl) AS siblings FROM way GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM (
+  SELECT d.doc_id, leaf, subroot, siblings, (SELECT digest FROM over_ WHERE n = 1) AS root,
+         list_reduce(list_prepend({{'l': tampered, 'r': ''}}, coalesce(path, [])), lambda a, b: {{'l': sha256(b.l || a.l || b.r), 'r': ''}}).l AS folded_root
+  FROM d JOIN sub ON d.source IS NOT DISTINCT FROM sub.source LEFT JOIN ways ON d.rid = ways.rid)"""
+
+
+SQL["op11_merkle"] = merkle_sql()
