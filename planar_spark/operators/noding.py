@@ -52,52 +52,86 @@ def segments(lines: DataFrame, cfg: TopoConfig) -> DataFrame:
     return lines.select(F.col("id").cast("long"), "geometry").mapInArrow(run, "line_id long, x1 long, y1 long, x2 long, y2 long, error string")
 
 
+ENDS = ["x1", "y1", "x2", "y2"]
+
+
 def _cells(rows: DataFrame, cell: int) -> DataFrame:
+    """The cells that each piece crosses: of every column of cells only those at the piece's height there, so a long oblique piece has as
+    many rows as it crosses cells. ``x1`` is never greater than ``x2``."""
     low = lambda a, b: F.floor(F.least(a, b) / cell)
     high = lambda a, b: F.floor(F.greatest(a, b) / cell)
     rows = rows.withColumn("cx", F.explode(F.sequence(low("x1", "x2"), high("x1", "x2"))))
-    return rows.withColumn("cy", F.explode(F.sequence(low("y1", "y2"), high("y1", "y2"))))
+    slope = (F.col("y2") - F.col("y1")).cast("double") / (F.col("x2") - F.col("x1"))
+    at = lambda x: F.col("y1") + slope * (F.least(F.greatest(x, F.col("x1")), F.col("x2")) - F.col("x1"))
+    left, right = at(F.col("cx") * cell), at((F.col("cx") + 1) * cell)
+    # A grid step to spare covers what the doubles round, and moved points.
+    near = lambda v, by: F.floor((v + by) / cell)
+    flat = F.col("x1") == F.col("x2")
+    first = F.when(flat, low("y1", "y2")).otherwise(F.greatest(low("y1", "y2"), near(F.least(left, right), -1)))
+    last = F.when(flat, high("y1", "y2")).otherwise(F.least(high("y1", "y2"), near(F.greatest(left, right), 1)))
+    return rows.withColumn("cy", F.explode(F.sequence(first, last)))
 
 
 def crossings(pieces: DataFrame) -> DataFrame:
-    """(x1, y1, x2, y2, px, py): where other pieces meet each distinct piece, borders included, as grid points."""
+    """(x1, y1, x2, y2, px, py): the grid points inside each distinct piece where others meet it.
+
+    Of two pieces one at least is ``fresh``; without that column all are. Each pair is tested once in a cell, and gives the points of both.
+    """
     extent = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
     size, longest = pieces.agg(F.avg(extent), F.max(extent)).first()
     cell = max(1, int(2 * (size or 1)))
     # Pieces that meet lie within twice the longest one: their products fit 64 bits up to this length.
     exact = (lambda c: c.cast("decimal(19,0)")) if (longest or 0) > 1_000_000_000 else (lambda c: c)
-    ends = ["x1", "y1", "x2", "y2"]
-    one = _cells(pieces.select(*ends), cell)
-    other = one.select("cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ends])
-    met = one.join(other, ["cx", "cy"]).where(F.struct(*ends) != F.struct(*[F.col(f"o_{c}") for c in ends])).drop("cx", "cy")
-    # Pairs that share several cells are tested in each: their points are made distinct below, which are far fewer than the pairs.
-    x1, y1, x2, y2, u1, v1, u2, v2 = (exact(F.col(c)) for c in [*ends, *[f"o_{c}" for c in ends]])
+    fresh = F.max("fresh") if "fresh" in pieces.columns else F.lit(True)
+    own = _cells(pieces.groupBy(*ENDS).agg(fresh.alias("fresh")), cell)
+    other = own.select("cx", "cy", F.col("fresh").alias("o_fresh"), *[F.col(c).alias(f"o_{c}") for c in ENDS])
+    mine, theirs = F.struct(*ENDS), F.struct(*[F.col(f"o_{c}").alias(c) for c in ENDS])
+    met = own.where("fresh").drop("fresh").join(other, ["cx", "cy"]).where(F.when(F.col("o_fresh"), mine < theirs).otherwise(F.lit(True)))
+    # Boxes first: most pairs of a cell are apart.
+    apart = (F.col("o_x1") > F.col("x2")) | (F.col("x1") > F.col("o_x2")) | (F.greatest("o_y1", "o_y2") < F.least("y1", "y2")) | (F.greatest("y1", "y2") < F.least("o_y1", "o_y2"))
+    met = met.where(~apart)
+    x1, y1, x2, y2, u1, v1, u2, v2 = (exact(F.col(c)) for c in [*ENDS, *[f"o_{c}" for c in ENDS]])
     dx, dy, ex, ey = x2 - x1, y2 - y1, u2 - u1, v2 - v1
     den = dx * ey - dy * ex
     t, s = (u1 - x1) * ey - (v1 - y1) * ex, (u1 - x1) * dy - (v1 - y1) * dx
     sign = F.signum(den.cast("double"))
     crossed = (den != 0) & (t * sign >= 0) & (t * sign <= F.abs(den)) & (s * sign >= 0) & (s * sign <= F.abs(den))
-    inside = lambda px, py: ((px - x1) * dy == (py - y1) * dx) & px.between(F.least(x1, x2), F.greatest(x1, x2)) & py.between(F.least(y1, y2), F.greatest(y1, y2))
     point = lambda a, b: F.struct(a.cast("long").alias("px"), b.cast("long").alias("py"))
-    found = F.array(
-        F.when(crossed, point(F.round(x1 + dx * (t.cast("double") / den.cast("double"))), F.round(y1 + dy * (t.cast("double") / den.cast("double"))))),
-        F.when(inside(u1, v1), point(u1, v1)), F.when(inside(u2, v2), point(u2, v2)),
-    )
-    return met.select(*ends, F.explode(F.array_compact(found)).alias("p")).select(*ends, "p.*").distinct()
+    share = t.cast("double") / den.cast("double")
+    both = point(F.round(x1 + dx * share), F.round(y1 + dy * share))
+
+    def ends_on(a: list[Column], b: list[Column]) -> list[Column]:
+        """Ends of b inside a, for pieces along one line; those that cross have their point already."""
+        a1, b1, a2, b2 = a
+        on = lambda px, py: ((px - a1) * (b2 - b1) == (py - b1) * (a2 - a1)) & px.between(a1, a2) & py.between(F.least(b1, b2), F.greatest(b1, b2))
+        return [F.when((den == 0) & on(b[i], b[i + 1]), point(b[i], b[i + 1])) for i in (0, 2)]
+
+    one, two = [x1, y1, x2, y2], [u1, v1, u2, v2]
+    met = met.select(mine.alias("one"), theirs.alias("two"), F.when(crossed, both).alias("p"), F.array_compact(F.array(*ends_on(one, two))).alias("in_one"), F.array_compact(F.array(*ends_on(two, one))).alias("in_two"))
+    none = F.array().cast("array<struct<px: bigint, py: bigint>>")
+    crossing = F.when(F.col("p").isNotNull(), F.array("p")).otherwise(none)
+    hit = lambda piece, points: F.transform(F.concat(crossing, F.col(points)), lambda p: F.struct(F.col(piece).alias("of"), p.alias("p")))
+    found = met.where(F.col("p").isNotNull() | (F.size("in_one") > 0) | (F.size("in_two") > 0)).select(F.explode(F.concat(hit("one", "in_one"), hit("two", "in_two"))).alias("h"))
+    inner = (F.struct("h.p.px", "h.p.py") != F.struct("h.of.x1", "h.of.y1")) & (F.struct("h.p.px", "h.p.py") != F.struct("h.of.x2", "h.of.y2"))
+    return found.where(inner).select("h.of.*", "h.p.*").distinct()
 
 
 def split(pieces: DataFrame, points: DataFrame) -> DataFrame:
-    """Distinct (line_id, x1, y1, x2, y2) after cutting at the points."""
-    ends = ["x1", "y1", "x2", "y2"]
-    at = points.groupBy(*ends).agg(F.collect_set(F.struct("px", "py")).alias("points"))
-    along = lambda p: (big(p["px"] - F.col("x1")) * (F.col("x2") - F.col("x1")) + big(p["py"] - F.col("y1")) * (F.col("y2") - F.col("y1"))).alias("k")
+    """Distinct (line_id, x1, y1, x2, y2, fresh) after cutting at the points. What a point off its piece bends is ``fresh``: it may meet others anew."""
+    at = points.groupBy(*ENDS).agg(F.collect_list(F.struct("px", "py")).alias("points"))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    along = lambda p: (big(p["px"] - F.col("x1")) * dx + big(p["py"] - F.col("y1")) * dy).alias("k")
+    off = F.exists("points", lambda p: big(p["px"] - F.col("x1")) * dy != big(p["py"] - F.col("y1")) * dx)
     own = F.array(F.struct(F.col("x1").alias("px"), F.col("y1").alias("py")), F.struct(F.col("x2").alias("px"), F.col("y2").alias("py")))
-    stops = F.array_sort(F.transform(F.array_distinct(F.concat(own, F.coalesce("points", F.array().cast("array<struct<px: bigint, py: bigint>>")))), lambda p: F.struct(along(p), p["px"].alias("px"), p["py"].alias("py"))))
-    rows = pieces.join(at, ends, "left").select("line_id", stops.alias("s"))
-    rows = rows.select("line_id", F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))).alias("z"))
+    stops = F.array_sort(F.transform(F.concat(own, F.col("points")), lambda p: F.struct(along(p), p["px"].alias("px"), p["py"].alias("py"))))
+    cut = at.select(*ENDS, off.alias("bent"), stops.alias("s"))
+    rows = pieces.join(cut, ENDS)
+    rows = rows.select("line_id", "bent", F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))).alias("z"))
     p, q = F.struct("z.a.px", "z.a.py"), F.struct("z.b.px", "z.b.py")
-    rows = rows.select("line_id", F.least(p, q).alias("p"), F.greatest(p, q).alias("q"))
-    return rows.select("line_id", F.col("p.px").alias("x1"), F.col("p.py").alias("y1"), F.col("q.px").alias("x2"), F.col("q.py").alias("y2")).distinct()
+    rows = rows.select("line_id", "bent", F.least(p, q).alias("p"), F.greatest(p, q).alias("q"))
+    rows = rows.select("line_id", F.col("p.px").alias("x1"), F.col("p.py").alias("y1"), F.col("q.px").alias("x2"), F.col("q.py").alias("y2"), F.col("bent").alias("fresh"))
+    whole = pieces.join(at.select(*ENDS), ENDS, "left_anti").select("line_id", *ENDS, F.lit(False).alias("fresh"))
+    return rows.union(whole).groupBy("line_id", *ENDS).agg(F.max("fresh").alias("fresh"))
 
 
 def numbered(rows: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
@@ -125,16 +159,21 @@ def noded(lines: DataFrame, cfg: TopoConfig) -> tuple[DataFrame, DataFrame, Data
 
 
 def cut_pieces(now: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, line_edge) of (line_id, x1, y1, x2, y2) in grid numbers, each with its lesser end first."""
-    p = F.struct("px", "py")
+    """(edges, line_edge) of (line_id, x1, y1, x2, y2) in grid numbers, each with its lesser end first.
+
+    Only pieces that a cut has bent are tested again, against all others.
+    """
+    now = now.select("line_id", *ENDS).distinct().withColumn("fresh", F.lit(True))
     for _ in range(ROUNDS):
-        points = crossings(now.select("x1", "y1", "x2", "y2").distinct())
-        points = written(points.where((p != F.struct("x1", "y1")) & (p != F.struct("x2", "y2"))), "crossings")
-        now = written(split(now, points), "pieces")
+        points = written(crossings(now), "crossings")
         if points.isEmpty():
             break
+        now = written(split(now, points), "pieces")
+        if now.where("fresh").isEmpty():
+            break  # every point lies on its piece: the parts meet nothing that the whole did not
     else:
         raise RuntimeError(f"lines still cross inside pieces after {ROUNDS} rounds of cutting")
+    now = now.drop("fresh")
     edges = numbered(now.select("x1", "y1", "x2", "y2").distinct(), ["x1", "y1", "x2", "y2"], "edge_id")
     nodes = numbered(edges.select(F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("n")).select("n.*").distinct(), ["x", "y"], "node_id")
     a, b = (nodes.select(F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"), F.col("node_id").alias(n)) for k, n in ((1, "start_node"), (2, "end_node")))
