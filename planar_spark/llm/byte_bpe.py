@@ -261,8 +261,8 @@ def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
     for token, rank in vocabulary.ranks.items():
         pieces[rank] = token.hex()
     literal = F.split(F.lit(",".join(pieces)), ",")
-    some = F.filter(F.split(ids, " "), lambda x: F.length(x) > 0)
-    return F.unhex(F.array_join(F.transform(some, lambda x: F.element_at(literal, x.cast("int") + 1)), ""))
+    joined = F.array_join(F.transform(F.split(ids, " "), lambda x: F.get(literal, x.cast("int"))), "")
+    return F.unhex(F.when(ids == "", "").otherwise(joined))
 
 
 def tokenize(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
