@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Batches, alone, discard, written
 
-WORDS, BYTES, LONGEST = 1 << 20, 1 << 24, 1024
+WORDS, BYTES, LONGEST = 3 << 18, 3 << 22, 1024
 BUCKETS = 1 << 14
 BLOCK = 1 << 22  # bytes of text that a task looks at together
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -147,18 +147,19 @@ def word_counts(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(alone(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def ranks_of(ranks: dict[bytes, int]):
-    """A function from a column of bytes in hexadecimal to their rank, null for what is no token: a literal map, dealt to buckets."""
+def ranks_of(ranks: dict[bytes, int]) -> Column:
+    """A literal map from bytes in hexadecimal to their rank, dealt to buckets by hash."""
     dealt: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         name = token.hex().upper()
         dealt[zlib.crc32(name.encode()) % BUCKETS][name] = rank
-    literal = F.from_json(F.lit(json.dumps(dealt)), "array<map<string,int>>")
-    return lambda name: F.element_at(F.element_at(literal, (F.crc32(name) % BUCKETS + 1).cast("int")), name)
+    return F.from_json(F.lit(json.dumps(dealt)), "array<map<string,int>>")
 
 
-def merged(name: Column, rank) -> Column:
-    """The ids, in decimal and joined by blanks, of bytes in hexadecimal: a fold over their merges."""
+def merged(name: Column, ranks: Column) -> Column:
+    """The ids, in decimal and joined by blanks, of bytes in hexadecimal: a fold over their merges. ``ranks`` is a lambda's variable, so that the literal stands
+    in the plan once."""
+    rank = lambda name: F.element_at(F.get(ranks, (F.crc32(name) % BUCKETS).cast("int")), name)
     unit, none = 1 << 32, 1 << 52
     end = F.length(name) + 1
     place = lambda x: (x % unit).cast("int")
@@ -182,7 +183,12 @@ def merged(name: Column, rank) -> Column:
     return F.array_join(F.element_at(F.transform(F.array(pieces), ids), 1), " ")
 
 
-def lexicon(docs: DataFrame, vocabulary: Vocabulary, rank) -> pa.Table:
+def with_ranks(ranks: Column, use) -> Column:
+    """``use`` of the literal map as a variable: a one-element array binds it."""
+    return F.element_at(F.transform(F.array(ranks), use), 1)
+
+
+def lexicon(docs: DataFrame, vocabulary: Vocabulary, ranks: Column) -> pa.Table:
     """(word, ids) of the vocabulary's own words and of the most frequent others: at most ``WORDS`` and ``BYTES`` of them."""
     counts = written(word_counts(docs, vocabulary.classes), "words")
     level = F.floor(F.log2("n") * 4)
@@ -197,10 +203,12 @@ def lexicon(docs: DataFrame, vocabulary: Vocabulary, rank) -> pa.Table:
     own = pa.table({"word": pa.array([t for t in vocabulary.ranks if valid(t)], pa.binary()).cast(pa.string()), "ids": pa.array([str(i) for t, i in vocabulary.ranks.items() if valid(t)])})
     if least is not None:
         name = F.hex(F.encode("word", "utf-8"))
-        got = short.where(level >= least).select("word", name.alias("name")).where(rank(F.col("name")).isNull())
+        got = short.where(level >= least).select("word", name.alias("name"))
         # Dealt anew, since folding takes far longer than reading.
-        found = got.repartition(F.xxhash64("word")).select("word", merged(F.col("name"), rank).alias("ids")).toArrow()
-        own = pa.concat_tables([own, found.cast(own.schema)])
+        got = got.repartition(F.xxhash64("word")).select("word", with_ranks(ranks, lambda r: merged(F.col("name"), r)).alias("ids"))
+        found = got.toArrow().cast(own.schema)
+        # A word that is a token as a whole is that token, whatever its merges give.
+        own = pa.concat_tables([own, found.filter(pc.invert(pc.is_in(found.column("word"), value_set=own.column("word").combine_chunks())))])
     discard(counts)
     return own.combine_chunks()
 
@@ -225,9 +233,9 @@ def parts(word: str, met: np.ndarray) -> list[str]:
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, ids): each text's ids, in decimal and joined by one blank."""
-    rank = ranks_of(vocabulary.ranks)
+    ranks = ranks_of(vocabulary.ranks)
     context = docs.sparkSession.sparkContext
-    known = context.broadcast((lexicon(docs, vocabulary, rank), vocabulary.classes, vocabulary.met))
+    known = context.broadcast((lexicon(docs, vocabulary, ranks), vocabulary.classes, vocabulary.met))
 
     def run(batches: Batches) -> Batches:
         table, classes, met = known.value
@@ -250,7 +258,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.mapInArrow(alone(run), f"doc_id {kind}, joined array<string>, lacking array<array<string>>")
-    folded = F.transform("lacking", lambda w: F.array_join(F.transform(w, lambda name: merged(name, rank)), " "))
+    folded = with_ranks(ranks, lambda r: F.transform("lacking", lambda w: F.array_join(F.transform(w, lambda name: merged(name, r)), " ")))
     both = F.flatten(F.zip_with("joined", folded, lambda a, b: F.array(a, b)))
     return rows.select("doc_id", F.array_join(F.filter(both, lambda x: F.length(x) > 0), " ").alias("ids"))
 
