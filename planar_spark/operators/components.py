@@ -2,22 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import discard, written
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
+#: So many pairs one task may join at once: what an edit touches is mostly far less, and rounds of jobs would take most of its time.
+SMALL = 1 << 16
+
+
+def joined_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all pairs of a task."""
+    up: dict[int, int] = {}
+
+    def top(a: int) -> int:
+        while up.setdefault(a, a) != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(up.keys(), pa.int64()), pa.array([top(a) for a in list(up)], pa.int64())], names=["node", "component"])
+
+
+def components(edges: DataFrame, label: str = "components", small: int = 0) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: one row per node, (node, component), labelled by the least node.
 
     Alternates two contractions, each a single grouped pass: every node's larger neighbours are hooked to its
     smallest neighbour, then every node's smaller ones are. Edges shrink towards stars, in a logarithmic number of passes. Each
-    pass ends in a written table. Nothing is collected but a count and a checksum.
+    pass ends in a written table. Nothing is collected but a count and a checksum. Up to ``small`` distinct pairs are joined in one task instead.
     """
     live = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
     state = F.struct(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h"))
     before = live.select(state).first()
+    if before[0]["n"] <= small:
+        return live.coalesce(1).mapInArrow(joined_at_once, "node long, component long")
     while True:
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

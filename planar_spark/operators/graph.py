@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..store import written
+from .components import SMALL, components
 
 SHIFT = 1 << 40  # separates layers in the ids of (layer, face) pairs
 
 
 def nodes(edges: DataFrame) -> DataFrame:
-    """(node_id, x, y) of the ends of edges."""
-    one = lambda n, x, y: F.struct(F.col(n).alias("node_id"), F.col(x).alias("x"), F.col(y).alias("y"))
+    """(node_id, x, y) of the ends of edges, and their region where edges have one."""
+    more = ["region"] if "region" in edges.columns else []
+    one = lambda n, x, y: F.struct(F.col(n).alias("node_id"), F.col(x).alias("x"), F.col(y).alias("y"), *more)
     return edges.select(F.explode(F.array(one("start_node", "x1", "y1"), one("end_node", "x2", "y2"))).alias("n")).select("n.*").distinct()
 
 
@@ -48,7 +50,7 @@ def without_unused_edges(edges: DataFrame, line_edge: DataFrame) -> DataFrame:
 
 def merged_names(edges: DataFrame, line_edge: DataFrame) -> DataFrame:
     """(node, component): the faces that become one when edges in no line go, and the least of them."""
-    return components(unused_edges(edges, line_edge).select(F.col("left_face").alias("a"), F.col("right_face").alias("b")), "merged_faces")
+    return components(unused_edges(edges, line_edge).select(F.col("left_face").alias("a"), F.col("right_face").alias("b")), "merged_faces", SMALL)
 
 
 def renamed(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
@@ -58,26 +60,45 @@ def renamed(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
 
 
 def cleaned(tables: dict[str, DataFrame], lines: DataFrame) -> dict[str, DataFrame]:
-    """The clean-up as one step over ``edge``, ``line_edge``, ``edge_relation``, ``face``, ``map_face_face`` and ``face_type``.
+    """The clean-up as one step over ``edge``, ``line_edge``, ``edge_relation``, ``face``, ``map_face``, ``map_face_face``, ``face_type``, ``linework_topo`` and
+    ``dirty_face``, as far as they are given.
 
-    Relations of lines that are gone go first, then edges in no line, whose faces join in every table, then nodes at no edge. Edges are
-    straight pieces, so those that healing makes one keep their rows; ``edge_chain`` (edge_id, chain) names what each is part of.
+    Relations of lines that are gone go first, then edges in no line, whose faces join, then nodes at no edge. Map faces over faces
+    that joined go with their rows in ``face_type``, whose keys so stay unique; what is left of those faces is dirty in the layers that they had map
+    faces in. Edges are straight pieces, so those that healing makes one keep their rows; ``edge_chain`` (edge_id, chain) names what each is part of.
     """
     held = lines.select(F.col("id").alias("line_id")).distinct()
-    line_edge = tables["line_edge"].join(held, "line_id", "left_semi")
-    names = merged_names(tables["edge"], line_edge)
+    line_edge = written(tables["line_edge"].join(held, "line_id", "left_semi"), "held_edges")
+    names = written(merged_names(tables["edge"], line_edge), "merged_names")
     edges = tables["edge"].join(line_edge.select("edge_id").distinct(), "edge_id", "left_semi")
-    edges = renamed(renamed(edges, names, "left_face"), names, "right_face")
-    out = {"edge": edges, "line_edge": line_edge, "edge_chain": heal_chains(edges, line_edge)}
+    edges = written(renamed(renamed(edges, names, "left_face"), names, "right_face").select(*tables["edge"].columns), "held")
+    out = {"edge": edges, "line_edge": line_edge.select(*tables["line_edge"].columns), "edge_chain": heal_chains(edges, line_edge)}
     if {"x1", "y1", "x2", "y2"} <= set(edges.columns):
         out["node"] = nodes(edges)
     if "edge_relation" in tables:
-        out["edge_relation"] = tables["edge_relation"].join(held, "line_id", "left_semi").join(edges.select("edge_id"), "edge_id", "left_semi")
+        out["edge_relation"] = tables["edge_relation"].join(held, "line_id", "left_semi").join(edges.select("edge_id"), "edge_id", "left_semi").select(*tables["edge_relation"].columns)
+    if "linework_topo" in tables:
+        out["linework_topo"] = tables["linework_topo"].join(held, "line_id", "left_semi").select(*tables["linework_topo"].columns)
     if "face" in tables:
-        out["face"] = renamed(tables["face"], names, "face_id").groupBy("face_id").agg(F.sum("area").alias("area")).withColumn("area", F.when(F.col("face_id") == 0, 0.0).otherwise(F.col("area")))
-    for name in ("map_face_face", "face_type"):
-        if name in tables:
-            out[name] = renamed(tables[name], names, "face_id").where("face_id <> 0").select(*tables[name].columns).distinct()
+        more = [F.min(c).alias(c) for c in tables["face"].columns if c not in ("face_id", "area")]
+        joined = renamed(tables["face"], names, "face_id").groupBy("face_id").agg(F.sum("area").alias("area"), *more)
+        out["face"] = joined.withColumn("area", F.when(F.col("face_id") == 0, 0.0).otherwise(F.col("area"))).select(*tables["face"].columns)
+        if "region" in tables["face"].columns:
+            out["face"] = out["face"].withColumn("region", F.when(F.col("face_id") == 0, F.lit(0)).otherwise(F.col("region")).cast("long"))
+    if "map_face_face" in tables:
+        members = tables["map_face_face"]
+        joined = names.select(F.col("node").alias("face_id"), F.col("component").alias("into"))
+        open_ = written(members.join(joined, "face_id"), "open_map_faces")
+        gone = open_.select("map_face", "map_layer").distinct()
+        out["map_face_face"] = members.join(gone, ["map_face", "map_layer"], "left_anti").select(*members.columns)
+        if "face_type" in tables:
+            out["face_type"] = tables["face_type"].join(gone, ["map_face", "map_layer"], "left_anti").select(*tables["face_type"].columns)
+        if "map_face" in tables:
+            out["map_face"] = tables["map_face"].join(gone.withColumnRenamed("map_face", "id"), ["id", "map_layer"], "left_anti").select(*tables["map_face"].columns)
+        if "dirty_face" in tables:
+            # A map face that went may cover faces that did not join: these are open too.
+            left = renamed(members.join(gone, ["map_face", "map_layer"], "left_semi"), names, "face_id").where("face_id <> 0")
+            out["dirty_face"] = tables["dirty_face"].unionByName(left.select(F.col("face_id").alias("id"), "map_layer")).distinct()
     return out
 
 
@@ -117,7 +138,7 @@ def dissolved(faces: DataFrame, edges: DataFrame, relation: DataFrame, layers: D
     """
     near = adjacent(edges, relation, layers, literal)
     inner = near.where("face_id > adjacent and adjacent <> 0")
-    found = components(inner.select((F.col("map_layer") * SHIFT + F.col("face_id")).alias("a"), (F.col("map_layer") * SHIFT + F.col("adjacent")).alias("b")), "dissolved")
+    found = components(inner.select((F.col("map_layer") * SHIFT + F.col("face_id")).alias("a"), (F.col("map_layer") * SHIFT + F.col("adjacent")).alias("b")), "dissolved", SMALL)
     found = found.select(F.floor(F.col("node") / SHIFT).cast("int").alias("map_layer"), (F.col("node") % SHIFT).alias("face_id"), (F.col("component") % SHIFT).alias("comp"))
     every = faces.where("face_id <> 0").select("face_id").crossJoin(F.broadcast(layers))
     every = every.join(found, ["map_layer", "face_id"], "left").withColumn("comp", F.coalesce("comp", "face_id"))
@@ -144,5 +165,5 @@ def heal_candidates(edges: DataFrame, line_edge: DataFrame, literal: bool = Fals
 def heal_chains(edges: DataFrame, line_edge: DataFrame) -> DataFrame:
     """(edge_id, chain): edges that healing makes one; chain is the least edge of each."""
     pairs = heal_candidates(edges, line_edge).select(F.col("edge_1").alias("a"), F.col("edge_2").alias("b"))
-    found = components(pairs, "chains")
+    found = components(pairs, "chains", SMALL)
     return edges.select("edge_id").join(found, edges["edge_id"] == found["node"], "left").select("edge_id", F.coalesce("component", "edge_id").alias("chain"))

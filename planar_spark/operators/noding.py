@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import TopoConfig
 from ..kernel import planar, wkb
 from ..store import written
-from .components import components
+from .components import SMALL, components
 
 ROUNDS = 100  # more is an error
 SEGMENT = ["line_id", "x1", "y1", "x2", "y2"]
@@ -194,17 +194,17 @@ def half_edges(edges: DataFrame) -> DataFrame:
     cross = "cast(l.dx as decimal(19,0)) * r.dy - cast(l.dy as decimal(19,0)) * r.dx"
     star = star.withColumn("star", F.expr(f"array_sort(star, (l, r) -> CASE WHEN {half_plane('l')} <> {half_plane('r')} THEN {half_plane('l')} - {half_plane('r')} WHEN {cross} > 0 THEN -1 WHEN {cross} < 0 THEN 1 ELSE 0 END)"))
     turn = star.select(F.posexplode("star").alias("i", "s"), "star").select((F.col("s.he").bitwiseXOR(F.lit(1))).alias("a"), F.element_at("star", F.when(F.col("i") == 0, -1).otherwise(F.col("i"))).getField("he").alias("b"))
-    ring = components(turn, "rings")
+    ring = components(turn, "rings", SMALL)
     return half.join(ring, half["he"] == ring["node"], "left").select("he", F.coalesce("component", "he").alias("ring"), "x", "y", "tx", "ty")
 
 
 def faced(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges with left_face and right_face, faces (face_id, area in grid units)). Face 0 is the outside."""
+    """(edges with left_face, right_face and part, faces (face_id, area in grid units)). Face 0 is the outside; a part is what edges connect."""
     half = written(half_edges(edges), "ring_edges")
     twice = F.sum((big(F.col("x")) * F.col("ty") - big(F.col("tx")) * F.col("y")).cast("decimal(38,0)"))
     rings = written(half.groupBy("ring").agg(twice.alias("twice"), F.min(F.struct("x", "y")).alias("at")), "ring_areas")
     # Where a ring bounds its part of the graph from outside, the nearest edge below its leftmost point tells what is around it.
-    parts = components(edges.select(F.col("start_node").alias("a"), F.col("end_node").alias("b")), "graph_parts")
+    parts = components(edges.select(F.col("start_node").alias("a"), F.col("end_node").alias("b")), "graph_parts", SMALL)
     part_of = written(edges.join(parts, edges["start_node"] == parts["node"]).select((F.col("edge_id") * 2).alias("_e"), F.col("component").alias("part")), "edge_parts")
     half = half.join(part_of, (half["he"] - half["he"] % 2) == part_of["_e"]).drop("_e")
     outer = rings.where("twice <= 0").select("ring", F.col("at.x").alias("px"), F.col("at.y").alias("py"))
@@ -228,13 +228,21 @@ def faced(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_shell = shells.select(F.col("ring").alias("under"), "face_id")
     face_of = shells.select("ring", "face_id").union(up.join(of_shell, "under", "left").select("ring", F.coalesce("face_id", F.lit(0)).alias("face_id")))
     face_of = written(face_of, "ring_faces")
-    sides = half.select("he", "ring").join(face_of, "ring")
-    left, right = sides.where("he % 2 = 0").select(F.floor(F.col("he") / 2).alias("edge_id"), F.col("face_id").alias("left_face")), sides.where("he % 2 = 1").select(F.floor(F.col("he") / 2).alias("edge_id"), F.col("face_id").alias("right_face"))
+    sides = half.select("he", "ring", "part").join(face_of, "ring")
+    left, right = sides.where("he % 2 = 0").select(F.floor(F.col("he") / 2).alias("edge_id"), F.col("face_id").alias("left_face"), "part"), sides.where("he % 2 = 1").select(F.floor(F.col("he") / 2).alias("edge_id"), F.col("face_id").alias("right_face"))
     faces = rings.join(face_of, "ring").groupBy("face_id").agg((F.sum("twice").cast("double") / 2).alias("area"))
     outside = faces.sparkSession.createDataFrame([(0, 0.0)], "face_id long, area double")
     return edges.join(left, "edge_id").join(right, "edge_id"), faces.where("face_id <> 0").select(F.col("face_id").cast("long").alias("face_id"), "area").union(outside)
 
 
+def regions(edges: DataFrame) -> DataFrame:
+    """(part, region): parts that lie within one outline share a region, since faces connect them; regions touch nothing of one another."""
+    sides = edges.select("part", F.explode(F.array("left_face", "right_face")).alias("face_id")).where("face_id <> 0")
+    joined = components(sides.select((F.col("part") * 2).alias("a"), (F.col("face_id") * 2 + 1).alias("b")).distinct(), "regions", SMALL)
+    own = edges.select("part").distinct()
+    return own.join(joined, own["part"] * 2 == joined["node"], "left").select("part", (F.coalesce("component", F.col("part") * 2) + 1).alias("region"))
+
+
 def face_data(edges: DataFrame, cfg: TopoConfig) -> DataFrame:
     """(face_id, geometry, area): every primitive face as a polygon; ``edges`` in coordinates, with their faces."""
     grid = edges

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernel import planar, wkb
@@ -34,23 +34,44 @@ def boxed(rows: DataFrame, keys: str) -> DataFrame:
     return rows.select(*names, "geometry").mapInArrow(run, f"{keys}, geometry binary, box {BOX}")
 
 
-def spatial_join(a: DataFrame, b: DataFrame, on: list[str], how: str = "contains") -> DataFrame:
-    """Pairs of rows of equal ``on`` where a's geometry contains (or intersects) b's. Both are ``boxed``; columns of b get a prefix.
+LEVELS = range(-30, 41)  # of cells: powers of two
+
+
+def level_of(box: str, margin: float) -> Column:
+    """The least level whose cells are as long as the box's longer side: there a box meets four cells at most."""
+    side = F.greatest(F.col(f"{box}.xmax") - F.col(f"{box}.xmin"), F.col(f"{box}.ymax") - F.col(f"{box}.ymin")) + margin
+    return F.when(side > 0, F.greatest(F.lit(LEVELS[0]), F.least(F.lit(LEVELS[-1]), F.ceil(F.log2(side))))).otherwise(LEVELS[0]).cast("int")
+
+
+def box_join(a: DataFrame, b: DataFrame, on: list[str], margin: float = 0.0) -> DataFrame:
+    """Pairs of rows of equal ``on`` whose boxes overlap or touch, a's column ``box`` and b's ``b_box``, up to ``margin`` apart.
 
-    Boxes are dealt to the cells of a grid, joined by cell, and each pair is kept only in the cell of the lower left corner of the boxes' overlap.
+    Cells form a pyramid. Each box stands in the cells of the level of its own size, and asks at every coarser level at which the other side has
+    boxes; two boxes meet at the coarser of their levels, so a large box is never cut into small cells. A pair is kept in the cell of the overlap's lower left
+    corner alone.
     """
-    size = b.agg(F.avg(F.greatest(F.col("box.xmax") - F.col("box.xmin"), F.col("box.ymax") - F.col("box.ymin")))).first()[0]
-    cell = 2 * size if size else 1.0
-
-    def cells(df: DataFrame, box: str) -> DataFrame:
-        span = lambda k: F.sequence(F.floor(F.col(f"{box}.{k}min") / cell), F.floor(F.col(f"{box}.{k}max") / cell))
-        return df.where(F.col(box).isNotNull()).withColumn("_cx", F.explode(span("x"))).withColumn("_cy", F.explode(span("y")))
-
-    right = b.select(*[F.col(c).alias(c if c in on else f"b_{c}") for c in b.columns])
-    pairs = cells(a, "box").join(cells(right, "b_box"), [*on, "_cx", "_cy"])
-    low = lambda k: F.greatest(f"box.{k}min", f"b_box.{k}min")
-    pairs = pairs.where((low("x") <= F.least("box.xmax", "b_box.xmax")) & (low("y") <= F.least("box.ymax", "b_box.ymax")))
-    pairs = pairs.where((F.floor(low("x") / cell) == F.col("_cx")) & (F.floor(low("y") / cell) == F.col("_cy"))).drop("_cx", "_cy")
+    levels = lambda df, box: df.where(F.col(box).isNotNull()).select(level_of(box, margin).alias("_l")).distinct()
+    held = {side: sorted(r["_l"] for r in levels(df, box).collect()) for side, df, box in (("a", a, "box"), ("b", b, "b_box"))}  # 71 at most
+
+    def cells(df: DataFrame, box: str, other: list[int]) -> DataFrame:
+        df = df.where(F.col(box).isNotNull()).withColumn("_own", level_of(box, margin))
+        wanted = F.array(*[F.lit(k) for k in other]) if other else F.array().cast("array<int>")
+        df = df.withColumn("_l", F.explode(F.array_distinct(F.concat(F.array("_own"), F.filter(wanted, lambda k: k > F.col("_own"))))))
+        size = F.pow(F.lit(2.0), "_l")
+        span = lambda k: F.sequence(F.floor((F.col(f"{box}.{k}min") - margin / 2) / size), F.floor((F.col(f"{box}.{k}max") + margin / 2) / size))
+        return df.withColumn("_cx", F.explode(span("x"))).withColumn("_cy", F.explode(span("y")))
+
+    left, right = cells(a, "box", held["b"]), cells(b, "b_box", held["a"]).withColumnRenamed("_own", "_b_own")
+    pairs = left.join(right, [*on, "_l", "_cx", "_cy"]).where(F.col("_l") == F.greatest("_own", "_b_own"))
+    low = lambda k: F.greatest(F.col(f"box.{k}min"), F.col(f"b_box.{k}min")) - margin / 2
+    pairs = pairs.where((low("x") <= F.least("box.xmax", "b_box.xmax") + margin / 2) & (low("y") <= F.least("box.ymax", "b_box.ymax") + margin / 2))
+    size = F.pow(F.lit(2.0), "_l")
+    return pairs.where((F.floor(low("x") / size) == F.col("_cx")) & (F.floor(low("y") / size) == F.col("_cy"))).drop("_l", "_cx", "_cy", "_own", "_b_own")
+
+
+def spatial_join(a: DataFrame, b: DataFrame, on: list[str], how: str = "contains") -> DataFrame:
+    """Pairs of rows of equal ``on`` where a's geometry contains (or intersects) b's. Both are ``boxed``; columns of b get a prefix."""
+    pairs = box_join(a, b.select(*[F.col(c).alias(c if c in on else f"b_{c}") for c in b.columns]), on)
     test = planar.contains if how == "contains" else planar.intersects
     at = pairs.columns.index("geometry"), pairs.columns.index("b_geometry")
 

@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import schema
 
@@ -62,12 +64,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed since the version that this commit builds on."""
+
+
 class Store:
-    """Snapshots: each commit writes a folder of changed tables and a manifest that points to every table's latest
-    folder. Rolling back is reading an older manifest; nothing is updated in place."""
+    """Snapshots: each commit writes folders of changed tables and a manifest that points to every table's folders. Rolling back is reading an older
+    manifest; nothing is updated in place.
+
+    A manifest is created, never replaced: of two writers that build on one version the second gets ``Conflict``, and both tables' folders have names of
+    their own. It also says which batches of which streams are applied, in the same step as their rows.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    A table can be dealt to buckets by a key (``schema.BUCKETED``). Then a commit may replace some buckets, and the others' files stay as they are.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -79,45 +91,84 @@ class Store:
             return []
         return sorted(int(x.getPath().getName().split(".")[0]) for x in fs.listStatus(p) if x.getPath().getName().endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> dict[str, str]:
-        versions = self.versions()
-        if not versions:
-            return {}
-        fs, p = self._fs(f"{self.root}/manifests/{versions[-1] if version is None else version}.json")
+    def latest(self) -> int:
+        return (self.versions() or [-1])[-1]
+
+    def text(self, path: str) -> str:
+        fs, p = self._fs(path)
         stream = fs.open(p)
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        version = (self.versions() or [-1])[-1] + 1
-        pointers = self.manifest()
+    def _state(self, version: int | None = None) -> dict:
+        version = self.latest() if version is None else version
+        return json.loads(self.text(f"{self.root}/manifests/{version}.json")) if version >= 0 else {"tables": {}, "applied": {}, "facts": {}}
+
+    def manifest(self, version: int | None = None) -> dict[str, str | dict[str, str]]:
+        return self._state(version)["tables"]
+
+    def applied(self, stream: str) -> int:
+        """The last batch of a stream whose rows the store holds, or -1."""
+        return self._state()["applied"].get(stream, -1)
+
+    def facts(self) -> dict:
+        """What the last commit with facts said of its tables as a whole."""
+        return self._state()["facts"]
+
+    def bucket(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(schema.BUCKETED[name])), F.lit(self.buckets)).cast("int")
+
+    def commit(self, tables: dict[str, DataFrame], base: int | None = None, applied: dict[str, int] | None = None, replaced: dict[str, list[int]] | None = None, facts: dict | None = None) -> int:
+        """A version with these tables in place of theirs, built on version ``base`` (the latest). ``replaced``: the only buckets that a table's rows are of; the others stay.
+        ``applied``: batches of streams that the rows come from. ``facts`` take the place of those with their names."""
+        base = self.latest() if base is None else base
+        state = self._state(base)
         for name, df in tables.items():
-            pointers[name] = f"{self.root}/tables/{name}/{version}"
-            df.write.mode("overwrite").parquet(pointers[name])
-        return self._point(version, pointers)
+            folder = f"{self.root}/tables/{name}/{base + 1}-{uuid.uuid4().hex[:12]}"
+            if name in schema.BUCKETED:
+                df = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.of(name)])
+                # Rebalanced, so that a bucket's rows are few files but a large bucket is several tasks'.
+                df.withColumn("_bucket", self.bucket(name)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(folder)
+                fs, p = self._fs(folder)
+                own = {x.getPath().getName().split("=")[1]: f"{folder}/{x.getPath().getName()}" for x in fs.listStatus(p) if "=" in x.getPath().getName()}
+                old = state["tables"].get(name, {}) if replaced and name in replaced else {}
+                state["tables"][name] = {k: f for k, f in old.items() if int(k) not in (replaced or {}).get(name, ())} | own
+            else:
+                df.write.parquet(folder)
+                state["tables"][name] = folder
+        return self._point(base + 1, state | {"applied": state["applied"] | (applied or {}), "facts": state["facts"] | (facts or {})})
 
     def drop(self, names: list[str]) -> int:
         """A version without these tables; older versions still hold them."""
-        kept = {n: p for n, p in self.manifest().items() if n not in names}
-        return self._point((self.versions() or [-1])[-1] + 1, kept)
+        base = self.latest()
+        state = self._state(base)
+        return self._point(base + 1, state | {"tables": {n: p for n, p in state["tables"].items() if n not in names}})
 
-    def _point(self, version: int, pointers: dict[str, str]) -> int:
+    def _point(self, version: int, state: dict) -> int:
         fs, p = self._fs(f"{self.root}/manifests/{version}.json")
-        stream = fs.create(p, True)
-        stream.write(bytearray(json.dumps(pointers).encode()))
+        try:
+            stream = fs.create(p, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise Conflict(f"version {version} exists already") from e
+            raise
+        stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
         return version
 
     def exists(self, name: str) -> bool:
         return name in self.manifest()
 
-    def read(self, name: str, version: int | None = None) -> DataFrame:
+    def read(self, name: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or some buckets of it."""
         pointer = self.manifest(version).get(name)
-        if pointer is None:
+        if isinstance(pointer, dict):
+            pointer = [f for k, f in pointer.items() if buckets is None or int(k) in buckets]
+        if not pointer:
             return self.spark.createDataFrame([], schema.of(name))
-        return self.spark.read.parquet(pointer)
+        return self.spark.read.schema(schema.of(name)).parquet(*pointer) if isinstance(pointer, list) else self.spark.read.parquet(pointer)
 
     def rollback(self, version: int) -> None:
         """Forget the manifests after ``version``."""
@@ -127,4 +178,7 @@ class Store:
                 fs.delete(p, False)
 
     def create_empty(self) -> int:
-        return self.commit({n: self.spark.createDataFrame([], schema.of(n)) for n in schema.SOURCES | schema.DERIVED if not self.exists(n)})
+        """A version with every table that is not there yet, empty: no folder is needed for that."""
+        base = self.latest()
+        state = self._state(base)
+        return self._point(base + 1, state | {"tables": {n: [] for n in schema.SOURCES | schema.DERIVED} | state["tables"]})

@@ -20,6 +20,6 @@ def test_steps_lookups_and_clean_up(spark, topo):  # noqa: F811
     topo.delete("linework", "id = 1")
     topo.clean()
     assert [read(t).count() for t in ("edge", "node", "edge_relation", "face_type")] == [0, 0, 0, 0]
-    assert [tuple(r) for r in read("face").collect()] == [(0, 0.0)]
+    assert [tuple(r) for r in read("face").select("face_id", "area").collect()] == [(0, 0.0)]
     topo.forget()
     assert not topo.store.exists("edge") and topo.store.exists("linework")
