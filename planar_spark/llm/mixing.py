@@ -69,8 +69,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget:
 
 
 def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5, cap: float = 2.0, schedules=SCHEDULES) -> DataFrame:
-    """Per input row: doc_id, source, size, source_size, target, taken, and due time ``position`` of its first copy (null if none)."""
-    sized = docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), F.md5(text_or_empty()).alias("tie"))
+    """Per input row: doc_id, source, size, source_size, target, taken, text_hash, and due time ``position`` of its first copy (null if none)."""
+    sized = docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), F.md5(text_or_empty()).alias("tie"), F.xxhash64(text_or_empty()).alias("text_hash"))
     sized = sized.withColumn("o", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("range", F.substring("o", 1, 3))
     targets = source_targets(sized.select("source", "size"), weights, budget, cap, schedules)
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -82,7 +82,7 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: floa
     inner = Window.partitionBy("source", "range").orderBy("o", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     both = placed.join(info, same(placed, info, ["source", "range"])).select(
-        "doc_id", placed["source"], "size", "source_size", "target", "pieces", (F.col("ahead") + F.col("inside")).alias("before")
+        "doc_id", placed["source"], "size", "text_hash", "source_size", "target", "pieces", (F.col("ahead") + F.col("inside")).alias("before")
     )
     asked = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(asked / F.col("source_size"))).otherwise(0)
@@ -106,9 +106,10 @@ def mixed_documents(docs: DataFrame, with_position: bool = False, **options) ->
     earlier = F.col("copy") - 1
     part = F.least(F.col("size"), F.col("taken") - earlier * F.col("size"))
     share = F.least(F.lit(1.0), (earlier * F.col("source_size") + F.col("before") + part / 2) / F.col("target"))
-    plan = plan.select(F.col("doc_id").alias("mix_id"), F.col("copy").alias("mix_copy"), F.round(due(share, F.col("pieces")), 9).alias("mix_position"))
-    plan = plan.groupBy("mix_id", "mix_copy").agg(F.min("mix_position").alias("mix_position"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("of"))
-    out = rows.join(plan, rows["of"].eqNullSafe(plan["mix_id"])).orderBy("mix_position", "mix_id", "mix_copy")
+    plan = plan.select(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_text"), F.col("copy").alias("mix_copy"), F.round(due(share, F.col("pieces")), 9).alias("mix_position"))
+    plan = plan.groupBy("mix_id", "mix_text", "mix_copy").agg(F.min("mix_position").alias("mix_position"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("of"), F.xxhash64(text_or_empty()).alias("text_hash"))
+    # Rows that repeat an id with another text have plans of their own.
+    out = rows.join(plan, rows["of"].eqNullSafe(plan["mix_id"]) & (rows["text_hash"] == plan["mix_text"])).orderBy("mix_position", "mix_id", "mix_copy")
     position = [F.col("mix_position").alias("mix_position" + "_" * ("mix_position" in docs.columns))] * with_position
     return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns], *position)

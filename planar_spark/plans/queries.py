@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..config import TopoConfig
 from ..functions import colors, tiles
 from ..kernel import wkb
-from ..operators import dml, faces, graph, hierarchy, linework, noding, units
+from ..operators import chains, dml, faces, graph, hierarchy, linework, noding, units
 from ..operators.components import components
-from ..store import written
+from ..store import scratch_path, written
 from . import inputs as I  # noqa: E741
 from .inputs import with_ctes
-from .solve import solve
+from .solve import TopoSession, solve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -160,6 +160,27 @@ def healed_chains(spark, d):
     return graph.heal_chains(_used(spark, d), I.walls(spark, d).select("line_id", "edge_id"))
 
 
+@query("two cells edges walls", USED + HEAL + """, pairs AS (SELECT node_id, edge_1, edge_2 FROM star JOIN le a ON a.edge_id = edge_1 JOIN le b ON b.edge_id = edge_2 WHERE edge_1 <> edge_2 AND a.lines = b.lines),
+both_ways AS (SELECT node_id, edge_1 AS a, edge_2 AS b FROM pairs UNION SELECT node_id, edge_2, edge_1 FROM pairs),
+reach(a, b) AS (SELECT edge_id, edge_id FROM used UNION SELECT r.a, n.b FROM reach r JOIN both_ways n ON n.a = r.b),
+half AS (SELECT edge_id * 2 AS he, start_node AS o, end_node AS t FROM used UNION ALL SELECT edge_id * 2 + 1, end_node, start_node FROM used),
+link AS MATERIALIZED (SELECT x.he AS item, y.he AS nxt FROM both_ways JOIN half x ON x.he // 2 = a AND x.t = node_id JOIN half y ON y.he // 2 = b AND y.o = node_id),
+heads AS (SELECT DISTINCT chain FROM (SELECT a, min(b) AS chain FROM reach GROUP BY a)),
+ahead(chain, he, i) AS (SELECT chain, chain * 2, 0 FROM heads UNION ALL SELECT chain, nxt, i + 1 FROM ahead JOIN link ON item = he WHERE nxt <> chain * 2),
+back(chain, he, i) AS (SELECT chain, chain * 2, 0 FROM heads UNION ALL SELECT chain, item, i - 1 FROM back JOIN link ON nxt = he WHERE item <> chain * 2),
+shut AS (SELECT chain FROM ahead JOIN link ON item = he WHERE nxt = chain * 2),
+walk AS (SELECT * FROM ahead UNION ALL SELECT * FROM back WHERE i < 0 AND chain NOT IN (SELECT chain FROM shut)),
+placed AS (SELECT chain, i, (o - 1) % 21 || ' ' || (o - 1) // 21 AS o, (t - 1) % 21 || ' ' || (t - 1) // 21 AS t FROM walk JOIN half USING (he))
+SELECT chain, count(*) AS n_edges, chain IN (SELECT chain FROM shut) AS closed, string_agg(o, ',' ORDER BY i) || ',' || arg_max(t, i) AS path FROM placed GROUP BY chain""")
+def healed_edges(spark, d):
+    """The edges of a layer's walls healed to polylines: their points in order."""
+    used = _used(spark, d).select("edge_id").join(I.placed_edges(spark, d), "edge_id")
+    points = chains.healed_points(used, I.walls(spark, d).select("line_id", "edge_id"))
+    text = F.concat_ws(" ", F.col("x").cast("long").cast("string"), F.col("y").cast("long").cast("string"))
+    path = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", text.alias("t")))), lambda p: p["t"]), ",")
+    return points.groupBy("chain", "closed").agg((F.count("*") - 1).alias("n_edges"), path.alias("path")).select("chain", "n_edges", "closed", "path")
+
+
 @query("two cells edges walls", """, held AS (SELECT edge_id, line_id FROM walls WHERE line_id // 10 IN (SELECT p FROM cells WHERE t < 45)), kept AS (SELECT * FROM edges SEMI JOIN held USING (edge_id)),
 near AS (SELECT left_face AS a, right_face AS b FROM edges ANTI JOIN held USING (edge_id) UNION SELECT right_face, left_face FROM edges ANTI JOIN held USING (edge_id)),
 reach(a, b) AS (SELECT face_id, face_id FROM cells UNION SELECT 0, 0 UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b), name AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
@@ -659,3 +680,41 @@ def strabo_tags(spark, d):
     tagged = spots.select("spot_id", F.explode(F.when(F.col("k") % 3 == 0, F.array(F.col("k") % 5, F.col("k") % 7)).otherwise(F.array(F.col("k") % 5))).alias("tag_id")).distinct()
     tags = spark.range(6).select(F.col("id").alias("tag_id"), F.concat(F.lit("tag "), "id").alias("name"))
     return spots.join(tagged, "spot_id", "left").join(F.broadcast(tags), "tag_id", "left").select("spot_id", "tag_id", "name")
+
+
+# Updates of regions.
+
+PLOTS = "plots AS (SELECT p_partkey AS p, (p_partkey % 100) * 20 AS x, (p_partkey // 100) * 20 AS y, 2 + 2 * (p_size % 4) AS s, p_brand AS kind FROM part)"
+
+
+def _plots(spark, d):
+    """Squares apart from one another, some with a divider, as lines; and polygons that name them."""
+    p = F.col("p_partkey")
+    return I.read(spark, d, "part").select(p.cast("int").alias("p"), (p % 100 * 20).alias("x"), (F.floor(p / 100) * 20).alias("y"), (2 + 2 * (F.col("p_size") % 4)).alias("s"), F.col("p_brand").alias("kind"))
+
+
+def _plot_tables(plots, divided):
+    ring, divider = "LINESTRING(%1$d %2$d,%3$d %2$d,%3$d %4$d,%1$d %4$d,%1$d %2$d)", "LINESTRING(%1$d %2$d,%1$d %3$d)"
+    x, y, s = F.col("x"), F.col("y"), F.col("s")
+    one = lambda rows, k, wkt: rows.select((F.col("p") * 2 + k).alias("id"), wkt.alias("wkt"), F.lit("contact").alias("type"), F.lit(2).alias("map_layer"))
+    lines = one(plots, 0, F.format_string(ring, x, y, x + s, y + s)).union(one(plots.where(divided), 1, F.format_string(divider, x + 1, y, y + s)))
+    box = "POLYGON((%1$d.25 %2$d.25,%1$d.75 %2$d.25,%1$d.75 %2$d.75,%1$d.25 %2$d.75,%1$d.25 %2$d.25))"
+    named = plots.where("p % 3 = 0").select(F.col("p").alias("id"), F.format_string(box, "x", "y").alias("wkt"), F.col("kind").alias("type"), F.lit(2).alias("map_layer"))
+    return {n: I.files.parse_geometry(t, "wkt").select("id", "geometry", "type", "map_layer") for n, t in (("linework", lines), ("polygon", named))}
+
+
+@query(None, f"""WITH {PLOTS}, now AS (SELECT p, CASE WHEN p % 50 = 0 THEN s + 2 ELSE s END AS s, CASE WHEN p % 50 = 12 THEN 'changed' ELSE kind END AS kind, (p % 2 = 0 AND p % 50 <> 0) OR p % 50 = 9 AS divided FROM plots WHERE p % 50 <> 7)
+SELECT p, 0 AS side, (CASE WHEN divided THEN s ELSE s * s END)::DOUBLE AS area, CASE WHEN p % 3 = 0 THEN kind END AS unit_id FROM now
+UNION ALL SELECT p, 1, ((s - 1) * s)::DOUBLE, NULL FROM now WHERE divided""")
+def incremental_solve(spark, d):
+    """Map faces after edits of some plots: only their regions are solved again."""
+    p = F.col("p") % 50
+    before = _plots(spark, d)
+    after = before.where(p != 7).withColumn("s", F.when(p == 0, F.col("s") + 2).otherwise(F.col("s"))).withColumn("kind", F.when(p == 12, "changed").otherwise(F.col("kind")))
+    session = TopoSession(spark, scratch_path(spark, "plots"), UNIT)
+    session.create(I.layers(spark))
+    session.update(_plot_tables(before, F.col("p") % 2 == 0))
+    session.update(_plot_tables(after, ((F.col("p") % 2 == 0) & (p != 0)) | (p == 9)))
+    box = units.boxed(session.map_faces(), "area double, unit_id string")
+    x, y = F.col("box.xmin").cast("long"), F.col("box.ymin").cast("long")
+    return box.select((F.floor(y / 20) * 100 + F.floor(x / 20)).alias("p"), (x % 20).cast("int").alias("side"), "area", "unit_id")

@@ -324,3 +324,12 @@ def test_toxicity_training_does_not_mix_neighbours():
     rows = lambda x: np.concatenate([x >> 16, x & 0xFFFF])
     assert (model.embedding[rows(idle)] == start[rows(idle)]).all()
     assert (model.embedding[rows(weighed[0])] != start[rows(weighed[0])]).any()
+
+
+def test_mixing_of_repeated_ids(spark):
+    """Rows that repeat an id are documents of their own: each comes as often as its own plan says."""
+    rows = [(1, "w " * 10), (1, "v " * 1000), *[(i, "u " * (5 + i)) for i in range(2, 40)]]
+    docs = frame(spark, rows).withColumn("source", mixing.F.lit("s"))
+    plan = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.curriculum(docs).collect()}
+    got = [(r["doc_id"], len(r["text"].split())) for r in mixing.mixed_documents(docs).collect()]
+    assert {k: got.count(k) for k in plan} == {k: round(t / k[1]) if t else 0 for k, t in plan.items()}
