@@ -10,26 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernel import wkb
-from ..store import discard, written
+from ..store import written
+from .components import ranked
 from .graph import heal_candidates, heal_chains
 
 
-def ranked(items: DataFrame, label: str = "ranks") -> DataFrame:
-    """(item, last, steps) of lists given as ``items`` (item, next), next null at an end: the end of an item's list and how far it is.
-
-    Every round each item asks the one that it points to how far that one sees, and sees so far too: pointers double, and a list of n items takes log n
-    rounds, each a join ended by a written table.
-    """
-    end = F.col("next").isNull()
-    now = written(items.select("item", F.coalesce("next", "item").alias("last"), F.when(end, 0).otherwise(1).cast("long").alias("steps"), end.alias("done")), label)
-    while not now.where("not done").isEmpty():
-        there = now.select(F.col("item").alias("last"), F.col("last").alias("further"), F.col("steps").alias("more"), F.col("done").alias("arrived"))
-        went = now.where("not done").join(there, "last").select("item", F.col("further").alias("last"), (F.col("steps") + F.col("more")).alias("steps"), F.col("arrived").alias("done"))
-        before, now = now, written(now.where("done").union(went), label)
-        discard(before)
-    return now.select("item", "last", "steps")
-
-
 def ordered(edges: DataFrame, line_edge: DataFrame) -> DataFrame:
     """(chain, seq, edge_id, forward, closed): the edges of each chain that healing makes one, from its beginning on.
 

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from ..config import TopoConfig
 from ..kernel import planar, wkb
 from ..store import written
-from .components import SMALL, components
+from .components import SMALL, components, ranked
 
 ROUNDS = 100  # more is an error
+LARGE_FACE = 100_000  # sides that one task walks around; faces with more are traced by ranking lists
 SEGMENT = ["line_id", "x1", "y1", "x2", "y2"]
 
 
@@ -262,40 +263,87 @@ def polygons(edges: DataFrame, comps: DataFrame, cfg: TopoConfig) -> DataFrame:
     sided = every.join(l, ["map_layer", "left_face"], "left").join(r, ["map_layer", "right_face"], "left").where(~F.col("lc").eqNullSafe(F.col("rc")))
     one = lambda comp, a, b, c, d: F.struct(F.col(comp).alias("comp"), F.col(a).alias("x"), F.col(b).alias("y"), F.col(c).alias("tx"), F.col(d).alias("ty"))
     around = sided.select("map_layer", F.explode(F.array(one("lc", "x1", "y1", "x2", "y2"), one("rc", "x2", "y2", "x1", "y1"))).alias("h")).select("map_layer", "h.*").where("comp is not null")
-    border = around.groupBy("map_layer", "comp").agg(F.collect_list(F.struct("x", "y", "tx", "ty")).alias("sides"))
+    around = written(around, "sides")
+    large = written(around.groupBy("map_layer", "comp").count().where(F.col("count") > LARGE_FACE).drop("count"), "large_faces")
+    few = large.isEmpty()
+    border = (around if few else around.join(large, ["map_layer", "comp"], "left_anti")).groupBy("map_layer", "comp").agg(F.collect_list(F.struct("x", "y", "tx", "ty")).alias("sides"))
+
+    def shape_of(rings: list[np.ndarray]) -> tuple[bytes, float]:
+        """Rings in grid numbers as a MultiPolygon: each hole goes to the least shell that holds it."""
+        rings = [r * cfg.tolerance for r in rings]
+        shells = sorted(([r] for r in rings if planar.signed_area(r) > 0), key=lambda p: planar.signed_area(p[0]))
+        for hole in (r for r in rings if planar.signed_area(r) < 0):
+            middle = (hole[:1] + hole[1:2]) / 2
+            home = shells[:1] if len(shells) == 1 else [p for p in shells if planar.locate(middle, p[:1])[0] >= 0]
+            if not home:
+                raise ValueError("a hole lies in no shell")
+            home[0].append(hole)
+        shape = ("MULTIPOLYGON", shells)
+        return wkb.encode(shape), planar.area(shape)
 
     def trace(sides: list[dict]) -> tuple[bytes, float]:
         leave: dict[tuple, list] = {}
         for s in sides:
             leave.setdefault((s["x"], s["y"]), []).append((s["tx"], s["ty"]))
         rings = []
-        while leave:
-            start = min(leave)
-            ring, at, came = [start], start, None
-            while True:
-                options = leave[at]
-                if came is not None and len(options) > 1:
-                    # At a node that the border passes twice, turn as far left as the face allows: the next edge clockwise from the one back.
-                    back = np.arctan2(came[1] - at[1], came[0] - at[0])
-                    options.sort(key=lambda p: (back - np.arctan2(p[1] - at[1], p[0] - at[0])) % (2 * np.pi) or 2 * np.pi)  # noqa: B023
-                nxt = options.pop(0)
-                if not options:
-                    del leave[at]
-                came, at = at, nxt
-                ring.append(at)
-                if at == start:
-                    break
-            rings.append(np.array(ring, np.float64) * cfg.tolerance)
-        shells = sorted(([r] for r in rings if planar.signed_area(r) > 0), key=lambda p: planar.signed_area(p[0]))
-        for hole in (r for r in rings if planar.signed_area(r) < 0):
-            middle = (hole[:1] + hole[1:2]) / 2
-            next((p for p in shells if planar.locate(middle, p[:1])[0] >= 0), shells[-1]).append(hole)
-        shape = ("MULTIPOLYGON", shells)
-        return wkb.encode(shape), planar.area(shape)
+        for start in sorted(leave):
+            while start in leave:
+                ring, at, came = [start], start, None
+                while True:
+                    options = leave[at]
+                    if came is not None and len(options) > 1:
+                        # At a node that the border passes twice, turn as far left as the face allows: the next edge clockwise from the one back.
+                        back = np.arctan2(came[1] - at[1], came[0] - at[0])
+                        options.sort(key=lambda p: (back - np.arctan2(p[1] - at[1], p[0] - at[0])) % (2 * np.pi) or 2 * np.pi)  # noqa: B023
+                    nxt = options.pop(0)
+                    if not options:
+                        del leave[at]
+                    came, at = at, nxt
+                    ring.append(at)
+                    if at == start:
+                        break
+                rings.append(np.array(ring, np.float64))
+        return shape_of(rings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [trace(s) for s in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g for g, _ in got], pa.binary()), pa.array([a for _, a in got], pa.float64())], names=["map_layer", "comp", "geometry", "area"])
 
-    return border.mapInArrow(run, "map_layer int, comp long, geometry binary, area double")
+    out = border.mapInArrow(run, "map_layer int, comp long, geometry binary, area double")
+    if few:
+        return out
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for rings in b.column(2).to_pylist():
+                points = [np.array([(p["x"], p["y"]) for p in ring["points"]], np.float64) for ring in rings]
+                first = [min(range(len(p)), key=lambda i: tuple(p[i])) for p in points]  # noqa: B023
+                got.append(shape_of([np.concatenate([p[i:], p[: i + 1]]) for p, i in zip(points, first, strict=True)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g for g, _ in got], pa.binary()), pa.array([a for _, a in got], pa.float64())], names=["map_layer", "comp", "geometry", "area"])
+
+    points = ring_points(around.join(large, ["map_layer", "comp"], "left_semi"))
+    rings = points.groupBy("map_layer", "comp", "ring").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("points"))
+    whole = rings.groupBy("map_layer", "comp").agg(F.collect_list(F.struct("points")).alias("rings"))
+    return out.union(whole.mapInArrow(close, "map_layer int, comp long, geometry binary, area double"))
+
+
+def ring_points(sides: DataFrame) -> DataFrame:
+    """(map_layer, comp, ring, seq, x, y): the rings of faces that are too large for one task's walk, in order, from ``sides`` (map_layer, comp, x, y, tx, ty).
+
+    Every side finds the next one at its end, rings are the components of that, and list ranking numbers the sides of each.
+    """
+    sides = written(sides.withColumn("side", F.monotonically_increasing_id()), "numbered_sides")
+    nxt = sides.select("map_layer", "comp", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("tx").alias("ux"), F.col("ty").alias("uy"), F.col("side").alias("next"))
+    turn = F.atan2(F.col("y") - F.col("ty"), F.col("x") - F.col("tx")) - F.atan2(F.col("uy") - F.col("ty"), F.col("ux") - F.col("tx"))
+    turn = F.pmod(turn, F.lit(2 * np.pi))
+    # As in a walk: at a node that the border passes twice, the next side clockwise from the one back.
+    pair = sides.join(nxt, ["map_layer", "comp", "tx", "ty"]).groupBy("side").agg(F.min_by("next", F.when(turn == 0, 2 * np.pi).otherwise(turn)).alias("next"))
+    pair = written(pair, "next_sides")
+    ring = written(components(pair.select(F.col("side").alias("a"), F.col("next").alias("b")), "large_rings"), "ring_of_side")
+    cut = pair.join(ring, pair["side"] == ring["node"]).select(F.col("side").alias("item"), F.when(F.col("next") != F.col("component"), F.col("next")).alias("next"))
+    rank = ranked(cut, "side_ranks")
+    length = rank.groupBy("last").agg(F.max("steps").alias("most"))
+    rank = rank.join(length, "last").select(F.col("item").alias("side"), (F.col("most") - F.col("steps")).alias("seq"), F.col("last").alias("ring"))
+    return sides.join(rank, "side").select("map_layer", "comp", "ring", "seq", "x", "y")

@@ -116,3 +116,53 @@ def test_noding_in_utm_at_the_default_tolerance(spark, side):
     quarter = side * side / 4
     assert errors.count() == 0
     assert sorted(round(r["area"] * 1e-10, 3) for r in faces.where("face_id <> 0").collect()) == [quarter, 3 * quarter, 3 * quarter]
+
+
+def test_large_faces_are_traced_like_small_ones(spark, monkeypatch):
+    """Nested and touching rings, by a walk in one task and by ranking lists."""
+    import random
+
+    from planar_spark.operators import noding
+
+    rng = random.Random(6)
+    boxes = [(rng.randrange(0, 24), rng.randrange(0, 24), rng.randrange(1, 7), rng.randrange(1, 7)) for _ in range(14)] + [(-2, -2, 40, 40), (10, 10, 2, 2), (12, 12, 2, 2)]
+    rows = [(i, *s) for i, (x, y, w, h) in enumerate(boxes) for s in ((x, y, x + w, y), (x + w, y, x + w, y + h), (x, y + h, x + w, y + h), (x, y, x, y + h))]
+    edges, _ = noding.cut_pieces(spark.createDataFrame(rows, "line_id long, x1 long, y1 long, x2 long, y2 long"))
+    edges, faces = noding.faced(edges)
+    edges = noding.written(edges, "faced")
+    comps = faces.where("face_id <> 0").selectExpr("1 as map_layer", "face_id", "face_id as comp", "false as is_open")
+    want = {r["comp"]: (bytes(r["geometry"]), r["area"]) for r in noding.polygons(edges, comps, TopoConfig(tolerance=1.0)).collect()}
+    monkeypatch.setattr(noding, "LARGE_FACE", 5)
+    got = {r["comp"]: (bytes(r["geometry"]), r["area"]) for r in noding.polygons(edges, comps, TopoConfig(tolerance=1.0)).collect()}
+    area = {r["face_id"]: r["area"] for r in faces.collect()}
+    assert {k: a for k, (_, a) in got.items()} == {k: a for k, (_, a) in want.items()} and all(abs(a - area[k]) < 1e-9 for k, (_, a) in got.items())
+    rings = lambda g: sorted(sorted(map(tuple, r.tolist())) for p in wkb.decode(g)[0][1] for r in p)
+    assert all(rings(got[k][0]) == rings(want[k][0]) for k in want)
+
+
+def test_healed_lines_against_walks(spark):
+    """Open and closed chains of edges in any direction, a ring of one line beside a crossing, and a long chain."""
+    import random
+
+    from planar_spark.operators import chains
+
+    rng = random.Random(1)
+    paths = [list(range(100, 131)), [*range(200, 212), 200], [300, 301], [400, 401, 402, 400], [500, 501, 502], [502, 503], [502, 504, 505, 502]]
+    rows, lines, want = [], [], set()
+    for k, path in enumerate(paths):
+        first = len(rows) + 1
+        for a, b in zip(path, path[1:], strict=False):
+            e = len(rows) + 1
+            a, b = (a, b) if rng.random() < 0.5 else (b, a)
+            rows.append((e, a, b, float(a), 0.0, float(b), 0.0))
+            lines.append((k, e))
+        turned = rows[first - 1][1] != path[0]
+        want.add((first, tuple(reversed(path)) if turned else tuple(path), k in (1, 3)))
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    edges = spark.createDataFrame([rows[i] for i in order], "edge_id long, start_node long, end_node long, x1 double, y1 double, x2 double, y2 double")
+    got = chains.healed(edges, spark.createDataFrame(lines, "line_id long, edge_id long")).collect()
+    found = {(r["chain"], tuple(int(x) for x in wkb.decode(bytes(r["geometry"]))[0][1][0][:, 0]), r["closed"]) for r in got}
+    # A closed chain begins with its least edge, whichever way that runs.
+    canon = lambda t: (t[0], tuple(sorted(t[1][:-1])) if t[2] else t[1], t[2])
+    assert set(map(canon, found)) == set(map(canon, want)) and {r["chain"]: r["n_edges"] for r in got} == {c: len(p) - 1 for c, p, _ in want}
