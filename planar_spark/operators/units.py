@@ -83,6 +83,20 @@ def spatial_join(a: DataFrame, b: DataFrame, on: list[str], how: str = "contains
     return pairs.mapInArrow(run, pairs.schema)
 
 
+def equal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, b_id): geometries of ``a`` and ``b`` (id, geometry) that are the same set of points, however written. Their canonical forms are joined by hash, and compared."""
+
+    def forms(rows: DataFrame, name: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = [None if g is None else wkb.encode(planar.canonical(wkb.decode(g)[0])) for g in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=[name, "form"])
+
+        return rows.select(F.col("id").cast("long"), "geometry").mapInArrow(run, f"{name} long, form binary").withColumn("h", F.md5("form"))
+
+    return forms(a, "a_id").join(forms(b, "b_id"), ["h", "form"]).select("a_id", "b_id")
+
+
 def on_surface(rows: DataFrame, keys: str) -> DataFrame:
     """``keys`` and a point inside each ``geometry``, as WKB."""
     names = [k.strip().split()[0] for k in keys.split(",")]

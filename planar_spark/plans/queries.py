@@ -682,6 +682,18 @@ def strabo_tags(spark, d):
     return spots.join(tagged, "spot_id", "left").join(F.broadcast(tags), "tag_id", "left").select("spot_id", "tag_id", "name")
 
 
+
+@query("boxes", "SELECT a.id AS a_id, b.id AS b_id FROM boxes a JOIN (SELECT *, w + (id % 3 = 2)::INT AS v FROM boxes) b ON a.x = b.x AND a.y = b.y AND a.w = b.v AND a.h = b.h")
+def geometry_equals(spark, d):
+    """Boxes against the same ones written otherwise: another start and direction, a point more in line, or wider by one."""
+    k, x, y = F.col("id") % 3, F.col("x") + F.col("w") + F.when(F.col("id") % 3 == 2, 1).otherwise(0), F.col("y") + F.col("h")
+    other = I.boxes(spark, d).select("id", "x", "y", x.alias("u"), y.alias("v"), k.alias("k"))
+    turned, longer = "MULTIPOLYGON(((%3$d %4$d,%3$d %2$d,%1$d %2$d,%1$d %4$d,%3$d %4$d)))", "POLYGON((%1$d %2$d,%1$d.5 %2$d,%3$d %2$d,%3$d %4$d,%1$d %4$d,%1$d %2$d))"
+    corners = ("x", "y", "u", "v")
+    text = F.when(F.col("k") == 0, F.format_string(turned, *corners)).otherwise(F.format_string(longer, *corners))
+    return units.equal(I.box_shapes(spark, d), I.files.parse_geometry(other.select("id", text.alias("wkt")), "wkt"))
+
+
 # Updates of regions.
 
 PLOTS = "plots AS (SELECT p_partkey AS p, (p_partkey % 100) * 20 AS x, (p_partkey // 100) * 20 AS y, 2 + 2 * (p_size % 4) AS s, p_brand AS kind FROM part)"
