@@ -57,8 +57,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     remove(spark, folder)
     merged = written(warc.merge_index(index), "captures")
     discard(index)
-    return warc.resolved(merged).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured"
+    return warc.resolved(warc.in_history(merged)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position"
     )
 
 
@@ -124,6 +124,7 @@ WITH p AS (
   SELECT page_id, url, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
          min(CASE WHEN strlen(coalesce(html, '')) >= 100 THEN page_id END) OVER (PARTITION BY sha256(coalesce(html, ''))) AS first_id
   FROM pages)
+SELECT *, row_number() OVER (ORDER BY url_key, captured, page_id NULLS FIRST) AS position FROM (
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first_id <> page_id THEN first_id END AS refers_to,
@@ -131,7 +132,7 @@ SELECT page_id, payload_bytes, payload_digest,
          array_to_string(list_reverse(string_split(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.')), ',')
          || ')' || regexp_extract(url, '://[^/?#]*([^#]*)', 1) ELSE '' END AS url_key,
        strftime(make_timestamp((1600000000 + page_id % 100000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
-FROM p
+FROM p)
 """,
     "op7_url_filter": r"""
 WITH p AS (

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from itertools import batched
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import parts
@@ -204,6 +204,14 @@ def merge_index(index: DataFrame, ranges: int | None = None, per_range: int = 10
     return dealt.sortWithinPartitions("range_no", "run", "seq").mapInArrow(combine, "range_no int, place long, " + INDEX)
 
 
+def in_history(merged: DataFrame) -> DataFrame:
+    """The merged index with ``position``, from 1 on in the global capture history: what earlier ranges hold, and the place in the own one."""
+    own = merged.groupBy("range_no").agg(F.count("*").alias("held"))
+    earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = own.select("range_no", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
+    return merged.join(before, "range_no").withColumn("position", F.col("before") + F.col("place") + 1).drop("before")
+
+
 def resolved(index: DataFrame) -> DataFrame:
     """Give revisits the size of the payload that they refer to, as read from its own record: that of the page with the same digest."""
     new = index.where("record_type = 'response'")
