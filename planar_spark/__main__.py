@@ -20,8 +20,9 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("create-tables")
     update = sub.add_parser("update")
     update.add_argument("--reset", action="store_true", help="forget derived tables first")
-    for flag in ("--fill-holes", "--fix-failed"):
-        update.add_argument(flag, action="store_true", help="accepted: every update solves all faces and tries all lines again")
+    update.add_argument("--fill-holes", action="store_true", help="solve again where faces have no map face")
+    update.add_argument("--fix-failed", action="store_true", help="accepted: every update tries lines with errors again")
+    update.add_argument("--whole", action="store_true", help="solve everything, not only what changed")
     update.add_argument("--watch", metavar="FOLDER", help="then follow an edit log")
     reset = sub.add_parser("reset")
     reset.add_argument("--yes", action="store_true")
@@ -31,10 +32,13 @@ def main(argv: list[str] | None = None) -> int:
     session = TopoSession(SparkSession.builder.getOrCreate(), a.store, TopoConfig(a.srid, a.tolerance))
     if a.command == "create-tables":
         session.store.create_empty()
+        session.seed()
     elif a.command == "update":
         if a.reset:
             session.reset()
-        session.update()
+        if a.fill_holes:
+            session.fill_holes()
+        session.update(whole=a.whole)
         session.clean()
         if a.watch:
             watch(session, a.watch, f"{a.store}/watch").awaitTermination()

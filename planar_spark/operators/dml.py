@@ -70,6 +70,4 @@ def rename_key(children: DataFrame, renamed: DataFrame, child_key: str) -> DataF
 
 def not_in(rows: DataFrame, key: str, values: DataFrame, value: str) -> DataFrame:
     """SQL's NOT IN, with its null rules: nothing is kept once the list holds a null."""
-    rows.createOrReplaceTempView("_not_in_rows")
-    values.createOrReplaceTempView("_not_in_values")
-    return rows.sparkSession.sql(f"SELECT * FROM _not_in_rows WHERE `{key}` NOT IN (SELECT `{value}` FROM _not_in_values)")
+    return rows.sparkSession.sql(f"SELECT * FROM {{rows}} WHERE `{key}` NOT IN (SELECT `{value}` FROM {{listed}})", rows=rows, listed=values)

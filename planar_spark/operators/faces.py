@@ -51,7 +51,7 @@ def contact_units(units_of: DataFrame, relation: DataFrame, kind: str) -> DataFr
 def mapped_faces(map_faces: DataFrame, types: DataFrame, without: str = "surficial-none") -> DataFrame:
     """Labelled map faces with their type's colour, those of the type ``without`` left out."""
     t = types.select(F.col("id").alias("unit_id"), "color")
-    return map_faces.where(F.col("unit_id") != without).join(F.broadcast(t), "unit_id")  # a dimension: one row per type
+    return map_faces.where(F.col("unit_id") != without).join(t, "unit_id")
 
 
 def covered_twice(members: DataFrame) -> DataFrame:

@@ -5,23 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEEPEST = 100
+from ..store import written
 
 
 def unit_tree(types: DataFrame) -> DataFrame:
     """(id, ancestors, n_levels): ancestors from the unit itself to its root. Units on a cycle are left out.
 
-    The walk advances all units by one level at once, as long as any has a parent left.
+    The walk advances all units by one level at once, as long as any has a parent left: as many rounds as the tree is deep.
     """
     parent = types.select(F.col("id").alias("_id"), F.col("member_of").alias("_up"))
     now = types.select("id", F.array("id").alias("ancestors"), F.col("member_of").alias("up"))
     done = now.where("up is null").select("id", "ancestors")
     now = now.where("up is not null")
-    for _ in range(DEEPEST):
-        if now.isEmpty():
-            break
+    while not now.isEmpty():
         now = now.join(parent, now["up"] == parent["_id"]).where(~F.expr("array_contains(ancestors, up)"))
-        now = now.select("id", F.array_append("ancestors", F.col("up")).alias("ancestors"), F.col("_up").alias("up"))
+        now = written(now.select("id", F.array_append("ancestors", F.col("up")).alias("ancestors"), F.col("_up").alias("up")), "unit_level")
         done = done.union(now.where("up is null").select("id", "ancestors"))
         now = now.where("up is not null")
     return done.withColumn("n_levels", F.size("ancestors"))

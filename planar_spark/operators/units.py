@@ -111,10 +111,12 @@ def on_surface(rows: DataFrame, keys: str) -> DataFrame:
 
 
 def face_at(points: DataFrame, map_faces: DataFrame, layers: DataFrame) -> DataFrame:
-    """(id, map_layer, comp): for each point (id, geometry) and layer the map face (map_layer, comp, geometry) that it lies in, or null."""
+    """(id, map_layer, comp): for each point (id, geometry) and layer the map face (map_layer, comp, geometry) that it lies in, or null: one row
+    each. On a border the least ``comp`` of those beside it."""
     every = points.select(F.col("id").cast("long").alias("id"), "geometry").crossJoin(F.broadcast(layers))  # a dimension of a few layers
     hit = spatial_join(boxed(map_faces, "map_layer int, comp long"), boxed(every, "map_layer int, id long"), ["map_layer"], "intersects")
-    return every.select("id", "map_layer").join(hit.select(F.col("b_id").alias("id"), "map_layer", "comp"), ["id", "map_layer"], "left")
+    hit = hit.groupBy(F.col("b_id").alias("id"), "map_layer").agg(F.min("comp").alias("comp"))
+    return every.select("id", "map_layer").join(hit, ["id", "map_layer"], "left")
 
 
 def relabelled(map_faces: DataFrame, edited: DataFrame) -> DataFrame:

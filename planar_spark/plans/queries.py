@@ -542,7 +542,7 @@ def unit_tree(spark, d):
 def unit_commonality(spark, d):
     tree = hierarchy.unit_tree(I.types(spark, d))  # a dimension: one row per unit
     a, b = tree.select(F.col("id").alias("unit_1"), F.col("ancestors").alias("a1")), tree.select(F.col("id").alias("unit_2"), F.col("ancestors").alias("a2"))
-    return a.join(F.broadcast(b), F.col("unit_1") < F.col("unit_2")).select("unit_1", "unit_2", hierarchy.shared_levels(F.col("a1"), F.col("a2")).alias("commonality"))
+    return a.join(b, F.col("unit_1") < F.col("unit_2")).select("unit_1", "unit_2", hierarchy.shared_levels(F.col("a1"), F.col("a2")).alias("commonality"))
 
 
 @query("types", TREE + "SELECT up AS id, string_agg(id, ',' ORDER BY id) AS subunits FROM (SELECT id, unnest(ancestors) AS up FROM full_tree) GROUP BY up")

@@ -110,7 +110,26 @@ class TopoSession:
         self.store.create_empty()
         return self.store.commit({"map_layer": layers})
 
+    def seed(self) -> int:
+        """The rows that a new topology begins with: a default layer, and a default type of lines and of polygons where there is none."""
+        kinds = self.spark.createDataFrame([("default", "Default", "#000000")], "id string, name string, color string")
+        layer = self.spark.createDataFrame([(0, "Default", True)], "id int, name string, topological boolean")
+        out = {"map_layer": dml.insert_ignore(self.store.read("map_layer"), self.store.read("map_layer").limit(0).unionByName(layer, allowMissingColumns=True), ["id"])}
+        for name in ("linework_type", "polygon_type"):
+            old = self.store.read(name)
+            if old.isEmpty():
+                out[name] = old.unionByName(kinds, allowMissingColumns=True)
+        return self.store.commit(out)
+
+    def fill_holes(self) -> int:
+        """Faces without a map face in a topological layer become dirty: the next update solves their regions again."""
+        read = self.store.read
+        open_ = faces.holes(read("face"), _top(read("map_layer")), read("face_type"))
+        return self.store.commit({"dirty_face": read("dirty_face").unionByName(open_.select("id", "map_layer")).distinct()})
+
     def insert(self, table: str, rows: DataFrame) -> int:
+        if "created" in schema.of(table).names:
+            rows = rows.withColumn("created", F.coalesce(F.col("created") if "created" in rows.columns else F.lit(None), F.current_timestamp().cast("timestamp_ntz")))
         return self.store.commit({table: self.store.read(table).unionByName(rows, allowMissingColumns=True)})
 
     def delete(self, table: str, condition: str) -> int:

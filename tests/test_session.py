@@ -23,3 +23,25 @@ def test_steps_lookups_and_clean_up(spark, topo):  # noqa: F811
     assert [tuple(r) for r in read("face").select("face_id", "area").collect()] == [(0, 0.0)]
     topo.forget()
     assert not topo.store.exists("edge") and topo.store.exists("linework")
+
+
+def test_seeds_and_holes(spark, tmp_path):
+    from planar_spark.config import TopoConfig
+    from planar_spark.plans.solve import TopoSession
+
+    s = TopoSession(spark, f"file://{tmp_path}/store", TopoConfig(32612, 0.1))
+    s.store.create_empty()
+    s.seed()
+    s.seed()  # nothing comes twice
+    read = s.store.read
+    assert [(r["id"], r["name"], r["topological"]) for r in read("map_layer").collect()] == [(0, "Default", True)]
+    assert [tuple(r) for n in ("linework_type", "polygon_type") for r in read(n).select("id", "name", "color").collect()] == [("default", "Default", "#000000")] * 2
+    s.insert("linework", spark.createDataFrame([(1, bytearray(line("LINESTRING" + ring(4, 3, 3))), "default", 0)], "id int, geometry binary, type string, map_layer int"))
+    assert read("linework").where("created is not null").count() == 1
+    s.update()
+    assert s.map_faces().count() == 1
+    s.store.commit({n: read(n).limit(0) for n in ("map_face", "map_face_face", "face_type")})
+    s.fill_holes()
+    assert read("dirty_face").count() == 1
+    s.update()
+    assert s.map_faces().count() == 1 and read("dirty_face").count() == 0
