@@ -44,9 +44,17 @@ CACHES: list[dict] = []
 
 def claim(own: dict | None = None) -> None:
     """At the start of a Python task: forget what other operators' tasks cached in this worker, so that one cache at most is held."""
-    for cache in CACHES:
-        if cache is not own:
-            cache.clear()
+    held = [cache for cache in CACHES if cache is not own and cache]
+    for cache in held:
+        cache.clear()
+    if held:
+        give_back()
+
+
+def give_back() -> None:
+    """Return what Arrow and the C library keep of freed memory (70 MB a worker after n-gram joins) while the idle worker waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
 
 
 Batches = Iterator[pa.RecordBatch]
@@ -58,9 +66,7 @@ def alone(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     def task(batches: Batches) -> Batches:
         claim()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        # The C library keeps what numpy freed (70 MB a worker after n-gram joins) while the idle worker waits for its next task.
-        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+        give_back()
 
     return task
 

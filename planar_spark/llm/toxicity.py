@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, claim
+from .common import CACHES, claim, give_back
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 24, (1, 2, 3)
 PAD, STEM = 0, 5
@@ -293,6 +293,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for k in range(0, b.num_rows, 512):
                 out.append(scores([x or "" for x in b.column(at).slice(k, 512).to_pylist()], m, terms))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*b.schema.names, "tox_score"])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import CACHES, claim
+from .common import CACHES, claim, give_back
 
 MARK = "▁"
 PIECE = 1 << 20  # characters that are cut into words at once
@@ -337,6 +337,7 @@ def tokenize(docs: DataFrame, model: Unigram, check: bool = True) -> DataFrame:
                     [b.column(0).slice(at, len(some)), pa.array(np.diff(ends).astype(np.int64)), pa.array(same, pa.bool_()), lists], names=["doc_id", "n_tokens", "round_trip", "ids"]
                 )
                 at += len(some)
+        give_back()
 
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, round_trip boolean, ids array<int>")
