@@ -333,3 +333,30 @@ def test_mixing_of_repeated_ids(spark):
     plan = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.curriculum(docs).collect()}
     got = [(r["doc_id"], len(r["text"].split())) for r in mixing.mixed_documents(docs).collect()]
     assert {k: got.count(k) for k in plan} == {k: round(t / k[1]) if t else 0 for k, t in plan.items()}
+
+
+def test_toxicity_features_are_those_of_a_plain_convolution(monkeypatch):
+    """Widths, padding and long texts in pieces, against loops over every window."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    embedding = rng.normal(size=(toxicity.BUCKETS, toxicity.DIM)).astype(np.float32)
+    embedding[toxicity.PAD] = 0
+    filters = {w: rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS}
+    bias = {w: rng.normal(size=toxicity.FILTERS).astype(np.float32) for w in toxicity.WIDTHS}
+    model = toxicity.Model(embedding, filters, bias, np.zeros(toxicity.FILTERS * len(toxicity.WIDTHS)), 0.0)
+    words = [f"w{i}" for i in range(40)]
+    texts = ["", "one", "one two", " ".join(rng.choice(words, 9)), " ".join(rng.choice(words, 70)), "Zwei  ZWEI\nzwei"]
+    want = []
+    for text in texts:
+        ids = toxicity.word_ids(text)
+        vectors = [embedding[i >> 16] + embedding[i & 0xFFFF] for i in ids.tolist()] + [np.zeros(toxicity.DIM, np.float32)] * 2
+        row = []
+        for w in toxicity.WIDTHS:
+            seen = [sum(vectors[p + k] @ filters[w][k] for k in range(w)) for p in range(len(vectors) - w + 1)]
+            seen += [np.zeros(toxicity.FILTERS, np.float32)]  # padding alone
+            row.append(np.maximum(np.max(seen, axis=0) + bias[w], 0))
+        want.append(np.concatenate(row))
+    for size in (toxicity.WORDS, 16):
+        monkeypatch.setattr(toxicity, "WORDS", size)
+        assert np.allclose(toxicity.features(texts, model, model.terms()), np.array(want), atol=1e-3)
