@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..kernel import planar, wkb
+
 
 def topological(layers: DataFrame) -> DataFrame:
     return layers.where("topological").select(F.col("id").alias("_layer"))
@@ -22,6 +27,27 @@ def pending(lines: DataFrame, layers: DataFrame) -> DataFrame:
     return waiting.join(topological(layers), waiting["map_layer"] == F.col("_layer"), "left_semi")
 
 
+def measured(lines: DataFrame) -> DataFrame:
+    """(id, length) of lines; null where the geometry can't be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths: list[float | None] = []
+            for data in b.column(1).to_pylist():
+                try:
+                    lengths.append(planar.length(wkb.decode(data)[0]))
+                except (ValueError, TypeError):
+                    lengths.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.float64())], names=["id", "length"])
+
+    return lines.select(F.col("id").cast("long"), "geometry").mapInArrow(run, "id long, length double")
+
+
+def shortest(lines: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` shortest lines, of equal ones the least ids."""
+    return measured(lines).where("length is not null").orderBy("length", "id").limit(n)
+
+
 def with_errors(lines: DataFrame) -> DataFrame:
     return lines.where("topology_error is not null")
 

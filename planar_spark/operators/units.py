@@ -34,6 +34,11 @@ def boxed(rows: DataFrame, keys: str) -> DataFrame:
     return rows.select(*names, "geometry").mapInArrow(run, f"{keys}, geometry binary, box {BOX}")
 
 
+def in_window(rows: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
+    """Rows, ``boxed``, whose boxes meet a window, borders included."""
+    return rows.where((F.col("box.xmin") <= xmax) & (F.col("box.xmax") >= xmin) & (F.col("box.ymin") <= ymax) & (F.col("box.ymax") >= ymin))
+
+
 LEVELS = range(-30, 41)  # of cells: powers of two
 
 

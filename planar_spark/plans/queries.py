@@ -61,22 +61,29 @@ def line_topology(spark, d):
     return linework.line_topology(I.lines(spark, d), I.layers(spark)).select("id", "map_layer", "topology")
 
 
-@query("lines", "SELECT id, length FROM lines ORDER BY length, id LIMIT 10")
+@query("lines", "SELECT id, length::DOUBLE AS length FROM lines ORDER BY length, id LIMIT 10")
 def line_length_topk(spark, d):
-    """The shortest batch of lines."""
-    return I.lines(spark, d).select("id", "length").orderBy("length", "id").limit(10)
+    """The shortest batch of lines, as measured from their geometry."""
+    return linework.shortest(I.line_shapes(spark, d), 10)
 
 
-@query("lines", "SELECT id, md5('LINESTRING(' || x1 || ' ' || y1 || ',' || (x1 + length) || ' ' || y1 || ')') AS geometry_hash FROM lines")
+@query("lines", "SELECT id, count(*) OVER (PARTITION BY x1, y1, length) AS n_same FROM lines")
 def geometry_hash(spark, d):
-    text = F.concat(F.lit("LINESTRING("), "x1", F.lit(" "), "y1", F.lit(","), F.col("x1") + F.col("length"), F.lit(" "), "y1", F.lit(")"))
-    return I.lines(spark, d).select("id", F.md5(text).alias("geometry_hash"))
+    """With how many lines each shares its geometry, by the hashes of the geometries."""
+    rows = I.line_shapes(spark, d).select("id", F.md5("geometry").alias("h"))
+    return rows.join(rows.groupBy("h").agg(F.count("*").alias("n_same")), "h").select("id", "n_same")
 
 
-@query("lines", "SELECT id, x1 AS xmin, y1 AS ymin, x1 + length AS xmax, y1 AS ymax FROM lines WHERE x1 <= 40 AND x1 + length >= 30 AND y1 BETWEEN 10 AND 25")
+@query("lines", "SELECT id FROM lines WHERE id % 3 = 0")
+def changed_lines(spark, d):
+    """Lines whose geometry is not the one that was noded: every third has grown since."""
+    known = I.line_shapes(spark, d).select(F.col("id").alias("line_id"), F.md5("geometry").alias("geometry_hash"))
+    return linework.changed(I.line_shapes(spark, d, longer=1), known).select("id")
+
+
+@query("lines", "SELECT id, x1::DOUBLE AS xmin, y1::DOUBLE AS ymin, (x1 + length)::DOUBLE AS xmax, y1::DOUBLE AS ymax FROM lines WHERE x1 <= 40 AND x1 + length >= 30 AND y1 BETWEEN 10 AND 25")
 def bbox_filter(spark, d):
-    rows = I.lines(spark, d).select("id", F.col("x1").alias("xmin"), F.col("y1").alias("ymin"), (F.col("x1") + F.col("length")).alias("xmax"), F.col("y1").alias("ymax"))
-    return rows.where("xmin <= 40 and xmax >= 30 and ymin <= 25 and ymax >= 10")
+    return units.in_window(units.boxed(I.line_shapes(spark, d), "id long"), 30, 10, 40, 25).select("id", "box.*")
 
 
 # The planar graph.
