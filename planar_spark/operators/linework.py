@@ -27,20 +27,22 @@ def pending(lines: DataFrame, layers: DataFrame) -> DataFrame:
     return waiting.join(topological(layers), waiting["map_layer"] == F.col("_layer"), "left_semi")
 
 
-def measured(lines: DataFrame) -> DataFrame:
-    """(id, length) of lines; null where the geometry can't be read."""
+def measured(lines: DataFrame, keys: str = "id long") -> DataFrame:
+    """``keys`` (a schema) and ``length``: of lines, or of the borders of areas; null where the geometry can't be read."""
+    names = [k.strip().split()[0] for k in keys.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lengths: list[float | None] = []
-            for data in b.column(1).to_pylist():
+            for data in b.column(len(names)).to_pylist():
                 try:
                     lengths.append(planar.length(wkb.decode(data)[0]))
                 except (ValueError, TypeError):
                     lengths.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.float64())], names=["id", "length"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lengths, pa.float64())], names=[*names, "length"])
 
-    return lines.select(F.col("id").cast("long"), "geometry").mapInArrow(run, "id long, length double")
+    kinds = [F.col(k.strip().split()[0]).cast(k.strip().split()[1]) for k in keys.split(",")]
+    return lines.select(*kinds, "geometry").mapInArrow(run, f"{keys}, length double")
 
 
 def shortest(lines: DataFrame, n: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ error and never stop the others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from ..store import written
 from .components import SMALL, components, ranked
 
 ROUNDS = 100  # more is an error
+FEW = 1024  # points that look through their whole columns at once: more rounds would take longer
 LARGE_FACE = 100_000  # sides that one task walks around; faces with more are traced by ranking lists
 SEGMENT = ["line_id", "x1", "y1", "x2", "y2"]
 
@@ -199,6 +201,43 @@ def half_edges(edges: DataFrame) -> DataFrame:
     return half.join(ring, half["he"] == ring["node"], "left").select("he", F.coalesce("component", "he").alias("ring"), "x", "y", "tx", "ty")
 
 
+def nearest_below(points: DataFrame, half: DataFrame) -> DataFrame:
+    """(ring, under): for each of ``points`` (ring, px, py, own) the ring of the nearest half-edge below it, of those that run to the right and belong to another
+    part than ``own``; points with none have no row.
+
+    Cells form columns, and windows of heights in them that grow fourfold each round. A point looks through the window that it is in and the one below; an edge that
+    it finds there is the nearest, and only points that found none look again, so an island among many meets its neighbours and not its whole column.
+    """
+    extent = F.greatest(F.abs(F.col("tx") - F.col("x")), F.abs(F.col("ty") - F.col("y")))
+    size, least, most = half.agg(F.avg(extent), F.min("y"), F.max("y")).first()
+    cell = max(1, int(2 * (size or 1)))
+    slope = (F.col("ty") - F.col("y")).cast("double") / (F.col("tx") - F.col("x"))
+    at = lambda x: F.col("y") + slope * (F.least(F.greatest(x, F.col("x")), F.col("tx")) - F.col("x"))
+    below = half.where("tx > x").withColumn("c", F.explode(F.sequence(F.floor(F.col("x") / cell), F.floor(F.col("tx") / cell))))
+    left, right = at(F.col("c") * cell), at((F.col("c") + 1) * cell)
+    # A grid step to spare covers what the doubles round.
+    below = below.select("c", "x", "y", "tx", "ty", "part", F.col("ring").alias("under"), (F.least(left, right) - 1).alias("low"), (F.greatest(left, right) + 1).alias("high"))
+    below = written(below, "columns")
+    height = F.col("y") + (F.col("ty") - F.col("y")).cast("double") * (F.col("px") - F.col("x")) / (F.col("tx") - F.col("x"))
+    lower = big(F.col("px") - F.col("x")) * (F.col("ty") - F.col("y")) < big(F.col("py") - F.col("y")) * (F.col("tx") - F.col("x"))
+    waiting, settled, tall, n = points.withColumn("c", F.floor(F.col("px") / cell)), [], cell, points.count()
+    whole = max((most or 0) - (least or 0) + 3, cell)
+    while True:
+        if n <= FEW or tall >= whole:
+            tall = whole  # a window and the one below it are all heights: what is not found now is not there
+        window = lambda v: F.floor((v - ((least or 0) - 2)) / tall)  # noqa: B023, E731
+        dealt = below.withColumn("w", F.explode(F.sequence(window(F.col("low")), window(F.col("high")))))
+        ask = waiting.withColumn("w", F.explode(F.array(window(F.col("py")), window(F.col("py")) - 1)))
+        met = ask.join(dealt, ["c", "w"]).where((F.col("part") != F.col("own")) & (F.col("x") <= F.col("px")) & (F.col("px") < F.col("tx")) & lower)
+        best = met.groupBy("ring").agg(F.max(F.struct(height.alias("h"), slope.alias("s"), F.col("under").alias("under"))).alias("best"), F.first("py").alias("py"))
+        found = written(best.where((F.col("best.h") >= (window(F.col("py")) - 1) * tall + ((least or 0) - 2)) | F.lit(tall == whole)).select("ring", F.col("best.under").alias("under")), "below")
+        settled.append(found)
+        if tall == whole:
+            return reduce(DataFrame.union, settled)
+        waiting = written(waiting.join(found, "ring", "left_anti"), "not_yet_below")
+        n, tall = waiting.count(), tall * 4
+
+
 def faced(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges with left_face, right_face and part, faces (face_id, area in grid units)). Face 0 is the outside; a part is what edges connect."""
     half = written(half_edges(edges), "ring_edges")
@@ -210,13 +249,7 @@ def faced(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     half = half.join(part_of, (half["he"] - half["he"] % 2) == part_of["_e"]).drop("_e")
     outer = rings.where("twice <= 0").select("ring", F.col("at.x").alias("px"), F.col("at.y").alias("py"))
     outer = outer.join(half.groupBy("ring").agg(F.min("part").alias("own")), "ring")
-    size = half.agg(F.avg(F.abs(F.col("tx") - F.col("x")))).first()[0]
-    cell = max(1, int(2 * (size or 1)))
-    below = half.where("tx > x").withColumn("c", F.explode(F.sequence(F.floor(F.col("x") / cell), F.floor(F.col("tx") / cell)))).select("c", "x", "y", "tx", "ty", "part", F.col("ring").alias("under"))
-    height = F.col("y") + (F.col("ty") - F.col("y")).cast("double") * (F.col("px") - F.col("x")) / (F.col("tx") - F.col("x"))
-    lower = big(F.col("px") - F.col("x")) * (F.col("ty") - F.col("y")) < big(F.col("py") - F.col("y")) * (F.col("tx") - F.col("x"))
-    seen = outer.withColumn("c", F.floor(F.col("px") / cell)).join(below, "c").where((F.col("part") != F.col("own")) & (F.col("x") <= F.col("px")) & (F.col("px") < F.col("tx")) & lower)
-    seen = seen.groupBy("ring").agg(F.max_by("under", F.struct(height.alias("h"), ((F.col("ty") - F.col("y")) / (F.col("tx") - F.col("x"))).alias("s"))).alias("under"))
+    seen = nearest_below(outer, half)
     shells = numbered(rings.where("twice > 0").select("ring", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "twice"), ["x", "y", "twice", "ring"], "face_id")
     # Chains of outer rings end at a shell, or outside.
     up = written(outer.select("ring").join(seen, "ring", "left"), "around")
@@ -263,6 +296,11 @@ def polygons(edges: DataFrame, comps: DataFrame, cfg: TopoConfig) -> DataFrame:
     sided = every.join(l, ["map_layer", "left_face"], "left").join(r, ["map_layer", "right_face"], "left").where(~F.col("lc").eqNullSafe(F.col("rc")))
     one = lambda comp, a, b, c, d: F.struct(F.col(comp).alias("comp"), F.col(a).alias("x"), F.col(b).alias("y"), F.col(c).alias("tx"), F.col(d).alias("ty"))
     around = sided.select("map_layer", F.explode(F.array(one("lc", "x1", "y1", "x2", "y2"), one("rc", "x2", "y2", "x1", "y1"))).alias("h")).select("map_layer", "h.*").where("comp is not null")
+    return traced(around, cfg)
+
+
+def traced(around: DataFrame, cfg: TopoConfig) -> DataFrame:
+    """(map_layer, comp, geometry, area) of the sides (map_layer, comp, x, y, tx, ty) around each component, which lies on their left."""
     around = written(around, "sides")
     large = written(around.groupBy("map_layer", "comp").count().where(F.col("count") > LARGE_FACE).drop("count"), "large_faces")
     few = large.isEmpty()

@@ -14,16 +14,22 @@ from .dml import upsert
 from .units import boxed
 
 
-def build_tiles(features: DataFrame, zooms: Sequence[int], srid: int = 3857) -> DataFrame:
-    """(z, x, y, tile) of ``features`` (layer, id, type, geometry): a layer of each name, simplified to half a grid step of its zoom."""
+def projected(rows: DataFrame, keys: str, source: int, target: int) -> DataFrame:
+    """``keys`` (a schema) and ``geometry`` in another reference system; null stays null."""
+    names = [k.strip().split()[0] for k in keys.split(",")]
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [None if g is None else wkb.encode(generalise.mapped(wkb.decode(g)[0], lambda a: generalise.project(a, srid, 3857))) for g in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], names=b.schema.names)
+            out = [None if g is None else wkb.encode(generalise.mapped(wkb.decode(g)[0], lambda a: generalise.project(a, source, target))) for g in b.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], names=b.schema.names)
+
+    return rows.select(*names, "geometry").mapInArrow(run, keys + ", geometry binary")
 
+
+def build_tiles(features: DataFrame, zooms: Sequence[int], srid: int = 3857) -> DataFrame:
+    """(z, x, y, tile) of ``features`` (layer, id, type, geometry): a layer of each name, simplified to half a grid step of its zoom."""
     keys = "layer string, id long, type string"
-    rows = features.select("layer", F.col("id").cast("long").alias("id"), "type", "geometry").mapInArrow(project, keys + ", geometry binary")
+    rows = projected(features.select("layer", F.col("id").cast("long").alias("id"), "type", "geometry"), keys, srid, 3857)
     rows = boxed(rows, keys).where("box is not null").withColumn("zoom", F.explode(F.array(*[F.lit(int(z)) for z in zooms])))
     spots = covering_tiles(*[F.col(f"box.{k}") for k in ("xmin", "ymin", "xmax", "ymax")], F.col("zoom"))
     rows = rows.withColumn("t", F.explode(spots)).select("t.*", F.struct("layer", "id", "type", "geometry").alias("f"))

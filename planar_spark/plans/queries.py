@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..config import TopoConfig
 from ..functions import colors, tiles
-from ..kernel import wkb
-from ..operators import chains, dml, faces, graph, hierarchy, linework, noding, units
+from ..kernel import generalise, wkb
+from ..operators import chains, dml, faces, graph, hierarchy, linework, noding, overlay, units, vector_tiles
 from ..operators.components import components
+from ..sources import files
 from ..store import scratch_path, written
 from . import inputs as I  # noqa: E741
 from .inputs import with_ctes
@@ -302,6 +303,72 @@ def face_at_point(spark, d):
     return units.face_at(units.on_surface(cell, "id long"), _shapes(spark, d), I.two_layers(spark))
 
 
+UNIT_CELLS = """, u AS (SELECT DISTINCT map_layer, type, x + i AS cx, y + j AS cy FROM boxes, (SELECT unnest([0, 1, 2]) AS i), (SELECT unnest([0, 1]) AS j) WHERE i < w AND j < h),
+beside AS (SELECT a.map_layer, a.type, count(*) AS n FROM u a JOIN u b ON a.map_layer = b.map_layer AND a.type = b.type AND ((b.cx = a.cx + 1 AND b.cy = a.cy) OR (b.cx = a.cx AND b.cy = a.cy + 1)) GROUP BY ALL)
+"""
+
+
+@query("boxes", UNIT_CELLS + "SELECT map_layer, type, count(*)::DOUBLE AS area, (4 * count(*) - 2 * coalesce(any_value(n), 0))::DOUBLE AS border FROM u LEFT JOIN beside USING (map_layer, type) GROUP BY ALL")
+def union_geometry(spark, d):
+    """The union of each type's boxes as one geometry: its area, and the length of its border."""
+    shapes = overlay.union(I.box_shapes(spark, d), ["map_layer", "type"], UNIT)
+    lengths = linework.measured(shapes, "map_layer int, type string, area double")
+    return lengths.select("map_layer", "type", "area", F.col("length").alias("border"))
+
+
+@query("two cells edges walls reach boxes", ", edited AS (SELECT id, x, y, w, h, CASE WHEN id % 10 = 1 THEN 'edited' ELSE type END AS type, map_layer FROM boxes WHERE id % 10 <> 0)" + BOX_CELLS.replace("FROM boxes b", "FROM edited b") + """SELECT DISTINCT c.map_layer, c.comp, u.unit_id FROM comps c
+LEFT JOIN (SELECT map_layer, comp, arg_min(type, (-area, type)) AS unit_id FROM areas GROUP BY ALL) u USING (map_layer, comp)""")
+def labels_after_edit(spark, d):
+    """Labels of map faces after boxes went and others changed their type: only faces that the changed boxes meet are labelled again."""
+    old, shapes = I.box_shapes(spark, d), _shapes(spark, d)
+    new = old.where("id % 10 <> 0").withColumn("type", F.when(F.col("id") % 10 == 1, "edited").otherwise(F.col("type")))
+    labelled = shapes.join(units.units(shapes, old), ["map_layer", "comp"], "left")
+    return overlay.relabel(labelled, old, new, UNIT).select("map_layer", "comp", "unit_id")
+
+
+ISLANDS = """WITH top AS (SELECT max(c_custkey) // 64 + 1 AS n FROM customer),
+isle AS (SELECT c_custkey AS k, c_custkey % 5 = 0 AS hollow FROM customer),
+lake AS (SELECT (6 * 64 + 2) * (6 * n + 2) - 16 * (SELECT count(*) FROM isle) AS area FROM top)
+SELECT -1::BIGINT AS id, 0.0::DOUBLE AS low, area::DOUBLE AS high FROM lake
+UNION ALL SELECT 2 * k, CASE WHEN hollow THEN 12 ELSE 16 END, area FROM isle, lake UNION ALL SELECT 2 * k + 1, 4, 12 FROM isle WHERE hollow"""
+
+
+@query(None, ISLANDS)
+def island_faces(spark, d):
+    """A lake with an island for each customer, some with a pond: the areas of the faces on both sides of every shore."""
+    square = lambda i, x, y, side: F.struct(i.cast("long").alias("id"), x.cast("long").alias("x"), y.cast("long").alias("y"), (x + side).cast("long").alias("u"), (y + side).cast("long").alias("v"))
+    k = F.col("c_custkey")
+    x, y, customers = k % 64 * 6, F.floor(k / 64) * 6, I.read(spark, d, "customer")
+    shores = customers.select(F.explode(F.array_compact(F.array(square(k * 2, x, y, 4), F.when(k % 5 == 0, square(k * 2 + 1, x + 1, y + 1, 2))))).alias("s")).select("s.*")
+    n = F.floor(F.max("c_custkey") / 64) + 1
+    lake = customers.agg(F.lit(-1).cast("long").alias("id"), F.lit(-2).cast("long").alias("x"), F.lit(-2).cast("long").alias("y"), F.lit(6 * 64).cast("long").alias("u"), (6 * n).cast("long").alias("v"))
+    rows = shores.union(lake).withColumn("wkt", F.format_string("LINESTRING(%1$d %2$d,%3$d %2$d,%3$d %4$d,%1$d %4$d,%1$d %2$d)", "x", "y", "u", "v"))
+    edges, along, _ = noding.noded(files.parse_geometry(rows.select("id", "wkt"), "wkt").select("id", "geometry"), UNIT)
+    edges, primitive = noding.faced(edges)
+    sides = along.join(edges.select("edge_id", F.explode(F.array("left_face", "right_face")).alias("face_id")), "edge_id").select(F.col("line_id").alias("id"), "face_id").distinct()
+    return sides.join(primitive, "face_id").groupBy("id").agg(F.min("area").alias("low"), F.max("area").alias("high"))
+
+
+def _utm_sql() -> str:
+    """Krüger's series as SQL, from the same coefficients."""
+    e = 2 * generalise.THIRD**0.5 / (1 + generalise.THIRD)
+    sums = lambda f, g: " + ".join(f"{c!r}::DOUBLE * {f}({2 * j} * u) * {g}({2 * j} * v)" for j, c in enumerate(generalise.series(generalise.FORWARD), 1))
+    k = generalise.SCALE * generalise.MEAN
+    return f"""WITH p AS (SELECT c_custkey AS id, radians((c_custkey % 601 - 300) / 100.0::DOUBLE) AS lon, radians((c_custkey * 7 % 1600) / 20.0::DOUBLE) AS lat FROM customer),
+t AS (SELECT *, sinh(atanh(sin(lat)) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(lat))) AS t FROM p),
+q AS (SELECT id, atan2(t, cos(lon)) AS u, atanh(sin(lon) / sqrt(1 + t * t)) AS v FROM t)
+SELECT id, round(500000 + {k!r}::DOUBLE * (v + {sums('cos', 'sinh')}), 3) AS east, round({k!r}::DOUBLE * (u + {sums('sin', 'cosh')}), 3) AS north FROM q"""
+
+
+@query(None, _utm_sql())
+def utm_points(spark, d):
+    """Points of customers, within 3 degrees of the middle of zone 12, in metres of that zone."""
+    k = F.col("c_custkey")
+    rows = I.read(spark, d, "customer").select(k.alias("id"), F.format_string("POINT(%.2f %.2f)", -111 + (k % 601 - 300) / 100, (k * 7 % 1600) / 20).alias("wkt"))
+    flat = vector_tiles.projected(files.parse_geometry(rows, "wkt").select(F.col("id").cast("long").alias("id"), "geometry"), "id long", 4326, 32612)
+    return units.boxed(flat, "id long").select("id", F.round("box.xmin", 3).alias("east"), F.round("box.ymin", 3).alias("north"))
+
+
 # Relations, dirty sets, registration.
 
 
