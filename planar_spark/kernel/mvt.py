@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
 import numpy as np
 
 from . import planar
@@ -107,22 +110,121 @@ def quantised(geometry: Geometry, box: tuple[float, float, float, float]) -> tup
     return LINE, [a for part in geometry[1] for c in clip_line(np.asarray(part), wide) if len(a := thin(grid(c))) > 1]
 
 
+def clipped(geometry: Geometry, box: tuple[float, float, float, float]) -> Geometry | None:
+    """What of a geometry lies in a box, as a collection of its kind; None if that is nothing. Rings stay closed."""
+    kind, parts = geometry
+    if "POLYGON" in kind:
+        out = []
+        for polygon in parts if kind == "MULTIPOLYGON" else [parts]:
+            rings = [np.concatenate([r, r[:1]]) if len(r := clip_ring(np.asarray(ring)[:-1], box)) else r for ring in polygon]
+            if len(rings[0]):
+                out.append([r for r in rings if len(r)])
+        return ("MULTIPOLYGON", out) if out else None
+    if "POINT" in kind:
+        every = [a[(a[:, 0] >= box[0]) & (a[:, 0] <= box[2]) & (a[:, 1] >= box[1]) & (a[:, 1] <= box[3])] for a in map(np.asarray, parts)]
+        every = [a for a in every if len(a)]
+        return (kind, every) if every else None
+    lines = [c for part in parts for c in clip_line(np.asarray(part), box)]
+    return ("MULTILINESTRING", lines) if lines else None
+
+
+def tile_box(z: int, x: int, y: int, world: float) -> tuple[float, float, float, float]:
+    side = world / 2**z
+    return x * side - world / 2, world / 2 - (y + 1) * side, (x + 1) * side - world / 2, world / 2 - y * side
+
+
+def descend(geometry: Geometry, zoom: int, world: float) -> Iterator[tuple[int, int, int, bytes]]:
+    """(x, y, kind, commands) of every tile of a zoom in which something of the geometry is left: quarter by quarter from the whole world, so that each quarter clips
+    only what its parent held."""
+    todo = [(0, 0, 0, geometry)]
+    while todo:
+        z, x, y, part = todo.pop()
+        box = tile_box(z, x, y, world)
+        if z == zoom:
+            kind, parts = quantised(part, box)
+            if parts:
+                yield x, y, kind, commands(parts, kind == POLYGON)
+            continue
+        for i in (0, 1):
+            for j in (0, 1):
+                low = tile_box(z + 1, 2 * x + i, 2 * y + j, world)
+                spare = (low[2] - low[0]) / EXTENT * BUFFER
+                inner = clipped(part, (low[0] - spare, low[1] - spare, low[2] + spare, low[3] + spare))
+                if inner is not None:
+                    todo.append((z + 1, 2 * x + i, 2 * y + j, inner))
+
+
 def layer(name: str, features: list[tuple[Geometry, dict]], box: tuple[float, float, float, float]) -> bytes:
     """One encoded layer field; empty if no feature is left in the box."""
+    drawn = [(*quantised(geometry, box), tags) for geometry, tags in features]
+    return assembled(name, [(kind, commands(parts, kind == POLYGON), tags) for kind, parts, tags in drawn if parts])
+
+
+def assembled(name: str, features: list[tuple[int, bytes, dict]]) -> bytes:
+    """One encoded layer field of features whose geometries are encoded already."""
     keys: dict[str, int] = {}
     values: dict[tuple, int] = {}
     out = []
-    for geometry, tags in features:
-        kind, parts = quantised(geometry, box)
-        if not parts:
-            continue
+    for kind, drawn, tags in features:
         marks = b""
         for k, v in tags.items():
             if v is not None:
                 marks += varint(keys.setdefault(k, len(keys))) + varint(values.setdefault((type(v).__name__, v), len(values)))
-        out.append(field(2, field(2, marks) + bytes([3 << 3, kind]) + field(4, commands(parts, kind == POLYGON))))
+        out.append(field(2, field(2, marks) + bytes([3 << 3, kind]) + field(4, drawn)))
     if not out:
         return b""
     value = lambda kind, v: field(4, field(1, v.encode()) if kind == "str" else varint(4 << 3) + varint(int(v) & (1 << 64) - 1) if kind == "int" else varint(7 << 3) + varint(int(v)) if kind == "bool" else bytes([3 << 3 | 1]) + np.float64(v).tobytes())
     body = bytes([15 << 3, 2]) + field(1, name.encode()) + b"".join(out) + b"".join(field(3, k.encode()) for k in keys) + b"".join(value(*v) for v in values) + bytes([5 << 3]) + varint(EXTENT)
     return field(3, body)
+
+
+def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a message: whole numbers, and bytes of everything else."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            out |= (byte & 127) << shift
+            if byte < 128:
+                return out
+            shift += 7
+
+    while at < len(data):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, number()
+        else:
+            size = number() if kind == 2 else {1: 8, 5: 4}[kind]
+            yield tag >> 3, data[at : at + size]
+            at += size
+
+
+def contents(tile: bytes) -> list[tuple[str, dict]]:
+    """(layer, tags) of every feature of a tile."""
+    out = []
+    for _, body in fields(tile):
+        parts = list(fields(body))
+        name = next(v for n, v in parts if n == 1).decode()
+        keys = [v.decode() for n, v in parts if n == 3]
+        values = []
+        for v in (v for n, v in parts if n == 4):
+            n, plain = next(fields(v))
+            values.append(plain.decode() if n == 1 else struct.unpack("<f" if n == 2 else "<d", plain)[0] if n in (2, 3) else bool(plain) if n == 7 else plain >> 1 ^ -(plain & 1) if n == 6 else plain - (1 << 64) if n == 4 and plain >> 63 else plain)
+        for feature in (v for n, v in parts if n == 2):
+            tags, marks, at = next((v for n, v in fields(feature) if n == 2), b""), [], 0
+            while at < len(tags):
+                value = shift = 0
+                while True:
+                    byte, at = tags[at], at + 1
+                    value |= (byte & 127) << shift
+                    shift += 7
+                    if byte < 128:
+                        break
+                marks.append(value)
+            out.append((name, {keys[k]: values[v] for k, v in zip(marks[::2], marks[1::2], strict=True)}))
+    return out

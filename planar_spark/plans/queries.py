@@ -680,6 +680,53 @@ def tile_cache_upsert(spark, d):
     return dml.upsert(batch(rows.where(F.col("seq") <= half)), batch(rows.where(F.col("seq") > half)), ["id"]).select("id", "stamp")
 
 
+# Boxes in metres, 100 km a cell, a third of a cell off the origin so that no side lies on a tile's border.
+def _tile_features(spark, d, edited=False):
+    rows = I.boxes(spark, d)
+    if edited:
+        rows = rows.where("id % 10 <> 0").withColumn("x", F.when(F.col("id") % 10 == 1, F.col("x") + 7).otherwise(F.col("x")))
+    metres = lambda v: v * 100_000 + 33_333
+    x, y = metres(F.col("x")), metres(F.col("y") % 150)
+    rows = rows.select("id", "type", x.alias("x"), y.alias("y"), (x + F.col("w") * 100_000).alias("u"), (y + F.col("h") * 100_000).alias("v"))
+    rows = rows.withColumn("wkt", F.format_string("POLYGON((%1$d %2$d,%3$d %2$d,%3$d %4$d,%1$d %4$d,%1$d %2$d))", "x", "y", "u", "v"))
+    return files.parse_geometry(rows, "wkt").select(F.lit("box").alias("layer"), "id", "type", "geometry", F.struct(*[F.col(c).cast("double").alias(n) for c, n in (("x", "xmin"), ("y", "ymin"), ("u", "xmax"), ("v", "ymax"))]).alias("box"))
+
+
+def _tile_sql(boxes: str, body: str) -> str:
+    """Each box's overlap with each tile's square and its buffer, on the tile's grid."""
+    world = tiles.WORLD
+    grid = lambda v, low: f"round(({v} - {low}) / side * 4096)"
+    return f""", placed AS (SELECT id, x * 100000 + 33333 AS x0, y % 150 * 100000 + 33333 AS y0, (x + w) * 100000 + 33333 AS x1, (y % 150 + h) * 100000 + 33333 AS y1 FROM {boxes}),
+zoomed AS (SELECT *, {world} / 2 ** z AS side FROM placed, (VALUES (0), (2), (5)) zooms(z)),
+spots AS (SELECT *, unnest(range(greatest(0, floor((x0 + {world / 2}) / side)::BIGINT - 1), least(2 ** z - 1, floor((x1 + {world / 2}) / side) + 1)::BIGINT + 1)) AS x FROM zoomed),
+squares AS (SELECT *, unnest(range(greatest(0, floor(({world / 2} - y1) / side)::BIGINT - 1), least(2 ** z - 1, floor(({world / 2} - y0) / side) + 1)::BIGINT + 1)) AS y FROM spots),
+seen AS (SELECT id, z, x, y FROM (SELECT *, x * side - {world / 2} AS l, {world / 2} - (y + 1) * side AS b, side / 64 AS s FROM squares)
+  WHERE {grid('least(x1, l + side + s)', 'l')} > {grid('greatest(x0, l - s)', 'l')} AND {grid('least(y1, b + side + s)', 'b')} > {grid('greatest(y0, b - s)', 'b')})
+{body}"""
+
+
+EDITED = ", edited AS (SELECT id, CASE WHEN id % 10 = 1 THEN x + 7 ELSE x END AS x, y, w, h FROM boxes WHERE id % 10 <> 0)"
+TILE_COUNTS = "SELECT z, x::INT AS x, y::INT AS y, count(*) AS n, sum(id)::BIGINT AS ids FROM seen GROUP BY ALL"
+
+
+@query("boxes", _tile_sql("boxes", TILE_COUNTS))
+def tile_pyramid(spark, d):
+    """Boxes as vector tiles of three zooms, read back from their bytes: how many features each tile shows, and the sum of their ids."""
+    shown = vector_tiles.contents(vector_tiles.build_tiles(_tile_features(spark, d), [0, 2, 5]))
+    return shown.groupBy("z", "x", "y").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query("boxes", EDITED + _tile_sql("edited", TILE_COUNTS))
+def tile_refresh(spark, d):
+    """The same after some boxes went and others moved: only tiles that the boxes met before or meet now are built again."""
+    old, new = _tile_features(spark, d), _tile_features(spark, d, edited=True)
+    cache = written(vector_tiles.build_tiles(old, [0, 2, 5]), "tile_cache")
+    place = F.struct("id", "box")
+    gone = old.select(place.alias("p")).exceptAll(new.select(place.alias("p"))).union(new.select(place.alias("p")).exceptAll(old.select(place.alias("p"))))
+    now = vector_tiles.refreshed(cache, new, gone.select("p.box.*"), [0, 2, 5])
+    return vector_tiles.contents(now).groupBy("z", "x", "y").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 HEX = "lpad(lower(to_hex((255 * (100 - {0}) * (100 - k) // 10000)::BIGINT)), 2, '0')"
 
 
