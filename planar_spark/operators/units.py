@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernel import planar, wkb
+from ..store import spread
 from .faces import best_unit
 
 BOX = "struct<xmin: double, ymin: double, xmax: double, ymax: double>"
@@ -77,6 +79,9 @@ def box_join(a: DataFrame, b: DataFrame, on: list[str], margin: float = 0.0) ->
 def spatial_join(a: DataFrame, b: DataFrame, on: list[str], how: str = "contains") -> DataFrame:
     """Pairs of rows of equal ``on`` where a's geometry contains (or intersects) b's. Both are ``boxed``; columns of b get a prefix."""
     pairs = box_join(a, b.select(*[F.col(c).alias(c if c in on else f"b_{c}") for c in b.columns]), on)
+    if how == "contains":
+        pairs = pairs.where(reduce(Column.__and__, [F.col(f"box.{k}min") <= F.col(f"b_box.{k}min") for k in "xy"] + [F.col(f"box.{k}max") >= F.col(f"b_box.{k}max") for k in "xy"]))
+    pairs = spread(pairs)
     test = planar.contains if how == "contains" else planar.intersects
     at = pairs.columns.index("geometry"), pairs.columns.index("b_geometry")
 

@@ -42,6 +42,13 @@ def test_predicates():
     assert planar.intersects(SQUARE(2, 0, 0), SQUARE(2, 2, 0)) and planar.locate(np.array([planar.point_on_surface(ring)]), planar.rings_of(ring))[0] == 1
 
 
+def test_what_fills_a_hole_is_not_contained():
+    hollow = wkb.parse("MULTIPOLYGON(((0 0,6 0,6 6,0 6,0 0),(2 2,4 2,4 4,2 4,2 2)))")[0]
+    plug, both = SQUARE(2, 3, 3), ("MULTIPOLYGON", [SQUARE(1, 1, 1)[1], SQUARE(2, 3, 3)[1]])
+    assert not planar.contains(hollow, plug) and not planar.contains(hollow, both) and planar.contains(hollow, SQUARE(2, 1, 1))
+    assert planar.contains(plug, plug) and planar.contains(plug, ("POLYGON", [np.array([[2, 2], [4, 2], [2, 2]])]))
+
+
 def test_generalise_and_tiles(spark):
     a = np.array([[0, 0], [1, 0.01], [2, 0], [2, 2]])
     assert len(generalise.simplify(a, 0.1)) == 3 and len(generalise.segmentize(a[2:], 0.5)) == 5 and len(generalise.chaikin(a)) == 6
