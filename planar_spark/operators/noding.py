@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TopoConfig
@@ -161,12 +161,59 @@ def noded(lines: DataFrame, cfg: TopoConfig) -> tuple[DataFrame, DataFrame, Data
     return *cut_pieces(now), errors
 
 
+def on_supports(rows: DataFrame) -> DataFrame:
+    """Adds to pieces, lesser end first, the line that each runs along, ``support``, with the steps ``k1`` and ``k2`` of its ends between that line's grid points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x1, y1, x2, y2 = (b.column(b.schema.names.index(c)).to_numpy() for c in ENDS)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.gcd(x2 - x1, y2 - y1), pa.int64())], names=[*b.schema.names, "g"])
+
+    rows = rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", g long")
+    rows = rows.withColumn("dx", F.expr("(x2 - x1) div g")).withColumn("dy", F.expr("(y2 - y1) div g"))
+    rows = rows.withColumn("k1", F.when(F.col("dx") == 0, F.col("y1")).otherwise(F.expr("(x1 - pmod(x1, dx)) div dx")))
+    base = F.when(F.col("dx") == 0, F.col("x1")).otherwise(F.expr("pmod(x1, dx)"))
+    offset = F.when(F.col("dx") == 0, F.lit(0)).otherwise(F.col("y1") - big(F.col("k1")) * F.col("dy")).cast("decimal(38,0)")
+    return rows.select(*[c for c in rows.columns if c not in ("g", "dx", "dy")], F.struct("dx", "dy", base.alias("x"), offset.alias("y")).alias("support"), (F.col("k1") + F.col("g")).alias("k2"))
+
+
+def flattened(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parts (part, x1, y1, x2, y2), line_part (line_id, part)) of distinct (line_id, x1, y1, x2, y2): along each supporting line the stretches between neighbouring ends.
+
+    Pieces along one line that lie over one another become the same parts, so what meets a place is tested there once and not for each of them. The covered
+    stretches follow from running counts of what begins and ends, not from pairs of pieces; ``line_part`` is as large as the result that it gives.
+    """
+    own = on_supports(pieces)
+    # Pieces of one line that overlap are one stretch of it, so that each part has each line once.
+    along = Window.partitionBy("line_id", "support").orderBy("k1", "k2")
+    begins = F.col("k1") > F.max("k2").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = own.select("line_id", "support", "k1", "k2", F.coalesce(begins, F.lit(True)).cast("int").alias("begins")).withColumn("run", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("line_id", "support", "run").agg(F.min("k1").alias("k1"), F.max("k2").alias("k2")).drop("run")
+    ends = own.select("support", F.explode(F.array(F.struct(F.col("k1").alias("k"), F.lit(1).alias("n")), F.struct(F.col("k2").alias("k"), F.lit(-1).alias("n")))).alias("e"))
+    ends = ends.groupBy("support", F.col("e.k").alias("k1")).agg(F.sum("e.n").alias("n"))
+    order = Window.partitionBy("support").orderBy("k1")
+    parts = ends.select("support", "k1", F.lead("k1").over(order).alias("k2"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("over")).where("over > 0")
+    parts = written(parts.select("support", "k1", "k2", F.monotonically_increasing_id().alias("part")), "parts")
+    # In two steps, so that no product passes 64 bits where its sum does not.
+    place = lambda k, d, c, v: F.when(F.col("support.dx") == 0, F.col(k) if v else F.col("support.x")).otherwise((big(F.col(k)) * F.col(f"support.{d}") + F.col(f"support.{c}")).cast("long"))
+    shapes = parts.select("part", *[place(k, d, c, v).alias(n) for n, k, d, c, v in (("x1", "k1", "dx", "x", 0), ("y1", "k1", "dy", "y", 1), ("x2", "k2", "dx", "x", 0), ("y2", "k2", "dy", "y", 1))])
+    # Stretches and parts meet in cells along their line; a part stands in the cell in which it begins.
+    size = max(1, int(runs.agg(F.avg(F.col("k2") - F.col("k1"))).first()[0] or 1))
+    cell = lambda k: F.floor(F.col(k) / size)
+    asked = runs.select("line_id", "support", F.col("k1").alias("low"), F.col("k2").alias("high"), F.explode(F.sequence(cell("k1"), F.floor((F.col("k2") - 1) / size))).alias("cell"))
+    met = asked.join(parts.withColumn("cell", cell("k1")).hint("merge"), ["support", "cell"]).where("low <= k1 and k1 < high")
+    return shapes, met.select("line_id", "part")
+
+
 def cut_pieces(now: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, line_edge) of (line_id, x1, y1, x2, y2) in grid numbers, each with its lesser end first.
 
-    Only pieces that a cut has bent are tested again, against all others.
+    Pieces are first flattened to parts, and these are cut; line_edge goes from lines by their parts to edges, and costs nothing where it is not read. Only
+    pieces that a cut has bent are tested again, against all others.
     """
-    now = now.select("line_id", *ENDS).distinct().withColumn("fresh", F.lit(True))
+    now = written(now.select("line_id", *[F.col(c).cast("long").alias(c) for c in ENDS]).distinct(), "lines")
+    shapes, line_part = flattened(now)
+    now, bent = written(shapes.withColumnRenamed("part", "line_id"), "flat").withColumn("fresh", F.lit(True)), False
     for _ in range(ROUNDS):
         points = written(crossings(now), "crossings")
         if points.isEmpty():
@@ -174,6 +221,7 @@ def cut_pieces(now: DataFrame) -> tuple[DataFrame, DataFrame]:
         now = written(split(now, points), "pieces")
         if now.where("fresh").isEmpty():
             break  # every point lies on its piece: the parts meet nothing that the whole did not
+        bent = True
     else:
         raise RuntimeError(f"lines still cross inside pieces after {ROUNDS} rounds of cutting")
     now = now.drop("fresh")
@@ -181,7 +229,9 @@ def cut_pieces(now: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = numbered(edges.select(F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("n")).select("n.*").distinct(), ["x", "y"], "node_id")
     a, b = (nodes.select(F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"), F.col("node_id").alias(n)) for k, n in ((1, "start_node"), (2, "end_node")))
     edges = written(edges.join(a, ["x1", "y1"]).join(b, ["x2", "y2"]), "edges")
-    return edges, now.join(edges.select("edge_id", "x1", "y1", "x2", "y2"), ["x1", "y1", "x2", "y2"]).select("line_id", "edge_id")
+    part_edge = written(now.join(edges.select("edge_id", *ENDS), ENDS).select(F.col("line_id").alias("part"), "edge_id"), "part_edges")
+    line_edge = line_part.join(part_edge, "part").select("line_id", "edge_id")
+    return edges, line_edge.distinct() if bent else line_edge  # bent parts may have come to lie on one edge
 
 
 def half_edges(edges: DataFrame) -> DataFrame:

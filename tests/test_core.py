@@ -125,6 +125,22 @@ def test_noding_in_utm_at_the_default_tolerance(spark, side):
     assert sorted(round(r["area"] * 1e-10, 3) for r in faces.where("face_id <> 0").collect()) == [quarter, 3 * quarter, 3 * quarter]
 
 
+def test_lines_over_one_another_are_cut_once(spark, monkeypatch):
+    """Many lines on few places: what is tested for crossings is the places, not the lines; every line keeps its edges."""
+    lines = [(i, i * 7 % 30, 0, i * 7 % 30 + 1 + i % 9, 0) for i in range(300)] + [(300 + i, i % 8 * 3, -4, i % 8 * 3 + 2 * (2 + i % 3), 2 * (2 + i % 3) - 4) for i in range(90)] + [(0, 0, 0, 2, 0), (0, 1, 0, 9, 0)]
+    tested, plain = [], noding.crossings
+    monkeypatch.setattr(noding, "crossings", lambda pieces: tested.append(pieces.count()) or plain(pieces))
+    edges, along = noding.cut_pieces(spark.createDataFrame(lines, "line_id long, x1 long, y1 long, x2 long, y2 long"))
+    assert max(tested) <= 40 + 8 * 4
+    edge = {r["edge_id"]: (r["x1"], r["y1"], r["x2"], r["y2"]) for r in edges.collect()}
+    got = [(r["line_id"], edge[r["edge_id"]]) for r in along.collect()]
+    assert len(got) == len(set(got))
+    on = lambda p, a: (a[2] - a[0]) * (p[1] - a[1]) == (a[3] - a[1]) * (p[0] - a[0]) and a[0] <= p[0] <= a[2] and a[1] <= p[1] <= a[3]
+    assert set(got) == {(i, e) for i, *a in lines for e in edge.values() if on(e[:2], a) and on(e[2:], a)}
+    ends = {p for e in edge.values() for p in (e[:2], e[2:])}
+    assert not any(on(p, e) and p not in (e[:2], e[2:]) for p in ends for e in edge.values())
+
+
 def test_large_faces_are_traced_like_small_ones(spark, monkeypatch):
     """Nested and touching rings, by a walk in one task and by ranking lists."""
     import random
