@@ -77,3 +77,12 @@ def test_no_features(spark):
     cache = vector_tiles.build_tiles(spark.createDataFrame(rows(4), FEATURES), [2])
     left = vector_tiles.refreshed(cache, none, boxes, [2])
     assert 0 < left.count() < cache.count() and vector_tiles.contents(left).where("layer is null").count() == 0
+
+
+def test_descent_clips_only_what_crosses_a_border(monkeypatch):
+    ring = np.array([[500e3, 500e3], [600e3, 500e3], [600e3, 600e3], [500e3, 600e3], [500e3, 500e3]])
+    clips, plain = [], mvt.clip_ring
+    want = mvt.quantised(("POLYGON", [ring]), mvt.tile_box(5, 16, 15, WORLD))
+    monkeypatch.setattr(mvt, "clip_ring", lambda *a: clips.append(1) or plain(*a))
+    got = {(x, y): drawn for x, y, _, drawn in mvt.descend(("POLYGON", [ring]), 5, WORLD)}
+    assert got[16, 15] == mvt.commands(want[1], True) and len(clips) <= 2
