@@ -61,7 +61,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
         s(3, F.when(y == 0, 0).otherwise(-1), node(x, y), node(x + 1, y)),
     )
     rows = c.crossJoin(F.broadcast(n)).select("p", "t", F.col("face_id").alias("left_face"), F.explode(sides).alias("e")).select("p", "t", "left_face", "e.*").where("right_face >= 0")
-    return rows.withColumn("edge_id", F.col("p") * 4 + F.col("dir"))
+    return rows.withColumn("edge_id", F.col("p") * 4 + F.col("dir")).hint("merge")  # Spark estimates the rows by the small file that they come from, and would broadcast them
 
 
 def placed_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def walls(spark: SparkSession, d: str, closed: bool = True) -> DataFrame:
     e = edges(spark, d).crossJoin(F.broadcast(two_layers(spark)))
     up = (F.col("p") * 31 + F.col("t") * 17 + F.col("dir") * 11 + F.col("map_layer") * 7) % 10 < 7
     rows = e.where(up | (F.col("right_face") == 0)) if closed else e.where(up)
-    return rows.select("edge_id", "map_layer", (F.floor(F.col("p") / 3) * 10 + F.col("map_layer")).alias("line_id"), F.concat(F.lit("type-"), F.col("p") % 5).alias("type"))
+    return rows.select("edge_id", "map_layer", (F.floor(F.col("p") / 3) * 10 + F.col("map_layer")).alias("line_id"), F.concat(F.lit("type-"), F.col("p") % 5).alias("type")).hint("merge")
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
