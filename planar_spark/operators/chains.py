@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernel import wkb
-from ..store import written
+from ..store import stored as written
 from .components import ranked
 from .graph import heal_candidates, heal_chains
 

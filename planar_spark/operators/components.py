@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..store import discard, written
+from ..store import discard, stored as written
 
 
 #: So many pairs one task may join at once: what an edit touches is mostly far less, and rounds of jobs would take most of its time.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..store import written
+from ..store import stored as written
 from .components import SMALL, components
 
 SHIFT = 1 << 40  # separates layers in the ids of (layer, face) pairs

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import TopoConfig
 from ..kernel import planar, wkb
-from ..store import written
+from ..store import stored as written
 from .components import SMALL, components, ranked
 
 ROUNDS = 100  # more is an error

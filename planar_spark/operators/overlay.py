@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import TopoConfig
 from ..kernel import planar, wkb
-from ..store import written
+from ..store import stored as written
 from . import noding
 from .units import boxed, on_surface, relabelled, spatial_join, units
 

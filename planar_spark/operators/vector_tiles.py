@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tiles import WORLD, covering_tiles, tile_box
 from ..kernel import generalise, mvt, wkb
-from ..store import written
+from ..store import stored as written
 from .dml import upsert
 from .units import box_join, boxed
 

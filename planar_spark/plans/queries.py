@@ -13,7 +13,7 @@ from ..kernel import generalise, wkb
 from ..operators import chains, dml, faces, graph, hierarchy, linework, noding, overlay, units, vector_tiles
 from ..operators.components import components
 from ..sources import files
-from ..store import scratch_path, written
+from ..store import scratch_path, stored as written
 from . import inputs as I  # noqa: E741
 from .inputs import with_ctes
 from .solve import TopoSession, solve

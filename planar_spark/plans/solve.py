@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..config import TopoConfig
 from ..operators import dml, faces, graph, linework, noding, units
-from ..store import Store, written
+from ..store import Store, stored as written
 
 BOX = ["xmin", "ymin", "xmax", "ymax"]
 MARGIN = 4  # steps of the grid between regions that are solved apart: rounding moves a point by less than one a round

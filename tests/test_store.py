@@ -1,12 +1,12 @@
 """Written tables in joins, and rows dealt over all cores."""
 
 from planar_spark.sources import files
-from planar_spark.store import written
+from planar_spark.store import stored
 
 
 def test_large_written_tables_are_not_broadcast(spark):
-    ids = written(spark.range(1_000_000, numPartitions=1), "ids")
-    small = written(spark.range(10), "small")
+    ids = stored(spark.range(1_000_000, numPartitions=1), "ids")
+    small = stored(spark.range(10), "small")
     plan = lambda a, b: a.join(b, "id")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan(ids, spark.range(5_000_000)) and "BroadcastHashJoin" in plan(small, spark.range(5_000_000))
 
