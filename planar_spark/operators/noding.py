@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TopoConfig
-from ..kernel import planar, wkb
+from ..kernel import bulk, planar, wkb
 from ..store import stored as written
 from .components import SMALL, components, ranked
 
@@ -359,15 +359,20 @@ def traced(around: DataFrame, cfg: TopoConfig) -> DataFrame:
     def shape_of(rings: list[np.ndarray]) -> tuple[bytes, float]:
         """Rings in grid numbers as a MultiPolygon: each hole goes to the least shell that holds it."""
         rings = [r * cfg.tolerance for r in rings]
-        shells = sorted(([r] for r in rings if planar.signed_area(r) > 0), key=lambda p: planar.signed_area(p[0]))
-        for hole in (r for r in rings if planar.signed_area(r) < 0):
-            middle = (hole[:1] + hole[1:2]) / 2
-            home = shells[:1] if len(shells) == 1 else [p for p in shells if planar.locate(middle, p[:1])[0] >= 0]
-            if not home:
-                raise ValueError("a hole lies in no shell")
-            home[0].append(hole)
-        shape = ("MULTIPOLYGON", shells)
-        return wkb.encode(shape), planar.area(shape)
+        areas = bulk.signed_areas(rings)
+        shells = sorted(((a, [r]) for r, a in zip(rings, areas, strict=True) if a > 0), key=lambda p: p[0])
+        low, high = (np.array([f(p[0], axis=0) for _, p in shells]).reshape(-1, 2) for f in (np.min, np.max))
+        inner = [0.0] * len(shells)
+        for hole, a in zip(rings, areas, strict=True):
+            if a < 0:
+                middle = (hole[:1] + hole[1:2]) / 2
+                near = np.flatnonzero(((low <= middle) & (high >= middle)).all(axis=1)).tolist()
+                home = 0 if len(shells) == 1 else next((k for k in near if planar.locate(middle, shells[k][1][:1])[0] >= 0), None)
+                if home is None or not shells:
+                    raise ValueError("a hole lies in no shell")
+                shells[home][1].append(hole)
+                inner[home] += -a
+        return wkb.encode(("MULTIPOLYGON", [p for _, p in shells])), sum(a - i for (a, _), i in zip(shells, inner, strict=True))
 
     def trace(sides: list[dict]) -> tuple[bytes, float]:
         leave: dict[tuple, list] = {}
@@ -395,7 +400,15 @@ def traced(around: DataFrame, cfg: TopoConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [trace(s) for s in b.column(2).to_pylist()]
+            rings, knotted = bulk.walked(b.column(2))
+            single = [i for i, r in enumerate(rings) if len(r) == 1]
+            got = dict(zip(single, bulk.areas_of([rings[i][0] * cfg.tolerance for i in single]), strict=True))
+            for i in range(b.num_rows):
+                if got.get(i) is None and rings[i]:
+                    got[i] = shape_of(rings[i])
+            for i in knotted:
+                got[i] = trace(b.column(2)[i].as_py())
+            got = [got[i] for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g for g, _ in got], pa.binary()), pa.array([a for _, a in got], pa.float64())], names=["map_layer", "comp", "geometry", "area"])
 
     out = border.mapInArrow(run, "map_layer int, comp long, geometry binary, area double")

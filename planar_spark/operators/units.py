@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..kernel import planar, wkb
+from ..kernel import bulk, planar, wkb
 from ..store import spread
 from .faces import best_unit
 
@@ -23,15 +23,9 @@ def boxed(rows: DataFrame, keys: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            boxes = []
-            for data in b.column(len(names)).to_pylist():
-                try:
-                    box = planar.bounds(wkb.decode(data)[0])
-                except (ValueError, TypeError):
-                    box = None
-                boxes.append(None if box is None else dict(zip(("xmin", "ymin", "xmax", "ymax"), box, strict=True)))
-            kind = pa.struct([(k, pa.float64()) for k in ("xmin", "ymin", "xmax", "ymax")])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(boxes, kind)], names=[*b.schema.names, "box"])
+            boxes, none = bulk.bounds(b.column(len(names)))
+            box = pa.StructArray.from_arrays([pa.array(c) for c in boxes.T], names=["xmin", "ymin", "xmax", "ymax"], mask=pa.array(none))
+            yield pa.RecordBatch.from_arrays([*b.columns, box], names=[*b.schema.names, "box"])
 
     return rows.select(*names, "geometry").mapInArrow(run, f"{keys}, geometry binary, box {BOX}")
 
@@ -82,13 +76,11 @@ def spatial_join(a: DataFrame, b: DataFrame, on: list[str], how: str = "contains
     if how == "contains":
         pairs = pairs.where(reduce(Column.__and__, [F.col(f"box.{k}min") <= F.col(f"b_box.{k}min") for k in "xy"] + [F.col(f"box.{k}max") >= F.col(f"b_box.{k}max") for k in "xy"]))
     pairs = spread(pairs)
-    test = planar.contains if how == "contains" else planar.intersects
     at = pairs.columns.index("geometry"), pairs.columns.index("b_geometry")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [test(wkb.decode(p)[0], wkb.decode(q)[0]) for p, q in zip(batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(bulk.tested(batch.column(at[0]), batch.column(at[1]), how == "contains")))
 
     return pairs.mapInArrow(run, pairs.schema)
 
@@ -113,8 +105,7 @@ def on_surface(rows: DataFrame, keys: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            points = [planar.point_on_surface(wkb.decode(g)[0]) for g in b.column(len(names)).to_pylist()]
-            data = [None if p is None else wkb.encode(("POINT", [np.array([p])])) for p in points]
+            data = bulk.points_on_surface(b.column(len(names)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(data, pa.binary())], names=[*names, "geometry"])
 
     return rows.select(*names, "geometry").mapInArrow(run, f"{keys}, geometry binary")
