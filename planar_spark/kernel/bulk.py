@@ -255,3 +255,22 @@ def signed_areas(rings: list[np.ndarray]) -> list[float]:
 def areas_of(rings: list[np.ndarray]) -> list[tuple[bytes, float] | None]:
     """(MultiPolygon WKB, area) of each closed ring that runs counter-clockwise; None for others."""
     return [(area_head(len(r)) + r.astype("<f8").tobytes(), a) if a > 0 else None for r, a in zip(rings, signed_areas(rings), strict=True)]
+
+
+def union_areas(shapes: pa.ListArray) -> list[float]:
+    """``planar.union_area`` of the geometries of each row. Single upright rectangles, which boxes and tiles are, are measured side by side."""
+    n, flat = np.asarray(shapes.value_lengths()), shapes.flatten()
+    first, out = np.cumsum(n) - n, np.full(len(n), np.nan)
+    row_of = np.full(len(flat), -1)
+    row_of[first[n == 1]] = np.flatnonzero(n == 1)
+    for rows, xy in groups(flat):
+        if xy.shape[1] != 5:
+            continue
+        same = xy[:, :-1] == xy[:, 1:]  # sides along an axis share the other coordinate
+        turns = (same[:, :, 0] == ~same[:, :, 1]).all(axis=1) & (same[:, :-1, 0] != same[:, 1:, 0]).all(axis=1)
+        wide = xy.max(axis=1) - xy.min(axis=1)
+        fine = turns & (xy[:, 0] == xy[:, 4]).all(axis=1) & np.isfinite(xy).all(axis=(1, 2)) & (row_of[rows] >= 0)
+        out[row_of[rows[fine]]] = wide[fine, 1] * wide[fine, 0]
+    for i in np.flatnonzero(np.isnan(out)).tolist():
+        out[i] = planar.union_area([wkb.decode(g)[0] for g in flat[first[i] : first[i] + n[i]].to_pylist()])
+    return out.tolist()

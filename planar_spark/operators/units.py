@@ -133,10 +133,10 @@ def covered_areas(map_faces: DataFrame, polygons: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            areas = [planar.union_area([wkb.decode(g)[0] for g in s]) for s in b.column(3).to_pylist()]
+            areas = bulk.union_areas(b.column(3))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(areas, pa.float64())], names=["map_layer", "comp", "unit_id", "area"])
 
-    return shapes.mapInArrow(run, "map_layer int, comp long, unit_id string, area double")
+    return spread(shapes).mapInArrow(run, "map_layer int, comp long, unit_id string, area double")
 
 
 def units(map_faces: DataFrame, polygons: DataFrame) -> DataFrame:

@@ -83,3 +83,20 @@ def test_usual_geometries_do_not_go_one_by_one(monkeypatch):
     assert bulk.bounds(a)[0][7].tolist() == [7, 7, 9, 9]
     assert bulk.points_on_surface(a)[3] == bulk.POINT + np.array([4.0, 4.0]).tobytes()
     assert bulk.tested(a, p, False).all() and bulk.tested(a, a, True).all() and bulk.tested(a, a, False).all()
+
+
+def test_rectangles_are_measured_together(monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(600):
+        x, y = rng.random(2) * 100
+        w, h = rng.random(2) * 5
+        p = np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)])
+        p = np.roll(p[:: (-1) ** i], i % 4, axis=0)
+        rows.append([wkb.encode(("MULTIPOLYGON", [[np.concatenate([p, p[:1]])]]))])
+    odd = [rows[0] + rows[1], [], rows[2] * 2] + [[g] for g in geometries(rng, 300, False) if len(g) != 21]
+    kind = pa.list_(pa.binary())
+    want = [planar.union_area([wkb.decode(g)[0] for g in r]) for r in rows + odd]
+    assert bulk.union_areas(pa.array([rows[5], *rows, *odd], kind).slice(1)) == want
+    monkeypatch.setattr(wkb, "decode", None)  # rectangles do not go one by one
+    assert bulk.union_areas(pa.array(rows, kind)) == want[:600]
