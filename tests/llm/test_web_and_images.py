@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from planar_spark.llm import image_copies, loser_tree, url_filter, warc
 
@@ -132,3 +133,34 @@ def test_crops_of_large_pictures(spark):
     frames = [spark.createDataFrame([(i, bytearray(image_copies.write_pgm(p))) for i, p in enumerate(x)], "image_id long, media binary") for x in (crops, pictures)]
     got = {(r["query_id"], r["image_id"]) for r in image_copies.copies(*frames).collect()}
     assert got == {*((i, i) for i in range(6)), (6, 0), (7, 0)}
+
+
+def test_tables_choose_the_pairs_of_brute_force(monkeypatch):
+    rng = np.random.default_rng(12)
+
+    def block(pictures):
+        out = []
+        for i, p in enumerate(pictures):
+            which, x, y, scale, turn, words = image_copies.keypoints(np.clip(np.rint(p), 0, 255).astype(np.float32)[None])
+            rows = np.zeros(len(which), image_copies.KEYPOINT)
+            rows["image"], rows["corner"], rows["x"], rows["y"], rows["scale"], rows["turn"] = i, np.arange(len(which)), x, y, scale, turn
+            rows["d0"], rows["d1"] = words.view(np.uint64).T
+            out.append(rows)
+        return np.concatenate(out)
+
+    pictures = [image_copies.resized(rng.uniform(0, 255, (24, 24)), 160, 160) for _ in range(40)]
+    edits = [turned(p, d, z) + rng.normal(0, 3, (128, 128)) for p, (d, z) in zip(pictures, [(7, 1), (37, 1), (0, 1.08), (15, 1.2), (90, 1), (0, 0.8)])]
+    q, k = block(edits), block(pictures)
+    want = sorted(image_copies.tallied(q, k, *image_copies.matches(q, k, 20), 8))
+    assert {x[:2] for x in want} >= {(i, i) for i in range(6)}
+    compared, plain = [], image_copies.matches
+    monkeypatch.setattr(image_copies, "matches", lambda a, b, d: compared.append(len(a) * len(b)) or plain(a, b, d))
+    found = image_copies.voted(q, k, 20, 8, 3)
+    assert set(found) <= set(want) and {x[:2] for x in found} >= {(i, i) for i in range(6)} and len(found) >= 0.9 * len(want)
+    assert 0 < sum(compared) < 0.2 * len(q) * len(k)
+    # Words of very many descriptors in parts, copies of one descriptor, no descriptors.
+    monkeypatch.setattr(image_copies, "HELD", 64)
+    assert sorted(image_copies.voted(q, k, 20, 8, 3)) == sorted(found)
+    same = np.concatenate([k[:1]] * 50)
+    assert image_copies.voted(same, same, 20, 8, 2) == [] and image_copies.voted(q, k[:0], 20, 8, 2) == image_copies.voted(q[:0], k, 20, 8, 2) == []
+    assert np.array_equal(image_copies.unpacked(pa.py_buffer(image_copies.packed([k[:7], k[7:]]))), k)
