@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from planar_spark.llm import exact_dedup, line_dedup, mixing, ngram_join, substring_dedup, toxicity, unigram
+from planar_spark.llm import exact_dedup, line_dedup, mixing, ngram_join, queries, substring_dedup, toxicity, unigram
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h1 string, key string"
 EMPTY = (900, ""), (901, None), (902, " \t\n ")
@@ -203,6 +203,22 @@ def test_suffix_dedup(spark, texts, per_range, monkeypatch):
     assert substring_dedup.remove_repeats(frame(spark, some).limit(0), length, 30).count() == 0
 
 
+def test_planted_passages(spark, tmp_path):
+    """The query on passages of over 50 words that stand in two texts: from 400 bytes on they go whole, shorter ones and clean texts stay."""
+    rng, rows, want = random.Random(11), [], {}
+    prose = lambda n: " ".join(f"{rng.getrandbits(24):06x}" for _ in range(n))
+    for k in range(40):
+        size = (399, 400, 640, 0)[k % 4]
+        passage = prose(100)[:size]
+        assert not size or len(passage.split()) > 50
+        for edge in "<[":  # neighbours differ, so that nothing beyond the passage repeats
+            rows.append((len(rows), prose(rng.randint(1, 90)) + edge + passage + edge + prose(rng.randint(1, 90))))
+            want[rows[-1][0]] = (len(rows[-1][1]), size if size >= 400 else 0, int(size >= 400), size >= 400)
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_suffix_dedup(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["repeats"]) for r in got} == want
+
+
 def test_mixing(spark, texts):
     docs = frame(spark, texts)
     rows = mixing.curriculum(docs).collect()
