@@ -50,7 +50,7 @@ def without_unused_edges(edges: DataFrame, line_edge: DataFrame) -> DataFrame:
 
 def merged_names(edges: DataFrame, line_edge: DataFrame) -> DataFrame:
     """(node, component): the faces that become one when edges in no line go, and the least of them."""
-    return components(unused_edges(edges, line_edge).select(F.col("left_face").alias("a"), F.col("right_face").alias("b")), "merged_faces", SMALL)
+    return components(unused_edges(edges, line_edge).select(F.col("left_face").alias("a"), F.col("right_face").alias("b")), "merged_faces", SMALL, near=True)
 
 
 def renamed(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
@@ -138,7 +138,7 @@ def dissolved(faces: DataFrame, edges: DataFrame, relation: DataFrame, layers: D
     """
     near = adjacent(edges, relation, layers, literal)
     inner = near.where("face_id > adjacent and adjacent <> 0")
-    found = components(inner.select((F.col("map_layer") * SHIFT + F.col("face_id")).alias("a"), (F.col("map_layer") * SHIFT + F.col("adjacent")).alias("b")), "dissolved", SMALL)
+    found = components(inner.select((F.col("map_layer") * SHIFT + F.col("face_id")).alias("a"), (F.col("map_layer") * SHIFT + F.col("adjacent")).alias("b")), "dissolved", SMALL, near=True)
     found = found.select(F.floor(F.col("node") / SHIFT).cast("int").alias("map_layer"), (F.col("node") % SHIFT).alias("face_id"), (F.col("component") % SHIFT).alias("comp"))
     every = faces.where("face_id <> 0").select("face_id").crossJoin(F.broadcast(layers))
     every = every.join(found, ["map_layer", "face_id"], "left").withColumn("comp", F.coalesce("comp", "face_id"))
@@ -165,5 +165,5 @@ def heal_candidates(edges: DataFrame, line_edge: DataFrame, literal: bool = Fals
 def heal_chains(edges: DataFrame, line_edge: DataFrame) -> DataFrame:
     """(edge_id, chain): edges that healing makes one; chain is the least edge of each."""
     pairs = heal_candidates(edges, line_edge).select(F.col("edge_1").alias("a"), F.col("edge_2").alias("b"))
-    found = components(pairs, "chains", SMALL)
+    found = components(pairs, "chains", SMALL, near=True)
     return edges.select("edge_id").join(found, edges["edge_id"] == found["node"], "left").select("edge_id", F.coalesce("component", "edge_id").alias("chain"))

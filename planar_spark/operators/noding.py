@@ -92,10 +92,12 @@ def crossings(pieces: DataFrame) -> DataFrame:
     met = own.where("fresh").drop("fresh").join(other, ["cx", "cy"]).where(F.when(F.col("o_fresh"), mine < theirs).otherwise(F.lit(True)))
     # Boxes first: most pairs of a cell are apart.
     apart = (F.col("o_x1") > F.col("x2")) | (F.col("x1") > F.col("o_x2")) | (F.greatest("o_y1", "o_y2") < F.least("y1", "y2")) | (F.greatest("y1", "y2") < F.least("o_y1", "o_y2"))
-    met = met.where(~apart)
     x1, y1, x2, y2, u1, v1, u2, v2 = (exact(F.col(c)) for c in [*ENDS, *[f"o_{c}" for c in ENDS]])
     dx, dy, ex, ey = x2 - x1, y2 - y1, u2 - u1, v2 - v1
     den = dx * ey - dy * ex
+    # Most of the rest meet at an end of both, and nowhere else: one begins where the other ends, or they part from one end in two directions.
+    at = lambda a, b: (F.col(f"x{a}") == F.col(f"o_x{b}")) & (F.col(f"y{a}") == F.col(f"o_y{b}"))
+    met = met.where(~apart & ~(at(1, 2) | at(2, 1) | ((at(1, 1) | at(2, 2)) & (den != 0))))
     t, s = (u1 - x1) * ey - (v1 - y1) * ex, (u1 - x1) * dy - (v1 - y1) * dx
     sign = F.signum(den.cast("double"))
     crossed = (den != 0) & (t * sign >= 0) & (t * sign <= F.abs(den)) & (s * sign >= 0) & (s * sign <= F.abs(den))
@@ -247,7 +249,7 @@ def half_edges(edges: DataFrame) -> DataFrame:
     cross = "cast(l.dx as decimal(19,0)) * r.dy - cast(l.dy as decimal(19,0)) * r.dx"
     star = star.withColumn("star", F.expr(f"array_sort(star, (l, r) -> CASE WHEN {half_plane('l')} <> {half_plane('r')} THEN {half_plane('l')} - {half_plane('r')} WHEN {cross} > 0 THEN -1 WHEN {cross} < 0 THEN 1 ELSE 0 END)"))
     turn = star.select(F.posexplode("star").alias("i", "s"), "star").select((F.col("s.he").bitwiseXOR(F.lit(1))).alias("a"), F.element_at("star", F.when(F.col("i") == 0, -1).otherwise(F.col("i"))).getField("he").alias("b"))
-    ring = components(turn, "rings", SMALL)
+    ring = components(turn, "rings", SMALL, near=True)
     return half.join(ring, half["he"] == ring["node"], "left").select("he", F.coalesce("component", "he").alias("ring"), "x", "y", "tx", "ty")
 
 
@@ -294,21 +296,21 @@ def faced(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     twice = F.sum((big(F.col("x")) * F.col("ty") - big(F.col("tx")) * F.col("y")).cast("decimal(38,0)"))
     rings = written(half.groupBy("ring").agg(twice.alias("twice"), F.min(F.struct("x", "y")).alias("at")), "ring_areas")
     # Where a ring bounds its part of the graph from outside, the nearest edge below its leftmost point tells what is around it.
-    parts = components(edges.select(F.col("start_node").alias("a"), F.col("end_node").alias("b")), "graph_parts", SMALL)
+    parts = components(edges.select(F.col("start_node").alias("a"), F.col("end_node").alias("b")), "graph_parts", SMALL, near=True)
     part_of = written(edges.join(parts, edges["start_node"] == parts["node"]).select((F.col("edge_id") * 2).alias("_e"), F.col("component").alias("part")), "edge_parts")
     half = half.join(part_of, (half["he"] - half["he"] % 2) == part_of["_e"]).drop("_e")
     outer = rings.where("twice <= 0").select("ring", F.col("at.x").alias("px"), F.col("at.y").alias("py"))
     outer = outer.join(half.groupBy("ring").agg(F.min("part").alias("own")), "ring")
     seen = nearest_below(outer, half)
     shells = numbered(rings.where("twice > 0").select("ring", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "twice"), ["x", "y", "twice", "ring"], "face_id")
-    # Chains of outer rings end at a shell, or outside.
+    # Chains of outer rings end at a shell, or outside: of what such rings connect one alone has no outer ring below it.
     up = written(outer.select("ring").join(seen, "ring", "left"), "around")
-    while True:
-        nxt = up.select(F.col("ring").alias("under"), F.col("under").alias("further"), F.lit(True).alias("is_outer"))
-        more = up.join(nxt, "under", "left")
-        if more.where("is_outer").isEmpty():
-            break
-        up = written(more.select("ring", F.when(F.col("is_outer"), F.col("further")).otherwise(F.col("under")).alias("under")), "around")
+    chained = written(up.join(up.select(F.col("ring").alias("under")), "under", "left_semi").select("ring", "under"), "outer_chains")
+    chain_of = components(chained.select(F.col("ring").alias("a"), F.col("under").alias("b")), "outer_chains", SMALL, near=True)
+    up = up.join(chain_of, up["ring"] == chain_of["node"], "left").select("ring", "under", F.coalesce("component", "ring").alias("chain"))
+    up = written(up, "around")
+    ends = up.join(chained.select("ring"), "ring", "left_anti").select("chain", "under")
+    up = up.select("ring", "chain").join(ends, "chain").select("ring", "under")
     of_shell = shells.select(F.col("ring").alias("under"), "face_id")
     face_of = shells.select("ring", "face_id").union(up.join(of_shell, "under", "left").select("ring", F.coalesce("face_id", F.lit(0)).alias("face_id")))
     face_of = written(face_of, "ring_faces")
@@ -322,7 +324,7 @@ def faced(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def regions(edges: DataFrame) -> DataFrame:
     """(part, region): parts that lie within one outline share a region, since faces connect them; regions touch nothing of one another."""
     sides = edges.select("part", F.explode(F.array("left_face", "right_face")).alias("face_id")).where("face_id <> 0")
-    joined = components(sides.select((F.col("part") * 2).alias("a"), (F.col("face_id") * 2 + 1).alias("b")).distinct(), "regions", SMALL)
+    joined = components(sides.select((F.col("part") * 2).alias("a"), (F.col("face_id") * 2 + 1).alias("b")).distinct(), "regions", SMALL, near=True)
     own = edges.select("part").distinct()
     return own.join(joined, own["part"] * 2 == joined["node"], "left").select("part", (F.coalesce("component", F.col("part") * 2) + 1).alias("region"))
 
@@ -442,7 +444,7 @@ def ring_points(sides: DataFrame) -> DataFrame:
     # As in a walk: at a node that the border passes twice, the next side clockwise from the one back.
     pair = sides.join(nxt, ["map_layer", "comp", "tx", "ty"]).groupBy("side").agg(F.min_by("next", F.when(turn == 0, 2 * np.pi).otherwise(turn)).alias("next"))
     pair = written(pair, "next_sides")
-    ring = written(components(pair.select(F.col("side").alias("a"), F.col("next").alias("b")), "large_rings"), "ring_of_side")
+    ring = written(components(pair.select(F.col("side").alias("a"), F.col("next").alias("b")), "large_rings", SMALL, near=True), "ring_of_side")
     cut = pair.join(ring, pair["side"] == ring["node"]).select(F.col("side").alias("item"), F.when(F.col("next") != F.col("component"), F.col("next")).alias("next"))
     rank = ranked(cut, "side_ranks")
     length = rank.groupBy("last").agg(F.max("steps").alias("most"))

@@ -11,7 +11,7 @@ from ..config import TopoConfig
 from ..functions import colors, tiles
 from ..kernel import generalise, wkb
 from ..operators import chains, dml, faces, graph, hierarchy, linework, noding, overlay, units, vector_tiles
-from ..operators.components import components
+from ..operators.components import SMALL, components
 from ..sources import files
 from ..store import scratch_path, stored as written
 from . import inputs as I  # noqa: E741
@@ -779,7 +779,7 @@ def euler_check(spark, d):
     """Nodes and edges of the graph, and nodes - edges + faces - parts, the outside counting as a face: by Euler's formula 1."""
     edges, _ = _noded(spark, d)
     _, found = noding.faced(edges)
-    parts = components(edges.select(F.col("start_node").alias("a"), F.col("end_node").alias("b")), "parts")
+    parts = components(edges.select(F.col("start_node").alias("a"), F.col("end_node").alias("b")), "parts", SMALL, near=True)
     n = parts.agg(F.count("*").alias("n_nodes"), F.count_distinct("component").alias("n_parts"))
     return n.crossJoin(edges.agg(F.count("*").alias("n_edges"))).crossJoin(found.agg(F.count("*").alias("n_faces"))).select("n_nodes", "n_edges", (F.col("n_nodes") - F.col("n_edges") + F.col("n_faces") - F.col("n_parts")).cast("int").alias("euler"))
 

@@ -189,3 +189,18 @@ def test_healed_lines_against_walks(spark):
     # A closed chain begins with its least edge, whichever way that runs.
     canon = lambda t: (t[0], tuple(sorted(t[1][:-1])) if t[2] else t[1], t[2])
     assert set(map(canon, found)) == set(map(canon, want)) and {r["chain"]: r["n_edges"] for r in got} == {c: len(p) - 1 for c, p, _ in want}
+
+
+def test_near_components_of_a_long_ring(spark, monkeypatch):
+    """A ring that passes through every task, and islands of three: in one contraction and a few passes, not in one pass for each stretch of the ring."""
+    n = 3000
+    ring = [(i, (i + 2) if i % 2 == 0 and i < n - 2 else (i - 2) if i % 2 and i > 1 else (n - 1 if i == n - 2 else 0)) for i in range(n)]
+    isles = [(n + 3 * k + a, n + 3 * k + b) for k in range(50) for a, b in ((0, 1), (2, 1))]
+    pairs = spark.createDataFrame(ring + isles, "a long, b long")
+    want = {i: 0 for i in range(n)} | {n + 3 * k + a: n + 3 * k for k in range(50) for a in range(3)}
+    monkeypatch.setattr("planar_spark.operators.components.PIECE", 64)
+    made = []
+    write = components.__globals__["written"]
+    monkeypatch.setitem(components.__globals__, "written", lambda df, label, *a: made.append(label) or write(df, label, *a))
+    assert {r["node"]: r["component"] for r in components(pairs, "ring", 10, near=True).collect()} == want
+    assert components(pairs.limit(0), "none", 10, near=True).count() == 0 and len(made) < 20
