@@ -68,13 +68,15 @@ def union(polygons: DataFrame, keys: list[str], cfg: TopoConfig) -> DataFrame:
 def changed_areas(old: DataFrame, new: DataFrame, cfg: TopoConfig) -> DataFrame:
     """(id, map_layer, geometry): of each polygon (id, map_layer, type, geometry) that came, went or changed, what it covered before or covers now."""
     columns = ["id", "map_layer", "type", "geometry"]
-    went, came = old.select(*columns).exceptAll(new.select(*columns)), new.select(*columns).exceptAll(old.select(*columns))
-    return union(went.union(came), ["id", "map_layer"], cfg).select("id", "map_layer", "geometry").where("geometry is not null")
+    both = old.select(*columns, F.lit(-1).alias("n")).union(new.select(*columns, F.lit(1).alias("n")))
+    edited = both.groupBy(*columns).agg(F.sum("n").alias("n")).where("n <> 0").drop("n")
+    return union(written(edited, "edited_polygons"), ["id", "map_layer"], cfg).select("id", "map_layer", "geometry").where("geometry is not null")
 
 
 def relabel(map_faces: DataFrame, old: DataFrame, new: DataFrame, cfg: TopoConfig) -> DataFrame:
     """``map_faces`` (map_layer, comp, unit_id, geometry) after an edit of the polygons from ``old`` to ``new``: those that meet what a changed polygon covered before
     or covers now, borders included, are labelled again by ``new``; the others keep their label."""
+    map_faces = written(map_faces.select("map_layer", "comp", "unit_id", "geometry"), "labelled_faces")
     met = relabelled(map_faces, changed_areas(old, new, cfg)).select("map_layer", "comp").distinct()
     met = written(met, "met_faces")
     again = map_faces.join(met, ["map_layer", "comp"], "left_semi")

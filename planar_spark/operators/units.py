@@ -36,6 +36,7 @@ def in_window(rows: DataFrame, xmin: float, ymin: float, xmax: float, ymax: floa
 
 
 LEVELS = range(-30, 41)  # of cells: powers of two
+LEAST_MERGED = 20_000  # boxes from which a join of boxes is no broadcast
 
 
 def level_of(box: str, margin: float) -> Column:
@@ -51,8 +52,9 @@ def box_join(a: DataFrame, b: DataFrame, on: list[str], margin: float = 0.0) ->
     boxes; two boxes meet at the coarser of their levels, so a large box is never cut into small cells. A pair is kept in the cell of the overlap's lower left
     corner alone.
     """
-    levels = lambda df, box: df.where(F.col(box).isNotNull()).select(level_of(box, margin).alias("_l")).distinct()
-    held = {side: sorted(r["_l"] for r in levels(df, box).collect()) for side, df, box in (("a", a, "box"), ("b", b, "b_box"))}  # 71 at most
+    levels = lambda df, box: df.where(F.col(box).isNotNull()).groupBy(level_of(box, margin).alias("_l")).count()
+    counts = {side: {r["_l"]: r["count"] for r in levels(df, box).collect()} for side, df, box in (("a", a, "box"), ("b", b, "b_box"))}  # 71 at most
+    held = {side: sorted(n) for side, n in counts.items()}
 
     def cells(df: DataFrame, box: str, other: list[int]) -> DataFrame:
         df = df.where(F.col(box).isNotNull()).withColumn("_own", level_of(box, margin))
@@ -63,6 +65,8 @@ def box_join(a: DataFrame, b: DataFrame, on: list[str], margin: float = 0.0) ->
         return df.withColumn("_cx", F.explode(span("x"))).withColumn("_cy", F.explode(span("y")))
 
     left, right = cells(a, "box", held["b"]), cells(b, "b_box", held["a"]).withColumnRenamed("_own", "_b_own")
+    if max(sum(n.values()) for n in counts.values()) > LEAST_MERGED:
+        right = right.hint("merge")  # Spark estimates geometries by the small file that they were made from, and would broadcast them
     pairs = left.join(right, [*on, "_l", "_cx", "_cy"]).where(F.col("_l") == F.greatest("_own", "_b_own"))
     low = lambda k: F.greatest(F.col(f"box.{k}min"), F.col(f"b_box.{k}min")) - margin / 2
     pairs = pairs.where((low("x") <= F.least("box.xmax", "b_box.xmax") + margin / 2) & (low("y") <= F.least("box.ymax", "b_box.ymax") + margin / 2))

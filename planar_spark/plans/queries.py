@@ -320,7 +320,7 @@ def union_geometry(spark, d):
 LEFT JOIN (SELECT map_layer, comp, arg_min(type, (-area, type)) AS unit_id FROM areas GROUP BY ALL) u USING (map_layer, comp)""")
 def labels_after_edit(spark, d):
     """Labels of map faces after boxes went and others changed their type: only faces that the changed boxes meet are labelled again."""
-    old, shapes = I.box_shapes(spark, d), _shapes(spark, d)
+    old, shapes = written(I.box_shapes(spark, d), "boxes"), written(_shapes(spark, d), "shapes")
     new = old.where("id % 10 <> 0").withColumn("type", F.when(F.col("id") % 10 == 1, "edited").otherwise(F.col("type")))
     labelled = shapes.join(units.units(shapes, old), ["map_layer", "comp"], "left")
     return overlay.relabel(labelled, old, new, UNIT).select("map_layer", "comp", "unit_id")

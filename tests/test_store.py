@@ -1,5 +1,8 @@
 """Written tables in joins, and rows dealt over all cores."""
 
+from pyspark.sql import functions as F
+
+from planar_spark.operators import units
 from planar_spark.sources import files
 from planar_spark.store import stored
 
@@ -15,3 +18,11 @@ def test_a_single_split_is_parsed_by_all_cores(spark):
     rows = spark.range(100, numPartitions=1).selectExpr("id", "concat('POINT(', id, ' 1)') AS wkt")
     parsed = files.parse_geometry(rows, "wkt")
     assert parsed.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and parsed.where("geometry is not null").count() == 100
+
+
+def test_many_boxes_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    spark.range(30_000).coalesce(1).write.parquet(f"{tmp_path}/ids")
+    x = F.col("id").cast("double")
+    boxes = spark.read.parquet(f"{tmp_path}/ids").select("id", F.struct(x.alias("xmin"), x.alias("ymin"), (x + 0.5).alias("xmax"), (x + 0.5).alias("ymax")).alias("box"))
+    pairs = units.box_join(boxes, boxes.select(F.col("id").alias("b_id"), F.col("box").alias("b_box")), [])
+    assert "Broadcast" not in pairs._jdf.queryExecution().sparkPlan().toString() and pairs.count() == 30_000
