@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +35,8 @@ def projected(rows: DataFrame, keys: str, source: int, target: int) -> DataFrame
     return rows.select(*names, "geometry").mapInArrow(run, keys + ", geometry binary")
 
 
-CHUNK = 1_000  # encoded features that a task hands on at a time
+CHUNK = 1_000  # encoded features, or tiles, that a task hands on at a time
+HELD = 1 << 23  # bytes of tiles from which a task hands them on
 
 KEYS = "layer string, id long, type string"
 
@@ -73,30 +75,57 @@ def build_tiles(features: DataFrame, zooms: Sequence[int], srid: int = 3857, onl
     drawn = rows.select("layer", "id", "type", "geometry", "zoom").mapInArrow(encode, "z int, x int, y int, layer string, id long, type string, kind int, drawn binary")
     if only is not None:
         drawn = drawn.join(only.select("z", "x", "y").distinct(), ["z", "x", "y"], "left_semi")
-    tiles = drawn.groupBy("z", "x", "y").agg(F.sort_array(F.collect_list(F.struct("layer", "id", "type", "kind", "drawn"))).alias("features"))
+    # Sorted rows and not one list a tile: the world's tile at zoom 0 has every feature.
+    placed = drawn.repartition("z", "x", "y").sortWithinPartitions("z", "x", "y", "layer", "id", "type", "kind", "drawn")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for features in b.column(3).to_pylist():
-                layers: dict[str, list] = {}
-                for f in features:
-                    layers.setdefault(f["layer"], []).append((f["kind"], f["drawn"], {"id": f["id"], "type": f["type"]}))
-                out.append(b"".join(mvt.assembled(n, layers[n]) for n in sorted(layers)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], names=["z", "x", "y", "tile"])
+        at: tuple | None = None
+        layers: list[mvt.Layer] = []
+        done: list[tuple] = []
+        size = 0
+
+        def tile() -> tuple:
+            data = b"".join(p for layer in layers for p in layer.parts())
+            layers.clear()
+            return (*at, data)  # type: ignore[misc]
 
-    return tiles.mapInArrow(assemble, "z int, x int, y int, tile binary")
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), [pa.int32()] * 3 + [pa.binary()], strict=True)], names=["z", "x", "y", "tile"])
+            done.clear()
+            return out
+
+        for b in batches:
+            for z, x, y, name, i, kind, form, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (z, x, y) != at:
+                    if layers:
+                        done.append(tile())
+                        size += len(done[-1][3])
+                    if size > HELD or len(done) == CHUNK:
+                        yield batch()
+                        size = 0
+                    at = (z, x, y)
+                if not layers or layers[-1].name != name:
+                    layers.append(mvt.Layer(name, "id"))
+                layers[-1].add(form, data, {"id": i, "type": kind})
+        if layers:
+            done.append(tile())
+        if done:
+            yield batch()
+
+    return placed.mapInArrow(assemble, "z int, x int, y int, tile binary")
 
 
 def contents(tiles: DataFrame) -> DataFrame:
     """(z, x, y, layer, id, type) of every feature in ``tiles``, read back from their bytes."""
 
+    names, kinds = ["z", "x", "y", "layer", "id", "type"], [pa.int32()] * 3 + [pa.string(), pa.int64(), pa.string()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(*at, name, tags.get("id"), tags.get("type")) for *at, tile in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True) for name, tags in mvt.contents(tile)]
-            kinds = [pa.int32()] * 3 + [pa.string(), pa.int64(), pa.string()]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["z", "x", "y", "layer", "id", "type"])
+            tiles = zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True)
+            rows = ((*at, name, tags.get("id"), tags.get("type")) for *at, tile in tiles for name, tags in mvt.each_feature(tile.as_buffer() or b""))
+            while part := list(islice(rows, CHUNK)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
 
     return tiles.select("z", "x", "y", "tile").mapInArrow(run, f"z int, x int, y int, {KEYS}")
 

@@ -86,3 +86,17 @@ def test_descent_clips_only_what_crosses_a_border(monkeypatch):
     monkeypatch.setattr(mvt, "clip_ring", lambda *a: clips.append(1) or plain(*a))
     got = {(x, y): drawn for x, y, _, drawn in mvt.descend(("POLYGON", [ring]), 5, WORLD)}
     assert got[16, 15] == mvt.commands(want[1], True) and len(clips) <= 2
+
+
+def test_a_tile_is_put_together_from_a_stream(spark):
+    """No list of all features of a tile is made, the bytes are those of the whole layer, and they are read back one after the other."""
+    features = [(mvt.POLYGON, bytes([i % 100] * (1 + i % 300)), {"id": i // 2 - 50, "type": "ab"[i % 2] if i % 3 else None}) for i in range(1000)]
+    layer = mvt.Layer("one", "id")
+    for f in features:
+        layer.add(*f)
+    whole = b"".join(layer.parts())
+    assert whole == mvt.assembled("one", features) and len(layer.values) == 2 and mvt.Layer("none").parts() == []
+    each = mvt.each_feature(whole)
+    assert next(each) == ("one", {"id": -50}) and sum(1 for _ in each) == 999
+    tiles = vector_tiles.build_tiles(spark.createDataFrame(rows(3), FEATURES), [0, 3])
+    assert "collect_list" not in tiles._jdf.queryExecution().executedPlan().toString()
