@@ -36,7 +36,7 @@ def in_window(rows: DataFrame, xmin: float, ymin: float, xmax: float, ymax: floa
 
 
 LEVELS = range(-30, 41)  # of cells: powers of two
-LEAST_MERGED = 20_000  # boxes from which a join of boxes is no broadcast
+LEAST_MERGED = 20_000  # boxes on both sides from which their join is no broadcast; a few large boxes that meet everything would be one task's in a merge
 
 
 def level_of(box: str, margin: float) -> Column:
@@ -65,7 +65,7 @@ def box_join(a: DataFrame, b: DataFrame, on: list[str], margin: float = 0.0) ->
         return df.withColumn("_cx", F.explode(span("x"))).withColumn("_cy", F.explode(span("y")))
 
     left, right = cells(a, "box", held["b"]), cells(b, "b_box", held["a"]).withColumnRenamed("_own", "_b_own")
-    if max(sum(n.values()) for n in counts.values()) > LEAST_MERGED:
+    if min(sum(n.values()) for n in counts.values()) > LEAST_MERGED:
         right = right.hint("merge")  # Spark estimates geometries by the small file that they were made from, and would broadcast them
     pairs = left.join(right, [*on, "_l", "_cx", "_cy"]).where(F.col("_l") == F.greatest("_own", "_b_own"))
     low = lambda k: F.greatest(F.col(f"box.{k}min"), F.col(f"b_box.{k}min")) - margin / 2

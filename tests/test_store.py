@@ -26,3 +26,7 @@ def test_many_boxes_of_a_small_file_are_not_broadcast(spark, tmp_path):
     boxes = spark.read.parquet(f"{tmp_path}/ids").select("id", F.struct(x.alias("xmin"), x.alias("ymin"), (x + 0.5).alias("xmax"), (x + 0.5).alias("ymax")).alias("box"))
     pairs = units.box_join(boxes, boxes.select(F.col("id").alias("b_id"), F.col("box").alias("b_box")), [])
     assert "Broadcast" not in pairs._jdf.queryExecution().sparkPlan().toString() and pairs.count() == 30_000
+    # Two that meet all others stay a broadcast: in a merge they would be one key, and one task's.
+    wide = spark.createDataFrame([(0, (0.0, 0.0, 40000.0, 40000.0)), (1, (0.0, 0.0, 40000.0, 40000.0))], "b_id long, b_box struct<xmin: double, ymin: double, xmax: double, ymax: double>")
+    pairs = units.box_join(boxes, wide, [])
+    assert "Broadcast" in pairs._jdf.queryExecution().sparkPlan().toString() and pairs.count() == 60_000
