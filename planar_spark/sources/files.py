@@ -13,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..kernel import wkb
-from ..store import spread
+from ..store import spread_in_order
 
 
 def read_types(spark: SparkSession, path: str) -> DataFrame:
@@ -46,7 +46,9 @@ def parse_geometry(rows: DataFrame, column: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(g, pa.binary()), pa.array(s, pa.int32()), pa.array(e, pa.string())], names=[*b.schema.names, "geometry", "srid", "geometry_error"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return spread(rows).mapInArrow(run, ddl + ", geometry binary, srid int, geometry_error string")
+    # Dealt by their places, so that rows stay in order.
+    rows = spread_in_order(rows.withColumn("_at", F.monotonically_increasing_id()), "_at").drop("_at")
+    return rows.mapInArrow(run, ddl + ", geometry binary, srid int, geometry_error string")
 
 
 class _Slice(InputPartition):
