@@ -1,10 +1,13 @@
 """Written tables in joins, and rows dealt over all cores."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from planar_spark.operators import units
 from planar_spark.sources import files
-from planar_spark.store import stored
+from planar_spark.store import Store, stored
 
 
 def test_large_written_tables_are_not_broadcast(spark):
@@ -30,3 +33,27 @@ def test_many_boxes_of_a_small_file_are_not_broadcast(spark, tmp_path):
     wide = spark.createDataFrame([(0, (0.0, 0.0, 40000.0, 40000.0)), (1, (0.0, 0.0, 40000.0, 40000.0))], "b_id long, b_box struct<xmin: double, ymin: double, xmax: double, ymax: double>")
     pairs = units.box_join(boxes, wide, [])
     assert "Broadcast" in pairs._jdf.queryExecution().sparkPlan().toString() and pairs.count() == 60_000
+
+
+def test_tables_of_a_commit_are_written_side_by_side(spark, tmp_path):
+    """Each waits for the other's file, so one after the other would not end well; a failing one leaves no version."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.create_empty()
+
+    def meeting(own, other):
+        def run(batches):
+            (tmp_path / own).touch()
+            late = time.time() + 60
+            while not (tmp_path / other).exists():
+                assert time.time() < late
+                time.sleep(0.1)
+            yield from batches
+
+        return spark.range(1, numPartitions=1).selectExpr("cast(id as int) AS id", "'a' AS name").mapInPandas(run, "id int, name string")
+
+    store.commit({"map_layer": meeting("a", "b"), "linework_type": meeting("b", "a")})
+    assert store.read("map_layer").count() == store.read("linework_type").count() == 1
+    version = store.latest()
+    with pytest.raises(Exception, match="no good"):
+        store.commit({"map_layer": spark.range(1), "linework_type": spark.range(1).select(F.raise_error(F.lit("no good")).alias("id"))})
+    assert store.latest() == version
